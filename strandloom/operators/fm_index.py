@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.constants import SENTINEL_FIRST
@@ -100,10 +100,9 @@ def build_fm_index(df: DataFrame, key: str, seq: str, width: int = 1024) -> FmIn
     counts = placed.groupBy(key, "block", "symbol").agg(F.count("*").alias("n"))
     # Every character of the text at every block, with the count so far.
     symbols = counts.groupBy(key, "symbol").agg(F.sum("n").alias("total"))
-    smaller = symbols.select(key, F.col("symbol").alias("_s"), "total")
-    first = symbols.select(key, "symbol").join(smaller, key).groupBy(key, "symbol").agg(
-        F.coalesce(F.sum(F.when(F.col("_s") < F.col("symbol"), F.col("total"))), F.lit(0)).alias("first")
-    )
+    # One row per character of the alphabet, so this window stays small.
+    smaller = Window.partitionBy(key).orderBy("symbol").rowsBetween(Window.unboundedPreceding, -1)
+    first = symbols.select(key, "symbol", F.coalesce(F.sum("total").over(smaller), F.lit(0)).alias("first"))
     cells = grid.join(first, key).join(counts, [key, "block", "symbol"], "left").na.fill(0, ["n"])
     running = blocked_running_sum(cells, [key, "symbol"], "block", "n", "upto")
     before = running.groupBy(key, "block").agg(

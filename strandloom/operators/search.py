@@ -1,7 +1,6 @@
 """Many patterns in many texts, as a join.
 
-Positions of the texts meet patterns on the first up to 16 characters and the rest is
-compared. Nothing is broadcast by force and no pattern is paired with a text it does not
+Positions of the texts meet patterns on pieces of up to 16 characters. Nothing is broadcast by force and no pattern is paired with a text it does not
 share a seed with; a seed found in a third of the texts is a skewed equi-join with unique
 patterns at the other side, which adaptive execution splits.
 """
@@ -27,21 +26,20 @@ def find_patterns(
     size = F.length("pattern")
     # At most `seed` different lengths, read in one small aggregate.
     lengths = [r[0] for r in wanted.select(F.least(size, F.lit(seed)).alias("k")).distinct().collect()]
-    seeds = wanted.where(size > 0).select(
-        "pattern", F.left("pattern", F.lit(seed)).alias("_seed"), F.substring("pattern", seed + 1, 2**31 - 1).alias("_rest")
-    )
-    # A seed shorter than `seed` is the whole pattern; only whole seeds need what follows them.
     found = None
     for k in sorted(n for n in lengths if n > 0):
-        mine = seeds.where(F.length("_seed") == k)
-        places = texts.select(key, F.posexplode(kmers(F.col(text), k)).alias("pos0", "_seed"))
-        hits = places.join(mine, "_seed").select(key, "pattern", "pos0", "_rest")
+        mine = wanted.where(F.least(size, F.lit(seed)) == k)
+        # A longer pattern is covered by pieces of `seed` characters, the last one overlapping.
+        offsets = F.array_union(F.sequence(F.lit(0), size - k, F.lit(k)), F.array(size - k))
+        pieces = mine.select("pattern", F.size(offsets).alias("_parts"), F.explode(offsets).alias("_off"))
+        pieces = pieces.withColumn("_seed", F.substring("pattern", F.col("_off") + 1, F.lit(k)))
+        places = texts.select(key, F.posexplode(kmers(F.col(text), k)).alias("_p", "_seed"))
+        start = (F.col("_p") - F.col("_off")).cast("bigint").alias("pos0")
+        hits = places.join(pieces, "_seed").select(key, "pattern", start, "_parts")
         if k == seed:
-            longer = hits.where("_rest <> ''").join(texts.select(key, F.col(text).alias("_text")), key)
-            start = F.col("pos0") + seed + 1
-            longer = longer.where(F.substring(F.col("_text"), start, F.length("_rest")) == F.col("_rest"))
-            hits = hits.where("_rest = ''").drop("_rest").union(longer.select(key, "pattern", "pos0"))
-        hits = hits.select(key, "pattern", F.col("pos0").cast("bigint").alias("pos0"))
+            # It occurs where all its pieces do; the texts themselves are not shuffled.
+            hits = hits.groupBy(key, "pattern", "pos0", "_parts").agg(F.count("*").alias("_n")).where("_n = _parts")
+        hits = hits.select(key, "pattern", "pos0")
         found = hits if found is None else found.union(hits)
     if 0 in lengths:
         every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.length(text).cast("bigint") - 1))

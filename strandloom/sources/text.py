@@ -72,10 +72,10 @@ def write_ordered(df: DataFrame, order: list[str], value: str, path: str) -> Non
     (df.repartitionByRange(*order).sortWithinPartitions(*order).select(value).write.mode("overwrite").text(path))
 
 
-def stats_lines(stats: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of statistics as `key: value` lines, in the order of `keys`."""
+def stats_lines(stats: DataFrame, keys: list[str], by: list[str] | None = None) -> DataFrame:
+    """Rows of statistics as `key: value` lines, numbered in the order of `keys`."""
     entries = F.array(*[F.concat(F.lit(f"{k}: "), F.col(k).cast("string")) for k in keys])
-    return stats.select(F.posexplode(entries).alias("n", "value"))
+    return stats.select(*(by or []), F.posexplode(entries).alias("n", "value"))
 
 
 def write_stats(stats: DataFrame, keys: list[str], path: str) -> None:
