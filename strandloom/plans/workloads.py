@@ -797,8 +797,8 @@ def spectrum_longest_path(spark, sf_dir):
     f"""WITH RECURSIVE s AS MATERIALIZED (SELECT seq_id, list(m ORDER BY m) AS ms, any_value(total) + 3000 AS parent FROM {_ENDS_SQL} GROUP BY seq_id),
     w(seq_id, ms, parent, i, base, taken, protein) AS (SELECT seq_id, ms, parent, 1, ms[1], [ms[1]], '' FROM s UNION ALL
     SELECT seq_id, ms, parent, i + 1, CASE WHEN ok THEN m ELSE base END, CASE WHEN ok THEN list_append(taken, m) ELSE taken END, CASE WHEN ok THEN protein || residue ELSE protein END FROM (
-      SELECT w.*, ms[i + 1] AS m, (SELECT max(residue) FROM {_MASSES_SQL} WHERE abs(ms[i + 1] - base - mass_e5) <= 1000) AS residue,
-        residue IS NOT NULL AND len(list_filter(taken, lambda t: abs(ms[i + 1] - (parent - t)) <= 1000)) = 0 AS ok FROM w WHERE i < len(ms)))
+      SELECT *, residue IS NOT NULL AND len(list_filter(taken, lambda t: abs(m - (parent - t)) <= 1000)) = 0 AS ok FROM (
+        SELECT w.*, ms[i + 1] AS m, (SELECT max(residue) FROM {_MASSES_SQL} WHERE abs(ms[i + 1] - base - mass_e5) <= 1000) AS residue FROM w WHERE i < len(ms))))
     SELECT seq_id, protein FROM w WHERE i = len(ms)""",
 )
 def full_spectrum(spark, sf_dir):
@@ -867,7 +867,7 @@ def _genotype_sql(name: str, i: int) -> str:
 
 
 _GAMETES_SQL = "(SELECT seq_id, {2} AS who, x1 || x2 || x3 AS gamete, row_number() OVER (PARTITION BY seq_id ORDER BY o1, o2, o3) - 1 AS n FROM (SELECT seq_id, {0} FROM {1}) JOIN " + " JOIN ".join(
-    f"(SELECT column0 AS g{i}, column1 AS x{i}, column2 AS o{i} FROM (VALUES ('D', 'D', 1), ('R', 'R', 1), ('H', 'D', 1), ('H', 'R', 2))) v{i} ON v{i}.g{i} = l{i}" for i in (1, 2, 3)
+    f"(SELECT col0 AS g{i}, col1 AS x{i}, col2 AS o{i} FROM (VALUES ('D', 'D', 1), ('R', 'R', 1), ('H', 'D', 1), ('H', 'R', 2))) v{i} ON v{i}.g{i} = l{i}" for i in (1, 2, 3)
 ) + ")"
 
 
@@ -909,7 +909,7 @@ def _nation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "dominant_probability",
-    f"""SELECT c_nationkey, CAST(round((a / t * (a - 1) / (t - 1) + 2 * a / t * (b + c) / (t - 1) + b / t * (b - 1) / (t - 1) * 0.75 + b / t * c / (t - 1)) * 1000000) AS BIGINT) AS p_e6,
+    f"""SELECT c_nationkey, CAST(round(CASE WHEN t > 1 THEN (a / t * (a - 1) / (t - 1) + 2 * a / t * (b + c) / (t - 1) + b / t * (b - 1) / (t - 1) * 0.75 + b / t * c / (t - 1)) END * 1000000) AS BIGINT) AS p_e6,
     CAST(round(2 * (a + b + c + d * 0.75 + e * 0.5) * 1000) AS BIGINT) AS expected_e3 FROM (SELECT *, CAST(a + b + c AS DOUBLE) AS t FROM {_NATION_COUNTS_SQL})""",
 )
 def dominant_probability(spark, sf_dir):
