@@ -1,9 +1,9 @@
 """Pairwise alignment of two string columns.
 
 Spark distributes the pairs; one pair is a short dynamic program, run in Arrow batches with
-one vector operation per row of its matrix. Directions are kept only for a band of rows at a
-time: score rows are stored at band borders and a band is recomputed when the way back
-reaches it, so memory grows with the shorter dimension times the square root of the longer.
+one vector operation per row of the matrices of many pairs. Directions are kept only for a
+band of rows at a time: score rows are stored at band borders and a band is recomputed when
+the way back reaches it, so memory grows with one length times the root of the other.
 Edits: `=` match, `X` mismatch, `I` insert, `D` delete.
 """
 
@@ -24,64 +24,85 @@ def edit_distance(x: Column, y: Column) -> Column:
     return F.levenshtein(x, y).cast("bigint")
 
 
-def _row(above: np.ndarray, same: np.ndarray, head: int, gap: int, miss: int, score: int):
-    """Next score row and its directions (0 diagonal, 1 up, 2 left, in that priority)."""
-    row = np.empty_like(above)
-    row[0] = head
-    diagonal = above[:-1] + np.where(same, -score, miss)
-    up = above[1:] + gap
-    row[1:] = np.minimum(diagonal, up)
-    # A run of lefts costs `gap` per step: a running minimum after removing that slope.
-    slope = np.arange(len(row)) * gap
-    row = np.minimum.accumulate(row - slope) + slope
-    ways = np.where(row[1:] == diagonal, 0, np.where(row[1:] == up, 1, 2)).astype(np.int8)
-    return row, ways
-
-
-def _align(x: str, y: str, gap: int, miss: int, score: int, fit: bool):
-    """(penalty, start, end, edits) of all of y against x, or inside x if `fit`."""
-    xs = np.fromiter(map(ord, x), np.int32, len(x))
-    ys = np.fromiter(map(ord, y), np.int32, len(y))
-    band = max(1, math.isqrt(len(x)))
-    row = np.arange(len(y) + 1, dtype=np.int64) * gap
-    saved = [row]
-    best, end = row[-1], 0
-
-    def advance(row: np.ndarray, i: int):
-        return _row(row, ys == xs[i - 1], 0 if fit else i * gap, gap, miss, score)
-
-    for i in range(1, len(x) + 1):
+_CELLS = 1 << 22  # stored scores per chunk of pairs
+
+
+def _codes(texts: list[str], width: int, padding: int) -> np.ndarray:
+    out = np.full((len(texts), width), padding, np.int32)
+    for row, text in zip(out, texts):
+        row[: len(text)] = np.fromiter(map(ord, text), np.int32, len(text))
+    return out
+
+
+def _align_chunk(x: list[str], y: list[str], gap: int, miss: int, score: int, fit: bool):
+    """Per pair `(penalty, start, end, edits)` of y against all of x, or inside x if `fit`."""
+    x_len, y_len = np.array([len(t) for t in x]), np.array([len(t) for t in y])
+    n, m, pairs = int(x_len.max()), int(y_len.max()), np.arange(len(x))
+    xs, ys = _codes(x, n, -1), _codes(y, m, -2)
+    slope = np.arange(m + 1, dtype=np.int64) * gap
+
+    def advance(above: np.ndarray, i: int):
+        """Scores of row i and how each was reached: 0 diagonal, 1 up, 2 left, in that priority."""
+        diagonal = above[:, :-1] + np.where(ys == xs[:, i - 1, None], -score, miss)
+        up = above[:, 1:] + gap
+        row = np.empty_like(above)
+        row[:, 0] = 0 if fit else i * gap
+        row[:, 1:] = np.minimum(diagonal, up)
+        # A run of lefts costs `gap` per step: a running minimum once that slope is removed.
+        row = np.minimum.accumulate(row - slope, axis=1) + slope
+        ways = np.where(row[:, 1:] == diagonal, 0, np.where(row[:, 1:] == up, 1, 2))
+        return row, ways.astype(np.int8)
+
+    band = max(1, math.isqrt(n))
+    row = np.tile(slope, (len(x), 1))
+    saved, best, end = [row], row[pairs, y_len].copy(), np.zeros_like(x_len)
+    for i in range(1, n + 1):
         row, _ = advance(row, i)
         if i % band == 0:
             saved.append(row)
-        if fit and row[-1] < best:
-            best, end = row[-1], i
-    if not fit:
-        best, end = row[-1], len(x)
-
-    edits: list[str] = []
-    i, j = end, len(y)
-    first, ways = i + 1, []
-    while j and i:
-        if i < first:
-            first = (i - 1) // band * band + 1
-            row, ways = saved[(first - 1) // band], []
-            for r in range(first, i + 1):
-                row, way = advance(row, r)
-                ways.append(way)
-        way = ways[i - first][j - 1]
-        edits.append(("=" if xs[i - 1] == ys[j - 1] else "X") if way == 0 else "DI"[way - 1])
-        i, j = i - (way != 2), j - (way != 1)
-    edits.append("I" * j)
-    if not fit:
-        edits.append("D" * i)
-        i = 0
-    return int(best), int(i), end, "".join(edits)[::-1]
-
-
-def _pairs(x: pd.Series, y: pd.Series, *weights):
-    for a, b in zip(x, y):
-        yield None if a is None or b is None else _align(a, b, *weights)
+        here = row[pairs, y_len]
+        better = (i <= x_len) & (here < best) if fit else i == x_len
+        best[better], end[better] = here[better], i
+
+    at_x, at_y = end.copy(), y_len.copy()
+    script, used = np.zeros((len(x), n + m), np.uint8), np.zeros_like(x_len)
+    for first in range((n - 1) // band * band + 1, 0, -band):
+        row, ways = saved[(first - 1) // band], []
+        for i in range(first, min(first + band, n + 1)):
+            row, way = advance(row, i)
+            ways.append(way)
+        for i in range(first + len(ways) - 1, first - 1, -1):
+            # Pairs whose way back is in this row; lefts keep them in it.
+            while (now := np.flatnonzero((at_x == i) & (at_y > 0))).size:
+                j = at_y[now]
+                way = ways[i - first][now, j - 1]
+                same = xs[now, i - 1] == ys[now, j - 1]
+                script[now, used[now]] = np.where(way == 0, np.where(same, ord("="), ord("X")), np.where(way == 1, ord("D"), ord("I")))
+                used[now] += 1
+                at_x[now] -= way != 2
+                at_y[now] -= way != 1
+    for p in pairs:
+        head = "I" * at_y[p] + ("" if fit else "D" * at_x[p])
+        edits = head + script[p, : used[p]][::-1].tobytes().decode()
+        yield int(best[p]), int(at_x[p]) if fit else 0, int(end[p]), edits
+
+
+def _align_batch(x: pd.Series, y: pd.Series, *weights) -> list[tuple]:
+    """Align an Arrow batch in chunks of pairs of like size."""
+    out: list[tuple] = [(None,) * 4] * len(x)
+    todo = sorted((p for p in range(len(x)) if x.iat[p] is not None and y.iat[p] is not None), key=lambda p: len(x.iat[p]))
+    while todo:
+        chunk, m = [], 0
+        while todo:
+            m = max(m, len(y.iat[todo[0]]))
+            rows = math.isqrt(len(x.iat[todo[0]])) + 2
+            if chunk and (len(chunk) + 1) * (m + 1) * rows > _CELLS:
+                break
+            chunk.append(todo.pop(0))
+        done = _align_chunk([x.iat[p] for p in chunk], [y.iat[p] for p in chunk], *weights)
+        for p, result in zip(chunk, done):
+            out[p] = result
+    return out
 
 
 def global_alignment(x: Column, y: Column, gap: int = 1, mismatch: int = 1) -> Column:
@@ -89,8 +110,8 @@ def global_alignment(x: Column, y: Column, gap: int = 1, mismatch: int = 1) -> C
 
     @F.pandas_udf("penalty bigint, edits string")
     def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        found = [(r[0], r[3]) if r else (None, None) for r in _pairs(a, b, gap, mismatch, 0, False)]
-        return pd.DataFrame(found, columns=["penalty", "edits"])
+        found = _align_batch(a, b, gap, mismatch, 0, False)
+        return pd.DataFrame([(r[0], r[3]) for r in found], columns=["penalty", "edits"])
 
     return run(x, y)
 
@@ -103,7 +124,7 @@ def fitting_alignment(x: Column, y: Column, gap: int = 1, mismatch: int = 1, mat
 
     @F.pandas_udf("penalty bigint, start0 bigint, end0 bigint, edits string")
     def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        found = [r or (None,) * 4 for r in _pairs(a, b, gap, mismatch, match_score, True)]
+        found = _align_batch(a, b, gap, mismatch, match_score, True)
         return pd.DataFrame(found, columns=["penalty", "start0", "end0", "edits"])
 
     return run(x, y)

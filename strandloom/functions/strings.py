@@ -114,10 +114,35 @@ def lcp(a: Column, b: Column) -> Column:
     return F.left(a, lcp_length(a, b))
 
 
+def _ahead(s: Column, count: Column) -> Column:
+    """The characters that a repeat count like `{3}` takes at every position, in one pass.
+
+    The regular expression sees a character outside the basic plane as two, so texts with
+    one are cut from their array of characters instead.
+    """
+    return F.regexp_extract_all(s, F.concat(F.lit("(?s)(?=(."), count, F.lit("))")), F.lit(1))
+
+
+def _wide(s: Column) -> Column:
+    return F.regexp_like(s, F.lit(r"[\x{10000}-\x{10FFFF}]"))
+
+
+def _cut(s: Column, k: Column, starts: Column) -> Column:
+    every = F.sequence(F.lit(1), F.greatest(starts, F.lit(1)))
+    cut = let(F.split(s, ""), lambda cs: F.transform(every, lambda i: F.array_join(F.slice(cs, i, k), "")))
+    return F.when(starts < 1, F.array().cast("array<string>")).otherwise(cut)
+
+
 def kmers(s: Column, k: Column | int) -> Column:
-    """All overlapping substrings of length `k` >= 1, in order, in one pass."""
-    width = (k if isinstance(k, Column) else F.lit(k)).cast("string")
-    return F.regexp_extract_all(s, F.concat(F.lit("(?s)(?=(.{"), width, F.lit("}))")), F.lit(1))
+    """All overlapping substrings of length `k` >= 1, in order."""
+    width = (k if isinstance(k, Column) else F.lit(k)).cast("int")
+    fast = _ahead(s, F.concat(F.lit("{"), width.cast("string"), F.lit("}")))
+    return F.when(_wide(s), _cut(s, width, F.length(s) - width + 1)).otherwise(fast)
+
+
+def windows(s: Column, width: int) -> Column:
+    """Up to `width` characters at every position, fewer only at the end."""
+    return F.when(_wide(s), _cut(s, F.lit(width), F.length(s))).otherwise(_ahead(s, F.lit(f"{{1,{width}}}")))
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.functions.strings import kmers
+from strandloom.operators.windows import text_windows
 
 SEED = 16
 
@@ -24,29 +24,25 @@ def find_patterns(
     """
     wanted = patterns.select(F.col(pattern).alias("pattern")).distinct().where("pattern IS NOT NULL")
     size = F.length("pattern")
-    # At most `seed` different lengths, read in one small aggregate.
-    lengths = [r[0] for r in wanted.select(F.least(size, F.lit(seed)).alias("k")).distinct().collect()]
-    found = None
-    for k in sorted(n for n in lengths if n > 0):
-        mine = wanted.where(F.least(size, F.lit(seed)) == k)
-        # A longer pattern is covered by pieces of `seed` characters, the last one overlapping.
-        offsets = F.array_union(F.sequence(F.lit(0), size - k, F.lit(k)), F.array(size - k))
-        pieces = mine.select("pattern", F.size(offsets).alias("_parts"), F.explode(offsets).alias("_off"))
-        pieces = pieces.withColumn("_seed", F.substring("pattern", F.col("_off") + 1, F.lit(k)))
-        places = texts.select(key, F.posexplode(kmers(F.col(text), k)).alias("_p", "_seed"))
-        start = (F.col("_p") - F.col("_off")).cast("bigint").alias("pos0")
-        hits = places.join(pieces, "_seed").select(key, "pattern", start, "_parts")
-        if k == seed:
-            # It occurs where all its pieces do; the texts themselves are not shuffled.
-            hits = hits.groupBy(key, "pattern", "pos0", "_parts").agg(F.count("*").alias("_n")).where("_n = _parts")
-        hits = hits.select(key, "pattern", "pos0")
-        found = hits if found is None else found.union(hits)
+    k = F.least(size, F.lit(seed))
+    # A longer pattern is covered by pieces of `seed` characters, the last one overlapping.
+    offsets = F.array_union(F.sequence(F.lit(0), size - k, k), F.array(size - k))
+    pieces = wanted.where(size > 0).select("pattern", k.alias("_k"), F.size(offsets).alias("_parts"), F.explode(offsets).alias("_off"))
+    pieces = pieces.withColumn("_seed", F.substring("pattern", F.col("_off") + 1, F.col("_k"))).drop("_k")
+    # At most `seed` + 1 different lengths, read in one small aggregate.
+    lengths = sorted(r[0] for r in wanted.select(k.alias("k")).distinct().collect())
+    at = text_windows(texts, key, text, seed)
+    cuts = F.filter(F.lit([n for n in lengths if n] or [seed]), lambda n: n <= F.length("window"))
+    places = at.select(key, "pos0", F.explode(F.transform(cuts, lambda n: F.left("window", n))).alias("_seed"))
+    start = (F.col("pos0") - F.col("_off")).alias("pos0")
+    hits = places.join(pieces, "_seed").select(key, "pattern", start, "_parts")
+    # A pattern of several pieces occurs where all of them do; the texts are not shuffled.
+    whole = hits.where("_parts > 1").groupBy(key, "pattern", "pos0", "_parts").agg(F.count("*").alias("_n"))
+    found = hits.where("_parts = 1").select(key, "pattern", "pos0")
+    if seed in lengths:
+        found = found.union(whole.where("_n = _parts").select(key, "pattern", "pos0"))
     if 0 in lengths:
-        every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.length(text).cast("bigint") - 1))
-        empty = texts.where(F.length(text) > 0).select(key, F.lit("").alias("pattern"), every.alias("pos0"))
-        found = empty if found is None else found.union(empty)
-    if found is None:
-        found = texts.select(key, F.lit("").alias("pattern"), F.lit(0).cast("bigint").alias("pos0")).limit(0)
+        found = found.union(at.select(key, F.lit("").alias("pattern"), "pos0"))
     return found
 
 

@@ -15,18 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.functions.strings import lcp_length
+from strandloom.operators.windows import text_windows
 from strandloom.plans.ordering import dense_index
 from strandloom.plans.session import checkpointed
 
 WINDOW = 16
 
 
-def _windows(df: DataFrame, key: str, seq: str) -> DataFrame:
-    """The up to 16 characters at every position: `(key, pos0, window)`."""
-    ahead = F.regexp_extract_all(F.col(seq), F.lit(f"(?s)(?=(.{{1,{WINDOW}}}))"), F.lit(1))
-    return df.select(key, F.posexplode(ahead).alias("pos0", "window")).withColumn("pos0", F.col("pos0").cast("bigint"))
-
-
 def _ranked(df: DataFrame, by: list[str]) -> tuple[DataFrame, bool]:
     """Add the dense rank `r` of the columns `by`, and tell whether all rows differ in them.
 
@@ -75,7 +70,7 @@ class SuffixIndex:
 
 def build_suffix_index(df: DataFrame, key: str, seq: str) -> SuffixIndex:
     """Index the texts of `df`, one row per text with a unique `key`."""
-    windows = checkpointed(_windows(df, key, seq))
+    windows = checkpointed(text_windows(df, key, seq, WINDOW))
     ranked, distinct = _ranked(windows, [key, "window"])
     levels = [ranked.select(key, "pos0", "r")]
     width = WINDOW
