@@ -2,9 +2,10 @@
 
 Sorting whole suffixes moves a number of bytes quadratic in the text. Here positions are
 ranked by windows of 16 characters, and pairs of ranks then rank windows of twice the
-length, until all are distinct: about log2(longest repeat / 16) rounds, each one grouping,
-one range sort of the distinct pairs and equi-joins on unique keys. Ranks run over all texts
-at once, so neither one huge text nor one repeated window is a single task's work.
+length, until all are distinct: about log2(longest repeat / 16) rounds, each one range sort
+of the positions still tied and equi-joins on unique keys. Ranks run over all texts at once
+and ties are spread by position, so neither one huge text nor one repeated window is a
+single task's work.
 """
 
 from __future__ import annotations
@@ -22,16 +23,6 @@ from strandloom.plans.session import checkpointed
 WINDOW = 16
 
 
-def _ranked(df: DataFrame, by: list[str]) -> tuple[DataFrame, bool]:
-    """Add the dense rank `r` of the columns `by`, and tell whether all rows differ in them.
-
-    Rows that agree are combined before the sort, and only distinct values are sorted.
-    """
-    values = dense_index(df.groupBy(*by).agg(F.count("*").alias("_n")), by, "r")
-    ranked = checkpointed(df.join(values, by))
-    return ranked.drop("_n"), ranked.where("_n > 1").isEmpty()
-
-
 @dataclass
 class SuffixIndex:
     """`array` is `(key, rank, pos0)`, ranks from 0 per text; `levels[j]` has the rank of the
@@ -69,22 +60,34 @@ class SuffixIndex:
 
 
 def build_suffix_index(df: DataFrame, key: str, seq: str) -> SuffixIndex:
-    """Index the texts of `df`, one row per text with a unique `key`."""
+    """Index the texts of `df`, one row per text with a unique `key`.
+
+    The rank of a window is the number of positions, over all texts, with a smaller one. It
+    is final as soon as no other position shares it, so a round only sorts what is tied.
+    """
     windows = checkpointed(text_windows(df, key, seq, WINDOW))
-    ranked, distinct = _ranked(windows, [key, "window"])
-    levels = [ranked.select(key, "pos0", "r")]
-    width = WINDOW
-    while not distinct:
+    placed = dense_index(windows, [key, "window", "pos0"], "i")
+    groups = placed.groupBy(key, "window").agg(F.min("i").alias("r"), F.count("*").alias("n"))
+    ranked = checkpointed(placed.join(groups, [key, "window"]).select(key, "pos0", "r", "n"))
+    levels, done, width = [ranked.select(key, "pos0", "r")], None, WINDOW
+    while True:
+        final = ranked.where("n = 1").select(key, "pos0", "r")
+        done = final if done is None else done.union(final)
+        tied = ranked.where("n > 1").drop("n")
+        if tied.isEmpty():
+            break
         after = levels[-1].select(key, (F.col("pos0") - width).alias("pos0"), F.col("r").alias("r2"))
-        pairs = (
-            levels[-1].withColumnRenamed("r", "r1").join(after, [key, "pos0"], "left")
-            .withColumn("r2", F.coalesce("r2", F.lit(-1).cast("bigint")))
-        )
-        ranked, distinct = _ranked(pairs, ["r1", "r2"])
-        levels.append(ranked.select(key, "pos0", "r"))
+        # Beyond the end of the text nothing follows, which sorts first.
+        pairs = tied.join(after, [key, "pos0"], "left").withColumn("r2", F.coalesce("r2", F.lit(-1).cast("bigint")))
+        placed = dense_index(pairs, ["r", "r2", "pos0"], "i")
+        parts = placed.groupBy("r", "r2").agg(F.min("i").alias("_i"), F.count("*").alias("n"))
+        starts = parts.groupBy("r").agg(F.min("_i").alias("_first"))
+        moved = parts.join(starts, "r").select("r", "r2", "n", (F.col("r") + F.col("_i") - F.col("_first")).alias("_r"))
+        ranked = checkpointed(placed.join(moved, ["r", "r2"]).select(key, "pos0", F.col("_r").alias("r"), "n"))
+        levels.append(done.union(ranked.select(key, "pos0", "r")))
         width *= 2
-    first = levels[-1].groupBy(key).agg(F.min("r").alias("_first"))
-    array = levels[-1].join(first, key).select(key, (F.col("r") - F.col("_first")).alias("rank"), "pos0")
+    first = done.groupBy(key).agg(F.min("r").alias("_first"))
+    array = done.join(first, key).select(key, (F.col("r") - F.col("_first")).alias("rank"), "pos0")
     return SuffixIndex(key, array, windows, levels)
 
 

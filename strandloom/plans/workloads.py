@@ -482,6 +482,12 @@ def suffix_array(spark, sf_dir):
     return suffix.suffix_array(parts(spark, sf_dir), "seq_id", "seq")
 
 
+@query("suffix_array_documents")
+def suffix_array_documents(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", spread=True).select("doc_id", "text")
+    return suffix.suffix_array(docs, "doc_id", "text")
+
+
 @query(
     "lcp_array",
     f"""SELECT seq_id, CAST(rank AS BIGINT) AS rank, CAST(coalesce(list_max(list_filter(range(1, 33), lambda n: n <= length(b) AND left(a, n) = left(b, n))), 0) AS BIGINT) AS lcp
