@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from strandloom.constants import SENTINEL_FIRST
 from strandloom.operators.suffix import suffix_array
-from strandloom.plans.ordering import blocked_running_sum, dense_index, ordered_concat
+from strandloom.plans.ordering import blocked_running_max, blocked_running_sum, dense_index, ordered_concat
 from strandloom.plans.session import checkpointed
 
 
@@ -153,21 +153,14 @@ def suffix_offsets(index: FmIndex, found: DataFrame, factor: int = 10) -> DataFr
     only those positions were stored: `(key, pattern, rank, offset)`."""
     key = index.key
     ranks = found.withColumn("rank", F.explode(F.sequence(F.col("lo"), F.col("hi") - 1)))
-    by_position = index.suffixes.select(key, "pos0", (F.col("rank") % factor == 0).alias("sampled"), "rank")
-    going = ranks.join(by_position, [key, "rank"]).select(
-        key, "pattern", "rank", "pos0", F.lit(0).alias("offset"), "sampled"
+    # The nearest sampled position to the left is a running maximum along the text; before the
+    # first one, steps go on from the end of the text.
+    sampled = F.when(F.col("rank") % factor == 0, F.col("pos0"))
+    marked = index.suffixes.withColumn("_sampled", sampled)
+    near = blocked_running_max(marked, [key], "pos0", "_sampled", "_near")
+    last = marked.groupBy(key).agg(F.max("_sampled").alias("_last"))
+    around = near.join(last, key).join(index.sizes, key)
+    back = F.coalesce(F.col("pos0") - F.col("_near"), F.col("pos0") + F.col("size") - F.col("_last"))
+    return ranks.join(around.select(key, "rank", back.cast("int").alias("offset")), [key, "rank"]).select(
+        key, "pattern", "rank", "offset"
     )
-    done = None
-    sizes = index.sizes
-    while True:
-        going = checkpointed(going)
-        ready = going.where("sampled").select(key, "pattern", "rank", "offset")
-        done = ready if done is None else done.union(ready)
-        rest = going.where("NOT sampled")
-        if rest.isEmpty():
-            return done
-        back = rest.join(sizes, key).select(
-            key, "pattern", "rank", F.pmod(F.col("pos0") - 1, F.col("size")).alias("pos0"), (F.col("offset") + 1).alias("offset")
-        )
-        going = back.join(by_position.select(key, "pos0", "sampled"), [key, "pos0"])
-

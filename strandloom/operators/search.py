@@ -32,8 +32,9 @@ def find_patterns(
     # At most `seed` + 1 different lengths, read in one small aggregate.
     lengths = sorted(r[0] for r in wanted.select(k.alias("k")).distinct().collect())
     at = text_windows(texts, key, text, seed)
-    cuts = F.filter(F.lit([n for n in lengths if n] or [seed]), lambda n: n <= F.length("window"))
-    places = at.select(key, "pos0", F.explode(F.transform(cuts, lambda n: F.left("window", n))).alias("_seed"))
+    cuts = F.explode(F.lit([n for n in lengths if n] or [seed])).alias("_n")
+    places = at.select(key, "pos0", "window", cuts).where(F.length("window") >= F.col("_n"))
+    places = places.select(key, "pos0", F.left("window", F.col("_n")).alias("_seed"))
     start = (F.col("pos0") - F.col("_off")).alias("pos0")
     hits = places.join(pieces, "_seed").select(key, "pattern", start, "_parts")
     # A pattern of several pieces occurs where all of them do; the texts are not shuffled.

@@ -43,28 +43,32 @@ def dense_index(df: DataFrame, order: Sequence[str], name: str = "index") -> Dat
     )
 
 
+def _blocked(df: DataFrame, keys: Sequence[str], pos: str, value: str, width: int, how) -> DataFrame:
+    """Add `_carry`, the aggregate of the blocks before, and `_inside`, that of the own block
+    up to the row. No window sees more than `width` rows or one row per block."""
+    rows = df.withColumn("_block", F.floor(F.col(pos) / width))
+    by_block = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(*keys, "_block").agg(how(value).alias("_total"))
+    carries = totals.select(*keys, "_block", how("_total").over(by_block).alias("_carry"))
+    inside = Window.partitionBy(*keys, "_block").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.join(carries, [*keys, "_block"]).withColumn("_inside", how(value).over(inside))
+
+
 def blocked_running_sum(
     df: DataFrame, keys: Sequence[str], pos: str, value: str, name: str, width: int = 4096
 ) -> DataFrame:
-    """Inclusive running sum of `value` along `pos` (unique per key), in blocks of `width`.
+    """Inclusive running sum of `value` along `pos` (unique per key), in blocks of `width`."""
+    blocked = _blocked(df, keys, pos, value, width, F.sum)
+    total = F.coalesce("_carry", F.lit(0)) + F.col("_inside")
+    return blocked.withColumn(name, total).drop("_block", "_carry", "_inside")
 
-    Totals per block are summed first, so no window sees more than `width` rows or one row
-    per block.
-    """
-    block = F.floor(F.col(pos) / width)
-    rows = df.withColumn("_block", block)
-    by_block = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    totals = (
-        rows.groupBy(*keys, "_block")
-        .agg(F.sum(value).alias("_total"))
-        .select(*keys, "_block", F.coalesce(F.sum("_total").over(by_block), F.lit(0)).alias("_carry"))
-    )
-    inside = Window.partitionBy(*keys, "_block").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        rows.join(totals, [*keys, "_block"])
-        .withColumn(name, F.col("_carry") + F.sum(value).over(inside))
-        .drop("_block", "_carry")
-    )
+
+def blocked_running_max(
+    df: DataFrame, keys: Sequence[str], pos: str, value: str, name: str, width: int = 4096
+) -> DataFrame:
+    """Inclusive running maximum of `value`, NULLs passed over, in the same way."""
+    blocked = _blocked(df, keys, pos, value, width, F.max)
+    return blocked.withColumn(name, F.greatest("_carry", "_inside")).drop("_block", "_carry", "_inside")
 
 
 def ordered_concat(

@@ -524,6 +524,22 @@ def fm_search(spark, sf_dir):
     return fm_index.locate(index, fm_index.backward_search(index, queries, "pattern"))
 
 
+@query(
+    "suffix_offsets",
+    f"""WITH r AS MATERIALIZED (SELECT seq_id, p, row_number() OVER (PARTITION BY seq_id ORDER BY substr(seq, p + 1)) - 1 AS rank, substr(seq, p + 1) AS suffix
+      FROM (SELECT seq_id, seq, unnest(range(0, length(seq) + 1)) AS p FROM {parts_sql()}))
+    SELECT h.seq_id, h.pattern, CAST(h.rank AS BIGINT) AS rank, CAST(min((h.p - s.p + 33) % 33) AS INTEGER) AS steps FROM (
+      SELECT r.*, pattern FROM r JOIN (SELECT p_partkey, left({key_dna_sql('p_partkey', 2)}, 2) AS pattern FROM part) q ON q.p_partkey = r.seq_id AND starts_with(r.suffix, pattern)) h
+    JOIN r s ON s.seq_id = h.seq_id AND s.rank % 10 = 0 GROUP BY h.seq_id, h.pattern, h.rank""",
+)
+def suffix_offsets(spark, sf_dir):
+    index = fm_index.build_fm_index(parts(spark, sf_dir), "seq_id", "seq")
+    pattern = F.left(key_dna("p_partkey", 2), F.lit(2))
+    queries = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("seq_id"), pattern.alias("pattern"))
+    found = fm_index.backward_search(index, queries, "pattern")
+    return fm_index.suffix_offsets(index, found, 10).select("seq_id", "pattern", "rank", F.col("offset").alias("steps"))
+
+
 _NODES_SQL = f"""WITH subs AS (SELECT DISTINCT seq_id, substr(seq, p + 1, n) AS w, substr(seq, p + 1 + n, 1) AS nxt FROM (
     SELECT seq_id, seq, p, unnest(range(1, length(seq) - p + 1)) AS n FROM {_SUFFIXES_SQL})),
     nodes AS (SELECT seq_id, w, CAST(length(w) AS BIGINT) AS depth, max(CASE WHEN nxt = '' THEN 32 - length(w) END) AS terminal FROM subs GROUP BY seq_id, w

@@ -96,7 +96,13 @@ def test_random_strings_agree_with_definition(spark):
         assert r.b == [max(k for k in range(i) if a[:k] == a[i - k : i]) for i in range(1, len(a) + 1)]
 
 
-def test_alphabet(value):
+def test_alphabet(value, spark):
+    table = AL.alphabet_table(spark).where("alphabet = 'rna'").orderBy("ord").collect()
+    assert [r.symbol for r in table] == list("ACGU")
+    codons = {r.codon: r.residue for r in P.codon_table(spark).collect()}
+    assert len(codons) == 64 and (codons["AUG"], codons["UGA"], codons["GGG"]) == ("M", "*", "G")
+    got = P.codon_table(spark).select("residue", P.codon_residue(F.col("codon")).alias("r")).collect()
+    assert all(r.residue == r.r for r in got) and value(P.codon_residue(L("AU"))) is None
     assert value(AL.parse(L("ACGT"), "dna")) == "ACGT"
     assert value(AL.parse(L("ACGU"), "dna", strict=False)) is None
     with pytest.raises(PySparkException):
