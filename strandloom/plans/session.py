@@ -28,7 +28,7 @@ def build_session(app: str = "strandloom", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
-def _shared_folder(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names for checkpoints; a temporary one only for local runs."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
@@ -47,6 +47,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
     optimizer true sizes: in a loop, the estimates of joins on joins grow beyond any use.
     """
     spark = df.sparkSession
-    path = f"{_shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
