@@ -48,6 +48,12 @@ def strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[begins[0] : begins[-1]], begins - begins[0]
 
 
+def rebased(column: pa.Array) -> pa.Array:
+    """The same strings, null as empty, with offsets from 0, as some kernels want them."""
+    data, places = strings(column)
+    return pa.LargeStringArray.from_buffers(len(column), pa.py_buffer(places.tobytes()), pa.py_buffer(data))
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the strings of `column` have about `most` bytes; no row is cut."""
     for batch in batches:

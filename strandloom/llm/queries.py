@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strandloom.llm import attribution, bpe, mixing, tokenfile
+from strandloom.llm import attribution, bpe, mixing, neardup, tokenfile
 from strandloom.plans.session import shared_folder
 
 
@@ -23,6 +23,10 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir), "doc_id", "text", "source")
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.components(_documents(spark, sf_dir), "doc_id", "text")
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
     path = public_tokenizers.path("word_bpe_49k.json")
@@ -38,6 +42,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bpe_roundtrip": op1_bpe_roundtrip,
     "op6_source_mixing": op6_source_mixing,
+    "op7_near_duplicates": op7_near_duplicates,
     "op9_token_files": op9_token_files,
     "op10_token_counts": op10_token_counts,
 }
