@@ -21,14 +21,16 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm.batches import lists, slices
+from strandloom.llm.batches import SEPARATOR, gathered, lists, rebased, slices, strings
 from strandloom.plans.session import checkpointed
 
 #: Characters of the longest special token at least; no split reaches further.
@@ -78,6 +80,101 @@ def _sizes(definition: str) -> np.ndarray:
     return np.array([len(b) for b in token_bytes(definition)], np.int64)
 
 
+class Memo:
+    """Ids of parts of texts, each different part encoded once while a worker lives. At most
+    about `most` parts are remembered; then it begins anew."""
+
+    def __init__(self, definition: str, most: int = 400_000):
+        self.made, self.most = tokenizer(definition), most
+        self._clear()
+
+    def _clear(self) -> None:
+        self.index: dict[str, int] = {}
+        self.begin, self.length, self.pool = (np.zeros(0, np.int64) for _ in range(3))
+
+    def _add(self, new: list[str], ids: np.ndarray, length: np.ndarray) -> None:
+        self.begin = np.concatenate([self.begin, len(self.pool) + np.cumsum(length) - length])
+        self.length = np.concatenate([self.length, length])
+        self.pool = np.concatenate([self.pool, ids])
+        self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
+
+    def _singly(self, new: list[str]) -> None:
+        found = [e.ids for e in self.made.encode_batch_fast(new, add_special_tokens=False)]
+        length = np.array([len(f) for f in found], np.int64)
+        self._add(new, np.fromiter(chain.from_iterable(found), np.int64, int(length.sum())), length)
+
+    def _learn(self, new: list[str]) -> None:
+        self._singly(new)
+
+    def ids_of(self, parts: pa.Array, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the parts, and the number of ids between `borders`, numbers of parts."""
+        if len(self.index) > self.most:
+            self._clear()
+        coded = parts.dictionary_encode()
+        different = coded.dictionary.to_pylist()
+        new = [p for p in different if p not in self.index]
+        if new:
+            self._learn(new)
+        number = np.fromiter(map(self.index.__getitem__, different), np.int64, len(different))
+        number = number[coded.indices.to_numpy(zero_copy_only=False)]
+        size = self.length[number]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        return gathered(self.pool, self.begin[number], size), np.diff(ends[borders])
+
+
+#: Blanks that are not ASCII, separators some engines take for blanks, and special tokens.
+_ODD = r"[\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x1c-\x1f]|<\|"
+
+
+class ByteMemo(Memo):
+    """Texts are always split before a blank that follows something else, so the parts between
+    such places are encoded for themselves. Texts with odd blanks are encoded whole."""
+
+    def __init__(self, definition: str, most: int = 400_000):
+        super().__init__(definition, most)
+        self.sizes = _sizes(definition)
+
+    def _learn(self, new: list[str]) -> None:
+        """Parts that begin with a blank and end with none are split off each other, too."""
+        joint = [p for p in new if p[0] in " \t\n\r\x0b\x0c" and p[-1] not in " \t\n\r\x0b\x0c"]
+        self._singly([p for p in new if p[0] not in " \t\n\r\x0b\x0c" or p[-1] in " \t\n\r\x0b\x0c"])
+        for i in range(0, len(joint), 4096):
+            group = joint[i : i + 4096]
+            ids = np.array(self.made.encode("".join(group), add_special_tokens=False).ids, np.int64)
+            ends = np.cumsum([len(p.encode()) for p in group])
+            last = np.searchsorted(np.cumsum(self.sizes[ids]), ends)
+            self._add(group, ids, np.diff(last, prepend=-1))
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, and the number of ids of each."""
+        texts = rebased(texts)
+        odd = pc.match_substring_regex(texts, _ODD)
+        data, places = strings(pc.if_else(odd, "", texts) if pc.any(odd).as_py() else texts)
+        blank = SEPARATOR[data]
+        head = np.zeros(len(data) + 1, bool)
+        head[1:-1] = blank[1:] & ~blank[:-1]
+        head[places] = True
+        begin = np.flatnonzero(head[:-1])
+        parts = pa.LargeStringArray.from_buffers(
+            len(begin), pa.py_buffer(np.append(begin, len(data)).tobytes()), pa.py_buffer(np.ascontiguousarray(data))
+        )
+        ids, length = self.ids_of(parts, np.searchsorted(begin, places))
+        rows = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        if len(rows):
+            whole = self.made.encode_batch_fast([texts[int(r)].as_py() for r in rows], add_special_tokens=False)
+            ends, pieces, at = np.concatenate([[0], np.cumsum(length)]), [], 0
+            for r, e in zip(rows, whole, strict=True):
+                pieces += [ids[at : ends[r]], np.array(e.ids, np.int64)]
+                at, length[r] = ends[r], len(e.ids)
+            ids = np.concatenate([*pieces, ids[at:]])
+        return ids, length
+
+
+@lru_cache(2)
+def _memo(definition: str) -> ByteMemo:
+    return ByteMemo(definition)
+
+
 def _encoded(definition: str, text: str) -> np.ndarray:
     return np.array(tokenizer(definition).encode(text, add_special_tokens=False).ids, np.int32)
 
@@ -148,11 +245,9 @@ def _leaves(definition, text: str, names: list[str]):
     """Encode the text of every row; the text is kept only if it is among `names`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = tokenizer(definition.value)
-        for part in slices(batches, text):
-            texts = [t or "" for t in part[text].to_pylist()]
-            found = [np.array(e.ids, np.int32) for e in made.encode_batch_fast(texts, add_special_tokens=False)]
-            ids = lists(np.concatenate(found), np.array([len(f) for f in found]), pa.int32())
+        memo = _memo(definition.value)
+        for part in slices(batches, text, 4 << 20):
+            ids = lists(*memo(part[text]), pa.int32())
             yield pa.RecordBatch.from_arrays([*(part[n] for n in names), ids], [*names, "ids"])
 
     return run

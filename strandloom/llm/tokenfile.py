@@ -28,7 +28,6 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -39,8 +38,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandloom.llm.batches import gathered, lists, mixed, rebased, salts, slices
-from strandloom.llm.bpe import shipped, tokenizer
+from strandloom.llm.batches import lists, mixed, rebased, salts, slices
+from strandloom.llm.bpe import Memo, shipped, tokenizer
 from strandloom.plans.session import checkpointed
 
 NULL_KEY = -(2**63)
@@ -69,69 +68,42 @@ def _read(folder: str, name: str) -> bytes:
         return file.read()
 
 
-class WordMemo:
+class WordMemo(Memo):
     """Ids of texts, from the ids of their words.
 
     For a vocabulary that lower-cases, drops white space and ends words by tokens of their own
-    (`</w>`), a text's ids are those of its parts between blanks; each different part is encoded
-    once while a worker lives, up to `most` parts. Closing commas and stops after a letter are
-    parts of their own, and A to Z is folded beforehand, which leaves the ids as they are and
-    fewer different parts.
+    (`</w>`), a text's ids are those of its parts between blanks. Closing commas and stops after a
+    letter are parts of their own, and A to Z is folded beforehand, which leaves the ids as they
+    are and fewer different parts.
     """
 
     def __init__(self, definition: str, most: int = 400_000):
-        self.made, self.most = tokenizer(definition), most
+        super().__init__(definition, most)
         tokens = [self.made.id_to_token(i) or "" for i in range(self.made.get_vocab_size())]
         self.ends = np.array([t.endswith("</w>") for t in tokens])
-        self._clear()
-
-    def _clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.begin, self.length, self.pool = (np.zeros(0, np.int64) for _ in range(3))
-
-    def _add(self, new: list[str], ids: np.ndarray, length: np.ndarray) -> None:
-        self.begin = np.concatenate([self.begin, len(self.pool) + np.cumsum(length) - length])
-        self.length = np.concatenate([self.length, length])
-        self.pool = np.concatenate([self.pool, ids])
-        self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
 
     def _learn(self, new: list[str]) -> None:
         """Encode new parts, words of letters only many at a time: each ends with an end token."""
         letters = pc.match_substring_regex(pa.array(new, pa.large_string()), r"^\pL+$").to_pylist()
         plain = [w for w, x in zip(new, letters, strict=True) if x]
         other = [w for w, x in zip(new, letters, strict=True) if not x]
-        groups = [plain[i : i + 4096] for i in range(0, len(plain), 4096)]
-        for group in groups:
+        for i in range(0, len(plain), 4096):
+            group = plain[i : i + 4096]
             ids = np.array(self.made.encode(" ".join(group), add_special_tokens=False).ids, np.int64)
             last = np.flatnonzero(self.ends[ids])
             if len(last) == len(group) and last[-1] == len(ids) - 1:
                 self._add(group, ids, np.diff(last, prepend=-1))
             else:
                 other += group
-        if other:
-            found = [e.ids for e in self.made.encode_batch_fast(other, add_special_tokens=False)]
-            length = np.array([len(f) for f in found], np.int64)
-            self._add(other, np.fromiter(chain.from_iterable(found), np.int64, int(length.sum())), length)
+        self._singly(other)
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and the number of ids of each."""
-        if len(self.index) > self.most:
-            self._clear()
         texts = rebased(texts)
         # Special tokens count as they are spelled, so texts that may have any are not folded.
         texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
         parts = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, r"([A-Za-z])([,.]+)(\s)", r"\1 \2\3"))
-        words = parts.flatten().dictionary_encode()
-        different = words.dictionary.to_pylist()
-        new = [w for w in different if w not in self.index]
-        if new:
-            self._learn(new)
-        number = np.fromiter(map(self.index.__getitem__, different), np.int64, len(different))
-        number = number[words.indices.to_numpy(zero_copy_only=False)]
-        size = self.length[number]
-        ends = np.concatenate([[0], np.cumsum(size)])
-        borders = parts.offsets.to_numpy() - parts.offsets[0].as_py()
-        return gathered(self.pool, self.begin[number], size), np.diff(ends[borders])
+        return self.ids_of(parts.flatten(), parts.offsets.to_numpy() - parts.offsets[0].as_py())
 
 
 @lru_cache(2)
@@ -190,7 +162,7 @@ def ranks_of(levels: list[np.ndarray], keys: np.ndarray) -> np.ndarray:
         if not len(open_):
             break
         bits = np.unpackbits(level, bitorder="little")
-        rank = np.cumsum(bits) - 1
+        rank = np.cumsum(bits, dtype=np.int64) - 1
         place = (_hash(keys[open_], 16 + i) % np.uint64(len(bits))).astype(np.int64)
         hit = bits[place] == 1
         out[open_[hit]] = before + rank[place[hit]]
