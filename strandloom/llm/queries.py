@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strandloom.llm import attribution, bpe, mixing, neardup, tokenfile
+from strandloom.llm import attribution, bpe, mixing, neardup, quality, tokenfile
 from strandloom.plans.session import shared_folder
 
 
@@ -19,6 +19,10 @@ def op1_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_documents(spark, sf_dir), "doc_id", "text", public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_documents(spark, sf_dir), "doc_id", "text", "lang")
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir), "doc_id", "text", "source")
 
@@ -41,6 +45,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe_roundtrip": op1_bpe_roundtrip,
+    "op5_quality": op5_quality,
     "op6_source_mixing": op6_source_mixing,
     "op7_near_duplicates": op7_near_duplicates,
     "op9_token_files": op9_token_files,
