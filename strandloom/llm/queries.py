@@ -5,9 +5,10 @@ from __future__ import annotations
 import uuid
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strandloom.llm import attribution, bpe, mixing, neardup, quality, tokenfile
+from strandloom.llm import attribution, bpe, langid, mixing, neardup, quality, tokenfile, topk
 from strandloom.plans.session import shared_folder
 
 
@@ -19,6 +20,22 @@ def op1_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_documents(spark, sf_dir), "doc_id", "text", public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return topk.top_k(vectors, "vec_id", "embedding", F.col("vec_id") % 20 == 0, k=20, factor=64)
+
+
+def _part_of(key: str, parts: int) -> Column:
+    return F.crc32(F.col(key).cast("string")) % parts
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = langid.train(docs.where(_part_of("doc_id", 3) != 1), "doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("_key").cast("string")) % 3 == 1, F.lit(False))
+    return langid.predict(docs, "doc_id", "text", model, {"held_out": held_out})
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_documents(spark, sf_dir), "doc_id", "text", "lang")
 
@@ -45,10 +62,27 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe_roundtrip": op1_bpe_roundtrip,
+    "op3_top_k": op3_top_k,
+    "op4_language": op4_language,
     "op5_quality": op5_quality,
     "op6_source_mixing": op6_source_mixing,
     "op7_near_duplicates": op7_near_duplicates,
     "op9_token_files": op9_token_files,
     "op10_token_counts": op10_token_counts,
 }
-ORACLES: dict[str, str] = {}
+_TOP_K_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.x::DOUBLE[], c.x::DOUBLE[]) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+ORACLES: dict[str, str] = {"op3_top_k": _TOP_K_SQL}
