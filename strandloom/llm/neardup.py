@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.batches import Words, lists, mixed, salts, slices, words
+from strandloom.llm.batches import Words, batches_of, lists, mixed, salts, slices, words
 from strandloom.operators.components import connected_components
 from strandloom.plans.session import checkpointed
 
@@ -85,7 +85,7 @@ def registers(shingles: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in slices(batches, "_text", 2 << 20):
+    for part in slices(batches, "_text"):
         sets, size = shingle_sets(words(part["_text"], fold=True))
         found = registers(sets, size)
         full = np.flatnonzero(size)
@@ -169,7 +169,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, kind: str) -> DataFrame:
         for batch in batches:
             bucket, bit = batch["_bucket"].to_numpy(), batch["_bit"].to_numpy()
             hit = (table[bucket, bit // 8] >> (bit % 8).astype(np.uint8)) & 1
-            for part in slices(iter([batch.filter(pa.array(hit.astype(bool)))]), "_text", 2 << 20):
+            for part in slices(iter([batch.filter(pa.array(hit.astype(bool)))]), "_text"):
                 sets, size = shingle_sets(words(part["_text"], fold=True))
                 ends = np.cumsum(size)
                 cells = [sets[e - s : e].tobytes() for e, s in zip(ends, size, strict=True)]
@@ -179,7 +179,8 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, kind: str) -> DataFrame:
         {"_bucket": F.expr("bitmap_bucket_number(_p)"), "_bit": F.expr("bitmap_bit_position(_p)")}
     )
     found = placed.mapInArrow(run, f"_key {kind}, _set binary")
-    return checkpointed(found.join(wanted.select("_key").distinct(), "_key", "left_semi").dropDuplicates(["_key"]))
+    with batches_of(docs.sparkSession, 1000):
+        return checkpointed(found.join(wanted.select("_key").distinct(), "_key", "left_semi").dropDuplicates(["_key"]))
 
 
 def _verified(threshold: float):
@@ -196,11 +197,12 @@ def _verified(threshold: float):
 
 
 def _links(pairs: DataFrame, sets: DataFrame, threshold: float, kind: str) -> DataFrame:
-    """The pairs whose full sets reach the threshold."""
+    """The pairs whose full sets reach the threshold, written to a table."""
     left = sets.select(F.col("_key").alias("a"), "_set")
     right = sets.select(F.col("_key").alias("b"), F.col("_set").alias("_other"))
     both = pairs.select("a", "b").join(left, "a").join(right, "b")
-    return both.mapInArrow(_verified(threshold), f"a {kind}, b {kind}")
+    with batches_of(sets.sparkSession, 200):
+        return checkpointed(both.mapInArrow(_verified(threshold), f"a {kind}, b {kind}"))
 
 
 def components(docs: DataFrame, key: str, text: str, threshold: float = 0.75) -> DataFrame:
@@ -208,16 +210,19 @@ def components(docs: DataFrame, key: str, text: str, threshold: float = 0.75) ->
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     shape = f"_key {kind}, _n bigint, _h1 bigint, _h2 bigint, _s1 bigint, _s2 bigint, _sketch binary"
-    sketches = checkpointed(rows.mapInArrow(_sketches, shape))
+    with batches_of(docs.sparkSession, 1000):
+        sketches = checkpointed(rows.mapInArrow(_sketches, shape))
     full = sketches.where((F.col("_n") > 0) & F.col("_key").isNotNull())
     classes = checkpointed(full.groupBy("_n", "_h1", "_h2").agg(F.min("_key").alias("_rep")))
     reps = checkpointed(
         full.join(classes.select(F.col("_rep").alias("_key")), "_key", "left_semi").dropDuplicates(["_key"])
     )
-    banded = checkpointed(
-        reps.mapInArrow(_bands, f"_key {kind}, _n bigint, _s1 bigint, _s2 bigint, _bands array<bigint>")
-        .select("_key", "_n", "_s1", "_s2", F.explode("_bands").alias("_band"))
+    banded = reps.mapInArrow(_bands, f"_key {kind}, _n bigint, _s1 bigint, _s2 bigint, _bands array<bigint>").select(
+        "_key", "_n", "_s1", "_s2", F.explode("_bands").alias("_band")
     )
+    # Most bands have one document; they are dropped by counts alone.
+    several = banded.groupBy("_band").agg(F.count("*").alias("_count")).where("_count > 1").select("_band")
+    banded = checkpointed(banded.join(several, "_band", "left_semi"))
     one = F.struct("_key", "_n", "_s1", "_s2")
     leaders = banded.groupBy("_band").agg(F.min(one).alias("_low"), F.max(one).alias("_high")).where("_low._key <> _high._key")
     led = banded.join(checkpointed(leaders), "_band").select(
@@ -242,10 +247,10 @@ def components(docs: DataFrame, key: str, text: str, threshold: float = 0.75) ->
     ends = stars.select("a", "b", "estimate", F.explode(F.array("a", "b")).alias("_end"))
     best = ends.groupBy("_end").agg(F.max(F.struct("estimate", "a", "b")).alias("_best")).select("_best.a", "_best.b").distinct()
     sets = _sets_of(rows, ends.select(F.col("_end").alias("_key")).distinct(), kind)
-    links = checkpointed(_links(best, sets, threshold, kind))
+    links = _links(best, sets, threshold, kind)
     parts = joined_up(links)
     rest = across(stars, parts).select("a", "b").subtract(best)
-    links = checkpointed(links.union(_links(rest, sets, threshold, kind)))
+    links = links.union(_links(rest, sets, threshold, kind))
     parts = joined_up(links)
 
     # Then everything else that shares a bucket across components.
@@ -258,7 +263,7 @@ def components(docs: DataFrame, key: str, text: str, threshold: float = 0.75) ->
     more = checkpointed(_estimates(more.join(stars.select("a", "b"), ["a", "b"], "left_anti"), reps, threshold, kind))
     if not more.isEmpty():
         ends = more.select(F.explode(F.array("a", "b")).alias("_key")).distinct()
-        links = checkpointed(links.union(_links(more, _sets_of(rows, ends, kind), threshold, kind)))
+        links = links.union(_links(more, _sets_of(rows, ends, kind), threshold, kind))
         parts = joined_up(links)
     found = classes.join(parts.withColumnRenamed("node", "_rep"), "_rep").select("_n", "_h1", "_h2", F.col("component").alias("_c"))
     out = sketches.select("_key", "_n", "_h1", "_h2").join(found, ["_n", "_h1", "_h2"], "left")
