@@ -21,32 +21,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.batches import gathered, lists
-from strandloom.llm.bpe import encode, shipped, token_bytes
+from strandloom.llm.batches import lists
+from strandloom.llm.bpe import Vocabulary, encode, shipped, vocabulary
 
 RULES = ("start", "end", "majority", "split")
 
 
-class _Vocabulary:
-    """Bytes of all ids as one array, and where each id's bytes are."""
-
-    def __init__(self, definition: str):
-        tokens = token_bytes(definition)
-        self.size = np.array([len(t) for t in tokens], np.int64)
-        self.begin = np.cumsum(self.size) - self.size
-        self.pool = np.frombuffer(b"".join(tokens), np.uint8)
-
-
 def line_spans(chars: np.ndarray) -> np.ndarray:
     """First characters of `\\n`-split lines; a break belongs to the line that it ends."""
     return np.concatenate([[0], np.flatnonzero(chars == 10) + 1])
 
 
-def counts(ids: np.ndarray, vocabulary: _Vocabulary, spans: list[tuple[int, int]] | None, rule: str) -> tuple[np.ndarray, np.ndarray]:
+def counts(ids: np.ndarray, table: Vocabulary, spans: list[tuple[int, int]] | None, rule: str) -> tuple[np.ndarray, np.ndarray]:
     """Sections and tokens per section of one document; `spans` are (first, after last)
     characters in ascending order without overlap, None for lines."""
-    size = vocabulary.size[ids]
-    data = gathered(vocabulary.pool, vocabulary.begin[ids], size)
+    size = table.size[ids]
+    data = table.bytes_of(ids)
     # A character belongs to the token of its first byte.
     first = (data & 0xC0) != 0x80
     owner = np.repeat(np.arange(len(ids)), size)[first]
@@ -101,13 +91,13 @@ def token_counts(docs: DataFrame, key: str, text: str, path: str, sections: str
     number = "double" if rule == "split" else "bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = _Vocabulary(definition.value)
+        table = vocabulary(definition.value)
         for batch in batches:
             column = batch["ids"]
             flat, places = column.flatten().to_numpy(), column.offsets.to_numpy() - column.offsets[0].as_py()
             given = batch["_spans"].to_pylist() if sections else [None] * batch.num_rows
             each = [
-                counts(flat[a:b], vocabulary, (s or []) if sections else None, rule)
+                counts(flat[a:b], table, (s or []) if sections else None, rule)
                 for a, b, s in zip(places, places[1:], given, strict=False)
             ]
             sizes = np.array([len(x[0]) for x in each], np.int64)

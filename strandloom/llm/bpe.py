@@ -310,17 +310,59 @@ def encode(docs: DataFrame, key: str, text: str, definition, leaf: int = 1 << 15
     return short.unionByName(nodes.select("_key", "ids")).withColumnRenamed("_key", key)
 
 
+class Vocabulary:
+    """Bytes of all ids as one array, and where each id's bytes are."""
+
+    def __init__(self, definition: str):
+        tokens = [*token_bytes(definition), b""]
+        self.size = np.array([len(t) for t in tokens], np.int64)
+        self.begin = np.cumsum(self.size) - self.size
+        self.pool = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def bytes_of(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of all ids, one after the other; unknown ids have none."""
+        known = np.where((ids >= 0) & (ids < len(self.size)), ids, len(self.size) - 1)
+        return gathered(self.pool, self.begin[known], self.size[known])
+
+    def texts(self, ids: np.ndarray, length: np.ndarray) -> pa.Array:
+        """The text of each row of `length` ids; bytes that are no UTF-8 become U+FFFD."""
+        known = np.where((ids >= 0) & (ids < len(self.size)), ids, len(self.size) - 1)
+        ends = np.concatenate([[0], np.cumsum(self.size[known])])
+        places = ends[np.concatenate([[0], np.cumsum(length)])]
+        data = self.bytes_of(ids)
+        heads = places[:-1][places[:-1] < len(data)]
+        try:
+            if ((data[heads] & 0xC0) == 0x80).any():
+                raise UnicodeError
+            bytes(data).decode()
+            return pa.LargeStringArray.from_buffers(len(length), pa.py_buffer(places.tobytes()), pa.py_buffer(data))
+        except UnicodeError:
+            rows = [bytes(data[a:b]).decode(errors="replace") for a, b in zip(places, places[1:], strict=False)]
+            return pa.array(rows, pa.large_string())
+
+
+@lru_cache(2)
+def vocabulary(definition: str) -> Vocabulary:
+    return Vocabulary(definition)
+
+
+def flat_lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a list column and the number of values per row, 0 for null."""
+    length = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return column.flatten().to_numpy(zero_copy_only=False), length
+
+
 def decode(encoded: DataFrame, key: str, ids: str, definition) -> DataFrame:
     """Add `decoded`, the text of the ids, special tokens included; null ids give an empty text."""
     kind = encoded.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = tokenizer(definition.value)
+        table = vocabulary(definition.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                texts = made.decode_batch([x or [] for x in part["_ids"].to_pylist()], skip_special_tokens=False)
-                yield pa.RecordBatch.from_arrays([part["_key"], part["_ids"], pa.array(texts, pa.string())], ["_key", "_ids", "decoded"])
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                texts = table.texts(*flat_lists(part["_ids"])).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([part["_key"], part["_ids"], texts], ["_key", "_ids", "decoded"])
 
     rows = encoded.select(F.col(key).alias("_key"), F.col(ids).alias("_ids"))
     out = rows.mapInArrow(run, f"_key {kind}, _ids array<int>, decoded string")
