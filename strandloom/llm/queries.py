@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import attribution, bpe, langid, mixing, neardup, quality, tokenfile, topk
+from strandloom.llm import attribution, bpe, langid, mixing, neardup, quality, tokenfile, topk, toxicity
 from strandloom.plans.session import shared_folder
 
 
@@ -20,6 +20,14 @@ def op1_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_documents(spark, sf_dir), "doc_id", "text", public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    learn = [t.where(_part_of("doc_id", 5) != 0) for t in (docs, labels)]
+    model = toxicity.train(*learn, "doc_id", "text", "toxic")
+    held_out = F.coalesce(F.crc32(F.col("_key").cast("string")) % 5 == 0, F.lit(False))
+    return toxicity.score(docs, "doc_id", "text", model, {"held_out": held_out})
+
+
 def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return topk.top_k(vectors, "vec_id", "embedding", F.col("vec_id") % 20 == 0, k=20, factor=64)
@@ -62,6 +70,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe_roundtrip": op1_bpe_roundtrip,
+    "op2_toxicity": op2_toxicity,
     "op3_top_k": op3_top_k,
     "op4_language": op4_language,
     "op5_quality": op5_quality,
