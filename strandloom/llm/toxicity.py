@@ -8,7 +8,7 @@ Every text is lower-cased and cut into overlapping windows; a window that the to
 bytes than the ordinary one speaks for toxicity. As the dictionaries share what is ordinary, other windows differ by a
 byte or two at most.
 
-How many windows exceed each threshold, the largest difference and the number of windows go
+How many windows exceed each threshold, in total and as a share, the largest and the mean difference and the number of windows go
 into a logistic regression, which is the calibration. It is fitted on differences that
 dictionaries from the other half of the sample give, so no text is measured with what it taught.
 
@@ -33,7 +33,7 @@ from strandloom.llm.batches import slices
 from strandloom.plans.session import checkpointed
 
 WINDOW, STEP, LEVEL = 64, 32, 12
-THRESHOLDS = (2, 3, 4, 5, 6)
+THRESHOLDS, FOLDS = tuple(range(1, 9)), 5
 ORDINARY_BYTES, TOXIC_WORDS = 1 << 16, 1 << 12
 BEGINNINGS = (4, 5, 6)
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -62,12 +62,14 @@ class Distance:
 
     def features(self, text: bytes) -> list[float]:
         saved = self(text)
-        over = [np.log1p((saved >= t).sum()) for t in THRESHOLDS]
-        return [1.0, *over, float(saved.max()), float(np.log(len(saved)))]
+        over = np.array([(saved >= t).sum() for t in THRESHOLDS], float)
+        return [1.0, *np.sqrt(over), *np.sqrt(20 * over / len(saved)), float(saved.max()), float(np.log(len(saved))), float(saved.mean())]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, rounds: int = 30) -> np.ndarray:
-    """Weights of a regularised logistic regression, by Newton's method."""
+    """Weights of a logistic regression, regularised on the features' own scale, by Newton's method."""
+    scale = np.where(x.std(0) > 0, x.std(0), 1)
+    x = x / scale
     w = np.zeros(x.shape[1])
     penalty = np.full(len(w), ridge)
     penalty[0] = 1e-6
@@ -79,7 +81,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, rounds: int = 30)
         w = w - step
         if np.abs(step).max() < 1e-8:
             break
-    return w
+    return w / scale
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +119,7 @@ def sampled(docs: DataFrame, labels: DataFrame, key: str, text: str, toxic: str,
     few = [known.where(F.col("_toxic") == c).orderBy("_hash", "_key").limit(n) for c, n in ((1, most_toxic), (0, most_ordinary))]
     chosen = F.broadcast(few[0].unionByName(few[1]))  # most_toxic + most_ordinary rows
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    fold = F.pmod("_hash", F.lit(2)).cast("int").alias("_fold")
+    fold = F.pmod("_hash", F.lit(FOLDS)).cast("int").alias("_fold")
     return checkpointed(rows.join(chosen, "_key").select("_key", "_text", "_toxic", fold))
 
 
@@ -137,20 +139,19 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _typical(sample: DataFrame, least: int = 4, odds: float = 20.0) -> list[tuple[str, int, int]]:
+def _typical(sample: DataFrame, least: int = 4, odds: float = 20.0) -> list[tuple[str, list[int]]]:
     """Words and beginnings of at least `least` toxic contexts, `odds` times as many as ordinary
-    texts let expect, with their toxic contexts in either half."""
+    texts let expect, with their toxic contexts in every fold."""
     contexts = checkpointed(sample.repartition("_key").mapInArrow(_contexts, "_toxic int, _fold int, w string, p string").distinct())
-    bad, half = F.col("_toxic") == 1, F.col("_fold") == 0
+    bad = F.col("_toxic") == 1
     totals = contexts.agg(F.count_if(bad), F.count_if(~bad)).first()
     if not totals[0] or not totals[1]:
         return []
-    counted = contexts.groupBy("w").agg(
-        F.count_if(bad & half).alias("a0"), F.count_if(bad & ~half).alias("a1"), F.count_if(~bad).alias("b")
-    )
-    share = (F.col("a0") + F.col("a1") + 0.5) / (totals[0] + 1) / ((F.col("b") + 0.5) / (totals[1] + 1))
-    best = counted.where((F.col("a0") + F.col("a1") >= least) & (share >= odds)).orderBy(F.desc(F.col("a0") + F.col("a1")), "w").limit(TOXIC_WORDS)
-    return [(r["w"], r["a0"], r["a1"]) for r in best.collect()]
+    each = F.array(*(F.count_if(bad & (F.col("_fold") == f)) for f in range(FOLDS)))
+    counted = contexts.groupBy("w").agg(each.alias("each"), F.count_if(bad).alias("a"), F.count_if(~bad).alias("b"))
+    share = (F.col("a") + 0.5) / (totals[0] + 1) / ((F.col("b") + 0.5) / (totals[1] + 1))
+    best = counted.where((F.col("a") >= least) & (share >= odds)).orderBy(F.desc("a"), "w").limit(TOXIC_WORDS)
+    return [(r["w"], r["each"]) for r in best.collect()]
 
 
 class Model:
@@ -165,20 +166,26 @@ def train(docs: DataFrame, labels: DataFrame, key: str, text: str, toxic: str, m
     windows = sample.where("_toxic = 0").mapInArrow(_windows, "_fold int, window binary").collect()
     if not windows or sample.where("_toxic = 1").isEmpty():
         return None
-    pieces = [[bytes(w["window"]) for w in windows if w["_fold"] == f] for f in (0, 1)]
-    least = 3
-    halves = [(_ordinary(pieces[f]), _toxic([(w[0], w[1 + f]) for w in words if w[1 + f] >= least])) for f in (0, 1)]
-    shared = docs.sparkSession.sparkContext.broadcast(halves)
+    pieces = [[bytes(w["window"]) for w in windows if w["_fold"] == f] for f in range(FOLDS)]
+
+    def without(fold: int | None) -> tuple[bytes, bytes]:
+        """The dictionaries of all folds but one."""
+        used = [f for f in range(FOLDS) if f != fold]
+        known = [(w, sum(each[f] for f in used)) for w, each in words]
+        return _ordinary([x for f in used for x in pieces[f]]), _toxic([k for k in known if k[1] >= 3])
+
+    others = [without(f) for f in range(FOLDS)]
+    shared = docs.sparkSession.sparkContext.broadcast(others)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         distance = [Distance(*h) for h in shared.value]
         for batch in batches:
-            rows = [distance[1 - f].features((t or "").lower().encode()) for f, t in zip(batch["_fold"].to_pylist(), batch["_text"].to_pylist(), strict=True)]
+            rows = [distance[f].features((t or "").lower().encode()) for f, t in zip(batch["_fold"].to_pylist(), batch["_text"].to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch["_toxic"], pa.array(rows, pa.list_(pa.float64()))], ["y", "x"])
 
     rows = sample.repartition("_key").mapInArrow(measured, "y int, x array<double>").collect()
     weights = logistic(np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows], float))
-    return Model(_ordinary(pieces[0] + pieces[1]), _toxic([(w, a + b) for w, a, b in words]), weights)
+    return Model(*without(None), weights)
 
 
 def score(docs: DataFrame, key: str, text: str, model: Model | None, more: dict[str, Column]) -> DataFrame:
