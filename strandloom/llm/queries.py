@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import attribution, bpe, langid, mixing, neardup, quality, tokenfile, topk, toxicity
+from strandloom.llm import attribution, bpe, langid, linededup, mixing, neardup, quality, tokenfile, topk, toxicity
 from strandloom.plans.session import shared_folder
 
 
@@ -56,6 +56,11 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.components(_documents(spark, sf_dir), "doc_id", "text")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.removed_by_document(_documents(spark, sf_dir), "doc_id", "text")
+    return out.withColumn("removed", F.array_join(F.col("removed").cast("array<string>"), ","))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
     path = public_tokenizers.path("word_bpe_49k.json")
@@ -76,6 +81,7 @@ QUERIES = {
     "op5_quality": op5_quality,
     "op6_source_mixing": op6_source_mixing,
     "op7_near_duplicates": op7_near_duplicates,
+    "op8_line_dedup": op8_line_dedup,
     "op9_token_files": op9_token_files,
     "op10_token_counts": op10_token_counts,
 }
@@ -94,4 +100,39 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
-ORACLES: dict[str, str] = {"op3_top_k": _TOP_K_SQL}
+_LINES_SQL = """
+WITH numbered AS (
+  SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents
+), lines AS (
+  SELECT doc_id, unnest(range(len(lines))) AS no, unnest(lines) AS line FROM numbered
+), worded AS (
+  SELECT doc_id, no, list_sort(list_distinct(list_filter(string_split_regex(line, '[\\x20\\x09-\\x0D]+'), lambda w: w <> ''))) AS words
+  FROM lines
+), sets AS (
+  SELECT words, len(words) AS n, min(ROW(doc_id, no)) AS first, row_number() OVER () AS id
+  FROM worded WHERE len(words) >= 5 GROUP BY words
+), tokens AS (
+  SELECT id, n, unnest(words) AS word FROM sets
+), rare AS (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY c, word) AS place
+  FROM (SELECT *, count(*) OVER (PARTITION BY word) AS c FROM tokens)
+), prefix AS (
+  SELECT id, n, word FROM rare WHERE place <= n - (85 * n + 99) // 100 + 1
+), pairs AS (
+  SELECT DISTINCT a.id AS a, b.id AS b FROM prefix a JOIN prefix b USING (word)
+  WHERE a.id <> b.id AND least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 85
+), near AS (
+  SELECT DISTINCT y.id FROM pairs JOIN sets x ON x.id = a JOIN sets y ON y.id = b
+  WHERE x.first < y.first
+    AND len(list_intersect(x.words, y.words)) * 100 >= (x.n + y.n - len(list_intersect(x.words, y.words))) * 85
+), gone AS (
+  SELECT w.doc_id, w.no FROM worded w JOIN sets s ON s.words = w.words
+  WHERE ROW(w.doc_id, w.no) > s.first OR s.id IN (SELECT id FROM near)
+), listed AS (
+  SELECT doc_id, count(*) AS n_removed, string_agg(CAST(no AS VARCHAR), ',' ORDER BY no) AS removed FROM gone GROUP BY doc_id
+)
+SELECT doc_id, coalesce(len(lines), 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed
+FROM numbered LEFT JOIN listed USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op3_top_k": _TOP_K_SQL, "op8_line_dedup": _LINES_SQL}
