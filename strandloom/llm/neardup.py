@@ -15,8 +15,8 @@ no lower, than six standard deviations allow at the threshold. What goes on is v
 full sets.
 
 A bucket of m documents does not emit m squared pairs. First each document is compared with two
-leaders of each of its buckets, then components are formed, and only pairs of one bucket in
-different components are compared. No candidate is capped or left out, as a pair inside
+leaders of each of its buckets, then components are formed, and only buckets that hold several
+components are compared in full, block by block, on the full sets. No candidate is capped or left out, as a pair inside
 a component adds no link that could change the result.
 
 Nulls, texts without words: empty sets, linked with nothing. A null key: not linked, kept.
@@ -40,6 +40,7 @@ WIDTH = 5
 BANDS, ROWS = 30, 4
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
+BLOCK_BYTES = 1 << 19
 _BITS = 1 << 26  # of the filter in front of a join, 8 MB
 _SALTS = salts(2 * REGISTERS, 3).reshape(2, REGISTERS)
 #: Fixed value: expected share of chance collisions, times 2^mantissa, of sets of one size.
@@ -205,6 +206,58 @@ def _links(pairs: DataFrame, sets: DataFrame, threshold: float, kind: str) -> Da
         return checkpointed(both.mapInArrow(_verified(threshold), f"a {kind}, b {kind}"))
 
 
+def _unpacked(block: list[dict]) -> tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, components, set sizes, all shingles and their owners."""
+    sets = [np.frombuffer(x["_set"], np.uint64) for x in block]
+    size = np.array([len(v) for v in sets], np.int64)
+    parts = np.unique([str(x["component"]) for x in block], return_inverse=True)
+    names = np.array([hash(n) for n in parts[0]])
+    return [x["_key"] for x in block], names[parts[1]], size, np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+
+
+def _block_links(threshold: float):
+    """Compare two blocks exactly; one link for every two components that have any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ka, ca, na, va, oa = _unpacked(batch["_left"][i].as_py())
+                kb, cb, nb, vb, ob = _unpacked(batch["_right"][i].as_py())
+                shared = np.intersect1d(va, vb)
+                both = np.zeros((len(ka), len(kb)), np.float32)
+                at_a, at_b = (np.searchsorted(shared, v) for v in (va, vb))
+                in_a, in_b = (shared[np.minimum(at, len(shared) - 1)] == v if len(shared) else np.zeros(len(v), bool) for at, v in ((at_a, va), (at_b, vb)))
+                for low in range(0, len(shared), 4096):  # as products of 0/1 matrices
+                    one, other = np.zeros((len(ka), 4096), np.float32), np.zeros((len(kb), 4096), np.float32)
+                    for matrix, at, owner, use in ((one, at_a, oa, in_a), (other, at_b, ob, in_b)):
+                        pick = use & (at >= low) & (at < low + 4096)
+                        matrix[owner[pick], at[pick] - low] = 1
+                    both += one @ other.T
+                union = na[:, None] + nb[None, :] - both
+                hit = (100 * both >= round(100 * threshold) * union) & (ca[:, None] != cb[None, :])
+                rows, columns = np.nonzero(hit)
+                pairs = np.stack([ca[rows], cb[columns]], 1)
+                keep = np.unique(pairs, axis=0, return_index=True)[1] if len(rows) else []
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([ka[rows[k]] for k in keep], batch.schema.field("_kind").type), pa.array([kb[columns[k]] for k in keep], batch.schema.field("_kind").type)],
+                    ["a", "b"],
+                )
+
+    return run
+
+
+def _across(placed: DataFrame, sets: DataFrame, threshold: float, kind: str) -> DataFrame:
+    """Links between documents of one bucket in different components. A bucket is dealt into blocks
+    of about `BLOCK_BYTES`, and every two blocks are compared as a whole, so no pairs are emitted."""
+    full = placed.join(sets, "_key").withColumn("_block", F.pmod(F.xxhash64(F.col("_key").cast("string")), F.col("_blocks")))
+    blocks = full.groupBy("_band", "_block").agg(F.collect_list(F.struct("_key", "component", "_set")).alias("_rows"))
+    left = blocks.select("_band", F.col("_block").alias("_i"), F.col("_rows").alias("_left"), F.lit(None).cast(kind).alias("_kind"))
+    right = blocks.select("_band", F.col("_block").alias("_j"), F.col("_rows").alias("_right"))
+    work = left.join(right, "_band").where("_i <= _j").select("_left", "_right", "_kind")
+    with batches_of(sets.sparkSession, 4):
+        return checkpointed(work.mapInArrow(_block_links(threshold), f"a {kind}, b {kind}"))
+
+
 def components(docs: DataFrame, key: str, text: str, threshold: float = 0.75) -> DataFrame:
     """`(key, n_shingles, component_id, kept)` for every row."""
     kind = docs.schema[key].dataType.simpleString()
@@ -254,16 +307,14 @@ def components(docs: DataFrame, key: str, text: str, threshold: float = 0.75) ->
     parts = joined_up(links)
 
     # Then everything else that shares a bucket across components.
-    placed = banded.join(parts.withColumnRenamed("node", "_key"), "_key")
-    mixed_bands = placed.groupBy("_band").agg(F.min("component").alias("_x"), F.max("component").alias("_y")).where("_x <> _y").select("_band")
-    placed = checkpointed(placed.join(mixed_bands, "_band", "left_semi"))
-    a, b = (placed.select("_band", *(F.col(c).alias(f"{side}{c}") for c in ("_key", "_n", "_s1", "_s2", "component"))) for side in "ab")
-    more = a.join(b, "_band").where((F.col("acomponent") < F.col("bcomponent")) & _may_link(threshold, "a", "b"))
-    more = more.select(F.least("a_key", "b_key").alias("a"), F.greatest("a_key", "b_key").alias("b")).distinct()
-    more = checkpointed(_estimates(more.join(stars.select("a", "b"), ["a", "b"], "left_anti"), reps, threshold, kind))
-    if not more.isEmpty():
-        ends = more.select(F.explode(F.array("a", "b")).alias("_key")).distinct()
-        links = links.union(_links(more, _sets_of(rows, ends, kind), threshold, kind))
+    placed = banded.select("_band", "_key", "_n").join(parts.withColumnRenamed("node", "_key"), "_key")
+    size = F.ceil(F.sum("_n") / (BLOCK_BYTES // 8)).alias("_blocks")
+    mixed_bands = placed.groupBy("_band").agg(F.min("component").alias("_x"), F.max("component").alias("_y"), size)
+    mixed_bands = mixed_bands.where("_x <> _y").select("_band", "_blocks")
+    placed = checkpointed(placed.join(mixed_bands, "_band"))
+    if not placed.isEmpty():
+        sets = _sets_of(rows, placed.select("_key").distinct(), kind)
+        links = links.union(_across(placed, sets, threshold, kind))
         parts = joined_up(links)
     found = classes.join(parts.withColumnRenamed("node", "_rep"), "_rep").select("_n", "_h1", "_h2", F.col("component").alias("_c"))
     out = sketches.select("_key", "_n", "_h1", "_h2").join(found, ["_n", "_h1", "_h2"], "left")
