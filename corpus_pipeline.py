@@ -1,17 +1,63 @@
-"""A corpus pipeline over `documents`: each stage applies one operator to all that the stage before kept."""
+"""A corpus pipeline over `documents`: each stage applies one operator to all that the stage before kept.
+
+Rows that share a `doc_id` are one document; a row without one is judged by itself where rows are
+judged, and is never dropped for being like another. Tables may be empty, and other columns than
+those of `documents` may be there: they are not carried on.
+"""
 
 from __future__ import annotations
 
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strandloom.llm import queries
+from strandloom.llm import bpe, linededup, mixing, neardup, quality
 from strandloom.plans.session import shared_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
-STAGES: list = []
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that the base rules or their language's perplexity band reject."""
+    judged = quality.judge(docs.select(*COLUMNS), "text", "lang")
+    return judged.where("kept").select("row.*")
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Take out lines that repeat an earlier one, and documents of which no line of words is left."""
+    left = linededup.without_lines(docs.select(*COLUMNS), "doc_id", "text")
+    return left.withColumn("n_chars", F.length("text").cast("bigint"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document of the smallest id of every group of near-duplicates."""
+    found = neardup.components(docs, "doc_id", "text")
+    kept = found.where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.select(*COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeat or leave out documents so that every source has its share of words."""
+    mixed = mixing.mix(docs, "doc_id", "text", "source").where("taken > 0")
+    times = mixed.groupBy(F.col("doc_id").alias("_of")).agg(F.max(F.col("taken") / F.col("size")).cast("int").alias("_times"))
+    both = docs.select(*COLUMNS).join(times, F.col("doc_id").eqNullSafe(F.col("_of")))
+    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(*COLUMNS)
+
+
+def bpe_round_trip(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Encode and decode what is left, and return digests of both."""
+    return bpe.digests(docs, "doc_id", "text", public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("near dedup", near_dedup),
+    ("source mixing", source_mixing),
+    ("bpe round trip", bpe_round_trip),
+]
 
 #: Perplexity, sketches and tokenization have no SQL form; tests/llm compares with brute force.
 ORACLE_SQL = None
@@ -26,6 +72,3 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
-
-
-_ = queries

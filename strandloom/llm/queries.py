@@ -45,7 +45,9 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(_documents(spark, sf_dir), "doc_id", "text", "lang")
+    docs = _documents(spark, sf_dir).select("doc_id", "text", "lang")
+    judged = quality.judge(docs, "text", "lang")
+    return judged.select("row.doc_id", *quality.COUNTS, "base_failed", "kept", "bits")
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
