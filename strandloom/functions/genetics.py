@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.constants import DOMINANT, HETEROZYGOUS, RECESSIVE
+from strandloom.functions.alphabet import let
 
 
 def alleles(genotype: Column) -> Column:
@@ -77,17 +78,33 @@ def binomial(*, p: Column, k: Column, n: Column) -> Column:
 def independent_alleles_tail(*, generation: Column, at_least: Column, p: float = 0.25) -> Column:
     """Chance that at least `at_least` of the 2^generation descendants are AaBb.
 
-    Terms follow from one another by their ratio, so no binomial coefficient overflows.
+    Terms follow from one another by their ratio, from the largest one outwards, and are divided
+    by their sum, so neither a binomial coefficient overflows nor the largest term underflows.
     """
     total = F.pow(F.lit(2.0), generation)
     odds = p / (1 - p)
-    state = F.struct(F.pow(F.lit(1 - p), total).alias("term"), F.lit(0.0).alias("tail"))
+    top = F.floor((total + 1) * p)
 
-    def step(acc: Column, i: Column) -> Column:
-        kept = F.when(i >= at_least, acc["term"]).otherwise(F.lit(0.0))
-        return F.struct((acc["term"] * (total - i) / (i + 1) * odds).alias("term"), (acc["tail"] + kept).alias("tail"))
+    def walk(places: Column, ratio) -> Column:
+        """Sum of all terms and of those that count, the largest being 1; `ratio` leads on."""
+        start = F.struct(F.lit(1.0).alias("term"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("tail"))
 
-    return F.aggregate(F.sequence(F.lit(0).cast("bigint"), total.cast("bigint")), state, step)["tail"]
+        def step(acc: Column, i: Column) -> Column:
+            kept = F.when(i >= at_least, acc["term"]).otherwise(F.lit(0.0))
+            return F.struct(
+                (acc["term"] * ratio(i)).alias("term"), (acc["sum"] + acc["term"]).alias("sum"), (acc["tail"] + kept).alias("tail")
+            )
+
+        return F.aggregate(places, start, step)
+
+    up = walk(F.sequence(top, total.cast("bigint")), lambda i: (total - i) / (i + 1) * odds)
+    down = walk(F.sequence(top, F.lit(0).cast("bigint"), F.lit(-1).cast("bigint")), lambda i: i / (total - i + 1) / odds)
+    one = F.when(top >= at_least, F.lit(1.0)).otherwise(F.lit(0.0))  # counted in both
+
+    def share(both: Column) -> Column:
+        return (both["up"]["tail"] + both["down"]["tail"] - one) / (both["up"]["sum"] + both["down"]["sum"] - 1)
+
+    return let(F.struct(up.alias("up"), down.alias("down")), share)
 
 
 def rabbits(n: Column, k: Column) -> Column:
@@ -120,23 +137,34 @@ def inner_nodes(leaves: Column) -> Column:
     return leaves - 2
 
 
-def words(df: DataFrame, symbols: str, length: Column, max_length: int, name: str = "word") -> DataFrame:
-    """All strings of `length` (up to `max_length`) over the array column `symbols`, as rows.
+def _longest(df: DataFrame, length: Column, given: int | None) -> tuple[DataFrame, int]:
+    """How many letters the longest row asks for; with a given number, rows beyond it are errors."""
+    if given is None:
+        return df, df.agg(F.max(length)).first()[0] or 0
+    beyond = F.raise_error(F.concat(F.lit(f"more than {given}: "), length.cast("string"))).cast("boolean")
+    return df.where(F.when(length > given, beyond).otherwise(F.lit(True))), given
+
+
+def words(df: DataFrame, symbols: str, length: Column, max_length: int | None = None, name: str = "word") -> DataFrame:
+    """All strings of `length` over the array column `symbols`, as rows.
 
     One generator per letter: rows grow inside the tasks, nothing is shuffled or held as one
-    array.
+    array. Without `max_length` the longest length is read from the data first.
     """
+    df, longest = _longest(df, length, max_length)
     out = df.withColumn(name, F.lit(""))
-    for i in range(max_length):
+    for i in range(longest):
         grown = F.transform(F.col(symbols), lambda c: F.concat(F.col(name), c))
         out = out.withColumn(name, F.explode(F.when(length > i, grown).otherwise(F.array(name))))
     return out
 
 
-def permutations(df: DataFrame, n: Column, max_n: int, name: str = "permutation") -> DataFrame:
-    """All permutations of 1..n (n up to `max_n`) as integer arrays, one per row."""
+def permutations(df: DataFrame, n: Column, max_n: int | None = None, name: str = "permutation") -> DataFrame:
+    """All permutations of 1..n as integer arrays, one per row. Without `max_n` the largest n is
+    read from the data first."""
+    df, longest = _longest(df, n, max_n)
     out = df.withColumn(name, F.array().cast("array<int>"))
-    for i in range(max_n):
+    for i in range(longest):
         rest = F.array_except(F.sequence(F.lit(1), F.greatest(n, F.lit(1)).cast("int")), F.col(name))
         grown = F.transform(rest, lambda x: F.concat(F.col(name), F.array(x)))
         out = out.withColumn(name, F.explode(F.when(n > i, grown).otherwise(F.array(name))))

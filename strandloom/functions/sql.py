@@ -27,10 +27,12 @@ _FUNCTIONS = {
     ),
     "translate_rna(s STRING)": (
         "STRING",
-        "substring_index(array_join(transform(regexp_extract_all(s, '(...)', 1), c -> "
-        f"substring('{CODON_RESIDUES}', 16 * (instr('{CODON_BASES}', left(c, 1)) - 1) "
+        "transform(array(array_join(transform(regexp_extract_all(s, '(?s)(...)', 1), c -> "
+        f"CASE WHEN regexp_like(c, '^[{CODON_BASES}]{{3}}$') THEN substring('{CODON_RESIDUES}', 16 * (instr('{CODON_BASES}', left(c, 1)) - 1) "
         f"+ 4 * (instr('{CODON_BASES}', substring(c, 2, 1)) - 1) "
-        f"+ instr('{CODON_BASES}', right(c, 1)), 1)), ''), '*', 1)",
+        f"+ instr('{CODON_BASES}', right(c, 1)), 1) ELSE '?' END), '')), r -> "
+        "CASE WHEN contains(substring_index(r, '*', 1), '?') OR (length(s) % 3 <> 0 AND NOT contains(r, '*')) "
+        "THEN CAST(raise_error(concat('not whole codons: ', s)) AS STRING) ELSE substring_index(r, '*', 1) END)[0]",
     ),
     "inner_nodes(leaves BIGINT)": ("BIGINT", "leaves - 2"),
 }

@@ -71,8 +71,16 @@ def count_occurrences(s: Column, t: Column) -> Column:
 
 
 def regex_positions1(s: Column, pattern: str) -> Column:
-    """All overlapping 1-based starts of a regular expression."""
-    return F.transform(_lookahead_starts(s, F.lit(f"(?:{pattern})")), lambda p: p + 1)
+    """All overlapping 1-based starts of a regular expression.
+
+    A split inside a character outside the basic plane would count it twice, so texts with one
+    are tried character by character.
+    """
+    fast = F.transform(_lookahead_starts(s, F.lit(f"(?:{pattern})")), lambda p: p + 1)
+    every = F.sequence(F.lit(0).cast("bigint"), F.length(s).cast("bigint") - 1)
+    skipped = lambda p: F.concat(F.lit("(?s)\\A.{"), p.cast("string"), F.lit(f"}}(?-s:(?:{pattern}))"))
+    slow = F.transform(F.filter(every, lambda p: F.regexp_like(s, skipped(p))), lambda p: p + 1)
+    return F.when(_wide(s), slow).otherwise(fast)
 
 
 def replace_all(s: Column, t: Column, u: Column) -> Column:
@@ -224,7 +232,7 @@ def border_array(s: pd.Series) -> pd.Series:
 
 def border_array_simple(s: Column) -> Column:
     """The same by definition, quadratic; a check for short strings."""
-    return F.transform(
+    borders = F.transform(
         F.sequence(F.lit(1), F.length(s)),
         lambda i: F.when(
             i > 1,
@@ -239,3 +247,4 @@ def border_array_simple(s: Column) -> Column:
             ),
         ).otherwise(F.lit(0)),
     )
+    return F.when(F.length(s) == 0, F.array().cast("array<int>")).otherwise(borders)

@@ -19,8 +19,9 @@ from strandloom.plans.session import checkpointed
 
 
 def bwt(df: DataFrame, key: str, seq: str) -> DataFrame:
-    """Rows `(key, rank, pos0, symbol)` of the `$`-terminated texts: the sorted suffixes and
-    the character before each."""
+    """Rows `(key, rank, pos0, symbol)` of the terminated texts: the sorted suffixes and the
+    character before each. The sentinel sorts before every character and is none itself: before
+    the whole text, `symbol` is null."""
     sizes = df.select(key, F.length(seq).cast("bigint").alias("_size"))
     array = suffix_array(df, key, seq).select(key, (F.col("rank") + 1).alias("rank"), "pos0")
     # The suffix of the sentinel alone sorts first.
@@ -30,20 +31,21 @@ def bwt(df: DataFrame, key: str, seq: str) -> DataFrame:
     return (
         array.union(last)
         .join(before, [key, "pos0"], "left")
-        .select(key, "rank", "pos0", F.coalesce("symbol", F.lit(SENTINEL_FIRST)).alias("symbol"))
+        .select(key, "rank", "pos0", "symbol")
     )
 
 
 def bwt_string(table: DataFrame, key: str) -> DataFrame:
-    """The transform of each text as one string."""
-    return ordered_concat(table, [key], "rank", "symbol", "bwt")
+    """The transform of each text as one string, the sentinel shown as `$`."""
+    shown = table.withColumn("symbol", F.coalesce("symbol", F.lit(SENTINEL_FIRST)))
+    return ordered_concat(shown, [key], "rank", "symbol", "bwt")
 
 
 def lf_map(table: DataFrame, key: str) -> DataFrame:
     """`(key, rank, lf)`: the rank of the suffix one character longer.
 
     Equal characters keep their order, so `lf` is the place of a row when rows are sorted by
-    character and rank.
+    character, the sentinel first, and rank.
     """
     placed = dense_index(table.select(key, "symbol", "rank"), [key, "symbol", "rank"], "_i")
     first = placed.groupBy(key).agg(F.min("_i").alias("_first"))
@@ -54,28 +56,26 @@ def bwt_inverse(table: DataFrame, key: str) -> DataFrame:
     """The texts back from `(key, rank, symbol)`: `(key, seq)`.
 
     The steps from a row back to the start of its text are its position; they are counted by
-    pointer doubling, in log2(length) rounds.
+    pointer doubling, in log2(length) rounds. A row that has arrived is set aside, so the places
+    that rows look up are all different and no end of a text is a hot key.
     """
     steps = lf_map(table, key).join(table.select(key, "rank", "symbol"), [key, "rank"])
-    start = F.col("symbol") == SENTINEL_FIRST
-    hops = checkpointed(
-        steps.select(
-            key, "rank", "symbol",
-            F.when(start, F.col("rank")).otherwise(F.col("lf")).alias("to"),
-            F.when(start, F.lit(0)).otherwise(F.lit(1)).cast("bigint").alias("dist"),
-        )
+    ends = table.where("symbol IS NULL").select(key, F.col("rank").alias("_end"))
+    first = steps.join(ends, key).select(
+        key, "rank", "symbol", F.col("lf").alias("to"),
+        F.when(F.col("symbol").isNull(), 0).otherwise(1).cast("bigint").alias("dist"),
+        (F.col("symbol").isNull() | (F.col("lf") == F.col("_end"))).alias("home"),
     )
-    while True:
-        ahead = hops.select(key, F.col("rank").alias("to"), F.col("to").alias("_to"), F.col("dist").alias("_dist"))
-        hops = checkpointed(
-            hops.join(ahead, [key, "to"]).select(
-                key, "rank", "symbol", F.col("_to").alias("to"), (F.col("dist") + F.col("_dist")).alias("dist"),
-                (F.col("_dist") > 0).alias("moved"),
-            )
+    hops = checkpointed(first)
+    while not hops.where("NOT home").isEmpty():
+        ahead = hops.select(
+            key, F.col("rank").alias("to"), F.col("to").alias("_to"), F.col("dist").alias("_dist"), F.col("home").alias("_home")
+        )
+        moved = hops.where("NOT home").join(ahead, [key, "to"]).select(
+            key, "rank", "symbol", F.col("_to").alias("to"), (F.col("dist") + F.col("_dist")).alias("dist"), F.col("_home").alias("home")
         )
-        if hops.where("moved").isEmpty():
-            break
-    letters = hops.where(F.col("symbol") != SENTINEL_FIRST).select(key, (F.col("dist") - 1).alias("pos0"), "symbol")
+        hops = checkpointed(hops.where("home").union(moved))
+    letters = hops.where("symbol IS NOT NULL").select(key, (F.col("dist") - 1).alias("pos0"), "symbol")
     texts = ordered_concat(letters, [key], "pos0", "symbol", "seq")
     return table.select(key).distinct().join(texts, key, "left").na.fill("", ["seq"])
 
@@ -84,7 +84,7 @@ def bwt_inverse(table: DataFrame, key: str) -> DataFrame:
 class FmIndex:
     key: str
     width: int
-    blocks: DataFrame  # key, block, text, before: map<string, bigint>
+    blocks: DataFrame  # key, block, text, hole (the sentinel's place in it), before: map<string, bigint>
     suffixes: DataFrame  # key, rank, pos0
     sizes: DataFrame  # key, size: rows of the transform
 
@@ -92,17 +92,20 @@ class FmIndex:
 def build_fm_index(df: DataFrame, key: str, seq: str, width: int = 1024) -> FmIndex:
     table = checkpointed(bwt(df, key, seq))
     placed = table.withColumn("block", F.floor(F.col("rank") / width))
-    text = ordered_concat(placed, [key, "block"], "rank", "symbol", "text", width)
+    shown = placed.withColumn("symbol", F.coalesce("symbol", F.lit(SENTINEL_FIRST)))
+    text = ordered_concat(shown, [key, "block"], "rank", "symbol", "text", width)
+    holes = placed.where("symbol IS NULL").select(key, "block", (F.col("rank") % width).alias("hole"))
     sizes = table.groupBy(key).agg(F.count("*").alias("size"))
     ends = sizes.select(key, F.floor(F.col("size") / width).alias("block"))
     # Also the block right after the last row, which the upper bound may fall into.
     grid = text.select(key, "block").union(ends).distinct()
-    counts = placed.groupBy(key, "block", "symbol").agg(F.count("*").alias("n"))
+    counts = placed.where("symbol IS NOT NULL").groupBy(key, "block", "symbol").agg(F.count("*").alias("n"))
     # Every character of the text at every block, with the count so far.
     symbols = counts.groupBy(key, "symbol").agg(F.sum("n").alias("total"))
     # One row per character of the alphabet, so this window stays small.
     smaller = Window.partitionBy(key).orderBy("symbol").rowsBetween(Window.unboundedPreceding, -1)
-    first = symbols.select(key, "symbol", F.coalesce(F.sum("total").over(smaller), F.lit(0)).alias("first"))
+    # Rank 0 is the sentinel's.
+    first = symbols.select(key, "symbol", (F.coalesce(F.sum("total").over(smaller), F.lit(0)) + 1).alias("first"))
     cells = grid.join(first, key).join(counts, [key, "block", "symbol"], "left").na.fill(0, ["n"])
     running = blocked_running_sum(cells, [key, "symbol"], "block", "n", "upto")
     before = running.groupBy(key, "block").agg(
@@ -110,7 +113,8 @@ def build_fm_index(df: DataFrame, key: str, seq: str, width: int = 1024) -> FmIn
             F.collect_list(F.struct("symbol", (F.col("first") + F.col("upto") - F.col("n")).alias("v")))
         ).alias("before")
     )
-    blocks = checkpointed(before.join(text, [key, "block"], "left").na.fill("", ["text"]))
+    whole = grid.join(before, [key, "block"], "left").join(text, [key, "block"], "left").join(holes, [key, "block"], "left")
+    blocks = checkpointed(whole.na.fill("", ["text"]))
     return FmIndex(key, width, blocks, table.select(key, "rank", "pos0"), sizes)
 
 
@@ -120,7 +124,9 @@ def _step(index: FmIndex, state: DataFrame, bound: str) -> DataFrame:
     joined = state.withColumn("_b", F.floor(F.col(bound) / index.width)).join(blocks, [index.key, "_b"])
     part = F.left("text", (F.col(bound) - F.col("_b") * index.width).cast("int"))
     seen = F.length(part) - F.length(F.replace(part, F.col("_c"), F.lit("")))
-    return joined.withColumn(bound, F.try_element_at("before", F.col("_c")) + seen).drop("_b", "text", "before")
+    shown = (F.col("_c") == SENTINEL_FIRST) & (F.col("hole") < F.length(part))
+    seen = seen - F.when(shown, 1).otherwise(0)
+    return joined.withColumn(bound, F.try_element_at("before", F.col("_c")) + seen).drop("_b", "text", "hole", "before")
 
 
 def backward_search(index: FmIndex, queries: DataFrame, pattern: str) -> DataFrame:

@@ -12,13 +12,9 @@ from pyspark.sql import functions as F
 _LETTERS = "ACGT" * 4
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
-    """A given table. With `spread`, for work that is heavy per row, one stored in fewer pieces
-    than there are cores is dealt out to all of them; a table of many pieces is not shuffled.
-    """
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if spread and df.rdd.getNumPartitions() < cores else df
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table, in the pieces that `spark.sql.files` settings cut it into."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def key_dna(key: str, first: int = 0, blocks: int = 1) -> Column:
@@ -42,7 +38,8 @@ def text_dna_sql(text: str) -> str:
 
 def parts(spark: SparkSession, sf_dir: str, blocks: int = 1) -> DataFrame:
     """`(seq_id, seq)` with 32 bases per block for every part."""
-    part = table(spark, sf_dir, "part", spread=True)
+    # Keys are dealt out before they become sequences, which is heavy per row.
+    part = table(spark, sf_dir, "part").select("p_partkey").repartition("p_partkey")
     return part.select(F.col("p_partkey").alias("seq_id"), key_dna("p_partkey", 0, blocks).alias("seq"))
 
 
@@ -52,7 +49,7 @@ def parts_sql(blocks: int = 1) -> str:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`(seq_id, seq)` with two bases per byte of every whole document."""
-    docs = table(spark, sf_dir, "documents", spread=True)
+    docs = table(spark, sf_dir, "documents")
     return docs.select(F.col("doc_id").alias("seq_id"), text_dna("text").alias("seq"))
 
 

@@ -143,11 +143,12 @@ def permutations(spark, path):
 def words(spark, path):
     letters = F.split(F.trim("a"), r"\s+")
     df = _two_lines(spark, path).select(letters.alias("letters"), F.trim("b").cast("int").alias("k"))
-    k = df.select("k").first()[0]
+    k, n_letters = df.select("k", F.size("letters")).first()
+    digits = len(str(n_letters))
     # Letters sort as they are listed, so words are ordered by the ranks of their letters.
-    ranked = df.withColumn("ranks", F.transform("letters", lambda x, i: F.lpad(i.cast("string"), 4, "0")))
+    ranked = df.withColumn("ranks", F.transform("letters", lambda x, i: F.lpad(i.cast("string"), digits, "0")))
     out = genetics.words(ranked, "ranks", F.col("k"), k, "code")
-    spelled = F.transform(F.regexp_extract_all("code", F.lit("(....)"), F.lit(1)), lambda c: F.element_at("letters", c.cast("int") + 1))
+    spelled = F.transform(F.regexp_extract_all("code", F.lit(f"(.{{{digits}}})"), F.lit(1)), lambda c: F.element_at("letters", c.cast("int") + 1))
     return dense_index(out.select("code", F.array_join(spelled, "").alias("value")), ["code"], "n").select("n", "value")
 
 

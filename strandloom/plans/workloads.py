@@ -66,7 +66,7 @@ _PAIRS = f"(SELECT p_partkey AS seq_id, {key_dna_sql('p_partkey')} AS a, {key_dn
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part", spread=True).select(
+    return table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("seq_id"), key_dna("p_partkey").alias("a"), key_dna("p_partkey", 1).alias("b")
     )
 
@@ -105,7 +105,7 @@ _MASS_OF_PROTEIN_SQL = " + ".join(
     FROM (SELECT doc_id AS seq_id, text, {text_dna_sql('text')} AS seq FROM documents)""",
 )
 def validate(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents", spread=True).select(F.col("doc_id").alias("seq_id"), "text", text_dna("text").alias("seq"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq_id"), "text", text_dna("text").alias("seq"))
     return docs.select(
         "seq_id",
         alphabet.is_valid(F.col("text"), "ascii").alias("is_ascii"),
@@ -290,7 +290,7 @@ _BRAND_SQL = f"(SELECT p_brand, p_partkey, left({key_dna_sql('p_partkey', 0, 3)}
 def _brands(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Sequences of different lengths, so that the width of the first record matters.
     seq = F.left(key_dna("p_partkey", 0, 3), 60 + F.col("p_size") % 20)
-    return table(spark, sf_dir, "part", spread=True).select("p_brand", "p_partkey", seq.alias("seq"))
+    return table(spark, sf_dir, "part").select("p_brand", "p_partkey", seq.alias("seq"))
 
 
 _PROFILE_SQL = f"""SELECT p_brand, CAST(i - 1 AS INTEGER) AS pos0, """ + ", ".join(
@@ -330,7 +330,7 @@ def find_first(spark, sf_dir):
 )
 def overlap_positions(spark, sf_dir):
     found = strings.positions(F.col("text"), F.lit("ere"))
-    return table(spark, sf_dir, "conversations", spread=True).select("conv_id", "turn", F.explode(found).alias("pos0"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(found).alias("pos0"))
 
 
 @query(
@@ -380,7 +380,7 @@ def hamming(spark, sf_dir):
 )
 def regex_positions(spark, sf_dir):
     found = strings.regex_positions1(F.col("text"), "[aeiou]n[^aeiou][a-z]")
-    return table(spark, sf_dir, "conversations", spread=True).select("conv_id", "turn", F.explode(found).alias("pos1"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(found).alias("pos1"))
 
 
 @query(
@@ -425,7 +425,7 @@ _HITS_SQL = f"""(SELECT h.conv_id, h.turn, p.pattern, h.i - 1 AS pos0 FROM (
 
 
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations", spread=True).select(F.struct("conv_id", "turn").alias("key"), "text")
+    return table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("key"), "text")
 
 
 @query("pattern_search", f"SELECT conv_id, turn, pattern, CAST(pos0 AS BIGINT) AS pos0 FROM {_HITS_SQL}")
@@ -449,7 +449,7 @@ def first_occurrence(spark, sf_dir):
 )
 def passage_search(spark, sf_dir):
     items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("pattern"))
-    first = search.first_occurrence(table(spark, sf_dir, "documents", spread=True), "doc_id", "text", items, "pattern")
+    first = search.first_occurrence(table(spark, sf_dir, "documents"), "doc_id", "text", items, "pattern")
     return first.join(items, "pattern").select("doc_id", "item_id", "pos0")
 
 
@@ -462,7 +462,7 @@ def passage_search(spark, sf_dir):
     SELECT p_partkey AS seq_id, {key_dna_sql('p_partkey', 1, 3)} AS s, {key_dna_sql('p_partkey')} AS t FROM part)))""",
 )
 def maximal_prefix(spark, sf_dir):
-    pairs = table(spark, sf_dir, "part", spread=True).select(
+    pairs = table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("seq_id"), key_dna("p_partkey", 1, 3).alias("s"), key_dna("p_partkey").alias("t")
     )
     found = pairs.select("seq_id", strings.maximal_prefix_matches(F.col("s"), F.col("t")).alias("m"))
@@ -484,7 +484,7 @@ def suffix_array(spark, sf_dir):
 
 @query("suffix_array_documents")
 def suffix_array_documents(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents", spread=True).select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return suffix.suffix_array(docs, "doc_id", "text")
 
 
@@ -590,7 +590,7 @@ def longest_repeat(spark, sf_dir):
     ) s JOIN (SELECT p_brand, count(*) AS n FROM part GROUP BY p_brand) t ON s.p_brand = t.p_brand GROUP BY s.p_brand, w) GROUP BY p_brand""",
 )
 def common_substring(spark, sf_dir):
-    df = table(spark, sf_dir, "part", spread=True).select("p_brand", key_dna("p_partkey", 0, 2).alias("seq"))
+    df = table(spark, sf_dir, "part").select("p_brand", key_dna("p_partkey", 0, 2).alias("seq"))
     return repeats.common_substring(df, "p_brand", "seq")
 
 
@@ -863,7 +863,7 @@ _LETTERS_SQL = "(SELECT p_partkey, p_size % 3 AS k, list_sort(list_distinct(stri
 def words(spark, sf_dir):
     letters = F.array_sort(F.array_distinct(alphabet.chars(F.col("p_type"))))
     df = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") % 3).alias("k"), letters.alias("letters"))
-    return genetics.words(df, "letters", F.col("k"), 2).select("p_partkey", "word")
+    return genetics.words(df, "letters", F.col("k")).select("p_partkey", "word")
 
 
 @query(
@@ -874,7 +874,7 @@ def words(spark, sf_dir):
 )
 def permutations(spark, sf_dir):
     df = table(spark, sf_dir, "part").select("p_partkey", (1 + F.col("p_size") % 4).alias("k"))
-    out = genetics.permutations(df, F.col("k"), 4)
+    out = genetics.permutations(df, F.col("k"))
     return out.select("p_partkey", F.array_join(F.col("permutation").cast("array<string>"), " ").alias("permutation"))
 
 

@@ -9,10 +9,16 @@ from strandloom.plans.ordering import ordered_concat
 
 
 def random_genome(spark: SparkSession, length: int, gc: float = 0.4, seed: int = 1, width: int = 1000) -> DataFrame:
-    """A genome as blocks `(block, seq)` of `width` bases, each base G or C with chance `gc`."""
-    base = F.when(F.rand(seed) < gc, F.when(F.rand(seed + 1) < 0.5, "C").otherwise("G")).otherwise(
-        F.when(F.rand(seed + 2) < 0.5, "A").otherwise("T")
-    )
+    """A genome as blocks `(block, seq)` of `width` bases, each base G or C with chance `gc`.
+
+    A base is drawn from a hash of the seed and its position, so it does not depend on how
+    positions are dealt to tasks.
+    """
+
+    def draw(n: int):
+        return F.pmod(F.xxhash64(F.lit(seed), F.lit(n), F.col("id")), F.lit(1 << 30)) / float(1 << 30)
+
+    base = F.when(draw(0) < gc, F.when(draw(1) < 0.5, "C").otherwise("G")).otherwise(F.when(draw(1) < 0.5, "A").otherwise("T"))
     bases = spark.range(length).select(
         F.floor(F.col("id") / width).alias("block"), (F.col("id") % width).alias("pos"), base.alias("base")
     )
@@ -26,10 +32,17 @@ def genome_blocks(genomes: DataFrame, key: str, seq: str, width: int = 1000) ->
 
 
 def read_positions(genomes: DataFrame, key: str, length: str, read_len: int, depth: float, seed: int = 1) -> DataFrame:
-    """`ceil(depth * length / read_len)` reads per genome, starts uniform in `[0, length - read_len)`."""
+    """`ceil(depth * length / read_len)` reads per genome, starts uniform in `[0, length - read_len)`.
+
+    A genome of the length of a read has all its reads at 0, a shorter one has none. Reads are numbered by
+    blocks, so no task holds the numbers of a whole genome.
+    """
     n = F.ceil(F.lit(depth) * F.col(length) / read_len)
-    numbered = genomes.select(key, length, F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)).alias("read"))
-    room = F.col(length) - read_len
+    long = genomes.where((F.col(length) >= read_len) & (n > 0)).withColumn("_n", n)
+    blocks = long.select(key, length, "_n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_n") - 1) / 4096))).alias("_b"))
+    last = F.least((F.col("_b") + 1) * 4096, F.col("_n")) - 1
+    numbered = blocks.select(key, length, F.explode(F.sequence(F.col("_b") * 4096, last)).alias("read"))
+    room = F.greatest(F.col(length) - read_len, F.lit(1))
     # The start hashes the read's own key, so it does not depend on how rows are spread.
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col("read")), room)
     return numbered.select(key, "read", draw.alias("start0"), F.lit(read_len).cast("bigint").alias("len"))

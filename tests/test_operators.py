@@ -297,3 +297,16 @@ def test_spectra(spark):
     assert {r.k: r.protein for r in got} == {k: greedy(k) for k in range(len(proteins))}
     got = spectrum.spectrum_longest_path(df, "k", "m").collect()
     assert {r.k: r.protein for r in got} == {k: longest(k) for k in range(len(proteins))}
+
+
+def test_fm_index_of_any_text(spark):
+    """The sentinel is before every character, also those below `$` and `$` itself."""
+    texts = ["to be or not to be", "cost $5 or $6", "a\nb\n\na", "!\"# $", "😀 $😀", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "k bigint, s string")
+    table = fm_index.bwt(df, "k", "s")
+    assert {r.k: r.seq for r in fm_index.bwt_inverse(table, "k").collect()} == dict(enumerate(texts))
+    index = fm_index.build_fm_index(df, "k", "s", width=4)
+    wanted = [(k, p) for k, t in enumerate(texts) for p in {" ", "o be", "$", "t $5", "\n", "a", "😀", "x", *t[2:4]}]
+    found = fm_index.backward_search(index, spark.createDataFrame(wanted, "k bigint, p string"), "p")
+    got = {(r.k, r.pattern, r.pos0) for r in fm_index.locate(index, found).collect()}
+    assert got == {(k, p, i) for k, p in set(wanted) for i in range(len(texts[k])) if texts[k].startswith(p, i)}

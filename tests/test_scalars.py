@@ -154,7 +154,33 @@ def test_genetics(value, spark):
     assert got == ["".join(w) for w in itertools.product("ABC", repeat=3)]
     got = [tuple(r.permutation) for r in G.permutations(df, L(4), 4).collect()]
     assert got == list(itertools.permutations([1, 2, 3, 4]))
-    assert G.permutations(df, L(11), 2).count() == 110
+    with pytest.raises(Exception, match="more than 2"):
+        G.permutations(df, L(11), 2).count()
+    ragged = spark.createDataFrame([(list("AB"), 1), (list("AB"), 5)], "letters array<string>, k int")
+    assert G.words(ragged, "letters", F.col("k")).count() == 2 + 32
+    assert G.permutations(ragged, F.col("k")).count() == 1 + 120
+
+
+def test_tail_of_late_generations(value):
+    for g, least in [(12, 1), (13, 1), (12, 1024), (14, 4096), (0, 1), (2, 0)]:
+        n = 2**g
+        terms = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(0.25) + (n - i) * math.log(0.75) for i in range(least, n + 1)]
+        want = math.fsum(math.exp(t) for t in terms)
+        assert math.isclose(value(G.independent_alleles_tail(generation=L(g), at_least=L(least))), want, rel_tol=1e-7)
+
+
+def test_positions_outside_the_basic_plane(value):
+    assert value(S.regex_positions1(L("a😀b"), ".")) == [1, 2, 3]
+    assert value(S.regex_positions1(L("😀ab😀ab"), "ab")) == [2, 5]
+    assert value(S.border_array_simple(L(""))) == []
+
+
+def test_sql_translation_checks_its_codons(spark):
+    register(spark)
+    assert spark.sql("SELECT translate_rna('AUGGCCUGA'), translate_rna('UGAA')").first() == ("MA", "")
+    for wrong in ("NNN", "NAU", "AUGA"):
+        with pytest.raises(Exception, match="not whole codons"):
+            spark.sql(f"SELECT translate_rna('{wrong}')").collect()
 
 
 def test_alignment_vectors(value):

@@ -80,3 +80,18 @@ def test_simulated_reads_are_of_the_genome(spark):
     for r in reads:
         assert 0 <= r.start0 < 2300 and r.seq == genome[r.start0 : r.start0 + 200]
         assert r.description == f"{r.read}:{r.start0 + 1}:200"
+
+
+def test_short_genomes_have_no_reads(spark):
+    df = spark.createDataFrame([(1, ""), (2, "ACG"), (3, "ACGT")], "g bigint, seq string")
+    reads = simulate.simulate_reads(df, "g", "seq", 4, 2.0).collect()
+    assert {(r.g, r.start0, r.seq) for r in reads} == {(3, 0, "ACGT")}
+
+
+def test_genomes_do_not_depend_on_partitions(spark):
+    one = {r.block: r.seq for r in simulate.random_genome(spark, 3000).collect()}
+    spark.conf.set("spark.sql.leafNodeDefaultParallelism", "3")
+    try:
+        assert {r.block: r.seq for r in simulate.random_genome(spark, 3000).collect()} == one
+    finally:
+        spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
