@@ -540,6 +540,60 @@ def suffix_offsets(spark, sf_dir):
     return fm_index.suffix_offsets(index, found, 10).select("seq_id", "pattern", "rank", F.col("offset").alias("steps"))
 
 
+_TURNS_SQL = "(SELECT conv_id, turn, text, substr(text, 1 + length(text) // 2, 1 + turn % 4) AS pattern FROM conversations)"
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts with spaces and line ends, and a piece from the middle of each."""
+    piece = F.substring("text", F.lit(1) + F.floor(F.length("text") / 2).cast("int"), (1 + F.col("turn") % 4).cast("int"))
+    turns = table(spark, sf_dir, "conversations")
+    return turns.select(F.struct("conv_id", "turn").alias("key"), "text", piece.alias("pattern"))
+
+
+@query(
+    "bwt_turns",
+    """SELECT conv_id, turn, string_agg(CASE WHEN p = 0 THEN '$' ELSE substr(text, p, 1) END, '' ORDER BY substr(text, p + 1)) AS bwt
+    FROM (SELECT conv_id, turn, text, unnest(range(0, length(text) + 1)) AS p FROM conversations) GROUP BY conv_id, turn""",
+)
+def bwt_turns(spark, sf_dir):
+    found = fm_index.bwt_string(fm_index.bwt(_turns(spark, sf_dir), "key", "text"), "key")
+    return found.select("key.conv_id", "key.turn", "bwt")
+
+
+@query("bwt_inverse_turns", "SELECT conv_id, turn, text FROM conversations")
+def bwt_inverse_turns(spark, sf_dir):
+    back = fm_index.bwt_inverse(checkpointed(fm_index.bwt(_turns(spark, sf_dir), "key", "text")), "key")
+    return back.select("key.conv_id", "key.turn", F.col("seq").alias("text"))
+
+
+@query(
+    "fm_search_turns",
+    f"""SELECT conv_id, turn, pattern, CAST(i - 1 AS BIGINT) AS pos0 FROM (SELECT *, unnest(range(1, length(text) + 1)) AS i FROM {_TURNS_SQL})
+    WHERE substr(text, i, length(pattern)) = pattern""",
+)
+def fm_search_turns(spark, sf_dir):
+    turns = _turns(spark, sf_dir)
+    index = fm_index.build_fm_index(turns, "key", "text")
+    found = fm_index.locate(index, fm_index.backward_search(index, turns.where("text <> ''"), "pattern"))
+    return found.select("key.conv_id", "key.turn", "pattern", "pos0")
+
+
+@query(
+    "suffix_offsets_turns",
+    f"""WITH r AS MATERIALIZED (SELECT conv_id, turn, p, length(text) + 1 AS n, row_number() OVER (PARTITION BY conv_id, turn ORDER BY substr(text, p + 1)) - 1 AS rank, substr(text, p + 1) AS suffix, pattern
+      FROM (SELECT *, unnest(range(0, length(text) + 1)) AS p FROM {_TURNS_SQL}))
+    SELECT h.conv_id, h.turn, h.pattern, CAST(h.rank AS BIGINT) AS rank, CAST(min((h.p - s.p + h.n) % h.n) AS INTEGER) AS steps
+    FROM r h JOIN r s ON s.conv_id = h.conv_id AND s.turn = h.turn AND s.rank % 10 = 0
+    WHERE starts_with(h.suffix, h.pattern) AND h.suffix <> '' GROUP BY h.conv_id, h.turn, h.pattern, h.rank""",
+)
+def suffix_offsets_turns(spark, sf_dir):
+    turns = _turns(spark, sf_dir)
+    index = fm_index.build_fm_index(turns, "key", "text")
+    found = fm_index.backward_search(index, turns.where("text <> ''"), "pattern")
+    steps = fm_index.suffix_offsets(index, found, 10)
+    return steps.select("key.conv_id", "key.turn", "pattern", "rank", F.col("offset").alias("steps"))
+
+
 _NODES_SQL = f"""WITH subs AS (SELECT DISTINCT seq_id, substr(seq, p + 1, n) AS w, substr(seq, p + 1 + n, 1) AS nxt FROM (
     SELECT seq_id, seq, p, unnest(range(1, length(seq) - p + 1)) AS n FROM {_SUFFIXES_SQL})),
     nodes AS (SELECT seq_id, w, CAST(length(w) AS BIGINT) AS depth, max(CASE WHEN nxt = '' THEN 32 - length(w) END) AS terminal FROM subs GROUP BY seq_id, w
@@ -949,11 +1003,12 @@ def dominant_probability(spark, sf_dir):
     SELECT n + 1, list_transform(range(0, n + 2), lambda k: CASE WHEN k = 0 OR k = n + 1 THEN 1 ELSE row[k] + row[k + 1] END) FROM pascal WHERE n < 64)
     SELECT p_partkey, CAST(CASE WHEN k > p_size THEN 0 ELSE x.row[k + 1] END AS BIGINT) AS choose,
     CAST(round(CASE WHEN k > p_size THEN 0 ELSE x.row[k + 1] * pow(0.25, k) * pow(0.75, p_size - k) END * 1000000) AS BIGINT) AS pmf_e6,
-    CAST(round(list_sum(list_transform(range(tail, CAST(pow(2, g) AS BIGINT) + 1), lambda i: y.row[i + 1] * pow(0.25, i) * pow(0.75, pow(2, g) - i))) * 1000000) AS BIGINT) AS tail_e6
-    FROM (SELECT p_partkey, p_size, p_partkey % 12 AS k, p_partkey % 7 AS g, p_partkey % CAST(1 + pow(2, p_partkey % 7) AS BIGINT) AS tail FROM part) JOIN pascal x ON x.n = p_size JOIN pascal y ON y.n = pow(2, g)""",
+    CAST(round(list_sum(list_transform(range(tail, CAST(pow(2, g) AS BIGINT) + 1), lambda i: exp(lgamma(pow(2, g) + 1) - lgamma(i + 1) - lgamma(pow(2, g) - i + 1)
+      + i * ln(0.25) + (pow(2, g) - i) * ln(0.75)))) * 1000000) AS BIGINT) AS tail_e6
+    FROM (SELECT p_partkey, p_size, p_partkey % 12 AS k, p_partkey % 15 AS g, p_partkey % CAST(1 + pow(2, p_partkey % 15) AS BIGINT) AS tail FROM part) JOIN pascal x ON x.n = p_size""",
 )
 def binomial(spark, sf_dir):
-    n, k, g = F.col("p_size").cast("bigint"), F.col("p_partkey") % 12, F.col("p_partkey") % 7
+    n, k, g = F.col("p_size").cast("bigint"), F.col("p_partkey") % 12, F.col("p_partkey") % 15
     tail = F.col("p_partkey") % (1 + F.pow(F.lit(2), g).cast("bigint"))
     return table(spark, sf_dir, "part").select(
         "p_partkey",
