@@ -179,8 +179,17 @@ def train(docs: DataFrame, key: str, text: str, lang: str, per_language: int = 3
     total = sum(s["n"] for s in shards)
     mean = sum(np.frombuffer(bytes(s["w"]), np.float32).reshape(BUCKETS, -1).astype(np.float64) * (s["n"] / total) for s in shards)
     model = Model(languages, mean * idf[:, None] * SCALE, 1.0)
-    kept = sample.where(F.col("_part") < SHARDS).select("_text", "_lang").toPandas()
-    model.temperature = temperature(logits(kept["_text"].tolist(), model.weights), np.array([languages.index(x) for x in kept["_lang"]], int))
+    weighted = docs.sparkSession.sparkContext.broadcast(model.weights)
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "_text", 1 << 20):
+            found = logits(part["_text"].to_pylist(), weighted.value)
+            yield pa.RecordBatch.from_arrays([part["_lang"], pa.array(list(found), pa.list_(pa.float64()))], ["_lang", "x"])
+
+    kept = sample.where(F.col("_part") < SHARDS).mapInArrow(scored, "_lang string, x array<double>").collect()
+    if kept:
+        labels = np.array([languages.index(r["_lang"]) for r in kept])
+        model.temperature = temperature(np.array([r["x"] for r in kept]), labels)
     return model
 
 
