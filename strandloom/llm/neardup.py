@@ -153,8 +153,8 @@ def _estimates(pairs: DataFrame, sketches: DataFrame, threshold: float, kind: st
     return both.mapInArrow(_estimated(threshold), f"a {kind}, b {kind}, estimate double")
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame, kind: str) -> DataFrame:
-    """Full shingle sets of the wanted documents. A bitmap of fixed size keeps other texts from
+def _sets_of(docs: DataFrame, wanted: DataFrame, kind: str, width: type = np.uint64) -> DataFrame:
+    """Shingle sets of the wanted documents, as numbers of this width. A bitmap of fixed size keeps other texts from
     being hashed and shuffled; where it is full, the join alone decides."""
     place = F.pmod(F.xxhash64(F.col("_key").cast("string")), F.lit(_BITS))
     marks = wanted.select(place.alias("_p")).groupBy(F.expr("bitmap_bucket_number(_p)").alias("_b")).agg(
@@ -173,7 +173,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, kind: str) -> DataFrame:
             for part in slices(iter([batch.filter(pa.array(hit.astype(bool)))]), "_text"):
                 sets, size = shingle_sets(words(part["_text"], fold=True))
                 ends = np.cumsum(size)
-                cells = [sets[e - s : e].tobytes() for e, s in zip(ends, size, strict=True)]
+                cells = [sets[e - s : e].astype(width).tobytes() for e, s in zip(ends, size, strict=True)]
                 yield pa.RecordBatch.from_arrays([part["_key"], pa.array(cells, pa.binary())], ["_key", "_set"])
 
     placed = docs.withColumn("_p", place).withColumns(
@@ -206,56 +206,55 @@ def _links(pairs: DataFrame, sets: DataFrame, threshold: float, kind: str) -> Da
         return checkpointed(both.mapInArrow(_verified(threshold), f"a {kind}, b {kind}"))
 
 
-def _unpacked(block: list[dict]) -> tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Keys, components, set sizes, all shingles and their owners."""
-    sets = [np.frombuffer(x["_set"], np.uint64) for x in block]
-    size = np.array([len(v) for v in sets], np.int64)
-    parts = np.unique([str(x["component"]) for x in block], return_inverse=True)
-    names = np.array([hash(n) for n in parts[0]])
-    return [x["_key"] for x in block], names[parts[1]], size, np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
-
-
 def _block_links(threshold: float):
-    """Compare two blocks exactly; one link for every two components that have any."""
+    """Compare the documents of one or two blocks on 32 bits of every shingle, which can only
+    make them more alike. For every two components, the most similar pair that reaches the threshold is a candidate."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            kind = batch["_rows"].type.value_type.field("_key").type
             for i in range(batch.num_rows):
-                ka, ca, na, va, oa = _unpacked(batch["_left"][i].as_py())
-                kb, cb, nb, vb, ob = _unpacked(batch["_right"][i].as_py())
-                shared = np.intersect1d(va, vb)
-                both = np.zeros((len(ka), len(kb)), np.float32)
-                at_a, at_b = (np.searchsorted(shared, v) for v in (va, vb))
-                in_a, in_b = (shared[np.minimum(at, len(shared) - 1)] == v if len(shared) else np.zeros(len(v), bool) for at, v in ((at_a, va), (at_b, vb)))
-                for low in range(0, len(shared), 4096):  # as products of 0/1 matrices
-                    one, other = np.zeros((len(ka), 4096), np.float32), np.zeros((len(kb), 4096), np.float32)
-                    for matrix, at, owner, use in ((one, at_a, oa, in_a), (other, at_b, ob, in_b)):
-                        pick = use & (at >= low) & (at < low + 4096)
-                        matrix[owner[pick], at[pick] - low] = 1
-                    both += one @ other.T
-                union = na[:, None] + nb[None, :] - both
-                hit = (100 * both >= round(100 * threshold) * union) & (ca[:, None] != cb[None, :])
-                rows, columns = np.nonzero(hit)
-                pairs = np.stack([ca[rows], cb[columns]], 1)
-                keep = np.unique(pairs, axis=0, return_index=True)[1] if len(rows) else []
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([ka[rows[k]] for k in keep], batch.schema.field("_kind").type), pa.array([kb[columns[k]] for k in keep], batch.schema.field("_kind").type)],
-                    ["a", "b"],
-                )
+                block = batch["_rows"][i].as_py()
+                sets = [np.frombuffer(x["_set"], np.uint32) for x in block]
+                size, part = (np.array([x[c] for x in block]) for c in ("_n", "component"))
+                first = np.array([x["_block"] for x in block]) == min(x["_block"] for x in block)
+                owner = np.repeat(np.arange(len(sets)), [len(v) for v in sets])
+                shingle, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+                # Only shingles of several documents matter; as products of 0/1 matrices.
+                number = np.cumsum(times > 1) - 1
+                use = times[at] > 1
+                owner, at = owner[use], number[at[use]]
+                rows, columns = np.flatnonzero(first), np.arange(len(sets)) if first.all() else np.flatnonzero(~first)
+                both = np.zeros((len(rows), len(columns)), np.float32)
+                for low in range(0, int((times > 1).sum()), 4096):
+                    pick = (at >= low) & (at < low + 4096)
+                    matrix = np.zeros((len(sets), 4096), np.float32)
+                    matrix[owner[pick], at[pick] - low] = 1
+                    both += matrix[rows] @ matrix[columns].T
+                union = size[rows][:, None] + size[columns][None, :] - both
+                hit = (100 * both >= round(100 * threshold) * union) & (part[rows][:, None] != part[columns][None, :])
+                best: dict[tuple, tuple] = {}
+                for r, c in zip(*np.nonzero(hit), strict=True):
+                    x, y = block[rows[r]], block[columns[c]]
+                    pair = tuple(sorted((x["component"], y["component"])))
+                    best[pair] = max(best.get(pair, (0.0,)), (float(both[r, c] / union[r, c]), *sorted((x["_key"], y["_key"]))))
+                ends = [pa.array([v[k] for v in best.values()], kind) for k in (1, 2)]
+                yield pa.RecordBatch.from_arrays(ends, ["a", "b"])
 
     return run
 
 
 def _across(placed: DataFrame, sets: DataFrame, threshold: float, kind: str) -> DataFrame:
-    """Links between documents of one bucket in different components. A bucket is dealt into blocks
-    of about `BLOCK_BYTES`, and every two blocks are compared as a whole, so no pairs are emitted."""
-    full = placed.join(sets, "_key").withColumn("_block", F.pmod(F.xxhash64(F.col("_key").cast("string")), F.col("_blocks")))
-    blocks = full.groupBy("_band", "_block").agg(F.collect_list(F.struct("_key", "component", "_set")).alias("_rows"))
-    left = blocks.select("_band", F.col("_block").alias("_i"), F.col("_rows").alias("_left"), F.lit(None).cast(kind).alias("_kind"))
-    right = blocks.select("_band", F.col("_block").alias("_j"), F.col("_rows").alias("_right"))
-    work = left.join(right, "_band").where("_i <= _j").select("_left", "_right", "_kind")
+    """Candidates between documents of one bucket in different components. A bucket is dealt into
+    blocks of about `BLOCK_BYTES`, and every two blocks are compared as a whole, so that no pairs are
+    emitted. A row goes to each pair of blocks that its own is in: once in most buckets."""
+    block = F.pmod(F.xxhash64(F.col("_key").cast("string")), F.col("_blocks")).cast("int")
+    dealt = placed.withColumn("_block", block).withColumn("_other", F.explode(F.sequence(F.lit(0), (F.col("_blocks") - 1).cast("int"))))
+    pair = F.struct(F.least("_block", "_other").alias("i"), F.greatest("_block", "_other").alias("j"))
+    one = F.struct("_key", "component", "_n", "_block", "_set")
+    groups = dealt.withColumn("_pair", pair).join(sets, "_key").groupBy("_band", "_pair").agg(F.collect_list(one).alias("_rows"))
     with batches_of(sets.sparkSession, 4):
-        return checkpointed(work.mapInArrow(_block_links(threshold), f"a {kind}, b {kind}"))
+        return checkpointed(groups.select("_rows").mapInArrow(_block_links(threshold), f"a {kind}, b {kind}")).distinct()
 
 
 def components(docs: DataFrame, key: str, text: str, threshold: float = 0.75) -> DataFrame:
@@ -313,9 +312,11 @@ def components(docs: DataFrame, key: str, text: str, threshold: float = 0.75) ->
     mixed_bands = mixed_bands.where("_x <> _y").select("_band", "_blocks")
     placed = checkpointed(placed.join(mixed_bands, "_band"))
     if not placed.isEmpty():
-        sets = _sets_of(rows, placed.select("_key").distinct(), kind)
-        links = links.union(_across(placed, sets, threshold, kind))
-        parts = joined_up(links)
+        more = checkpointed(_across(placed, _sets_of(rows, placed.select("_key").distinct(), kind, np.uint32), threshold, kind))
+        if not more.isEmpty():
+            ends = more.select(F.explode(F.array("a", "b")).alias("_key")).distinct()
+            links = links.union(_links(more, _sets_of(rows, ends, kind), threshold, kind))
+            parts = joined_up(links)
     found = classes.join(parts.withColumnRenamed("node", "_rep"), "_rep").select("_n", "_h1", "_h2", F.col("component").alias("_c"))
     out = sketches.select("_key", "_n", "_h1", "_h2").join(found, ["_n", "_h1", "_h2"], "left")
     component = F.when(F.col("_key").isNotNull(), F.coalesce("_c", "_key"))
