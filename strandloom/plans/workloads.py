@@ -5,6 +5,7 @@ Every query runs over whole tables and whole texts. Fractions are compared as sc
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,7 +40,7 @@ from strandloom.plans.bridges import (
     text_dna,
     text_dna_sql,
 )
-from strandloom.plans.session import checkpointed
+from strandloom.plans.session import checkpointed, shared_folder
 from strandloom.sources import fasta, simulate, text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -166,6 +167,69 @@ def fasta_roundtrip(spark, sf_dir):
     return parsed.select("seq_id", "seq_idx", "description", "seq")
 
 
+_LINE = 60
+_FILES_SQL = f"(SELECT seq_id, seq, seq_id || ':' || length(seq) AS description FROM {documents_sql()})"
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/files-{uuid.uuid4().hex}"
+
+
+def _pieces(docs: DataFrame) -> DataFrame:
+    cut = F.regexp_extract_all("seq", F.lit(f"(.{{1,{_LINE}}})"), F.lit(1))
+    return docs.select("seq_id", F.posexplode(cut).alias("pos", "piece"))
+
+
+@query("fasta_files", f"SELECT description, seq FROM {_FILES_SQL}")
+def fasta_files(spark, sf_dir):
+    """Whole documents through the FASTA sink and source."""
+    docs, path = documents(spark, sf_dir), _folder(spark)
+    fasta.write_fasta(docs, "seq_id", "seq", path)
+    return fasta.read_fasta(spark, path, "dna").select("description", "seq")
+
+
+@query(
+    "line_files",
+    f"""SELECT line, count(*) AS n FROM (SELECT '>' || description AS line FROM {_FILES_SQL} WHERE seq <> '' UNION ALL
+    SELECT substr(seq, CAST(i AS BIGINT), {_LINE}) FROM (SELECT seq, unnest(range(1, length(seq) + 1, {_LINE})) AS i FROM {_FILES_SQL})) GROUP BY line""",
+)
+def line_files(spark, sf_dir):
+    """The lines of the files that the sink of pieces writes."""
+    path = _folder(spark)
+    fasta.write_fasta_pieces(_pieces(documents(spark, sf_dir)), "seq_id", "pos", "piece", path)
+    return text.read_lines(spark, path).groupBy("line").agg(F.count("*").alias("n"))
+
+
+@query("sequence_files", f"SELECT seq, count(*) AS n FROM {documents_sql()} GROUP BY seq")
+def sequence_files(spark, sf_dir):
+    """Sequences written with blanks in between and read without them."""
+    docs, path = documents(spark, sf_dir), _folder(spark)
+    spaced = docs.select("seq_id", F.concat(F.lit(" "), F.regexp_replace("seq", "(..........)", "$1 \t"), F.lit(" ")).alias("value"))
+    text.write_ordered(spaced, ["seq_id"], "value", path)
+    return text.read_sequence(spark, path, "dna").groupBy("seq").agg(F.count("*").alias("n"))
+
+
+@query(
+    "symbol_ops",
+    f"""SELECT p_partkey, array_to_string(string_split(seq, ''), '-') AS symbols, substr('$ACGT', 1 + p_partkey % 5, 1) AS symbol,
+    CAST(instr('$ACGT', substr(seq, 1, 1)) - 1 AS INTEGER) AS after_sentinel, CAST(instr('ACGT#', substr('ACGT#', 1 + p_partkey % 5, 1)) - 1 AS INTEGER) AS before_sentinel,
+    array_to_string(list_transform(range(1, length(s) + 1), lambda i: coalesce(list_max(list_filter(range(1, i), lambda b: right(left(s, i), b) = left(s, b))), 0)), ' ') AS borders
+    FROM (SELECT p_partkey, seq, left(seq, p_partkey % 20) AS s FROM (SELECT p_partkey, {key_dna_sql('p_partkey')} AS seq FROM part))""",
+)
+def symbol_ops(spark, sf_dir):
+    df = table(spark, sf_dir, "part").select("p_partkey", key_dna("p_partkey").alias("seq"))
+    start = F.left("seq", (F.col("p_partkey") % 20).cast("int"))
+    place = (F.col("p_partkey") % 5).cast("int")
+    return df.select(
+        "p_partkey",
+        F.array_join(text.symbols_of(F.concat(F.lit(" "), "seq", F.lit("\n")), "dna"), "-").alias("symbols"),
+        alphabet.symbol_at(place, "dna", "first").alias("symbol"),
+        alphabet.symbol_index(F.left("seq", F.lit(1)), "dna", "first").alias("after_sentinel"),
+        alphabet.symbol_index(alphabet.symbol_at(place, "dna", "last"), "dna", "last").alias("before_sentinel"),
+        F.array_join(strings.border_array_simple(start).cast("array<string>"), " ").alias("borders"),
+    )
+
+
 # ---- composition and translation ----------------------------------------------------------
 
 
@@ -1157,7 +1221,26 @@ def assembly_layout(spark, sf_dir):
     return assembly.place_copies(built, reads, "read", "seq").select("read", "contig", "offset")
 
 
-@query("simulate_reads")
+def _drawn_sql(*of: str) -> str:
+    return f"CAST('0x' || substr(md5('1:' || {" || ':' || ".join(of)}), 1, 15) AS BIGINT)"
+
+
+@query(
+    "random_genomes",
+    f"""SELECT p_partkey, CAST(pos // 40 AS BIGINT) AS block, string_agg(CASE WHEN (n >> 30) < 429496730 THEN CASE WHEN n % 2 = 0 THEN 'C' ELSE 'G' END
+      WHEN n % 2 = 0 THEN 'A' ELSE 'T' END, '' ORDER BY pos) AS seq
+    FROM (SELECT p_partkey, pos, {_drawn_sql('p_partkey', 'pos')} AS n FROM (SELECT p_partkey, unnest(range(0, 50 + p_size)) AS pos FROM part)) GROUP BY p_partkey, pos // 40""",
+)
+def random_genomes(spark, sf_dir):
+    sizes = table(spark, sf_dir, "part").select("p_partkey", (50 + F.col("p_size")).cast("bigint").alias("length"))
+    return simulate.random_genomes(sizes, "p_partkey", "length", 0.4, 1, 40)
+
+
+@query(
+    "simulate_reads",
+    f"""SELECT seq_id, read, start0, CAST(30 AS BIGINT) AS len, substr(seq, CAST(start0 + 1 AS BIGINT), 30) AS seq, read || ':' || (start0 + 1) || ':30' AS description
+    FROM (SELECT seq_id, seq, CAST(read AS BIGINT) AS read, {_drawn_sql('seq_id', 'read')} % 66 AS start0 FROM (SELECT seq_id, seq, unnest(range(0, 8)) AS read FROM {parts_sql(3)}))""",
+)
 def simulate_reads(spark, sf_dir):
     return simulate.simulate_reads(parts(spark, sf_dir, 3), "seq_id", "seq", 30, 2.5, width=32)
 

@@ -2,27 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.plans.ordering import ordered_concat
 
 
-def random_genome(spark: SparkSession, length: int, gc: float = 0.4, seed: int = 1, width: int = 1000) -> DataFrame:
-    """A genome as blocks `(block, seq)` of `width` bases, each base G or C with chance `gc`.
+def drawn(seed: int, *of: Column) -> Column:
+    """A number from 0 to 2^60 - 1 from the digest of the seed and what it is drawn for, so that it
+    neither depends on how rows are dealt to tasks nor on the engine."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *(c.cast("string") for c in of))), 1, 15), 16, 10).cast("bigint")
 
-    A base is drawn from a hash of the seed and its position, so it does not depend on how
-    positions are dealt to tasks.
-    """
 
-    def draw(n: int):
-        return F.pmod(F.xxhash64(F.lit(seed), F.lit(n), F.col("id")), F.lit(1 << 30)) / float(1 << 30)
+def random_genomes(df: DataFrame, key: str, length: str, gc: float = 0.4, seed: int = 1, width: int = 1000) -> DataFrame:
+    """A genome of `length` bases for every row, as blocks `(key, block, seq)` of `width` bases. A base
+    is G or C with chance `gc`."""
+    last = F.floor((F.col(length) - 1) / width)
+    blocks = df.where(F.col(length) > 0).select(key, length, F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("block"))
+    until = F.least((F.col("block") + 1) * width, F.col(length)) - 1
+    bases = blocks.select(key, "block", F.explode(F.sequence(F.col("block") * width, until)).alias("pos"))
+    n = drawn(seed, F.col(key), F.col("pos"))
+    strong = F.shiftright(n, 30) < round(gc * (1 << 30))
+    even = n.bitwiseAND(F.lit(1)) == 0
+    base = F.when(strong, F.when(even, "C").otherwise("G")).otherwise(F.when(even, "A").otherwise("T"))
+    return ordered_concat(bases.withColumn("base", base), [key, "block"], "pos", "base", "seq", width)
 
-    base = F.when(draw(0) < gc, F.when(draw(1) < 0.5, "C").otherwise("G")).otherwise(F.when(draw(1) < 0.5, "A").otherwise("T"))
-    bases = spark.range(length).select(
-        F.floor(F.col("id") / width).alias("block"), (F.col("id") % width).alias("pos"), base.alias("base")
-    )
-    return ordered_concat(bases, ["block"], "pos", "base", "seq", width)
+
+def random_genome(spark: SparkSession, length: int, gc: float = 0.4, seed: int = 1, width: int = 1000) -> DataFrame:
+    """One genome as blocks `(block, seq)`."""
+    one = spark.range(1).select("id", F.lit(length).cast("bigint").alias("length"))
+    return random_genomes(one, "id", "length", gc, seed, width).select("block", "seq")
 
 
 def genome_blocks(genomes: DataFrame, key: str, seq: str, width: int = 1000) -> DataFrame:
@@ -43,9 +52,7 @@ def read_positions(genomes: DataFrame, key: str, length: str, read_len: int, dep
     last = F.least((F.col("_b") + 1) * 4096, F.col("_n")) - 1
     numbered = blocks.select(key, length, F.explode(F.sequence(F.col("_b") * 4096, last)).alias("read"))
     room = F.greatest(F.col(length) - read_len, F.lit(1))
-    # The start hashes the read's own key, so it does not depend on how rows are spread.
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col("read")), room)
-    return numbered.select(key, "read", draw.alias("start0"), F.lit(read_len).cast("bigint").alias("len"))
+    return numbered.select(key, "read", (drawn(seed, F.col(key), F.col("read")) % room).alias("start0"), F.lit(read_len).cast("bigint").alias("len"))
 
 
 def simulate_reads(
