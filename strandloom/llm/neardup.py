@@ -14,8 +14,8 @@ allow the threshold, if its one-bit signatures differ in no more places, and if
 no lower, than six standard deviations allow at the threshold. What goes on is verified on the
 full sets.
 
-A bucket of m documents does not emit m squared pairs. First each document is compared with two
-leaders of each of its buckets, then components are formed, and only buckets that hold several
+A bucket of m documents does not emit m squared pairs. First each document is compared with the most
+similar of the leaders, two of each of its buckets, then components are formed, and only buckets that hold several
 components are compared in full, block by block, on the full sets. No candidate is capped or left out, as a pair inside
 a component adds no link that could change the result.
 
@@ -289,20 +289,12 @@ def components(docs: DataFrame, key: str, text: str, threshold: float = 0.75) ->
     def joined_up(links: DataFrame) -> DataFrame:
         return checkpointed(connected_components(reps.select(F.col("_key").alias("node")), links, "node", "a", "b"))
 
-    def across(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-        """Pairs whose ends are in different components so far."""
-        left = parts.select(F.col("node").alias("a"), F.col("component").alias("_ca"))
-        right = parts.select(F.col("node").alias("b"), F.col("component").alias("_cb"))
-        return pairs.join(left, "a").join(right, "b").where("_ca <> _cb")
-
     # The most similar leader of each document first: most components are found with those.
     ends = stars.select("a", "b", "estimate", F.explode(F.array("a", "b")).alias("_end"))
     best = ends.groupBy("_end").agg(F.max(F.struct("estimate", "a", "b")).alias("_best")).select("_best.a", "_best.b").distinct()
-    sets = _sets_of(rows, ends.select(F.col("_end").alias("_key")).distinct(), kind)
-    links = _links(best, sets, threshold, kind)
-    parts = joined_up(links)
-    rest = across(stars, parts).select("a", "b").subtract(best)
-    links = links.union(_links(rest, sets, threshold, kind))
+    best = checkpointed(best)
+    members = best.select(F.explode(F.array("a", "b")).alias("_key")).distinct()
+    links = _links(best, _sets_of(rows, members, kind), threshold, kind)
     parts = joined_up(links)
 
     # Then everything else that shares a bucket across components.
