@@ -658,6 +658,28 @@ def suffix_offsets_turns(spark, sf_dir):
     return steps.select("key.conv_id", "key.turn", "pattern", "rank", F.col("offset").alias("steps"))
 
 
+@query(
+    "border_array_turns",
+    """SELECT conv_id, turn, CAST(max(z) AS INTEGER) AS longest, CAST(max(CASE WHEN p + z = length(text) THEN z ELSE 0 END) AS INTEGER) AS last FROM (
+    SELECT *, CASE WHEN substr(text, p + 1, 1) = left(text, 1) AND p < length(text)
+      THEN list_max(list_filter(range(1, length(text) - p + 1), lambda l: left(text, l) = substr(text, p + 1, l))) ELSE 0 END AS z
+    FROM (SELECT conv_id, turn, text, unnest(range(1, length(text) + 1)) AS p FROM conversations)) GROUP BY conv_id, turn""",
+)
+def border_array_turns(spark, sf_dir):
+    borders = strings.border_array(F.col("text"))
+    turns = table(spark, sf_dir, "conversations").where("text <> ''")
+    return turns.select("conv_id", "turn", F.array_max(borders).alias("longest"), F.element_at(borders, -1).alias("last"))
+
+
+@query(
+    "suffix_array_turns",
+    """SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id, turn ORDER BY substr(text, p + 1)) - 1 AS BIGINT) AS rank, CAST(p AS BIGINT) AS pos0
+    FROM (SELECT conv_id, turn, text, unnest(range(0, length(text))) AS p FROM conversations)""",
+)
+def suffix_array_turns(spark, sf_dir):
+    return suffix.suffix_array(_turns(spark, sf_dir), "key", "text").select("key.conv_id", "key.turn", "rank", "pos0")
+
+
 _NODES_SQL = f"""WITH subs AS (SELECT DISTINCT seq_id, substr(seq, p + 1, n) AS w, substr(seq, p + 1 + n, 1) AS nxt FROM (
     SELECT seq_id, seq, p, unnest(range(1, length(seq) - p + 1)) AS n FROM {_SUFFIXES_SQL})),
     nodes AS (SELECT seq_id, w, CAST(length(w) AS BIGINT) AS depth, max(CASE WHEN nxt = '' THEN 32 - length(w) END) AS terminal FROM subs GROUP BY seq_id, w
