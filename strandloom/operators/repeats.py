@@ -1,26 +1,26 @@
 """Longest repeated and longest common substrings.
 
-A substring that occurs often enough has prefixes that do, so the length is found by
+Repeats come from the suffix index. A substring common to all texts of a group has prefixes that are, so its length is found by
 bisection for all groups at once: log2(length) rounds of counting substrings of one length
 per group. Counts are combined before the shuffle.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions.alphabet import let
 from strandloom.functions.strings import kmers, longest_common_substring
+from strandloom.operators.suffix import build_suffix_index
 from strandloom.plans.session import checkpointed
 
 
-def _longest(df: DataFrame, key: str, seq: str, needed: DataFrame, once: bool) -> DataFrame:
-    """Longest string found in `_need` windows of its group (once per row if `once`)."""
+def _longest(df: DataFrame, key: str, seq: str, needed: DataFrame) -> DataFrame:
+    """Longest string found in `_need` rows of its group."""
 
     def windows(n: str) -> Column:
-        cut = kmers(F.col(seq), F.col(n))
-        return F.array_distinct(cut) if once else cut
+        return F.array_distinct(kmers(F.col(seq), F.col(n)))
 
     rows = df.select(key, seq)
     state = checkpointed(
@@ -60,15 +60,38 @@ def _longest(df: DataFrame, key: str, seq: str, needed: DataFrame, once: bool) -
     return state.select(key).join(best, key, "left").select(key, F.coalesce("_best", F.lit("")).alias("substring"))
 
 
+def _sliding_min(near: DataFrame, key: str, width: int, block: int = 1 << 16) -> DataFrame:
+    """Add `_least`, the minimum of `lcp` over the `width` ranks up to the row; rows with fewer before
+    them have none. Ranks are cut into blocks that repeat the end of the block before, so that no
+    window holds a whole text."""
+    block = max(block, 2 * width)
+    own = F.floor(F.col("rank") / block)
+    again = F.col("rank") % block >= block - (width - 1)
+    rows = near.withColumn("_own", own).withColumn("_block", F.explode(F.when(again, F.array(own, own + 1)).otherwise(F.array(own))))
+    up_to = Window.partitionBy(key, "_block").orderBy("rank").rowsBetween(-(width - 1), 0)
+    least = F.when(F.count("*").over(up_to) == width, F.min("lcp").over(up_to))
+    return rows.withColumn("_least", least).where("_own = _block AND _least IS NOT NULL").drop("_own", "_block")
+
+
 def longest_repeat(df: DataFrame, key: str, seq: str, k: int) -> DataFrame:
     """Per text (unique `key`), the longest substring with at least k occurrences, overlaps
-    counted: `(key, substring)`. Of equally long ones, the first in alphabetical order."""
-    return _longest(df, key, seq, df.select(key, F.lit(k).cast("bigint").alias("_need")), once=False)
+    counted: `(key, substring)`. Of equally long ones, the first in alphabetical order.
+
+    In the order of the suffixes, k suffixes in a row share what the shortest of the k - 1 common
+    prefixes between them is, so the answer is the largest minimum of k - 1 neighbours.
+    """
+    if k < 2:
+        return df.select(key, F.col(seq).alias("substring"))
+    near = build_suffix_index(df, key, seq).neighbours().select(key, "rank", "pos0", "lcp")
+    runs = _sliding_min(near, key, k - 1).where("_least > 0")
+    best = runs.groupBy(key).agg(F.max(F.struct("_least", (-F.col("rank")).alias("_first"), "pos0")).alias("_best"))
+    found = F.substring(F.col(seq), (F.col("_best.pos0") + 1).cast("int"), F.col("_best._least").cast("int"))
+    return df.select(key, seq).join(best, key, "left").select(key, F.coalesce(found, F.lit("")).alias("substring"))
 
 
 def common_substring(df: DataFrame, group: str, seq: str) -> DataFrame:
     """Longest substring common to all texts of each group, the first in alphabetical order."""
-    return _longest(df, group, seq, df.groupBy(group).agg(F.count("*").alias("_need")), once=True)
+    return _longest(df, group, seq, df.groupBy(group).agg(F.count("*").alias("_need")))
 
 
 def common_substring_fold(texts: Column) -> Column:

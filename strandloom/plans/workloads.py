@@ -680,6 +680,19 @@ def suffix_array_turns(spark, sf_dir):
     return suffix.suffix_array(_turns(spark, sf_dir), "key", "text").select("key.conv_id", "key.turn", "rank", "pos0")
 
 
+@query(
+    "longest_repeat_turns",
+    """WITH s AS (SELECT conv_id, turn, substr(text, p + 1) AS a FROM (SELECT conv_id, turn, text, unnest(range(0, length(text))) AS p FROM conversations)),
+    n AS (SELECT *, lag(a) OVER (PARTITION BY conv_id, turn ORDER BY a) AS b FROM s),
+    l AS (SELECT conv_id, turn, a, coalesce(list_max(list_filter(range(1, 1 + CASE WHEN left(a, 20) = left(b, 20) THEN least(length(a), length(b)) ELSE least(20, length(b)) END),
+      lambda i: left(a, i) = left(b, i))), 0) AS lcp FROM n WHERE b IS NOT NULL),
+    t AS (SELECT conv_id, turn, left(a, lcp) AS substring, row_number() OVER (PARTITION BY conv_id, turn ORDER BY lcp DESC, a) AS r FROM l)
+    SELECT c.conv_id, c.turn, coalesce(substring, '') AS substring FROM conversations c LEFT JOIN t ON t.conv_id = c.conv_id AND t.turn = c.turn AND r = 1""",
+)
+def longest_repeat_turns(spark, sf_dir):
+    return repeats.longest_repeat(_turns(spark, sf_dir), "key", "text", 2).select("key.conv_id", "key.turn", "substring")
+
+
 _NODES_SQL = f"""WITH subs AS (SELECT DISTINCT seq_id, substr(seq, p + 1, n) AS w, substr(seq, p + 1 + n, 1) AS nxt FROM (
     SELECT seq_id, seq, p, unnest(range(1, length(seq) - p + 1)) AS n FROM {_SUFFIXES_SQL})),
     nodes AS (SELECT seq_id, w, CAST(length(w) AS BIGINT) AS depth, max(CASE WHEN nxt = '' THEN 32 - length(w) END) AS terminal FROM subs GROUP BY seq_id, w

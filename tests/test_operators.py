@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import random
 from collections import Counter, defaultdict
 
@@ -310,3 +311,17 @@ def test_fm_index_of_any_text(spark):
     found = fm_index.backward_search(index, spark.createDataFrame(wanted, "k bigint, p string"), "p")
     got = {(r.k, r.pattern, r.pos0) for r in fm_index.locate(index, found).collect()}
     assert got == {(k, p, i) for k, p in set(wanted) for i in range(len(texts[k])) if texts[k].startswith(p, i)}
+
+
+def test_longest_repeat_of_a_long_text(spark, monkeypatch):
+    """10 000 letters, against sorted suffixes; small blocks, so that windows cross their borders."""
+    text = "".join(random.Random(5).choices("AB", k=10_000))
+    order = sorted(range(len(text)), key=lambda p: text[p : p + 200])
+    near = [len(os.path.commonprefix([text[a : a + 200], text[b : b + 200]])) for a, b in zip(order, order[1:])]
+    df = spark.createDataFrame([(1, text), (2, ""), (3, "A"), (4, "ABAB")], "k bigint, s string")
+    monkeypatch.setattr(repeats._sliding_min, "__defaults__", (64,))
+    for k in (2, 4):
+        got = {r.k: r.substring for r in repeats.longest_repeat(df, "k", "s", k).collect()}
+        least = [min(near[i : i + k - 1]) for i in range(len(near) - k + 2)]
+        at = least.index(max(least))
+        assert got == {1: text[order[at] : order[at] + least[at]], 2: "", 3: "", 4: "AB" if k == 2 else ""}
