@@ -21,8 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.batches import lists
+from strandloom.llm.batches import batches_of, lists
 from strandloom.llm.bpe import Vocabulary, encode, shipped, vocabulary
+from strandloom.plans.session import checkpointed
 
 RULES = ("start", "end", "majority", "split")
 
@@ -107,6 +108,7 @@ def token_counts(docs: DataFrame, key: str, text: str, path: str, sections: str
                 section = column if name == "section" else section
             yield pa.RecordBatch.from_arrays([batch["_key"], section, column], ["_key", "section", "n_tokens"])
 
-    out = ids.mapInArrow(run, f"_key {kind}, section array<bigint>, n_tokens array<{number}>")
+    with batches_of(docs.sparkSession, 1000):
+        out = checkpointed(ids.mapInArrow(run, f"_key {kind}, section array<bigint>, n_tokens array<{number}>"))
     pairs = out.select(F.col("_key").alias(key), F.explode(F.arrays_zip("section", "n_tokens")).alias("_pair"))
     return pairs.select(key, "_pair.section", "_pair.n_tokens")

@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm.batches import SEPARATOR, gathered, lists, rebased, slices, strings
+from strandloom.llm.batches import SEPARATOR, batches_of, gathered, lists, rebased, slices, strings
 from strandloom.plans.session import checkpointed
 
 #: Characters of the longest special token at least; no split reaches further.
@@ -84,7 +84,7 @@ class Memo:
     """Ids of parts of texts, each different part encoded once while a worker lives. At most
     about `most` parts are remembered; then it begins anew."""
 
-    def __init__(self, definition: str, most: int = 400_000):
+    def __init__(self, definition: str, most: int = 200_000):
         self.made, self.most = tokenizer(definition), most
         self._clear()
 
@@ -130,7 +130,7 @@ class ByteMemo(Memo):
     """Texts are always split before a blank that follows something else, so the parts between
     such places are encoded for themselves. Texts with odd blanks are encoded whole."""
 
-    def __init__(self, definition: str, most: int = 400_000):
+    def __init__(self, definition: str, most: int = 200_000):
         super().__init__(definition, most)
         self.sizes = _sizes(definition)
 
@@ -246,7 +246,7 @@ def _leaves(definition, text: str, names: list[str]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _memo(definition.value)
-        for part in slices(batches, text, 4 << 20):
+        for part in slices(batches, text, 2 << 20):
             ids = lists(*memo(part[text]), pa.int32())
             yield pa.RecordBatch.from_arrays([*(part[n] for n in names), ids], [*names, "ids"])
 
@@ -370,12 +370,16 @@ def decode(encoded: DataFrame, key: str, ids: str, definition) -> DataFrame:
 
 
 def digests(docs: DataFrame, key: str, text: str, path: str) -> DataFrame:
-    """Encode and decode every text: number of ids, digest of the ids, digest of the decoded text."""
+    """Encode and decode every text: number of ids, digest of the ids, digest of the decoded text.
+    The small result is written, so that the texts can go to Python a thousand at a time."""
     definition = shipped(docs.sparkSession, path)
     both = decode(encode(docs, key, text, definition), key, "ids", definition)
-    return both.select(
-        key,
-        F.size("ids").cast("bigint").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    with batches_of(docs.sparkSession, 1000):
+        return checkpointed(
+            both.select(
+                key,
+                F.size("ids").cast("bigint").alias("n_tokens"),
+                F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+                F.sha2("decoded", 256).alias("decoded_sha256"),
+            )
+        )

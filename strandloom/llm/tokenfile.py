@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandloom.llm.batches import lists, mixed, rebased, salts, slices
+from strandloom.llm.batches import batches_of, lists, mixed, rebased, salts, slices
 from strandloom.llm.bpe import Memo, shipped, tokenizer
 from strandloom.plans.session import checkpointed
 
@@ -77,7 +77,7 @@ class WordMemo(Memo):
     are and fewer different parts.
     """
 
-    def __init__(self, definition: str, most: int = 400_000):
+    def __init__(self, definition: str, most: int = 200_000):
         super().__init__(definition, most)
         tokens = [self.made.id_to_token(i) or "" for i in range(self.made.get_vocab_size())]
         self.ends = np.array([t.endswith("</w>") for t in tokens])
@@ -117,7 +117,7 @@ def _shards(definition, folder: str, end_id: int, kind: str):
         places: list[tuple[np.ndarray, np.ndarray]] = []
 
         def payload() -> Iterator[bytes]:
-            for part in slices(batches, "_text", 4 << 20):
+            for part in slices(batches, "_text", 2 << 20):
                 ids, length = memo(part["_text"])
                 total = length + 1
                 out = np.full(len(ids) + len(length), end_id, kind)
@@ -209,7 +209,8 @@ def write(docs: DataFrame, key: str, text: str, path: str, end_id: int, folder:
     rows = docs.select(F.col(key).cast("bigint").alias("_key"), F.col(text).alias("_text"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(n, "_key").sortWithinPartitions("_key", "_text")
-    places = checkpointed(ordered.mapInArrow(_shards(definition, folder, end_id, kind), _PLACE))
+    with batches_of(spark, 1000):
+        places = checkpointed(ordered.mapInArrow(_shards(definition, folder, end_id, kind), _PLACE))
     # One row per shard.
     sums = places.groupBy("shard").agg(F.sum("n_tokens").alias("_n"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
