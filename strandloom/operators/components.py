@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.plans.session import checkpointed
+from strandloom.plans.session import checkpointed, dropped
 
 
 def _star(edges: DataFrame, larger: bool) -> DataFrame:
@@ -37,7 +37,8 @@ def connected_components(nodes: DataFrame, edges: DataFrame, node: str, src: str
     )
     seen = None
     while True:
-        pairs = checkpointed(_star(_star(pairs, larger=True), larger=False))
+        before, pairs = pairs, checkpointed(_star(_star(pairs, larger=True), larger=False))
+        dropped(before)
         # Done when a round leaves the set of edges as it was.
         now = pairs.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.hash("u", "v").cast("bigint"))).first()
         if now == seen:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from strandloom.constants import SENTINEL_FIRST
 from strandloom.operators.suffix import suffix_array
 from strandloom.plans.ordering import blocked_running_max, blocked_running_sum, dense_index, ordered_concat
-from strandloom.plans.session import checkpointed
+from strandloom.plans.session import checkpointed, dropped
 
 
 def bwt(df: DataFrame, key: str, seq: str) -> DataFrame:
@@ -74,7 +74,8 @@ def bwt_inverse(table: DataFrame, key: str) -> DataFrame:
         moved = hops.where("NOT home").join(ahead, [key, "to"]).select(
             key, "rank", "symbol", F.col("_to").alias("to"), (F.col("dist") + F.col("_dist")).alias("dist"), F.col("_home").alias("home")
         )
-        hops = checkpointed(hops.where("home").union(moved))
+        before, hops = hops, checkpointed(hops.where("home").union(moved))
+        dropped(before)
     letters = hops.where("symbol IS NOT NULL").select(key, (F.col("dist") - 1).alias("pos0"), "symbol")
     texts = ordered_concat(letters, [key], "pos0", "symbol", "seq")
     return table.select(key).distinct().join(texts, key, "left").na.fill("", ["seq"])

@@ -49,4 +49,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_to = path
+    return table
+
+
+def dropped(table: DataFrame) -> None:
+    """Delete what `checkpointed` wrote. For a loop, once the next round's table is written: from
+    then on nothing is read from the old one, not even to make up for a lost executor."""
+    path = getattr(table, "_written_to", None)
+    if path:
+        spark = table.sparkSession
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
