@@ -161,7 +161,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, kind: str, width: type = np.uin
         F.expr("bitmap_construct_agg(bitmap_bit_position(_p))").alias("_map")
     )
     maps = np.zeros((_BITS // 32768 + 1, 4096), np.uint8)
-    for row in marks.toLocalIterator():  # 8 MB at most
+    for row in marks.collect():  # 8 MB at most
         maps[row["_b"]] = np.frombuffer(bytes(row["_map"]), np.uint8)
     shared = docs.sparkSession.sparkContext.broadcast(maps)
 
