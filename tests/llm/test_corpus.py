@@ -227,6 +227,18 @@ def test_lines_against_all_pairs(spark, seed):
     assert linededup.removed_by_document(docs.limit(0), "doc_id", "text").collect() == []
 
 
+
+def test_documents_of_short_lines_stay(spark):
+    footer = "this line stands below all of them"
+    rows = [(1, footer), (2, f"milk\nfour eggs\n{footer}"), (3, footer), (4, f"{footer}\n \t\n"), (5, f"a b c d\n{footer}\n\u00e9"), (6, " \n"), (7, None), (None, f"x\n{footer}")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.text for r in linededup.without_lines(docs, "doc_id", "text").collect()}
+    # A null key is before all others, so its footer is the one that stays.
+    assert got == {2: "milk\nfour eggs", 5: "a b c d\n\u00e9", 6: " \n", 7: None, None: f"x\n{footer}"}
+    staged = stage(spark, "line dedup", [(i, t, "en", "s", 0) for i, t in rows])
+    assert {r.doc_id for r in staged.collect()} == set(got)
+
+
 # ---- queries and pipeline
 
 
