@@ -26,8 +26,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take out lines that repeat an earlier one, and documents of which no line of words is left."""
-    left = linededup.without_lines(docs.select(*COLUMNS), "doc_id", "text")
+    """Take out lines that repeat an earlier one, however short, and documents of which no line of words is left."""
+    left = linededup.without_lines(docs.select(*COLUMNS), "doc_id", "text", least=1)
     return left.withColumn("n_chars", F.length("text").cast("bigint"))
 
 

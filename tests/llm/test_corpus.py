@@ -239,6 +239,19 @@ def test_documents_of_short_lines_stay(spark):
     assert {r.doc_id for r in staged.collect()} == set(got)
 
 
+
+def test_short_lines_against_all_pairs(spark):
+    rows = [*made_lines(1), (600, "Les.\nno no no"), (601, "x\n Les.\nno\n\n"), (602, "a b c d " * 20 + "\nd c b a\n\n \t")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    want = removed_by_hand(rows, least=1)
+    assert want[601] == [1, 2] and want[602] == [1]
+    for r in linededup.removed_by_document(docs, "doc_id", "text", least=1).collect():
+        assert list(r.removed) == want.get(r.doc_id, [])
+    for r in corpus_pipeline.line_dedup(spark, docs, "").collect():
+        lines = (dict(rows)[r.doc_id] or "").split("\n")
+        assert (r.text or "") == "\n".join(x for n, x in enumerate(lines) if n not in want.get(r.doc_id, []))
+
+
 # ---- queries and pipeline
 
 
