@@ -206,16 +206,17 @@ def _links(pairs: DataFrame, sets: DataFrame, threshold: float, kind: str) -> Da
         return checkpointed(both.mapInArrow(_verified(threshold), f"a {kind}, b {kind}"))
 
 
-def _block_links(threshold: float):
-    """Compare the documents of one or two blocks on 32 bits of every shingle, which can only
-    make them more alike. For every two components, the most similar pair that reaches the threshold is a candidate."""
+def _block_links(threshold: float, width: type):
+    """Compare the documents of one or two blocks on shingles of this width. Shingles of one set may fall together
+    when cut, so two sets can share as many more as the one with fewer such has; no pair at the threshold is
+    missed. For every two components, the most similar pair that may reach it is a candidate."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kind = batch["_rows"].type.value_type.field("_key").type
             for i in range(batch.num_rows):
                 block = batch["_rows"][i].as_py()
-                sets = [np.frombuffer(x["_set"], np.uint32) for x in block]
+                sets = [np.unique(np.frombuffer(x["_set"], width)) for x in block]
                 size, part = (np.array([x[c] for x in block]) for c in ("_n", "component"))
                 first = np.array([x["_block"] for x in block]) == min(x["_block"] for x in block)
                 owner = np.repeat(np.arange(len(sets)), [len(v) for v in sets])
@@ -231,6 +232,9 @@ def _block_links(threshold: float):
                     matrix = np.zeros((len(sets), 4096), np.float32)
                     matrix[owner[pick], at[pick] - low] = 1
                     both += matrix[rows] @ matrix[columns].T
+                fallen = size - np.array([len(v) for v in sets])
+                if fallen.any():
+                    both += np.minimum(fallen[rows][:, None], fallen[columns][None, :])
                 union = size[rows][:, None] + size[columns][None, :] - both
                 hit = (100 * both >= round(100 * threshold) * union) & (part[rows][:, None] != part[columns][None, :])
                 best: dict[tuple, tuple] = {}
@@ -244,7 +248,7 @@ def _block_links(threshold: float):
     return run
 
 
-def _across(placed: DataFrame, sets: DataFrame, threshold: float, kind: str) -> DataFrame:
+def _across(placed: DataFrame, sets: DataFrame, threshold: float, kind: str, width: type = np.uint64) -> DataFrame:
     """Candidates between documents of one bucket in different components. A bucket is dealt into
     blocks of about `BLOCK_BYTES`, and every two blocks are compared as a whole, so that no pairs are
     emitted. A row goes to each pair of blocks that its own is in: once in most buckets."""
@@ -254,7 +258,12 @@ def _across(placed: DataFrame, sets: DataFrame, threshold: float, kind: str) ->
     one = F.struct("_key", "component", "_n", "_block", "_set")
     groups = dealt.withColumn("_pair", pair).join(sets, "_key").groupBy("_band", "_pair").agg(F.collect_list(one).alias("_rows"))
     with batches_of(sets.sparkSession, 4):
-        return checkpointed(groups.select("_rows").mapInArrow(_block_links(threshold), f"a {kind}, b {kind}")).distinct()
+        return checkpointed(groups.select("_rows").mapInArrow(_block_links(threshold, width), f"a {kind}, b {kind}")).distinct()
+
+
+def _confirmed(rows: DataFrame, pairs: DataFrame, threshold: float, kind: str) -> DataFrame:
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("_key")).distinct()
+    return _links(pairs, _sets_of(rows, ends, kind), threshold, kind)
 
 
 def components(docs: DataFrame, key: str, text: str, threshold: float = 0.75) -> DataFrame:
@@ -304,11 +313,22 @@ def components(docs: DataFrame, key: str, text: str, threshold: float = 0.75) ->
     mixed_bands = mixed_bands.where("_x <> _y").select("_band", "_blocks")
     placed = checkpointed(placed.join(mixed_bands, "_band"))
     if not placed.isEmpty():
-        more = checkpointed(_across(placed, _sets_of(rows, placed.select("_key").distinct(), kind, np.uint32), threshold, kind))
+        few = _sets_of(rows, placed.select("_key").distinct(), kind, np.uint32)
+        more = checkpointed(_across(placed, few, threshold, kind, np.uint32))
         if not more.isEmpty():
-            ends = more.select(F.explode(F.array("a", "b")).alias("_key")).distinct()
-            links = links.union(_links(more, _sets_of(rows, ends, kind), threshold, kind))
+            found = _confirmed(rows, more, threshold, kind)
+            links = links.union(found)
             parts = joined_up(links)
+            # Where the most similar pair on cut shingles failed, another of the same components may
+            # not; those components are compared anew on whole shingles, where none can fail.
+            ends = more.join(found, ["a", "b"], "left_anti").select(F.explode(F.array("a", "b")).alias("node")).distinct()
+            again = checkpointed(parts.join(ends, "node", "left_semi").select("component").distinct())
+            if not again.isEmpty():
+                placed = placed.drop("component").join(parts.withColumnRenamed("node", "_key"), "_key")
+                placed = checkpointed(placed.join(again, "component", "left_semi"))
+                more = checkpointed(_across(placed, _sets_of(rows, placed.select("_key").distinct(), kind), threshold, kind))
+                links = links.union(_confirmed(rows, more, threshold, kind))
+                parts = joined_up(links)
     found = classes.join(parts.withColumnRenamed("node", "_rep"), "_rep").select("_n", "_h1", "_h2", F.col("component").alias("_c"))
     out = sketches.select("_key", "_n", "_h1", "_h2").join(found, ["_n", "_h1", "_h2"], "left")
     component = F.when(F.col("_key").isNotNull(), F.coalesce("_c", "_key"))

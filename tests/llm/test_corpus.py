@@ -173,6 +173,27 @@ def test_near_duplicates_of_documents(spark):
     check_components(entry.queries()["op7_near_duplicates"](spark, SF), [(r.doc_id, r.text) for r in docs.collect()])
 
 
+def test_cut_shingles_lose_no_pair():
+    shared = [1, 2, 3, 4, 5, 5 + (1 << 32)]  # the last two fall together on 32 bits
+    sets = [np.array([*shared, own], np.uint64) for own in (100, 200)]
+    rows = [{"_key": i, "component": i, "_n": 7, "_block": 0, "_set": v.astype(np.uint32).tobytes()} for i, v in enumerate(sets)]
+    kind = pa.list_(pa.struct([("_key", pa.int64()), ("component", pa.int64()), ("_n", pa.int64()), ("_block", pa.int32()), ("_set", pa.binary())]))
+    batch = pa.RecordBatch.from_arrays([pa.array([rows], kind)], ["_rows"])
+    assert [b.to_pylist() for b in neardup._block_links(0.75, np.uint32)(iter([batch]))] == [[{"a": 0, "b": 1}]]
+
+
+def test_failed_candidates_leave_no_link_out(spark, monkeypatch):
+    """With shingles cut to 8 bits, most of the best pairs fail on the full sets."""
+    sets_of, block_links, widths = neardup._sets_of, neardup._block_links, []
+    monkeypatch.setattr(neardup, "_sets_of", lambda d, w, k, width=np.uint64: sets_of(d, w, k, np.uint8 if width is np.uint32 else width))
+    monkeypatch.setattr(neardup, "_block_links", lambda t, width: widths.append(width) or block_links(t, np.uint8 if width is np.uint32 else width))
+    rng = random.Random(5)
+    base = " ".join(f"w{i}" for i in range(200))
+    rows = list(enumerate(varied(rng, base, s) for s in (0.0, 0.01, 0.02, 0.03, 0.05) for _ in range(16)))
+    check_components(neardup.components(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", "text"), rows)
+    assert widths == [np.uint32, np.uint64]
+
+
 def test_estimate_of_registers():
     rng = np.random.default_rng(4)
     pool = rng.integers(0, 2**63, 3000).astype(np.uint64)
