@@ -10,11 +10,11 @@ from __future__ import annotations
 import uuid
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandloom.llm import bpe, linededup, mixing, neardup, quality
-from strandloom.plans.session import shared_folder
+from strandloom.plans.session import checkpointed, shared_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -32,17 +32,40 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of the smallest id of every group of near-duplicates."""
+    """Keep the document of the smallest id of every group of near-duplicates, and each text of it once."""
     found = neardup.components(docs, "doc_id", "text")
-    kept = found.where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.select(*COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    rows = found.groupBy(F.col("doc_id").alias("_kept")).agg(F.max("kept").alias("_any"), F.count("*").alias("_rows")).where("_any")
+    rows = checkpointed(rows)
+    repeated = (F.col("_rows") > 1) & F.col("_kept").isNotNull()
+    same = F.col("doc_id").eqNullSafe(F.col("_kept"))
+    once = docs.select(*COLUMNS).join(rows.where(~repeated), same, "left_semi")
+    ids = checkpointed(rows.where(repeated))
+    if ids.isEmpty():
+        return once
+    several = docs.select(*COLUMNS).join(ids, same, "left_semi")
+    rest = F.min(F.struct("lang", "source", "n_chars")).alias("_rest")
+    folded = several.groupBy("doc_id", "text").agg(rest).select("doc_id", "text", "_rest.*")
+    return once.unionByName(folded)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat or leave out documents so that every source has its share of words."""
-    mixed = mixing.mix(docs, "doc_id", "text", "source").where("taken > 0")
-    times = mixed.groupBy(F.col("doc_id").alias("_of")).agg(F.max(F.col("taken") / F.col("size")).cast("int").alias("_times"))
-    both = docs.select(*COLUMNS).join(times, F.col("doc_id").eqNullSafe(F.col("_of")))
+    """Repeat or leave out documents so that every source has its share of words.
+
+    Rows of one id, source and text can stand for each other: they have the copies planned for all of
+    them together, each its own."""
+    rows = docs.select(*COLUMNS, F.struct("doc_id", "source", F.xxhash64("text").alias("hash")).alias("_id"))
+    mixed = mixing.mix(rows, "_id", "text", "source").where("size > 0")
+    each = (F.col("taken") / F.col("size")).cast("int")
+    groups = mixed.groupBy("_id").agg(F.min(each).alias("_low"), F.max(each).alias("_high"), F.count("*").alias("_n"), F.sum(each).alias("_sum"))
+    plan = groups.where("_sum > 0").select("_low", "_high", (F.col("_sum") - F.col("_low") * F.col("_n")).alias("_more"), F.col("_id").alias("_of"))
+    plan = checkpointed(plan)
+    same = F.col("_id").eqNullSafe(F.col("_of"))
+    both = rows.join(plan.where("_low = _high"), same).withColumn("_times", F.col("_low"))
+    uneven = checkpointed(plan.where("_low < _high"))
+    if not uneven.isEmpty():
+        place = F.row_number().over(Window.partitionBy("_id").orderBy("lang", "n_chars"))
+        times = F.when(place <= F.col("_more"), F.col("_high")).otherwise(F.col("_low"))
+        both = both.unionByName(rows.join(uneven, same).withColumn("_times", times)).where("_times > 0")
     return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(*COLUMNS)
 
 

@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from strandloom.llm import batches, linededup, neardup, quality
+from strandloom.llm import batches, linededup, mixing, neardup, quality
 from tools.check import TABLES, rows_of
 
 SF = "/root/testdata/sf0.001"
@@ -310,6 +310,25 @@ def test_stages_take_effect(spark):
         assert stage(spark, name, []).collect() == []
 
 
+def test_stages_with_repeated_rows(spark):
+    base, other = (" ".join(f"{c}{i}" for i in range(80)) for c in "wv")
+    near = [(1, base, "en", "s", 1), (1, base, "en", "s", 1), (1, other, "en", "s", 1), (2, base + " more", "en", "s", 1), (4, None, "en", "s", 1), (4, None, "en", "s", 1)]
+    kept = stage(spark, "near dedup", near + [(None, base, "en", "s", 1)] * 2).collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == {(1, base): 1, (1, other): 1, (4, None): 1, (None, base): 2}
+    rows = [(i % 3, "a b c", "en", "s", i) for i in range(15)] + [(None, "x " * (i % 4), None, "t", i) for i in range(30)]
+    rows += [(7, "y " * i, "en", "s", 1) for i in (1, 2, 5)] + [(8, "one two", "en", None, 1)] * 5
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    planned = Counter()
+    for r in mixing.mix(docs, "doc_id", "text", "source").collect():
+        planned[r.source_size] += r.taken
+    size, made = Counter(), Counter()
+    for r in rows:
+        size[r[3]] += len(r[1].split())
+    for r in stage(spark, "source mixing", rows).collect():
+        made[size[r.source]] += len(r.text.split())
+    assert len(set(size.values())) == 3 and made == planned
+
+
 @tables
 def test_pipeline_runs_to_its_end(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
