@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import attribution, bpe, langid, linededup, mixing, neardup, quality, tokenfile, topk, toxicity
+from strandloom.llm import attribution, bpe, langid, linededup, mixing, neardup, quality, tokenfile, topk, toxicity, urlfilter, vectorcode
 from strandloom.plans.session import shared_folder
 
 
@@ -75,6 +75,33 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribution.token_counts(_documents(spark, sf_dir), "doc_id", "text", path, rule="majority")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    coded, books = vectorcode.codes(vectors, "vec_id", "embedding", "label", parts=8, entries=16, rounds=6, factor=4096)
+    rows = vectorcode.with_label_error(coded, "label")
+    return rows.select("vec_id", "code", "error", "label_error", F.lit(vectorcode.digest(books)).alias("codebooks_sha256"))
+
+
+#: Rules of the query, and names of sites whose pages are unwanted. Fixed values.
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+UNWANTED = ["ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
+_UNWANTED_SITE = rf"(?:^|\.)((?:{'|'.join(UNWANTED)})\..*)$"
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list has the sites of unwanted names that occur in the pages, as canonical URLs."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    site = F.regexp_extract(urlfilter.host_of(F.col("url")), _UNWANTED_SITE, 1)
+    listed = pages.select(site.alias("site")).where("site <> ''").select(F.concat("site", F.lit("/")).alias("form"))
+    return urlfilter.judge(pages, "page_id", "url", URL_RULES, listed, "form")
+
+
 QUERIES = {
     "op1_bpe_roundtrip": op1_bpe_roundtrip,
     "op2_toxicity": op2_toxicity,
@@ -86,6 +113,8 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_token_files": op9_token_files,
     "op10_token_counts": op10_token_counts,
+    "op11_vector_codes": op11_vector_codes,
+    "op13_url_filter": op13_url_filter,
 }
 _TOP_K_SQL = """
 WITH v AS (
@@ -137,4 +166,26 @@ SELECT doc_id, coalesce(len(lines), 0) AS n_lines, coalesce(n_removed, 0) AS n_r
 FROM numbered LEFT JOIN listed USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op3_top_k": _TOP_K_SQL, "op8_line_dedup": _LINES_SQL}
+_RULES_SQL = ", ".join(f"('{host}', '{path}', '{verdict}')" for host, path, verdict in URL_RULES)
+
+_URLS_SQL = f"""
+WITH rules(of, start, verdict) AS (VALUES {_RULES_SQL}),
+cut AS (
+  SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), split AS (
+  SELECT page_id, url, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM cut
+), ruled AS (
+  SELECT DISTINCT host, path, arg_max(of || start, len(of || start)) OVER w AS rule, arg_max(verdict, len(of || start)) OVER w AS verdict
+  FROM (SELECT DISTINCT host, path FROM split) JOIN rules ON (host = of OR ends_with(host, '.' || of)) AND starts_with(path, start)
+  WINDOW w AS (PARTITION BY host, path)
+), sites AS (
+  SELECT DISTINCT regexp_extract(host, '{_UNWANTED_SITE}', 1) AS site FROM split
+), hosts AS (
+  SELECT DISTINCT h.host FROM (SELECT DISTINCT host FROM split) h JOIN sites ON site <> '' AND (h.host = site OR ends_with(h.host, '.' || site))
+)
+SELECT page_id, s.host, s.path, rule, CASE WHEN verdict IS NOT NULL THEN verdict WHEN hosts.host IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
+FROM split s LEFT JOIN ruled USING (host, path) LEFT JOIN hosts USING (host)
+"""
+
+ORACLES: dict[str, str] = {"op3_top_k": _TOP_K_SQL, "op8_line_dedup": _LINES_SQL, "op13_url_filter": _URLS_SQL}
