@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import attribution, bpe, langid, linededup, mixing, neardup, quality, tokenfile, topk, toxicity, urlfilter, vectorcode
+from strandloom.llm import attribution, bpe, crosstoken, langid, linededup, mixing, neardup, quality, tokenfile, topk, toxicity, urlfilter, vectorcode
 from strandloom.plans.session import shared_folder
 
 
@@ -82,6 +82,12 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", "code", "error", "label_error", F.lit(vectorcode.digest(books)).alias("codebooks_sha256"))
 
 
+def op12_cross_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark).rstrip('/')}/pairs-{uuid.uuid4().hex}"
+    paths = [public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return crosstoken.alignments(spark, _documents(spark, sf_dir), "doc_id", "text", *paths, folder)
+
+
 #: Rules of the query, and names of sites whose pages are unwanted. Fixed values.
 URL_RULES = [
     ("com", "/", "allow"),
@@ -114,6 +120,7 @@ QUERIES = {
     "op9_token_files": op9_token_files,
     "op10_token_counts": op10_token_counts,
     "op11_vector_codes": op11_vector_codes,
+    "op12_cross_tokens": op12_cross_tokens,
     "op13_url_filter": op13_url_filter,
 }
 _TOP_K_SQL = """
