@@ -6,6 +6,7 @@ Gametes are arrays of the allele codes D and R.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,13 +76,14 @@ def binomial(*, p: Column, k: Column, n: Column) -> Column:
     return choose(k=k, n=n) * F.pow(p, k) * F.pow(1 - p, n - k)
 
 
-def independent_alleles_tail(*, generation: Column, at_least: Column, p: float = 0.25) -> Column:
-    """Chance that at least `at_least` of the 2^generation descendants are AaBb.
+#: Up to so many descendants the terms are summed one by one.
+_SUMMED = 1 << 12
+_NODES, _WEIGHTS = (v.tolist() for v in np.polynomial.legendre.leggauss(64))
 
-    Terms follow from one another by their ratio, from the largest one outwards, and are divided
-    by their sum, so neither a binomial coefficient overflows nor the largest term underflows.
-    """
-    total = F.pow(F.lit(2.0), generation)
+
+def _summed_tail(total: Column, at_least: Column, p: float) -> Column:
+    """Terms follow from one another by their ratio, from the largest one outwards, and are divided
+    by their sum, so neither a binomial coefficient overflows nor the largest term underflows."""
     odds = p / (1 - p)
     top = F.floor((total + 1) * p)
 
@@ -107,6 +109,59 @@ def independent_alleles_tail(*, generation: Column, at_least: Column, p: float =
     return let(F.struct(up.alias("up"), down.alias("down")), share)
 
 
+def _log1p_rest(u: Column) -> Column:
+    """log(1 + u) - u without the loss of digits near 0."""
+    series = F.lit(1 / 9)
+    for i in range(8, 1, -1):
+        series = F.lit((-1.0) ** (i + 1) / i) + u * series
+    return F.when(F.abs(u) < 0.01, u * u * series).otherwise(F.log1p(u) - u)
+
+
+def _integrated_tail(total: Column, at_least: Column, p: float) -> Column:
+    """The tail of many trials is an incomplete beta function: the share of t^(k-1) (1-t)^(n-k) that lies
+    below p. Both sides of p are integrated with 64 points each, over 12 standard deviations from
+    the mode, in units of those; nothing grows with the number of trials."""
+    a, b = at_least.cast("double") - 1, total - at_least
+    # The standard deviation is sqrt(a b / (a + b)) trials; in units of the mode and of its complement:
+    place = F.try_divide(p * (a + b) - a, F.sqrt(F.try_divide(a * b, a + b)))
+    per_a, per_b = F.sqrt(F.try_divide(b, a * (a + b))), F.sqrt(F.try_divide(a, b * (a + b)))
+    points = F.arrays_zip(F.lit(_NODES).alias("x"), F.lit(_WEIGHTS).alias("w"))
+    known = F.struct(*(c.alias(n) for c, n in ((a, "a"), (b, "b"), (per_a, "per_a"), (per_b, "per_b"), (place, "place"))))
+
+    def integral(v: Column, low: Column, high: Column) -> Column:
+        half = (high - low) / 2
+
+        def add(acc: Column, point: Column) -> Column:
+            s = low + half * (1 + point["x"])
+            return acc + point["w"] * F.exp(v["a"] * _log1p_rest(s * v["per_a"]) + v["b"] * _log1p_rest(-s * v["per_b"]))
+
+        return F.when(high > low, half * F.aggregate(points, F.lit(0.0), add)).otherwise(F.lit(0.0))
+
+    def share(v: Column) -> Column:
+        first, last = F.try_divide(F.lit(-1.0), v["per_a"]), F.try_divide(F.lit(1.0), v["per_b"])  # t is 0 and 1 there
+        below = integral(v, F.greatest(first, F.least(v["place"], F.lit(0.0)) - 12), F.least(v["place"], F.lit(12.0)))
+        above = integral(v, F.greatest(v["place"], F.lit(-12.0)), F.least(last, F.greatest(v["place"], F.lit(0.0)) + 12))
+        both = let(F.struct(below.alias("below"), above.alias("above")), lambda x: F.try_divide(x["below"], x["below"] + x["above"]))
+        # Too far from the mode for a double, one side is nothing.
+        return F.coalesce(both, F.when(v["place"] > 0, F.lit(1.0)).otherwise(F.lit(0.0)))
+
+    return let(known, share)
+
+
+def independent_alleles_tail(*, generation: Column, at_least: Column, p: float = 0.25) -> Column:
+    """Chance that at least `at_least` of the 2^generation descendants are AaBb; generations up to 62."""
+    total = F.pow(F.lit(2.0), generation)
+    few = total <= _SUMMED
+    return (
+        F.when(at_least <= 0, F.lit(1.0))
+        .when(at_least > total, F.lit(0.0))
+        .when(few, _summed_tail(F.least(total, F.lit(float(_SUMMED))), at_least, p))
+        .when(at_least == 1, 1 - F.pow(F.lit(1 - p), total))
+        .when(at_least == total, F.pow(F.lit(p), total))
+        .otherwise(_integrated_tail(total, at_least, p))
+    )
+
+
 def rabbits(n: Column, k: Column) -> Column:
     """F(n) = F(n-1) + k F(n-2) with F(1) = F(2) = 1."""
     start = F.struct(F.lit(1).cast("bigint").alias("last"), F.lit(1).cast("bigint").alias("now"))

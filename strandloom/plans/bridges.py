@@ -12,9 +12,25 @@ from pyspark.sql import functions as F
 _LETTERS = "ACGT" * 4
 
 
+#: Number of partitions that tables of texts are dealt to, by key, when read. Unset by default: then they
+#: come in the pieces that `spark.sql.files` settings cut them into, which are never less than a row
+#: group. Set it for files of few row groups.
+TEXT_PARTITIONS = "spark.strandloom.textPartitions"
+_TEXT_KEYS = {"documents": ["doc_id"], "conversations": ["conv_id", "turn"]}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table, in the pieces that `spark.sql.files` settings cut it into."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; see `TEXT_PARTITIONS`."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    dealt = spark.conf.get(TEXT_PARTITIONS, None)
+    return rows.repartition(int(dealt), *_TEXT_KEYS[name]) if dealt and name in _TEXT_KEYS else rows
+
+
+def part_keys(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Keys of `part` (and further columns), dealt to as many partitions as a shuffle has: what is
+    derived from a key is heavy, and an explicit number is not coalesced."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return table(spark, sf_dir, "part").select("p_partkey", *columns).repartition(n, "p_partkey")
 
 
 def key_dna(key: str, first: int = 0, blocks: int = 1) -> Column:
@@ -38,9 +54,7 @@ def text_dna_sql(text: str) -> str:
 
 def parts(spark: SparkSession, sf_dir: str, blocks: int = 1) -> DataFrame:
     """`(seq_id, seq)` with 32 bases per block for every part."""
-    # Keys are dealt out before they become sequences, which is heavy per row.
-    part = table(spark, sf_dir, "part").select("p_partkey").repartition("p_partkey")
-    return part.select(F.col("p_partkey").alias("seq_id"), key_dna("p_partkey", 0, blocks).alias("seq"))
+    return part_keys(spark, sf_dir).select(F.col("p_partkey").alias("seq_id"), key_dna("p_partkey", 0, blocks).alias("seq"))
 
 
 def parts_sql(blocks: int = 1) -> str:

@@ -34,6 +34,7 @@ from strandloom.plans.bridges import (
     documents_sql,
     key_dna,
     key_dna_sql,
+    part_keys,
     parts,
     parts_sql,
     table,
@@ -67,7 +68,7 @@ _PAIRS = f"(SELECT p_partkey AS seq_id, {key_dna_sql('p_partkey')} AS a, {key_dn
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select(
+    return part_keys(spark, sf_dir).select(
         F.col("p_partkey").alias("seq_id"), key_dna("p_partkey").alias("a"), key_dna("p_partkey", 1).alias("b")
     )
 
@@ -354,7 +355,7 @@ _BRAND_SQL = f"(SELECT p_brand, p_partkey, left({key_dna_sql('p_partkey', 0, 3)}
 def _brands(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Sequences of different lengths, so that the width of the first record matters.
     seq = F.left(key_dna("p_partkey", 0, 3), 60 + F.col("p_size") % 20)
-    return table(spark, sf_dir, "part").select("p_brand", "p_partkey", seq.alias("seq"))
+    return part_keys(spark, sf_dir, "p_brand", "p_size").select("p_brand", "p_partkey", seq.alias("seq"))
 
 
 _PROFILE_SQL = f"""SELECT p_brand, CAST(i - 1 AS INTEGER) AS pos0, """ + ", ".join(
@@ -488,10 +489,6 @@ _HITS_SQL = f"""(SELECT h.conv_id, h.turn, p.pattern, h.i - 1 AS pos0 FROM (
     JOIN {_WORDS_SQL} p ON p.pattern = h.s)"""
 
 
-def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("key"), "text")
-
-
 @query("pattern_search", f"SELECT conv_id, turn, pattern, CAST(pos0 AS BIGINT) AS pos0 FROM {_HITS_SQL}")
 def pattern_search(spark, sf_dir):
     hits = search.find_patterns(_turns(spark, sf_dir), "key", "text", _word_patterns(spark, sf_dir), "pattern")
@@ -526,7 +523,7 @@ def passage_search(spark, sf_dir):
     SELECT p_partkey AS seq_id, {key_dna_sql('p_partkey', 1, 3)} AS s, {key_dna_sql('p_partkey')} AS t FROM part)))""",
 )
 def maximal_prefix(spark, sf_dir):
-    pairs = table(spark, sf_dir, "part").select(
+    pairs = part_keys(spark, sf_dir).select(
         F.col("p_partkey").alias("seq_id"), key_dna("p_partkey", 1, 3).alias("s"), key_dna("p_partkey").alias("t")
     )
     found = pairs.select("seq_id", strings.maximal_prefix_matches(F.col("s"), F.col("t")).alias("m"))
@@ -743,7 +740,7 @@ def longest_repeat(spark, sf_dir):
     ) s JOIN (SELECT p_brand, count(*) AS n FROM part GROUP BY p_brand) t ON s.p_brand = t.p_brand GROUP BY s.p_brand, w) GROUP BY p_brand""",
 )
 def common_substring(spark, sf_dir):
-    df = table(spark, sf_dir, "part").select("p_brand", key_dna("p_partkey", 0, 2).alias("seq"))
+    df = part_keys(spark, sf_dir, "p_brand").select("p_brand", key_dna("p_partkey", 0, 2).alias("seq"))
     return repeats.common_substring(df, "p_brand", "seq")
 
 

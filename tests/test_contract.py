@@ -6,8 +6,10 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from strandloom.plans import bridges
 from tools.check import TABLES, rows_of
 
 SF = "/root/testdata/sf0.001"
@@ -33,6 +35,19 @@ def test_oracles_belong_to_queries():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_tables_come_in_as_many_partitions_as_asked_for(spark):
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert bridges.parts(spark, SF).rdd.getNumPartitions() == n
+    sizes = bridges.parts(spark, SF).groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) == n and bridges.documents(spark, SF).rdd.getNumPartitions() < 7
+    spark.conf.set(bridges.TEXT_PARTITIONS, "7")
+    try:
+        assert bridges.documents(spark, SF).rdd.getNumPartitions() == 7
+        assert bridges.table(spark, SF, "conversations").rdd.getNumPartitions() == 7
+    finally:
+        spark.conf.unset(bridges.TEXT_PARTITIONS)
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns == ["seq_id", "gc_e6"]
 

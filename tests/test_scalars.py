@@ -169,6 +169,38 @@ def test_tail_of_late_generations(value):
         assert math.isclose(value(G.independent_alleles_tail(generation=L(g), at_least=L(least))), want, rel_tol=1e-7)
 
 
+def exact_tail(g, least):
+    """Whole numbers only: the sum of the binomial terms times 4^n."""
+    n = 2**g
+    term, tail, total = 3**n, 0, 4**n
+    for i in range(n + 1):
+        tail += term if i >= least else 0
+        term = term * (n - i) // (i + 1) // 3
+    return tail / total if total.bit_length() < 1000 else (tail >> (2 * n - 300)) / 2**300
+
+
+def expanded_tail(g, least):
+    """Normal approximation with the correction for skewness, right to about 1 / n."""
+    n = 2**g
+    deviation = math.sqrt(3 * n / 16)
+    z = (least - 0.5 - n / 4) / deviation
+    density = math.exp(-z * z / 2) / math.sqrt(2 * math.pi)
+    return 0.5 * math.erfc(z / math.sqrt(2)) + 0.5 / deviation * (z * z - 1) / 6 * density
+
+
+def test_tail_of_any_generation(spark):
+    rows = [(g, k, exact_tail(g, k)) for g in (1, 6, 11, 13, 14) for n in [2**g] for k in (0, 1, 2, n // 4 - 3, n // 4, n // 4 + 1, n // 4 + 60, n // 2, n, n + 1)]
+    for g in range(20, 61, 5):
+        n, deviation = 2**g, math.isqrt(3 * 2**g // 16)
+        rows += [(g, k, expanded_tail(g, k)) for k in (n // 4 - 5 * deviation, n // 4 - deviation, n // 4, n // 4 + deviation // 3, n // 4 + 3 * deviation)]
+        rows += [(g, k, 1.0) for k in (-1, 0, 1, 2, n // 8)] + [(g, k, 0.0) for k in (n // 2, n, n + 1)]
+    df = spark.createDataFrame(rows, "g bigint, k bigint, want double")
+    got = df.select("*", G.independent_alleles_tail(generation=F.col("g"), at_least=F.col("k")).alias("got")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert abs(r.got - r.want) <= 1e-6 and (r.g > 14 or r.want < 1e-100 or math.isclose(r.got, r.want, rel_tol=1e-8)), r
+
+
 def test_positions_outside_the_basic_plane(value):
     assert value(S.regex_positions1(L("a😀b"), ".")) == [1, 2, 3]
     assert value(S.regex_positions1(L("😀ab😀ab"), "ab")) == [2, 5]
