@@ -28,6 +28,7 @@ empty result. Only key and text are read, so names of other columns cannot clash
 from __future__ import annotations
 
 import hashlib
+import json
 import struct
 from collections import OrderedDict
 from collections.abc import Iterator
@@ -36,9 +37,11 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 import sentencepiece
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,6 +73,34 @@ def _plain(definition: str):
     return made
 
 
+#: How byte-level vocabularies of this kind split texts before they merge. A fixed value of the tokenizer files.
+_PATTERN = public_tokenizers.PATTERN
+
+
+@lru_cache(2)
+def _ranked(definition: str):
+    """The same encoding from the ranks of tokens, which is faster; None for a vocabulary whose ids are not in
+    the order of its merges, or that does more than byte-level splitting and merging."""
+    about = json.loads(definition)
+    shape = about.get("pre_tokenizer") or {}
+    bare = shape.get("type") == "ByteLevel" and shape.get("use_regex", True) and not shape.get("add_prefix_space") and not about.get("normalizer")
+    vocabulary = about["model"].get("vocab", {})
+    merges = [m if isinstance(m, list) else m.split(" ") for m in about["model"].get("merges", [])]
+    made = [vocabulary.get("".join(m), -1) for m in merges]
+    if not bare or made != sorted(set(made)) or -1 in made[:1] or about["model"].get("ignore_merges"):
+        return None
+    added = {t["id"] for t in about.get("added_tokens", [])}
+    ranks = {t: i for i, t in enumerate(token_bytes(definition)) if i not in added}
+    return tiktoken.Encoding("ranks", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def _distinct(x: np.ndarray, counted: bool = False):
+    """The different values in order, and how often each occurs. Sorting is faster here than numpy's hashing."""
+    x = np.sort(x)
+    head = np.flatnonzero(np.concatenate([[len(x) > 0], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+    return (x[head], np.diff(np.append(head, len(x)))) if counted else x[head]
+
+
 @lru_cache(2)
 def piece_bytes(model: bytes) -> list[bytes]:
     """The bytes that every piece stands for."""
@@ -113,10 +144,11 @@ def parts_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 class Alignments:
     """What is known of parts of texts, in the order in which they were first met: number of tokens,
     groups and links, the linked pairs with their numbers, and, if wanted, the groups as text. At most about
-    `most` parts or `most_bytes` bytes of them are remembered; then it begins anew."""
+    `most` parts or `most_bytes` bytes of them are remembered; then those met once only are forgotten, or
+    all, if that are few."""
 
-    def __init__(self, definition: str, model: bytes, spelled: bool, counts: Counts | None = None, most: int = 150_000, most_bytes: int = 24 << 20):
-        self.a, self.b = _plain(definition), sentencepiece.SentencePieceProcessor(model_proto=model)
+    def __init__(self, definition: str, model: bytes, spelled: bool, counts: Counts | None = None, most: int = 300_000, most_bytes: int = 48 << 20):
+        self.a, self.fast, self.b = _plain(definition), _ranked(definition), sentencepiece.SentencePieceProcessor(model_proto=model)
         self.a_bytes, self.b_bytes = _Bytes(token_bytes(definition)), _Bytes(piece_bytes(model))
         if max(len(self.a_bytes.size), len(self.b_bytes.size)) > 1 << 16:
             raise ValueError("ids of 16 bits are needed")
@@ -127,25 +159,59 @@ class Alignments:
         self.index: dict[str, int] = {}
         self.text: list[str] = []
         self.bytes = 0
-        self.fields = {n: np.zeros(0, np.int64) for n in [*COLUMNS, "wrong", "begin", "pairs"]}
+        self.fields = {n: np.zeros(0, np.int64) for n in [*COLUMNS, "wrong", "begin", "pairs", "size", "met"]}
         self.codes = np.zeros(0, np.int64)
 
+    def forget(self) -> None:
+        """Make room for new parts."""
+        keep = self.fields["met"] > 1
+        size = self.fields["size"][keep]
+        if 2 * len(size) > self.most or 2 * size.sum() > self.most_bytes:
+            self.clear()
+            return
+        names = [p for p, k in zip(self.index, keep.tolist(), strict=True) if k]
+        self.index = dict(zip(names, range(len(names)), strict=True))
+        self.fields = {n: v[keep] for n, v in self.fields.items()}
+        if self.spelled:
+            self.text = [t for t, k in zip(self.text, keep.tolist(), strict=True) if k]
+        pairs = self.fields["pairs"]
+        if self.counts is None:
+            self.codes = gathered(self.codes, self.fields["begin"], pairs)
+            self.fields["begin"] = np.cumsum(pairs) - pairs
+        self.bytes = int(size.sum())
+
     def numbers(self, parts: pa.Array) -> np.ndarray:
         """The number of every part; new ones are aligned."""
         if len(self.index) > self.most or self.bytes > self.most_bytes:
-            self.clear()
+            self.forget()
         coded = parts.dictionary_encode()
         different = coded.dictionary.to_pylist()
         new = [p for p in different if p not in self.index]
         for i in range(0, len(new), 8192):
             self._learn(new[i : i + 8192])
         known = np.fromiter(map(self.index.__getitem__, different), np.int64, len(different))
+        self.fields["met"][known] += 1
         return known[coded.indices.to_numpy(zero_copy_only=False)]
 
     def _encoded(self, new: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        found = [[e.ids for e in self.a.encode_batch_fast(new, add_special_tokens=False)], self.b.encode([p[1:] for p in new], num_threads=1)]
-        length = [np.array([len(x) for x in f], np.int64) for f in found]
-        return [np.fromiter(chain.from_iterable(f), np.int64, int(n.sum())) for f, n in zip(found, length, strict=True)], length
+        """Ids of all parts one after the other and how many each has, for both vocabularies."""
+        # What ends with a letter, digit or sign is split off whatever follows: as one text, it has fewer calls.
+        joint = [p[-1].isascii() and bool(_BEFORE[ord(p[-1])]) for p in new]
+        text = "".join(p for p, j in zip(new, joint, strict=True) if j)
+        together = self.fast.encode_ordinary(text) if self.fast else self.a.encode(text, add_special_tokens=False).ids
+        together = np.array(together, np.int64)
+        size = np.array([len(p.encode()) for p, j in zip(new, joint, strict=True) if j], np.int64)
+        last = np.searchsorted(np.cumsum(self.a_bytes.size[together]), np.cumsum(size))
+        single = [e.ids for e in self.a.encode_batch_fast([p for p, j in zip(new, joint, strict=True) if not j], add_special_tokens=False)]
+        joint = np.array(joint, bool)
+        length, ids = np.zeros(len(new), np.int64), [together, np.fromiter(chain.from_iterable(single), np.int64)]
+        length[joint], length[~joint] = np.diff(last, prepend=-1), [len(x) for x in single]
+        begin = np.zeros(len(new), np.int64)
+        begin[joint] = last + 1 - length[joint]
+        begin[~joint] = len(together) + np.cumsum(length[~joint]) - length[~joint]
+        pieces = self.b.encode([p[1:] for p in new], num_threads=1)
+        of_b = np.array([len(x) for x in pieces], np.int64)
+        return [gathered(np.concatenate(ids), begin, length), np.fromiter(chain.from_iterable(pieces), np.int64, int(of_b.sum()))], [length, of_b]
 
     def _learn(self, new: list[str]) -> None:
         raw = [p.encode() for p in new]
@@ -169,8 +235,8 @@ class Alignments:
         count = lambda weight=None: np.bincount(part_of, weight, len(new)).astype(np.int64)
         links = in_a * in_b
         # Equal tokens of a group are taken together before they meet the others.
-        types_a, times_a = np.unique((group_a << 16) | a, return_counts=True)
-        types_b, times_b = np.unique((group_b << 16) | b, return_counts=True)
+        types_a, times_a = _distinct((group_a << 16) | a, counted=True)
+        types_b, times_b = _distinct((group_b << 16) | b, counted=True)
         of_a, of_b = types_a >> 16, types_b >> 16
         width = np.bincount(of_b, minlength=len(borders))
         first = np.cumsum(width) - width
@@ -185,7 +251,7 @@ class Alignments:
         pairs = np.bincount(owner, minlength=len(new))
         added = {
             "n_a": n_a, "n_b": n_b, "n_groups": count(), "n_links": count(links), "wrong": (~right).astype(np.int64),
-            "begin": len(self.codes) + np.cumsum(pairs) - pairs, "pairs": pairs,
+            "begin": len(self.codes) + np.cumsum(pairs) - pairs, "pairs": pairs, "size": size + 8 * pairs, "met": np.zeros(len(new), np.int64),
             "n_best": np.zeros(len(new), np.int64), "count_sum": np.zeros(len(new), np.int64),
         }
         if self.counts is not None:
@@ -201,7 +267,7 @@ class Alignments:
         if self.spelled:
             self.text += self._texts(a, b, in_a, in_b, added["n_groups"])
         self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
-        self.bytes += int(size.sum()) + 8 * len(code)
+        self.bytes += int(added["size"].sum())
 
     @staticmethod
     def _texts(a: np.ndarray, b: np.ndarray, in_a: np.ndarray, in_b: np.ndarray, groups: np.ndarray) -> list[str]:
@@ -275,11 +341,11 @@ def documents_per_pair(known: Alignments, texts: pa.Array) -> tuple[np.ndarray,
     row = np.repeat(np.arange(len(texts)), np.diff(first))
     wrong = np.bincount(row, known.fields["wrong"][number], len(texts)) > 0
     fine = ~wrong[row]
-    held = np.unique((row[fine] << 32) | number[fine])
+    held = _distinct((row[fine] << 32) | number[fine])
     row, number = held >> 32, held & 0xFFFFFFFF
     n = known.fields["pairs"][number]
-    once = np.unique((np.repeat(row, n) << 32) | gathered(known.codes, known.fields["begin"][number], n))
-    return np.unique(once & 0xFFFFFFFF, return_counts=True)
+    once = _distinct((np.repeat(row, n) << 32) | gathered(known.codes, known.fields["begin"][number], n))
+    return _distinct(once & 0xFFFFFFFF, counted=True)
 
 
 def _summed(pieces: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -296,7 +362,7 @@ def _counted(definition, model, text: str, most: int = 1 << 20):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, pieces, task = _first_pass(definition.value, model.value), [], TaskContext.get().partitionId()
-        for part in slices(batches, text, 2 << 20):
+        for part in slices(batches, text, 4 << 20):
             pieces.append(documents_per_pair(known, part[text]))
             if sum(len(c) for c, _ in pieces) > most:
                 pieces = [_summed(pieces)]
@@ -388,7 +454,7 @@ def build_index(docs: DataFrame, text: str, definition, model, folder: str) -> t
 def _judged(definition, model, folder: str, n_slices: int, top):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _second_pass(definition.value, model.value, folder, n_slices, top.value)
-        for part in slices(batches, "_text", 2 << 20):
+        for part in slices(batches, "_text", 4 << 20):
             parts, first = parts_of(part["_text"])
             number = known.numbers(parts)
 
