@@ -1,63 +1,141 @@
-"""Longest repeated and longest common substrings.
+"""Longest repeated and longest common substrings, from suffix indexes.
 
-Repeats come from the suffix index. A substring common to all texts of a group has prefixes that are, so its length is found by
-bisection for all groups at once: log2(length) rounds of counting substrings of one length
-per group. Counts are combined before the shuffle.
+A substring common to all texts of a group is a common prefix of a run of neighbouring suffixes that has
+one of every text. The shortest runs up to each suffix are found by sweeps over blocks of ranks, which
+start from the last suffix of every text before the block and what it shares with the block's first.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions.alphabet import let
-from strandloom.functions.strings import kmers, longest_common_substring
-from strandloom.operators.suffix import build_suffix_index
+from strandloom.functions.strings import longest_common_substring
+from strandloom.operators.suffix import build_group_index, build_suffix_index
+from strandloom.plans.ordering import blocked_running_sum
 from strandloom.plans.session import checkpointed
 
+BLOCK = 1 << 16
 
-def _longest(df: DataFrame, key: str, seq: str, needed: DataFrame) -> DataFrame:
-    """Longest string found in `_need` rows of its group."""
 
-    def windows(n: str) -> Column:
-        return F.array_distinct(kmers(F.col(seq), F.col(n)))
+def _least(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The minimum of `values[low : high]` of every stretch; no stretch is empty."""
+    tables, width = [values], 1
+    while 2 * width <= len(values):
+        tables.append(np.minimum(tables[-1][:-width], tables[-1][width:]))
+        width *= 2
+    level = np.frexp(high - low)[1] - 1
+    out = np.empty(len(low), np.int64)
+    for k in np.unique(level):
+        mine = level == k
+        out[mine] = np.minimum(tables[k][low[mine]], tables[k][high[mine] - (1 << k)])
+    return out
 
-    rows = df.select(key, seq)
-    state = checkpointed(
-        needed.join(rows.groupBy(key).agg(F.min(F.length(seq)).cast("bigint").alias("hi")), key)
-        .select(key, "_need", F.lit(0).cast("bigint").alias("lo"), "hi")
-    )
-    while not state.where("lo < hi").isEmpty():
-        probe = state.where("lo < hi").withColumn("_n", F.shiftright(F.col("lo") + F.col("hi") + 1, 1))
-        # Long windows are counted by digest, so that their text is not shuffled.
-        name = F.when(F.col("_n") > 32, F.unhex(F.md5("_w"))).otherwise(F.encode("_w", "utf-8"))
-        counts = (
-            rows.join(probe, key)
-            .select(key, "_need", "_n", F.explode(windows("_n")).alias("_w"))
-            .groupBy(key, "_need", "_n", name.alias("_name"))
-            .agg(F.count("*").alias("_c"))
-        )
-        ok = counts.where("_c >= _need").select(key, F.lit(True).alias("_ok")).distinct()
-        mid = F.shiftright(F.col("lo") + F.col("hi") + 1, 1)
-        active = F.col("lo") < F.col("hi")
-        state = checkpointed(
-            state.join(ok, key, "left").select(
-                key,
-                "_need",
-                F.when(active & F.col("_ok").isNotNull(), mid).otherwise(F.col("lo")).alias("lo"),
-                F.when(active & F.col("_ok").isNull(), mid - 1).otherwise(F.col("hi")).alias("hi"),
-            )
+
+def shortest_runs(shared: np.ndarray, owner: np.ndarray, owners: int, before: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    """Per suffix, what the shortest run that ends there and has all `owners` shares; -1 without one.
+
+    `shared` is what each suffix shares with the one before. `before` are the owners whose last suffix lies
+    before the first row, in the order of those, and `reach` what these share with the row before the first.
+    """
+    n, c = len(shared), len(before)
+    codes = np.unique(np.concatenate([before, owner]), return_inverse=True)[1]
+    order = np.argsort(codes, kind="stable")
+    same = codes[order][1:] == codes[order][:-1]
+    again = np.full(n + c, n + c)
+    again[order[:-1][same]] = order[1:][same]
+    first = np.ones(n + c, bool)
+    first[order[1:][same]] = False
+    starts = np.flatnonzero(first)
+    out = np.full(n, -1, np.int64)
+    if len(starts) < owners:
+        return out
+    ends = np.arange(max(starts[owners - 1], c), n + c)
+    # The run has to reach back to the last suffix of the owner that was met longest ago.
+    back = np.searchsorted(np.maximum.accumulate(again), ends, "right")
+    inside = back >= c
+    got = np.empty(len(ends), np.int64)
+    alone = back == ends
+    got[alone] = -1
+    if (mine := inside & ~alone).any():
+        got[mine] = _least(shared, back[mine] + 1 - c, ends[mine] + 1 - c)
+    if (mine := ~inside).any():
+        got[mine] = np.minimum(np.minimum.accumulate(shared)[ends[mine] - c], reach[back[mine]])
+    out[ends - c] = got
+    return out
+
+
+def _sweep(rows: pd.DataFrame, carried: pd.DataFrame) -> pd.DataFrame:
+    """The longest shared prefix of a run with all owners, per group of one block."""
+    if not len(rows):
+        return pd.DataFrame({"first": [], "shared": [], "r": []})
+    rows = rows.sort_values("r", ignore_index=True)
+    carried = carried.rename(columns=lambda c: c[1:]).sort_values("last")
+    group, place, shared, owner = (rows[c].to_numpy() for c in ("first", "r", "lcp", "start"))
+    cuts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])).tolist() + [len(rows)]
+    out = []
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        mine = carried[carried["first"] == group[a]] if a == 0 else carried.iloc[:0]
+        found = shortest_runs(
+            shared[a:b], owner[a:b], int(rows["owners"].iat[a]), mine["start"].to_numpy(np.int64), mine["reach"].to_numpy(np.int64)
         )
-    best = (
-        rows.join(state.where("lo > 0"), key)
-        .select(key, "_need", F.explode(windows("lo")).alias("_w"))
-        .groupBy(key, "_need", "_w")
-        .agg(F.count("*").alias("_c"))
-        .where("_c >= _need")
-        .groupBy(key)
-        .agg(F.min("_w").alias("_best"))
+        best = int(found.argmax())
+        if found[best] > 0:
+            out.append((group[a], found[best], place[a + best]))
+    return pd.DataFrame(out, columns=["first", "shared", "r"])
+
+
+def _carried(rows: DataFrame) -> DataFrame:
+    """`(block, first, start, last, reach)`: for blocks that begin inside a group, the last suffix of each of
+    its texts before the block, and the least common prefix from there to the block's border."""
+    spans = rows.groupBy("first").agg(F.min("block").alias("_low"), F.max("block").alias("_high")).where("_low < _high")
+    rows = rows.join(spans.select("first"), "first", "left_semi")
+    after = Window.partitionBy("first", "block").orderBy(F.desc("r")).rowsBetween(Window.unboundedPreceding, -1)
+    rest = rows.withColumn("_rest", F.min("lcp").over(after))
+    # Nothing follows the last suffix of a block in it, so it shares more than any value with the border.
+    beyond = F.lit((1 << 62) - 1)
+    last = rest.groupBy("first", "block", "start").agg(
+        F.max("r").alias("last"), F.max_by(F.coalesce("_rest", beyond), "r").alias("_reach")
+    )
+    whole = rows.groupBy("first", "block").agg(F.min("lcp").alias("_all"))
+    owners = rows.select("first", "start").distinct()
+    grid = whole.join(owners, "first").join(last, ["first", "block", "start"], "left")
+    along = Window.partitionBy("first", "start").orderBy("block")
+    grid = grid.withColumn("_since", F.count("last").over(along)).where("_since > 0")
+    held = Window.partitionBy("first", "start", "_since").orderBy("block")
+    grid = grid.withColumn("reach", F.min(F.coalesce("_reach", "_all")).over(held)).withColumn("last", F.max("last").over(held))
+    moved = grid.select((F.col("block") + 1).alias("block"), "first", "start", "last", "reach")
+    return moved.join(spans, "first").where("block <= _high").drop("_low", "_high")
+
+
+def _ranked(index, df: DataFrame, group: str) -> DataFrame:
+    """`(group, first, r, lcp, start, text, pos0)` of all suffixes: `first` is the group's first rank, whose
+    suffix shares -1 with none before it, and `start` names the text."""
+    firsts = index.ordered.groupBy(group).agg(F.min("r").alias("first"))
+    columns = [group, "r", "lcp", "start", "text", (F.col("pos0") - F.col("start")).alias("pos0")]
+    shared = index.common_prefixes().select(*columns)
+    heads = index.ordered.join(firsts.select(group, F.col("first").alias("r")), [group, "r"]).withColumn("lcp", F.lit(-1).cast("bigint"))
+    return checkpointed(shared.unionByName(heads.select(*columns)).join(firsts, group))
+
+
+def _best_runs(ranked: DataFrame, df: DataFrame, group: str, block: int) -> DataFrame:
+    """`(group, shared, r)` of the longest prefix common to all texts of each group, the first in order; groups
+    without one, and those of one text, have no row."""
+    sizes = df.groupBy(F.col(group).alias("_group")).agg(F.count("*").alias("owners"))
+    # A block has room for one suffix of every text of a group.
+    block = max(block, sizes.agg(F.max("owners")).first()[0] or 0)
+    rows = ranked.join(sizes.where("owners > 1"), F.col(group).eqNullSafe(F.col("_group")))
+    rows = rows.select("first", "r", "lcp", "start", "owners", F.floor(F.col("r") / block).alias("block"))
+    carried = _carried(rows)
+    carried = carried.select(*(F.col(c).alias(f"_{c}") for c in carried.columns))
+    found = rows.groupBy("block").cogroup(carried.groupBy("_block")).applyInPandas(_sweep, "first bigint, shared bigint, r bigint")
+    best = found.groupBy("first").agg(F.max(F.struct("shared", (-F.col("r")).alias("_r"))).alias("_best"))
+    return ranked.select(group, "first", "r", "text", "pos0").join(
+        best.select("first", F.col("_best.shared").alias("shared"), (-F.col("_best._r")).alias("r")), ["first", "r"]
     )
-    return state.select(key).join(best, key, "left").select(key, F.coalesce("_best", F.lit("")).alias("substring"))
 
 
 def _sliding_min(near: DataFrame, key: str, width: int, block: int = 1 << 16) -> DataFrame:
@@ -89,9 +167,43 @@ def longest_repeat(df: DataFrame, key: str, seq: str, k: int) -> DataFrame:
     return df.select(key, seq).join(best, key, "left").select(key, F.coalesce(found, F.lit("")).alias("substring"))
 
 
-def common_substring(df: DataFrame, group: str, seq: str) -> DataFrame:
-    """Longest substring common to all texts of each group, the first in alphabetical order."""
-    return _longest(df, group, seq, df.groupBy(group).agg(F.count("*").alias("_need")))
+def common_substring(df: DataFrame, group: str, seq: str, text: str | None = None, block: int = BLOCK) -> DataFrame:
+    """Longest substring common to all texts of each group, the first in alphabetical order: `(group, substring)`.
+
+    `text` tells the texts of a group apart; without it they are numbered, which writes them once. A group
+    with an empty or null text has nothing in common.
+    """
+    if text is None:
+        text = "_number"
+        df = checkpointed(df.select(group, seq, F.monotonically_increasing_id().alias(text)))
+    ranked = _ranked(build_group_index(df, group, text, seq), df, group)
+    best = _best_runs(ranked, df, group, block).select(
+        F.col(group).alias("_group"), F.col("text").alias("_text"), "pos0", "shared"
+    )
+    rows = df.select(F.col(group).alias("_g"), F.col(text).alias("_t"), F.col(seq).alias("_s"))
+    cut = F.substring("_s", (F.col("pos0") + 1).cast("int"), F.col("shared").cast("int"))
+    found = rows.join(best, (F.col("_g") == F.col("_group")) & (F.col("_t") == F.col("_text"))).select("_g", cut.alias("_found"))
+    single = rows.groupBy("_g").agg(F.count("*").alias("_n"), F.max("_s").alias("_one"))
+    both = single.select(F.col("_g").alias(group), "_n", F.when(F.col("_n") == 1, F.col("_one")).alias("_one"))
+    out = both.join(found, F.col(group) == F.col("_g"), "left")
+    return out.select(group, F.coalesce("_found", "_one", F.lit("")).alias("substring"))
+
+
+def common_substring_pair(df: DataFrame, key: str, a: str, b: str, block: int = BLOCK) -> DataFrame:
+    """Longest substring that the texts `a` and `b` of each row share, the one starting first in `a`:
+    `(key, substring, pos0)`, empty without a position if they share nothing. `key` is unique. For texts of any length."""
+    pair = F.array(F.struct(F.lit(0).alias("n"), F.col(a).alias("s")), F.struct(F.lit(1).alias("n"), F.col(b).alias("s")))
+    texts = df.select(F.col(key).alias("_key"), F.explode(pair).alias("_p")).select("_key", F.col("_p.n").alias("_n"), F.col("_p.s").alias("_s"))
+    ranked = _ranked(build_group_index(texts, "_key", "_n", "_s"), texts, "_key")
+    best = checkpointed(_best_runs(ranked, texts, "_key", block).select("first", "shared"))
+    rows = ranked.join(best, "first").withColumn("_new", F.when(F.col("lcp") < F.col("shared"), 1).otherwise(0))
+    runs = blocked_running_sum(rows.select("_key", "first", "r", "text", "pos0", "shared", "_new"), ["first"], "r", "_new", "run")
+    in_a = F.when(F.col("text") == 0, F.col("pos0"))
+    found = runs.groupBy("_key", "first", "run").agg(F.min(in_a).alias("pos0"), F.max("text").alias("_b"), F.max("shared").alias("shared"))
+    placed = found.where("pos0 IS NOT NULL AND _b = 1").groupBy("_key").agg(F.min("pos0").alias("pos0"), F.max("shared").alias("shared"))
+    out = df.select(F.col(key), F.col(a).alias("_a")).join(placed, F.col(key) == F.col("_key"), "left")
+    cut = F.substring("_a", (F.col("pos0") + 1).cast("int"), F.col("shared").cast("int"))
+    return out.select(key, F.coalesce(cut, F.lit("")).alias("substring"), "pos0")
 
 
 def common_substring_fold(texts: Column) -> Column:

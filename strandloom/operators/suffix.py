@@ -1,4 +1,4 @@
-"""Suffix arrays by prefix doubling, with longest common prefixes.
+"""Suffix arrays by prefix doubling, with longest common prefixes, of single texts or groups of them.
 
 Sorting whole suffixes moves a number of bytes quadratic in the text. Here positions are
 ranked by windows of 16 characters, and pairs of ranks then rank windows of twice the
@@ -6,6 +6,9 @@ length, until all are distinct: about log2(longest repeat / 16) rounds, each one
 of the positions still tied and equi-joins on unique keys. Ranks run over all texts at once
 and ties are spread by position, so neither one huge text nor one repeated window is a
 single task's work.
+
+The texts of a group are laid out behind one another, a place apart. A suffix ends where its own text
+does; of equal suffixes the one of the earlier text comes first.
 """
 
 from __future__ import annotations
@@ -17,22 +20,29 @@ from pyspark.sql import functions as F
 
 from strandloom.functions.strings import lcp_length
 from strandloom.operators.windows import text_windows
-from strandloom.plans.ordering import dense_index
-from strandloom.plans.session import checkpointed
+from strandloom.plans.ordering import blocked_running_sum, dense_index
+from strandloom.plans.session import checkpointed, dropped
 
 WINDOW = 16
 
 
 @dataclass
 class SuffixIndex:
-    """`array` is `(key, rank, pos0)`, ranks from 0 per text; `levels[j]` has the rank of the
+    """`ordered` has `(key, pos0, r)`, `r` being the rank among all suffixes of all keys, and for groups
+    also `text`, `start` and `stop` of the text that holds the position; `levels[j]` has the rank of the
     window of 16 * 2^j characters at every position."""
 
     key: str
-    array: DataFrame
+    ordered: DataFrame
     windows: DataFrame
     levels: list[DataFrame] = field(default_factory=list)
 
+    @property
+    def array(self) -> DataFrame:
+        """`(key, rank, pos0)`, ranks from 0 per key."""
+        first = self.ordered.groupBy(self.key).agg(F.min("r").alias("_first"))
+        return self.ordered.join(first, self.key).select(self.key, (F.col("r") - F.col("_first")).alias("rank"), "pos0")
+
     def at(self, df: DataFrame, pos: Column, level: int, name: str) -> DataFrame:
         """Add the rank of the window at `pos`, NULL beyond the end of the text."""
         table = self.levels[level].select(self.key, F.col("pos0").alias("_at"), F.col("r").alias(name))
@@ -43,52 +53,90 @@ class SuffixIndex:
         joined = df.withColumn("_at", pos).join(table, [self.key, "_at"], "left").drop("_at")
         return joined.withColumn(name, F.coalesce(name, F.lit("")))
 
-    def neighbours(self) -> DataFrame:
-        """`(key, rank, pos0, prev0, lcp)`: the suffix before in order and the common prefix
-        with it. The first suffix of a text has no row."""
-        here = self.array.select(self.key, "rank", "pos0")
-        before = self.array.select(self.key, (F.col("rank") + 1).alias("rank"), F.col("pos0").alias("prev0"))
-        pairs = here.join(before, [self.key, "rank"]).withColumn("lcp", F.lit(0).cast("bigint"))
+    def common_prefixes(self) -> DataFrame:
+        """`(key, r, pos0, prev0, lcp)` and what `ordered` has besides: the suffix before in order and
+        the common prefix with it. The first suffix of a key has no row."""
+        grouped = "stop" in self.ordered.columns
+        more = [F.col("stop").alias("_prev_stop")] if grouped else []
+        before = self.ordered.select(self.key, (F.col("r") + 1).alias("r"), F.col("pos0").alias("prev0"), *more)
+        pairs = self.ordered.join(before, [self.key, "r"]).withColumn("lcp", F.lit(0).cast("bigint"))
+        ends = [F.col("stop") - F.col("pos0"), F.col("_prev_stop") - F.col("prev0")] if grouped else []
         for level in reversed(range(len(self.levels))):
             pairs = self.at(pairs, F.col("pos0") + F.col("lcp"), level, "_a")
             pairs = self.at(pairs, F.col("prev0") + F.col("lcp"), level, "_b")
             longer = F.when(F.col("_a") == F.col("_b"), F.lit(WINDOW << level)).otherwise(F.lit(0))
-            pairs = pairs.withColumn("lcp", F.col("lcp") + longer).drop("_a", "_b")
+            # Windows of different texts may be equal and shorter than their width.
+            reached = F.least(F.col("lcp") + longer, *ends) if ends else F.col("lcp") + longer
+            pairs = pairs.withColumn("lcp", reached).drop("_a", "_b")
         pairs = self.window_at(pairs, F.col("pos0") + F.col("lcp"), "_a")
         pairs = self.window_at(pairs, F.col("prev0") + F.col("lcp"), "_b")
-        return pairs.withColumn("lcp", F.col("lcp") + lcp_length(F.col("_a"), F.col("_b"))).drop("_a", "_b")
+        return pairs.withColumn("lcp", F.col("lcp") + lcp_length(F.col("_a"), F.col("_b"))).drop("_a", "_b", "_prev_stop")
 
+    def neighbours(self) -> DataFrame:
+        """`(key, rank, pos0, prev0, lcp)`: the same with ranks from 0 per key."""
+        first = self.ordered.groupBy(self.key).agg(F.min("r").alias("_first"))
+        pairs = self.common_prefixes().join(first, self.key)
+        return pairs.select(self.key, (F.col("r") - F.col("_first")).alias("rank"), "pos0", "prev0", "lcp")
 
-def build_suffix_index(df: DataFrame, key: str, seq: str) -> SuffixIndex:
-    """Index the texts of `df`, one row per text with a unique `key`.
+
+def _indexed(windows: DataFrame, key: str) -> SuffixIndex:
+    """Rank the positions of `(key, pos0, window)`; further columns belong to a group's texts.
 
     The rank of a window is the number of positions, over all texts, with a smaller one. It
     is final as soon as no other position shares it, so a round only sorts what is tied.
     """
-    windows = checkpointed(text_windows(df, key, seq, WINDOW))
+    more = [c for c in windows.columns if c not in (key, "pos0", "window")]
+    columns = [key, "pos0", "r", *more]
     placed = dense_index(windows, [key, "window", "pos0"], "i")
     groups = placed.groupBy(key, "window").agg(F.min("i").alias("r"), F.count("*").alias("n"))
-    ranked = checkpointed(placed.join(groups, [key, "window"]).select(key, "pos0", "r", "n"))
+    ranked = checkpointed(placed.join(groups, [key, "window"]).select(*columns, "n"))
+    dropped(placed)
     levels, done, width = [ranked.select(key, "pos0", "r")], None, WINDOW
     while True:
-        final = ranked.where("n = 1").select(key, "pos0", "r")
+        final = ranked.where("n = 1").select(*columns)
         done = final if done is None else done.union(final)
         tied = ranked.where("n > 1").drop("n")
         if tied.isEmpty():
             break
         after = levels[-1].select(key, (F.col("pos0") - width).alias("pos0"), F.col("r").alias("r2"))
         # Beyond the end of the text nothing follows, which sorts first.
-        pairs = tied.join(after, [key, "pos0"], "left").withColumn("r2", F.coalesce("r2", F.lit(-1).cast("bigint")))
+        inside = F.col("pos0") + width < F.col("stop") if "stop" in more else F.lit(True)
+        pairs = tied.join(after, [key, "pos0"], "left").withColumn("r2", F.coalesce(F.when(inside, F.col("r2")), F.lit(-1).cast("bigint")))
         placed = dense_index(pairs, ["r", "r2", "pos0"], "i")
-        parts = placed.groupBy("r", "r2").agg(F.min("i").alias("_i"), F.count("*").alias("n"))
+        parts = placed.groupBy("r", "r2").agg(F.min("i").alias("_i"), F.count("*").alias("_n"))
         starts = parts.groupBy("r").agg(F.min("_i").alias("_first"))
-        moved = parts.join(starts, "r").select("r", "r2", "n", (F.col("r") + F.col("_i") - F.col("_first")).alias("_r"))
-        ranked = checkpointed(placed.join(moved, ["r", "r2"]).select(key, "pos0", F.col("_r").alias("r"), "n"))
-        levels.append(done.union(ranked.select(key, "pos0", "r")))
+        moved = parts.join(starts, "r").select("r", "r2", "_n", "_i", "_first")
+        # Suffixes that have ended are equal as a whole and keep the order of their places.
+        ended = F.col("r2") < 0
+        new = F.col("r") + F.when(ended, F.col("i")).otherwise(F.col("_i")) - F.col("_first")
+        placed_at = placed.join(moved, ["r", "r2"]).withColumn("_r", new).withColumn("n", F.when(ended, 1).otherwise(F.col("_n")))
+        ranked = checkpointed(placed_at.select(key, "pos0", F.col("_r").alias("r"), *more, "n"))
+        dropped(placed)
+        levels.append(done.select(key, "pos0", "r").union(ranked.select(key, "pos0", "r")))
         width *= 2
-    first = done.groupBy(key).agg(F.min("r").alias("_first"))
-    array = done.join(first, key).select(key, (F.col("r") - F.col("_first")).alias("rank"), "pos0")
-    return SuffixIndex(key, array, windows, levels)
+    return SuffixIndex(key, done, windows, levels)
+
+
+def build_suffix_index(df: DataFrame, key: str, seq: str) -> SuffixIndex:
+    """Index the texts of `df`, one row per text with a unique `key`."""
+    return _indexed(checkpointed(text_windows(df, key, seq, WINDOW)), key)
+
+
+def build_group_index(df: DataFrame, group: str, text: str, seq: str) -> SuffixIndex:
+    """Index the texts of every group together: one row per text, `text` unique in its group."""
+    rows = df.select(F.col(group).alias("_group"), F.col(text).alias("_text"), F.col(seq).alias("_seq")).where("_seq IS NOT NULL")
+    numbered = dense_index(rows.select("_group", "_text", (F.length("_seq").cast("bigint") + 1).alias("_size")), ["_group", "_text"], "_i")
+    ends = checkpointed(blocked_running_sum(numbered, ["_group"], "_i", "_size", "_end"))
+    dropped(numbered)
+    places = ends.select("_group", "_text", (F.col("_end") - F.col("_size")).alias("_start"), (F.col("_end") - 1).alias("_stop"))
+    laid = rows.join(places, ["_group", "_text"])
+    of = F.struct(F.col("_group"), F.col("_text"), F.col("_start"), F.col("_stop")).alias("_of")
+    cut = text_windows(laid.select(of, "_seq"), "_of", "_seq", WINDOW)
+    windows = cut.select(
+        F.col("_of._group").alias(group), (F.col("_of._start") + F.col("pos0")).alias("pos0"), "window",
+        F.col("_of._text").alias("text"), F.col("_of._start").alias("start"), F.col("_of._stop").alias("stop"),
+    )
+    return _indexed(checkpointed(windows), group)
 
 
 def suffix_array(df: DataFrame, key: str, seq: str) -> DataFrame:

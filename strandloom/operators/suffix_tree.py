@@ -1,8 +1,8 @@
-"""Compact suffix trees as tables, derived from the suffix array.
+"""Compact suffix trees as tables, derived from the suffix array and its common prefixes.
 
-The nodes of a text are its suffixes and the prefixes shared by neighbours in the suffix
-array. A node is named by its depth and the ranks of the one or two windows that cover it,
-so no string is compared or shuffled.
+An inner node is a run of suffixes that share more with each other than with those around the run. It is
+named by the place before its run, the nearest one to the left that shares less, and the length shared; its
+parent follows from the nearest smaller values on both sides. All tables are linear in the text.
 """
 
 from __future__ import annotations
@@ -11,74 +11,77 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.operators.diagnostics import summary_columns
-from strandloom.operators.suffix import WINDOW, SuffixIndex, build_suffix_index
-from strandloom.plans.session import checkpointed
+from strandloom.operators.nearest import BLOCK, nearest_smaller
+from strandloom.operators.suffix import build_suffix_index
+from strandloom.plans.session import checkpointed, dropped
 
 
-def _named(index: SuffixIndex, df: DataFrame, depth: str, name: str) -> DataFrame:
-    """Add the name of the prefix of length `depth` of the suffix at `pos0`."""
-    d = F.col(depth)
-    df = index.window_at(df, F.col("pos0"), "_w").withColumn(name, F.when(d < WINDOW, F.left("_w", d.cast("int"))))
-    for level in range(len(index.levels)):
-        width = WINDOW << level
-        fits = (d >= width) & (d < 2 * width)
-        df = index.at(df, F.when(fits, F.col("pos0")), level, "_a")
-        df = index.at(df, F.when(fits, F.col("pos0") + d - width), level, "_b")
-        df = df.withColumn(name, F.when(fits, F.concat_ws(":", "_a", "_b")).otherwise(F.col(name))).drop("_a", "_b")
-    return df.drop("_w")
+def _levels(nodes: DataFrame) -> DataFrame:
+    """Nodes `(nid, up)` with the number of nodes above each but the root, by pointer doubling. Nodes
+    that have arrived at the root are set aside."""
+    state = checkpointed(nodes.select("nid", F.col("up").alias("_to"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("bigint").alias("branch_depth")))
+    while not state.where("_to IS NOT NULL").isEmpty():
+        ahead = state.select(F.col("nid").alias("_to"), F.col("_to").alias("_next"), F.col("branch_depth").alias("_more"))
+        moved = state.where("_to IS NOT NULL").join(ahead, "_to")
+        moved = moved.select("nid", F.col("_next").alias("_to"), (F.col("branch_depth") + F.col("_more")).alias("branch_depth"))
+        before, state = state, checkpointed(state.where("_to IS NULL").unionByName(moved))
+        dropped(before)
+    return state.drop("_to")
 
 
-def suffix_tree(df: DataFrame, key: str, seq: str) -> DataFrame:
+def suffix_tree(df: DataFrame, key: str, seq: str, block: int = BLOCK) -> DataFrame:
     """Edges, one per node but the root: `(key, pos0, depth, parent_depth, branch_depth, terminal)`.
 
     `pos0` is a position of the node's string, `depth` its length; `terminal` is the start of
-    the suffix that ends at the node, if any; `branch_depth` counts the edges above its edge.
+    the suffix that ends at the node, if any; `branch_depth` counts the edges above its edge. The edge's
+    characters are those from `parent_depth` to `depth` of the suffix at `pos0`.
     """
     index = build_suffix_index(df, key, seq)
     sizes = df.select(key, F.length(seq).cast("bigint").alias("_size"))
-    shared = checkpointed(index.neighbours())
-    left = shared.select(key, "rank", F.col("lcp").alias("_left"))
-    right = shared.select(key, (F.col("rank") - 1).alias("rank"), F.col("lcp").alias("_right"))
-    suffixes = checkpointed(
-        index.array.join(left, [key, "rank"], "left")
-        .join(right, [key, "rank"], "left")
-        .join(sizes, key)
-        .na.fill(0, ["_left", "_right"])
-        .withColumn("depth", F.col("_size") - F.col("pos0"))
-    )
-    # A suffix that is no prefix of the next one is a leaf right below its longest shared prefix.
-    leaves = suffixes.where("_right < depth").select(
-        key, "pos0", "depth", F.greatest("_left", "_right").alias("parent_depth"), F.col("pos0").alias("terminal")
-    )
-    branching = shared.where("lcp > 0").select(key, "pos0", F.col("lcp").alias("depth"), F.lit(None).cast("bigint").alias("terminal"))
-    ending = suffixes.where("_right = depth").select(key, "pos0", "depth", F.col("pos0").alias("terminal"))
-    inner = checkpointed(
-        _named(index, branching.union(ending), "depth", "name")
-        .groupBy(key, "depth", "name")
-        .agg(F.min("pos0").alias("pos0"), F.max("terminal").alias("terminal"))
-    )
-    # Ancestors of an inner node are the shorter prefixes that are nodes themselves.
-    above = inner.where("depth > 1").select(
-        key, "depth", "name", "pos0", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("depth") - 1)).alias("up")
+    shared = index.common_prefixes().select(key, "r", "pos0", "prev0", "lcp")
+    first = index.ordered.groupBy(key).agg(F.min(F.struct("r", "pos0")).alias("_first"))
+    none = F.lit(None).cast("bigint").alias("prev0")
+    heads = first.select(key, "_first.r", "_first.pos0", none, F.lit(-1).cast("bigint").alias("lcp"))
+    rows = checkpointed(shared.unionByName(heads).join(sizes, key))
+    near = checkpointed(nearest_smaller(rows, "r", "lcp", rows.count(), block))
+
+    # An inner node is `(prev, v)`; its parent is the node of the longer of the neighbours that share less.
+    after = F.coalesce("next_v", F.lit(-1))
+    runs = near.where("v > 0").groupBy("prev", "v").agg(F.min("r").alias("nid"), F.max("prev_v").alias("prev_v"), F.max(after).alias("next_v"))
+    before = near.select(F.col("r").alias("prev"), F.col("prev").alias("_before"))
+    left = F.col("prev_v") >= F.col("next_v")
+    inner = runs.join(before, "prev").select(
+        "nid", "prev", "v", F.greatest("prev_v", "next_v").alias("up_v"), F.when(left, F.col("_before")).otherwise(F.col("prev")).alias("up_prev")
     )
-    nodes = inner.select(key, F.col("depth").alias("up"), F.col("name").alias("up_name"))
-    ancestors = (
-        _named(index, above, "up", "up_name")
-        .join(nodes, [key, "up", "up_name"])
-        .groupBy(key, "depth", "name")
-        .agg(F.max("up").alias("parent_depth"), F.count("*").alias("branch_depth"))
+    inner = checkpointed(inner)
+    names = inner.select(F.col("prev").alias("up_prev"), F.col("v").alias("up_v"), F.col("nid").alias("up"))
+    levels = _levels(inner.join(names, ["up_prev", "up_v"], "left").select("nid", "up"))
+    placed = inner.join(levels, "nid")
+
+    # A suffix that the next one begins with ends at the node of what they share, which starts there.
+    members = near.where("v > 0").select("r", "prev", "v").join(rows.select(key, "r", "pos0", "prev0", "_size"), "r")
+    ends = F.when(F.col("v") == F.col("_size") - F.col("prev0"), F.col("prev0"))
+    of = members.groupBy("prev", "v").agg(F.max(key).alias(key), F.min("pos0").alias("pos0"), F.max(ends).alias("terminal"))
+    nodes = placed.join(of, ["prev", "v"]).select(
+        key, "pos0", F.col("v").alias("depth"), F.greatest("up_v", F.lit(0)).alias("parent_depth"), "branch_depth", "terminal"
     )
-    inner = checkpointed(inner.join(ancestors, [key, "depth", "name"], "left").na.fill(0, ["parent_depth", "branch_depth"]))
-    parents = inner.select(
-        key, F.col("depth").alias("parent_depth"), F.col("name").alias("parent"), (F.col("branch_depth") + 1).alias("branch_depth")
+
+    # Every other suffix is a leaf below the longer prefix that it shares with its neighbours.
+    right = rows.where("lcp >= 0").select((F.col("r") - 1).alias("r"), F.col("lcp").alias("_right"))
+    leaves = rows.join(near.select("r", "prev"), "r").join(right, "r", "left").withColumn("_right", F.coalesce("_right", F.lit(0)))
+    leaves = leaves.withColumn("depth", F.col("_size") - F.col("pos0")).where("_right < depth")
+    here = F.col("lcp") >= F.col("_right")
+    hung = leaves.select(
+        key, "pos0", "depth", F.greatest("lcp", "_right", F.lit(0)).alias("up_v"), F.when(here, F.col("prev")).otherwise(F.col("r")).alias("up_prev")
     )
-    hung = (
-        _named(index, leaves, "parent_depth", "parent")
-        .join(parents, [key, "parent_depth", "parent"], "left")
-        .na.fill(0, ["branch_depth"])
+    above = placed.select(F.col("prev").alias("up_prev"), F.col("v").alias("up_v"), (F.col("branch_depth") + 1).alias("_below"))
+    hung = hung.join(above, ["up_prev", "up_v"], "left")
+    return nodes.unionByName(
+        hung.select(
+            key, "pos0", "depth", F.col("up_v").alias("parent_depth"), F.coalesce("_below", F.lit(0)).cast("bigint").alias("branch_depth"),
+            F.col("pos0").alias("terminal"),
+        )
     )
-    columns = [key, "pos0", "depth", "parent_depth", "branch_depth", "terminal"]
-    return inner.select(*columns).union(hung.select(*columns))
 
 
 def edge_labels(tree: DataFrame, df: DataFrame, key: str, seq: str) -> DataFrame:

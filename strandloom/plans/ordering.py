@@ -35,12 +35,14 @@ def dense_index(df: DataFrame, order: Sequence[str], name: str = "index") -> Dat
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     local = F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))
-    return (
+    numbered = (
         sorted_rows.withColumn("_pid", split)
         .join(F.broadcast(starts), "_pid")
         .withColumn(name, F.col("_start") + local)
         .drop("_pid", "_mid", "_start")
     )
+    numbered._written_to = sorted_rows._written_to  # for `dropped`
+    return numbered
 
 
 def _blocked(df: DataFrame, keys: Sequence[str], pos: str, value: str, width: int, how) -> DataFrame:

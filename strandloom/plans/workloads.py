@@ -723,6 +723,72 @@ def tree_statistics(spark, sf_dir):
     return stats.select("seq_id", "nodes", *[F.col(c).cast("bigint").alias(c) for c in whole])
 
 
+_TURN_LCPS_SQL = """WITH s AS (SELECT conv_id, turn, p, substr(text, p + 1) AS a FROM (SELECT conv_id, turn, text, unnest(range(0, length(text))) AS p FROM conversations)),
+    n AS (SELECT *, row_number() OVER w - 1 AS r, lag(a) OVER w AS b FROM s WINDOW w AS (PARTITION BY conv_id, turn ORDER BY a)),
+    l AS MATERIALIZED (SELECT conv_id, turn, p, r, length(a) AS size, CASE WHEN b IS NULL THEN -1 ELSE coalesce(list_max(list_filter(range(1, 1 + CASE WHEN left(a, 20) = left(b, 20)
+      THEN least(length(a), length(b)) ELSE least(20, length(b)) END), lambda i: left(a, i) = left(b, i))), 0) END AS lcp FROM n)"""
+
+
+@query(
+    "suffix_tree_turns",
+    _TURN_LCPS_SQL
+    + """, runs AS (SELECT x.conv_id, x.turn, x.r, any_value(x.lcp) AS d, max(y.r) FILTER (y.r < x.r) AS lo, coalesce(min(y.r) FILTER (y.r > x.r), 1000000) AS hi
+      FROM l x JOIN l y ON y.conv_id = x.conv_id AND y.turn = x.turn AND y.lcp < x.lcp WHERE x.lcp > 0 GROUP BY x.conv_id, x.turn, x.r),
+    nodes AS MATERIALIZED (SELECT conv_id, turn, lo, hi, d FROM runs GROUP BY ALL),
+    inner_nodes AS (SELECT n.conv_id, n.turn, n.d AS depth, coalesce(max(u.d), 0) AS parent_depth, count(u.d) AS branch_depth, n.lo FROM nodes n
+      LEFT JOIN nodes u ON u.conv_id = n.conv_id AND u.turn = n.turn AND u.lo <= n.lo AND u.hi >= n.hi AND u.d < n.d GROUP BY n.conv_id, n.turn, n.lo, n.hi, n.d),
+    leaves AS (SELECT x.conv_id, x.turn, x.size AS depth, coalesce(max(u.d), 0) AS parent_depth, count(u.d) AS branch_depth, x.r FROM l x
+      LEFT JOIN nodes u ON u.conv_id = x.conv_id AND u.turn = x.turn AND u.lo <= x.r AND x.r < u.hi GROUP BY x.conv_id, x.turn, x.size, x.r
+      HAVING coalesce(max(u.d), 0) < x.size),
+    tree AS (SELECT i.conv_id, i.turn, depth, parent_depth, branch_depth, CASE WHEN x.size = depth THEN x.p END AS terminal, x.p FROM inner_nodes i
+      JOIN l x ON x.conv_id = i.conv_id AND x.turn = i.turn AND x.r = i.lo
+      UNION ALL SELECT v.conv_id, v.turn, depth, parent_depth, branch_depth, x.p, x.p FROM leaves v JOIN l x ON x.conv_id = v.conv_id AND x.turn = v.turn AND x.r = v.r)
+    SELECT t.conv_id, t.turn, CAST(depth AS BIGINT) AS depth, CAST(parent_depth AS BIGINT) AS parent_depth, CAST(branch_depth AS BIGINT) AS branch_depth,
+    CAST(terminal AS BIGINT) AS terminal, substr(text, p + parent_depth + 1, 1) AS first_char FROM tree t JOIN conversations c ON c.conv_id = t.conv_id AND c.turn = t.turn""",
+)
+def suffix_tree_turns(spark, sf_dir):
+    """Trees of whole texts, with the first character of every edge."""
+    turns = _turns(spark, sf_dir).select("key", "text")
+    tree = suffix_tree.suffix_tree(turns, "key", "text")
+    labelled = tree.join(turns, "key").withColumn("first_char", F.substring("text", (F.col("pos0") + F.col("parent_depth") + 1).cast("int"), F.lit(1)))
+    return labelled.select("key.conv_id", "key.turn", "depth", "parent_depth", "branch_depth", "terminal", "first_char")
+
+
+@query(
+    "common_substring_turns",
+    """WITH shortest AS (SELECT conv_id, arg_min(turn, {'n': length(text), 't': turn}) AS turn FROM conversations GROUP BY conv_id),
+    p AS (SELECT c.conv_id, c.turn, text, unnest(range(1, length(text) + 1)) AS i FROM conversations c JOIN shortest USING (conv_id, turn)),
+    o AS (SELECT conv_id, list(text) AS others FROM conversations GROUP BY conv_id),
+    n AS (SELECT p.conv_id, substr(text, i) AS a, list_filter(others, lambda t: NOT contains(t, substr(text, i, 6))) = [] AS deep, others FROM p JOIN o ON o.conv_id = p.conv_id),
+    m AS (SELECT conv_id, a, coalesce(list_max(list_filter(range(1, 1 + CASE WHEN deep THEN length(a) ELSE least(5, length(a)) END),
+      lambda k: list_filter(others, lambda t: NOT contains(t, left(a, k))) = [])), 0) AS k FROM n)
+    SELECT g.conv_id, coalesce(substring, '') AS substring FROM (SELECT DISTINCT conv_id FROM conversations) g LEFT JOIN
+    (SELECT conv_id, arg_min(left(a, k), {'k': -k, 'a': left(a, k)}) AS substring FROM m GROUP BY conv_id) f USING (conv_id)""",
+)
+def common_substring_turns(spark, sf_dir):
+    """What all turns of a conversation share."""
+    return repeats.common_substring(table(spark, sf_dir, "conversations"), "conv_id", "text", "turn")
+
+
+_NEXT_TURNS_SQL = "(SELECT c.conv_id, c.turn, c.text AS a, d.text AS b FROM conversations c JOIN conversations d ON d.conv_id = c.conv_id AND d.turn = c.turn + 1)"
+
+
+@query(
+    "lcs_turns",
+    f"""WITH p AS (SELECT conv_id, turn, a, b, unnest(range(1, length(a) + 1)) AS i FROM {_NEXT_TURNS_SQL}),
+    m AS (SELECT conv_id, turn, i, substr(a, i) AS s, coalesce(list_max(list_filter(range(1, 1 + CASE WHEN contains(b, substr(a, i, 8)) THEN length(a) - i + 1 ELSE least(7, length(a) - i + 1) END),
+      lambda k: contains(b, substr(a, i, k)))), 0) AS k FROM p)
+    SELECT x.conv_id, x.turn, coalesce(lcs, '') AS lcs FROM {_NEXT_TURNS_SQL} x LEFT JOIN
+    (SELECT conv_id, turn, arg_min(left(s, k), {{'k': -k, 'i': i}}) AS lcs FROM m GROUP BY conv_id, turn) f USING (conv_id, turn)""",
+)
+def lcs_turns(spark, sf_dir):
+    """What each turn shares with the next one."""
+    turns = table(spark, sf_dir, "conversations")
+    after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("b"))
+    pairs = turns.join(after, ["conv_id", "turn"]).select(F.struct("conv_id", "turn").alias("key"), F.col("text").alias("a"), "b")
+    return repeats.common_substring_pair(pairs, "key", "a", "b").select("key.conv_id", "key.turn", F.col("substring").alias("lcs"))
+
+
 @query(
     "longest_repeat",
     f"""SELECT seq_id, arg_min(w, {{'l': -length(w), 'w': w}}) AS substring FROM (SELECT seq_id, w FROM (
@@ -740,8 +806,8 @@ def longest_repeat(spark, sf_dir):
     ) s JOIN (SELECT p_brand, count(*) AS n FROM part GROUP BY p_brand) t ON s.p_brand = t.p_brand GROUP BY s.p_brand, w) GROUP BY p_brand""",
 )
 def common_substring(spark, sf_dir):
-    df = part_keys(spark, sf_dir, "p_brand").select("p_brand", key_dna("p_partkey", 0, 2).alias("seq"))
-    return repeats.common_substring(df, "p_brand", "seq")
+    df = part_keys(spark, sf_dir, "p_brand").select("p_brand", "p_partkey", key_dna("p_partkey", 0, 2).alias("seq"))
+    return repeats.common_substring(df, "p_brand", "seq", "p_partkey")
 
 
 @query(
