@@ -111,6 +111,38 @@ def test_pattern_search(spark, texts, monkeypatch):
     assert first == {key: (min(v), len(v)) for key, v in hits.items() if v}
 
 
+@pytest.mark.parametrize("seed", [2, 16])
+def test_patterns_of_any_length(spark, seed):
+    """Nested patterns, shared beginnings, patterns longer than texts, wide characters; steps over windows of
+    many lengths with the small seed."""
+    rng = random.Random(11)
+    texts = ["".join(rng.choice("ab") for _ in range(n)) for n in (0, 1, 5, 60, 200)] + ["a" * 90, "😀a😀ab" * 9, None]
+    patterns = ["a" * n for n in range(1, 40)] + [texts[4][i : i + n] for i in range(0, 150, 7) for n in (1, 2, 3, 16, 17, 31, 32, 50, 64)]
+    patterns += ["b" * 33, "a" * 500, "😀", "a😀", "zz", "", None, "a", "ab😀a😀ab😀a😀ab😀a"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, s string")
+    found = search.find_patterns(df, "k", "s", spark.createDataFrame([(p,) for p in patterns], "p string"), "p", seed).collect()
+    want = [(k, p, i) for k, t in enumerate(texts) for p in {*patterns} - {None} for i in starts(t or "", p)]
+    assert sorted(map(tuple, found)) == sorted(want)
+    none = spark.createDataFrame([], "p string")
+    assert search.find_patterns(df, "k", "s", none, "p", seed).collect() == search.first_occurrence(df, "k", "s", none, "p").collect() == []
+
+
+def test_three_thousand_patterns_share_their_beginning(spark):
+    """A place that has the shared letters is one row, not one per pattern."""
+    rng = random.Random(12)
+    head = "sixteen letters."
+    tails = ["".join(rng.choice("acgt") for _ in range(rng.randint(1, 60))) for _ in range(3000)]
+    text = "".join(head + t + rng.choice(["", "!", "acg"]) for t in tails[::3]) + head * 500
+    df = spark.createDataFrame([(0, text), (1, head * 2000)], "k int, s string")
+    patterns = spark.createDataFrame([(head + t,) for t in tails], "p string")
+    known = search.build_patterns(patterns, "p")
+    letters = sum(len(head + t) for t in {*tails})
+    assert known.shorter.count() <= letters and known.ends.count() <= letters
+    got = {(r.k, r.pattern): (r.pos0, r.hits) for r in search.first_occurrence(df, "k", "s", patterns, "p").collect()}
+    want = {(0, head + t): (text.find(head + t), len(starts(text, head + t))) for t in {*tails} if head + t in text}
+    assert got == want and len(want) >= 1000
+
+
 def test_repeats(spark, texts):
     def longest(t, k):
         for n in range(len(t), 0, -1):
