@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -62,3 +63,10 @@ def dropped(table: DataFrame) -> None:
         spark = table.sparkSession
         folder = spark._jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def released(spark: SparkSession) -> None:
+    """Have the driver collect garbage, upon which Spark removes the shuffle files of finished jobs. Between
+    large steps of one job flow, as by itself that happens rarely, and all files stay until then."""
+    gc.collect()
+    spark._jvm.System.gc()
