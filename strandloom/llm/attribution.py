@@ -8,8 +8,11 @@ with the sorted section spans. A token that touches several sections is allocate
 * `majority`: to the section that has most of its characters, the first of several
 * `split`: to each section by its share of the characters (counts are fractions)
 
-Characters outside all sections belong to section -1. Null and empty texts have no tokens; their
-sections are listed with 0. Repeated rows are counted one by one.
+Characters outside all sections belong to section -1, which is listed if it has tokens. Null and empty texts have
+no tokens; their sections are listed with 0, without given sections one line. Very long texts are encoded in
+pieces on many tasks, with the ids of the whole. Repeated rows and repeated keys, null ones too, are counted
+one by one: a row's sections travel with it. Of equally large shares of a token the first section gets it. An empty
+table gives an empty result. Only key, text and sections are read, so names of other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -53,23 +56,35 @@ def counts(ids: np.ndarray, table: Vocabulary, spans: list[tuple[int, int]] | No
         section_of = np.where(inside, at, -1)
     total = np.zeros(n + 1, np.float64)  # the last one is section -1
     if len(owner):
+        place = np.where(section_of < 0, n, section_of)
         # Runs of characters that share token and section.
-        starts = np.flatnonzero(np.diff(owner, prepend=-1) | np.diff(section_of, prepend=-2))
+        head = np.concatenate([[True], (owner[1:] != owner[:-1]) | (place[1:] != place[:-1])])
+        starts = np.flatnonzero(head)
+        token, section = owner[starts], place[starts]
         run = np.diff(np.append(starts, len(owner)))
-        token, section = owner[starts], section_of[starts]
-        whole = np.bincount(token, weights=run, minlength=len(ids))
-        if rule == "split":
-            np.add.at(total, section, run / whole[token])
+        opens = np.concatenate([[True], token[1:] != token[:-1]])
+        if opens.all():  # no token touches two sections
+            total += np.bincount(section, minlength=n + 1)
+        elif rule == "split":
+            whole = np.bincount(token, weights=run, minlength=len(ids))
+            total += np.bincount(section, run / whole[token], n + 1)
         else:
-            order = {"start": starts, "end": -starts, "majority": -run}[rule]
-            pick = np.lexsort((starts, order, token))
-            chosen = pick[np.unique(token[pick], return_index=True)[1]]
-            np.add.at(total, section[chosen], 1)
+            lead = np.flatnonzero(opens)
+            if rule == "end":
+                lead = np.append(lead[1:], len(token)) - 1
+            elif rule == "majority":
+                # What lies between sections may be several runs of one token.
+                _, first, of = np.unique(token * (n + 1) + section, return_index=True, return_inverse=True)
+                most = np.bincount(of, run)
+                token, section = token[first], section[first]
+                order = np.lexsort((first, -most, token))
+                lead = order[np.flatnonzero(np.concatenate([[True], token[order][1:] != token[order][:-1]]))]
+            total += np.bincount(section[lead], minlength=n + 1)
     # A token of inner bytes of a character goes where that character went.
     bare = np.flatnonzero(np.bincount(owner, minlength=len(ids)) == 0) if len(ids) else np.zeros(0, np.int64)
     if len(bare) and len(owner):
         at = np.maximum(np.searchsorted(owner, bare) - 1, 0)
-        np.add.at(total, section_of[at], 1)
+        total += np.bincount(place[at], minlength=n + 1)
     keep = np.append(np.ones(n, bool), total[n] > 0)
     return np.append(np.arange(n), -1)[keep], total[keep]
 
@@ -78,17 +93,18 @@ def token_counts(docs: DataFrame, key: str, text: str, path: str, sections: str
     """`(key, section, n_tokens)` for every section of every row.
 
     `sections` is a column of arrays of structs `(begin, end)` in characters, sorted and without
-    overlap; without it, the sections are the lines. It needs `key` to be unique, as the spans are
-    joined to the ids by it.
+    overlap; without it, the sections are the lines.
     """
     if rule not in RULES:
         raise ValueError(f"rule is one of {RULES}")
     definition = shipped(docs.sparkSession, path)
-    ids = encode(docs, key, text, definition).select(F.col(key).alias("_key"), "ids")
     kind = docs.schema[key].dataType.simpleString()
+    both = [F.col(key).alias("key")]
     if sections:
-        spans = docs.select(F.col(key).alias("_other"), F.transform(sections, lambda s: F.array(s["begin"], s["end"])).alias("_spans"))
-        ids = ids.join(spans, F.col("_key").eqNullSafe(F.col("_other")), "left").drop("_other")
+        both.append(F.transform(sections, lambda s: F.array(s["begin"], s["end"])).alias("spans"))
+    rows = docs.select(F.struct(*both).alias("_row_of"), F.col(text).alias("_whole"))
+    ids = encode(rows, "_row_of", "_whole", definition).select("_row_of.*", "ids")
+    ids = ids.select(F.col("key").alias("_key"), "ids", *([F.col("spans").alias("_spans")] if sections else []))
     number = "double" if rule == "split" else "bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

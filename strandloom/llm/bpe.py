@@ -18,15 +18,18 @@ than key and text are not read, so their names cannot clash.
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,14 +78,35 @@ def token_bytes(definition: str) -> list[bytes]:
     return out
 
 
+#: How byte-level vocabularies of this kind split texts before they merge. A fixed value of the tokenizer files.
+_PATTERN = public_tokenizers.PATTERN
+
+
+@lru_cache(2)
+def ranked(definition: str):
+    """The same encoding, special tokens aside, from the ranks of tokens, which is faster; None for a vocabulary
+    whose ids are not in the order of its merges, or that does more than byte-level splitting and merging."""
+    about = json.loads(definition)
+    shape = about.get("pre_tokenizer") or {}
+    bare = shape.get("type") == "ByteLevel" and shape.get("use_regex", True) and not shape.get("add_prefix_space") and not about.get("normalizer")
+    vocabulary = about["model"].get("vocab", {})
+    merges = [m if isinstance(m, list) else m.split(" ") for m in about["model"].get("merges", [])]
+    made = [vocabulary.get("".join(m), -1) for m in merges]
+    if not bare or made != sorted(set(made)) or -1 in made[:1] or about["model"].get("ignore_merges"):
+        return None
+    added = {t["id"] for t in about.get("added_tokens", [])}
+    ranks = {t: i for i, t in enumerate(token_bytes(definition)) if i not in added}
+    return tiktoken.Encoding("ranks", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 @lru_cache(4)
 def _sizes(definition: str) -> np.ndarray:
     return np.array([len(b) for b in token_bytes(definition)], np.int64)
 
 
 class Memo:
-    """Ids of parts of texts, each different part encoded once while a worker lives. At most
-    about `most` parts are remembered; then it begins anew."""
+    """Ids of parts of texts, each different part encoded once while a worker remembers it. At most
+    about `most` parts are remembered; then those met in one batch only are forgotten, or all, if that are few."""
 
     def __init__(self, definition: str, most: int = 200_000):
         self.made, self.most = tokenizer(definition), most
@@ -90,11 +114,22 @@ class Memo:
 
     def _clear(self) -> None:
         self.index: dict[str, int] = {}
-        self.begin, self.length, self.pool = (np.zeros(0, np.int64) for _ in range(3))
+        self.begin, self.length, self.pool, self.met = (np.zeros(0, np.int64) for _ in range(4))
+
+    def _forget(self) -> None:
+        keep = self.met > 1
+        if 2 * keep.sum() > self.most:
+            self._clear()
+            return
+        names = [p for p, k in zip(self.index, keep.tolist(), strict=True) if k]
+        self.index = dict(zip(names, range(len(names)), strict=True))
+        self.pool, self.length, self.met = gathered(self.pool, self.begin[keep], self.length[keep]), self.length[keep], self.met[keep]
+        self.begin = np.cumsum(self.length) - self.length
 
     def _add(self, new: list[str], ids: np.ndarray, length: np.ndarray) -> None:
         self.begin = np.concatenate([self.begin, len(self.pool) + np.cumsum(length) - length])
         self.length = np.concatenate([self.length, length])
+        self.met = np.concatenate([self.met, np.zeros(len(length), np.int64)])
         self.pool = np.concatenate([self.pool, ids])
         self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
 
@@ -109,13 +144,16 @@ class Memo:
     def ids_of(self, parts: pa.Array, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the parts, and the number of ids between `borders`, numbers of parts."""
         if len(self.index) > self.most:
-            self._clear()
+            self._forget()
         coded = parts.dictionary_encode()
         different = coded.dictionary.to_pylist()
-        new = [p for p in different if p not in self.index]
-        if new:
+        places = [self.index.get(p, -1) for p in different]
+        number = np.array(places, np.int64)
+        if len(unknown := np.flatnonzero(number < 0)):
+            new = [different[i] for i in unknown.tolist()]
             self._learn(new)
-        number = np.fromiter(map(self.index.__getitem__, different), np.int64, len(different))
+            number[unknown] = np.fromiter(map(self.index.__getitem__, new), np.int64, len(new))
+        self.met[number] += 1
         number = number[coded.indices.to_numpy(zero_copy_only=False)]
         size = self.length[number]
         ends = np.concatenate([[0], np.cumsum(size)])
@@ -132,7 +170,7 @@ class ByteMemo(Memo):
 
     def __init__(self, definition: str, most: int = 200_000):
         super().__init__(definition, most)
-        self.sizes = _sizes(definition)
+        self.sizes, self.fast = _sizes(definition), ranked(definition)
 
     def _learn(self, new: list[str]) -> None:
         """Parts that begin with a blank and end with none are split off each other, too."""
@@ -140,7 +178,8 @@ class ByteMemo(Memo):
         self._singly([p for p in new if p[0] not in " \t\n\r\x0b\x0c" or p[-1] in " \t\n\r\x0b\x0c"])
         for i in range(0, len(joint), 4096):
             group = joint[i : i + 4096]
-            ids = np.array(self.made.encode("".join(group), add_special_tokens=False).ids, np.int64)
+            text = "".join(group)  # without special tokens, see `_ODD`
+            ids = np.array(self.fast.encode_ordinary(text) if self.fast else self.made.encode(text, add_special_tokens=False).ids, np.int64)
             ends = np.cumsum([len(p.encode()) for p in group])
             last = np.searchsorted(np.cumsum(self.sizes[ids]), ends)
             self._add(group, ids, np.diff(last, prepend=-1))
@@ -258,8 +297,9 @@ def _cut(text: str, leaf: int):
         for part in slices(batches, text):
             for row, key, whole in zip(*(part[n].to_pylist() for n in ("_row", "_key", text)), strict=True):
                 for i, at in enumerate(range(0, len(whole), leaf)):
+                    # The key, which may be large, travels with the first piece.
                     yield pa.RecordBatch.from_pydict(
-                        {"_row": pa.array([row], pa.int64()), "_key": pa.array([key], part["_key"].type),
+                        {"_row": pa.array([row], pa.int64()), "_key": pa.array([None if i else key], part["_key"].type),
                          "_node": pa.array([i], pa.int64()), "_text": pa.array([whole[at : at + leaf]])}
                     )
 
@@ -303,7 +343,7 @@ def encode(docs: DataFrame, key: str, text: str, definition, leaf: int = 1 << 15
     )
     while most > 0:  # half as many pieces each round
         pairs = nodes.groupBy("_row", F.shiftright("_node", 1).alias("_half")).agg(
-            F.first("_key").alias("_key"), F.sort_array(F.collect_list(F.struct("_node", "_text", "ids"))).alias("_pair")
+            F.first("_key", ignorenulls=True).alias("_key"), F.sort_array(F.collect_list(F.struct("_node", "_text", "ids"))).alias("_pair")
         )
         nodes = pairs.withColumnRenamed("_half", "_node").mapInArrow(_joins(definition), f"{shape}, ids array<int>")
         most >>= 1

@@ -28,7 +28,6 @@ empty result. Only key and text are read, so names of other columns cannot clash
 from __future__ import annotations
 
 import hashlib
-import json
 import struct
 from collections import OrderedDict
 from collections.abc import Iterator
@@ -37,17 +36,15 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
-import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 import sentencepiece
-import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.llm.batches import batches_of, gathered, mixed, slices, strings
-from strandloom.llm.bpe import shipped, token_bytes
+from strandloom.llm.bpe import ranked, shipped, token_bytes
 from strandloom.llm.tokenfile import _opened, _read, _write, build_hash, ranks_of
 from strandloom.plans.session import checkpointed, dropped
 
@@ -73,27 +70,6 @@ def _plain(definition: str):
     return made
 
 
-#: How byte-level vocabularies of this kind split texts before they merge. A fixed value of the tokenizer files.
-_PATTERN = public_tokenizers.PATTERN
-
-
-@lru_cache(2)
-def _ranked(definition: str):
-    """The same encoding from the ranks of tokens, which is faster; None for a vocabulary whose ids are not in
-    the order of its merges, or that does more than byte-level splitting and merging."""
-    about = json.loads(definition)
-    shape = about.get("pre_tokenizer") or {}
-    bare = shape.get("type") == "ByteLevel" and shape.get("use_regex", True) and not shape.get("add_prefix_space") and not about.get("normalizer")
-    vocabulary = about["model"].get("vocab", {})
-    merges = [m if isinstance(m, list) else m.split(" ") for m in about["model"].get("merges", [])]
-    made = [vocabulary.get("".join(m), -1) for m in merges]
-    if not bare or made != sorted(set(made)) or -1 in made[:1] or about["model"].get("ignore_merges"):
-        return None
-    added = {t["id"] for t in about.get("added_tokens", [])}
-    ranks = {t: i for i, t in enumerate(token_bytes(definition)) if i not in added}
-    return tiktoken.Encoding("ranks", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-
 def _distinct(x: np.ndarray, counted: bool = False):
     """The different values in order, and how often each occurs. Sorting is faster here than numpy's hashing."""
     x = np.sort(x)
@@ -148,7 +124,7 @@ class Alignments:
     all, if that are few."""
 
     def __init__(self, definition: str, model: bytes, spelled: bool, counts: Counts | None = None, most: int = 300_000, most_bytes: int = 48 << 20):
-        self.a, self.fast, self.b = _plain(definition), _ranked(definition), sentencepiece.SentencePieceProcessor(model_proto=model)
+        self.a, self.fast, self.b = _plain(definition), ranked(definition), sentencepiece.SentencePieceProcessor(model_proto=model)
         self.a_bytes, self.b_bytes = _Bytes(token_bytes(definition)), _Bytes(piece_bytes(model))
         if max(len(self.a_bytes.size), len(self.b_bytes.size)) > 1 << 16:
             raise ValueError("ids of 16 bits are needed")

@@ -6,11 +6,13 @@ import hashlib
 import os
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from strandloom.llm import attribution, bpe, tokenfile
 
@@ -128,6 +130,53 @@ def test_token_allocation(byte):
     assert counted(byte, "a\n\n\nb", None, "majority") == {0: 2, 1: 0, 2: 1, 3: 1}  # two line ends in one token
 
 
+def attributed_by_hand(byte, text, spans, rule):
+    """Section by section from the library's own offsets."""
+    seen = bpe.tokenizer(byte).encode(text or "", add_special_tokens=False)
+    spans = [(i, a, b) for i, (a, b) in enumerate(spans)]
+    where = {c: i for i, a, b in spans for c in range(a, b)}
+    out = {i: 0 for i, *_ in spans}
+    last = 0
+    for a, b in seen.offsets:
+        # The library gives a token of inner bytes its character; here a character counts for its first token.
+        chars = [where.get(c, -1) for c in range(max(a, last), b)] or [where.get(b - 1, -1)]
+        last = max(last, b)
+        times = Counter(chars)
+        most = max(times.values())
+        pick = {"start": chars[0], "end": chars[-1], "majority": next(c for c in chars if times[c] == most)}.get(rule)
+        for section, share in ({pick: 1} if rule != "split" else {c: n / len(chars) for c, n in times.items()}).items():
+            out[section] = out.get(section, 0) + share
+    return {k: v for k, v in out.items() if k >= 0 or v}
+
+
+def line_spans_of(text):
+    begin = [0, *(i + 1 for i, c in enumerate(text or "") if c == "\n")]
+    return list(zip(begin, [*begin[1:], len(text or "")], strict=True))
+
+
+@pytest.mark.parametrize("rule", attribution.RULES)
+def test_allocation_equals_offsets(byte, rule):
+    rng = random.Random(9)
+    for text in [*texts_of(250, 40, 8), "", "é" * 9, "😀\n" * 5]:
+        cuts = sorted(rng.randint(0, len(text)) for _ in range(6))
+        for spans in (None, list(zip(cuts[::2], cuts[1::2], strict=True)), []):
+            want = attributed_by_hand(byte, text, line_spans_of(text) if spans is None else spans, rule)
+            got = counted(byte, text, spans, rule)
+            assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want), (text, spans)
+
+
+def test_token_counts_of_repeated_rows_and_long_texts(spark, byte):
+    long = "line of words \n" * 9000
+    rows = [(1, "ab cd", [(0, 2), (2, 5)]), (1, "ab cd", [(0, 2), (2, 5)]), (1, "other", [(0, 1)]), (None, "x\ny", [(0, 3)]), (None, None, None), (2, long, [(0, 70_000), (70_000, len(long))])]
+    docs = spark.createDataFrame(rows, "k int, t string, s array<struct<begin:int,end:int>>").withColumn("key", F.lit("clash")).withColumn("spans", F.lit(1))
+    for rule in ("majority", "split"):
+        got = Counter((r.k, r.section, round(r.n_tokens, 9)) for r in attribution.token_counts(docs, "k", "t", BYTE, "s", rule).collect())
+        assert got == Counter((k, i, round(n, 9)) for k, t, s in rows for i, n in attributed_by_hand(byte, t, s or [], rule).items())
+    lines = Counter((r.k, r.section, r.n_tokens) for r in attribution.token_counts(docs, "k", "t", BYTE).collect())
+    assert lines == Counter((k, i, n) for k, t, _ in rows for i, n in attributed_by_hand(byte, t, line_spans_of(t), "majority").items())
+    assert attribution.token_counts(docs.limit(0), "k", "t", BYTE, "s").collect() == []
+
+
 def test_token_counts_by_line(spark, byte):
     texts = [None, "", "one\ntwo lines\n", "你好\n世界 " * 40, *texts_of(20, 200, 6)]
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id bigint, text string, section string")
