@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.constants import SENTINEL_FIRST
-from strandloom.operators.suffix import suffix_array
+from strandloom.operators.nearest import BLOCK, nearest_below
+from strandloom.operators.suffix import build_group_index, suffix_array
 from strandloom.plans.ordering import blocked_running_max, blocked_running_sum, dense_index, ordered_concat
 from strandloom.plans.session import checkpointed, dropped
 
@@ -148,6 +149,41 @@ def backward_search(index: FmIndex, queries: DataFrame, pattern: str) -> DataFra
     return done
 
 
+def pattern_intervals(df: DataFrame, key: str, seq: str, queries: DataFrame, pattern: str, block: int = BLOCK) -> DataFrame:
+    """The same intervals `(key, pattern, lo, hi)` for patterns of any length, any number per text, without a
+    round per character: patterns are ranked together with the text's suffixes, in a number of rounds that
+    grows with the logarithm of the longest repeat. A pattern stands right before the suffixes that begin
+    with it, which end where neighbours share less than its length."""
+    asked = queries.select(F.col(key).alias("_key"), F.col(pattern).alias("pattern")).where("pattern IS NOT NULL").distinct()
+    known = df.select(F.col(key).alias("_key"), F.col(seq).alias("_seq"))
+    asked = asked.join(known.select("_key"), "_key", "left_semi")
+    numbered = dense_index(asked.where("pattern <> ''"), ["_key", "pattern"], "_n")
+    patterns = checkpointed(numbered.select("_key", "pattern", F.col("_n").alias("text")))
+    dropped(numbered)
+    last = F.lit((1 << 63) - 1).alias("text")  # after all patterns, as equal suffixes are in this order
+    together = patterns.select("_key", "text", F.col("pattern").alias("_seq")).unionByName(known.select("_key", last, "_seq"))
+    index = build_group_index(together, "_key", "text", "_seq")
+    shared = index.common_prefixes().select("_key", "r", "text", "pos0", "start", "lcp")
+    heads = index.ordered.groupBy("_key").agg(F.min(F.struct("r", "text", "pos0", "start")).alias("_h"))
+    rows = shared.unionByName(heads.select("_key", "_h.*", F.lit(-1).cast("bigint").alias("lcp")))
+    # How many suffixes of the text itself come before each rank; the sentinel's has rank 0.
+    own = F.when(F.col("text") == (1 << 63) - 1, 1).otherwise(0)
+    placed = checkpointed(blocked_running_sum(rows.withColumn("_own", own), ["_key"], "r", "_own", "upto"))
+    places = placed.where("_own = 0 AND pos0 = start").join(patterns, ["_key", "text"])
+    places = checkpointed(places.select("_key", "pattern", "r", F.length("pattern").cast("bigint").alias("_size"), F.col("upto").alias("lo")))
+    ends = nearest_below(placed, "r", "lcp", places, "r", "_size", "next", placed.count(), block).select("r", "_size", F.col("at").alias("_end"))
+    before = placed.select(F.col("r").alias("_end"), F.col("_key").alias("_in"), (F.col("upto") - F.col("_own")).alias("_upto"))
+    sizes = known.select("_key", F.length("_seq").cast("bigint").alias("_total"))
+    found = places.join(ends, ["r", "_size"], "left").join(before, "_end", "left").join(sizes, "_key")
+    # Beyond the last suffix of the key is another key, or nothing.
+    hi = F.when(F.col("_in") == F.col("_key"), F.col("_upto")).otherwise(F.col("_total"))
+    found = found.select(F.col("_key").alias(key), "pattern", (F.col("lo") + 1).alias("lo"), (hi + 1).alias("hi")).where("lo < hi")
+    every = asked.where("pattern = ''").join(sizes, "_key").select(
+        F.col("_key").alias(key), "pattern", F.lit(0).cast("bigint").alias("lo"), (F.col("_total") + 1).alias("hi")
+    )
+    return found.unionByName(every)
+
+
 def locate(index: FmIndex, found: DataFrame) -> DataFrame:
     """Positions of the intervals `(key, pattern, pos0)`; the sentinel's own is left out."""
     ranks = found.withColumn("rank", F.explode(F.sequence(F.col("lo"), F.col("hi") - 1)))

@@ -73,6 +73,14 @@ def blocked_running_max(
     return blocked.withColumn(name, F.greatest("_carry", "_inside")).drop("_block", "_carry", "_inside")
 
 
+def blocked_running_min(
+    df: DataFrame, keys: Sequence[str], pos: str, value: str, name: str, width: int = 4096
+) -> DataFrame:
+    """Inclusive running minimum of `value`, NULLs passed over, in the same way."""
+    blocked = _blocked(df, keys, pos, value, width, F.min)
+    return blocked.withColumn(name, F.least("_carry", "_inside")).drop("_block", "_carry", "_inside")
+
+
 def ordered_concat(
     df: DataFrame, keys: Sequence[str], pos: str, value: str, name: str, width: int = 4096
 ) -> DataFrame:

@@ -15,6 +15,7 @@ from strandloom.constants import CODON_BASES, CODON_RESIDUES, GLYCOSYLATION_MOTI
 from strandloom.functions import alignment, alphabet, genetics, mass, polymer, strings
 from strandloom.operators import (
     assembly,
+    borders,
     components,
     consensus,
     coverage,
@@ -466,14 +467,27 @@ def motif_search(spark, sf_dir):
     FROM (SELECT seq_id, seq, unnest(range(1, length(seq) + 1)) AS i FROM {parts_sql()})""",
 )
 def border_array(spark, sf_dir):
-    borders = F.posexplode(strings.border_array(F.col("seq"))).alias("pos0", "border")
-    return parts(spark, sf_dir).select("seq_id", borders)
+    each = F.posexplode(strings.border_array(F.col("seq"))).alias("pos0", "border")
+    return parts(spark, sf_dir).select("seq_id", each)
 
 
-@query("border_array_documents")
+@query(
+    "border_array_documents",
+    f"""WITH RECURSIVE d AS MATERIALIZED (SELECT seq_id, seq, length(seq) AS n FROM {documents_sql()}),
+    w AS (SELECT seq_id, n, left(seq, 12) AS h, unnest(range(1, n)) AS p, unnest(list_transform(range(2, n + 1), lambda i: substr(seq, i, 12))) AS s FROM d),
+    short AS MATERIALIZED (SELECT seq_id, n, p, CASE WHEN s = h THEN 12 WHEN left(s, 1) <> left(h, 1) THEN 0 ELSE
+      list_max(list_filter(range(1, 12), lambda k: k <= length(s) AND left(s, k) = left(h, k))) END AS z FROM w),
+    b(seq_id, p, lo, hi) AS (SELECT seq_id, p, CAST(12 AS BIGINT), n - p FROM short WHERE z = 12 UNION ALL
+      SELECT seq_id, p, CASE WHEN ok THEN mid ELSE lo END, CASE WHEN ok THEN hi ELSE mid - 1 END FROM (
+        SELECT b.seq_id, p, lo, hi, (lo + hi + 1) // 2 AS mid, left(seq, (lo + hi + 1) // 2) = substr(seq, p + 1, (lo + hi + 1) // 2) AS ok
+        FROM b JOIN d ON d.seq_id = b.seq_id WHERE lo < hi)),
+    z AS (SELECT seq_id, n, p, z FROM short WHERE z < 12 UNION ALL SELECT b.seq_id, n, p, lo FROM b JOIN d ON d.seq_id = b.seq_id WHERE lo = hi)
+    SELECT d.seq_id, CAST(coalesce(max(z), 0) AS INTEGER) AS longest, CAST(coalesce(max(z) FILTER (p + z = d.n), 0) AS INTEGER) AS last
+    FROM d LEFT JOIN z ON z.seq_id = d.seq_id GROUP BY d.seq_id""",
+)
 def border_array_documents(spark, sf_dir):
-    borders = strings.border_array(F.col("seq"))
-    return documents(spark, sf_dir).select("seq_id", F.array_max(borders).alias("longest"), F.element_at(borders, -1).alias("last"))
+    each = strings.border_array(F.col("seq"))
+    return documents(spark, sf_dir).select("seq_id", F.array_max(each).alias("longest"), F.element_at(each, -1).alias("last"))
 
 
 _WORDS_SQL = """(SELECT DISTINCT w AS pattern FROM (SELECT unnest(string_split_regex(text, '\\s+')) AS w FROM benchmark) WHERE length(w) > 0)"""
@@ -543,7 +557,17 @@ def suffix_array(spark, sf_dir):
     return suffix.suffix_array(parts(spark, sf_dir), "seq_id", "seq")
 
 
-@query("suffix_array_documents")
+@query(
+    "suffix_array_documents",
+    """WITH RECURSIVE s AS MATERIALIZED (SELECT doc_id, unnest(range(0, length(text))) AS p, unnest(list_transform(range(1, length(text) + 1), lambda i: substr(text, i, 128))) AS s FROM documents),
+    d AS MATERIALIZED (SELECT doc_id, p, dense_rank() OVER (PARTITION BY doc_id ORDER BY s) AS r FROM s),
+    t(k, doc_id, p, r) AS (SELECT CAST(128 AS BIGINT), doc_id, p, r FROM d UNION ALL
+      SELECT k * 4, doc_id, p, dense_rank() OVER (PARTITION BY doc_id ORDER BY r, r2, r3, r4) FROM (
+        SELECT k, doc_id, p, r, coalesce(lead(r, 1) OVER w, 0) AS r2, coalesce(lead(r, 2) OVER w, 0) AS r3, coalesce(lead(r, 3) OVER w, 0) AS r4 FROM t
+        WINDOW w AS (PARTITION BY doc_id, p % k ORDER BY p))
+      WHERE k < (SELECT max(length(text)) FROM documents))
+    SELECT doc_id, CAST(r - 1 AS BIGINT) AS rank, CAST(p AS BIGINT) AS pos0 FROM t WHERE k = (SELECT max(k) FROM t)""",
+)
 def suffix_array_documents(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return suffix.suffix_array(docs, "doc_id", "text")
@@ -663,9 +687,29 @@ def suffix_offsets_turns(spark, sf_dir):
     FROM (SELECT conv_id, turn, text, unnest(range(1, length(text) + 1)) AS p FROM conversations)) GROUP BY conv_id, turn""",
 )
 def border_array_turns(spark, sf_dir):
-    borders = strings.border_array(F.col("text"))
-    turns = table(spark, sf_dir, "conversations").where("text <> ''")
-    return turns.select("conv_id", "turn", F.array_max(borders).alias("longest"), F.element_at(borders, -1).alias("last"))
+    found = borders.border_arrays(_turns(spark, sf_dir).select("key", "text"), "key", "text")
+    both = found.groupBy("key").agg(F.max("border").cast("int").alias("longest"), F.max_by("border", "pos0").cast("int").alias("last"))
+    return both.select("key.conv_id", "key.turn", "longest", "last")
+
+
+_PIECES_SQL = """(SELECT DISTINCT conv_id, turn, substr(text, 1 + (k * 53) % length(text), 1 + k * k * 3) AS pattern
+    FROM (SELECT conv_id, turn, text, unnest(range(1, 13)) AS k FROM conversations WHERE text <> ''))"""
+
+
+@query(
+    "pattern_intervals_turns",
+    f"""SELECT p.conv_id, p.turn, pattern, CAST(1 + count(*) FILTER (a < pattern) AS BIGINT) AS lo, CAST(1 + count(*) FILTER (a < pattern OR starts_with(a, pattern)) AS BIGINT) AS hi
+    FROM {_PIECES_SQL} p JOIN (SELECT conv_id, turn, substr(text, i) AS a FROM (SELECT conv_id, turn, text, unnest(range(1, length(text) + 1)) AS i FROM conversations)) s
+    ON s.conv_id = p.conv_id AND s.turn = p.turn GROUP BY p.conv_id, p.turn, pattern""",
+)
+def pattern_intervals_turns(spark, sf_dir):
+    """Up to twelve patterns per text, of 1 to 433 characters."""
+    turns = table(spark, sf_dir, "conversations").where("text <> ''").select(F.struct("conv_id", "turn").alias("key"), "text")
+    k = F.explode(F.sequence(F.lit(1), F.lit(12))).alias("k")
+    cut = F.substring("text", (1 + F.col("k") * 53 % F.length("text")).cast("int"), 1 + F.col("k") * F.col("k") * 3)
+    pieces = turns.select("key", "text", k).select("key", cut.alias("pattern"))
+    found = fm_index.pattern_intervals(turns, "key", "text", pieces, "pattern")
+    return found.select("key.conv_id", "key.turn", "pattern", "lo", "hi")
 
 
 @query(

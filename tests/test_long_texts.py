@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandloom.operators import repeats, suffix, suffix_tree
+from strandloom.operators import borders, fm_index, repeats, suffix, suffix_tree
 from strandloom.operators.nearest import nearest_below, nearest_smaller
 
 
@@ -158,3 +158,52 @@ def test_shortest_runs_by_hand():
         reach = [int(shared[i + 1 : cut].min()) if i + 1 < cut else 1 << 62 for i, _ in last]
         got = repeats.shortest_runs(shared[cut:], owner[cut:], int(owners), np.array([o for _, o in last], np.int64), np.array(reach, np.int64))
         assert got.tolist() == want[cut:]
+
+
+def borders_of(text):
+    out, b = [0] * len(text), 0
+    for i in range(1, len(text)):
+        while b and text[b] != text[i]:
+            b = out[b - 1]
+        b += text[b] == text[i]
+        out[i] = b
+    return out
+
+
+def test_border_arrays(spark):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("ab") for _ in range(rng.randint(1, 50))) for _ in range(15)] + ["a" * 40, "x", "abab" * 9 + "c" + "abab" * 9, "😀a😀a", ""]
+    texts.append((("".join(rng.choice("acgt") for _ in range(3000))) + "n") * 3)
+    df = spark.createDataFrame([*enumerate(texts), (99, None)], "k int, t string")
+    found = defaultdict(dict)
+    for r in borders.border_arrays(df, "k", "t", width=16).collect():
+        found[r.k][r.pos0] = r.border
+    assert {k: [v[i] for i in range(len(v))] for k, v in found.items()} == {k: borders_of(t) for k, t in enumerate(texts) if t}
+
+
+def test_intervals_of_long_patterns(spark):
+    """Patterns of any length, many per text, against the sorted suffixes."""
+    rng = random.Random(10)
+    texts = ["".join(rng.choice("ab") for _ in range(n)) for n in (1, 30, 80)] + ["a" * 50, "", "acgt" * 1500 + "".join(rng.choice("acgt") for _ in range(5000))]
+    asked = [(k, p) for k, t in enumerate(texts) for p in {t[:1], t, t[3:40], t[-9:], "ab", "b", "zz", "", t + "a", t[1:] + "a", t[len(t) // 2 :], "a" * 20}]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    queries = spark.createDataFrame([*asked, *asked[:3], (0, None), (77, "a")], "k int, p string")
+    got = {(r.k, r.pattern): (r.lo, r.hi) for r in fm_index.pattern_intervals(df, "k", "t", queries, "p", block=64).collect()}
+    want = {}
+    for k, p in asked:
+        ranked = sorted([texts[k][i:] for i in range(len(texts[k]) + 1)])  # the sentinel's suffix is the empty one
+        inside = [i for i, s in enumerate(ranked) if s.startswith(p)]
+        if inside:
+            want[k, p] = (inside[0], inside[-1] + 1)
+    assert got == want
+
+
+def test_intervals_lead_to_places(spark):
+    df = spark.createDataFrame([(1, "banana"), (2, "ananas")], "k int, t string")
+    index = fm_index.build_fm_index(df, "k", "t")
+    asked = spark.createDataFrame([(k, p) for k in (1, 2) for p in ("ana", "na", "s", "banana")], "k int, p string")
+    by_letter = sorted(map(tuple, fm_index.backward_search(index, asked, "p").select("k", "pattern", "lo", "hi").collect()))
+    together = fm_index.pattern_intervals(df, "k", "t", asked, "p")
+    assert sorted(map(tuple, together.collect())) == by_letter
+    places = sorted(map(tuple, fm_index.locate(index, together).collect()))
+    assert places == [(1, "ana", 1), (1, "ana", 3), (1, "banana", 0), (1, "na", 2), (1, "na", 4), (2, "ana", 0), (2, "ana", 2), (2, "na", 1), (2, "na", 3), (2, "s", 5)]
