@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from strandloom.constants import SENTINEL_FIRST
 from strandloom.operators.nearest import BLOCK, nearest_below
-from strandloom.operators.suffix import build_group_index, suffix_array
+from strandloom.operators.suffix import build_group_index, build_suffix_index
 from strandloom.plans.ordering import blocked_running_max, blocked_running_sum, dense_index, ordered_concat
 from strandloom.plans.session import checkpointed, dropped
 
@@ -23,17 +23,13 @@ def bwt(df: DataFrame, key: str, seq: str) -> DataFrame:
     """Rows `(key, rank, pos0, symbol)` of the terminated texts: the sorted suffixes and the
     character before each. The sentinel sorts before every character and is none itself: before
     the whole text, `symbol` is null."""
-    sizes = df.select(key, F.length(seq).cast("bigint").alias("_size"))
-    array = suffix_array(df, key, seq).select(key, (F.col("rank") + 1).alias("rank"), "pos0")
+    index = build_suffix_index(df, key, seq, before=True)
+    first = index.ordered.groupBy(key).agg(F.min("r").alias("_first"))
+    array = index.ordered.join(first, key).select(key, (F.col("r") - F.col("_first") + 1).alias("rank"), "pos0", F.col("before").alias("symbol"))
     # The suffix of the sentinel alone sorts first.
-    last = sizes.select(key, F.lit(0).cast("bigint").alias("rank"), F.col("_size").alias("pos0"))
-    letters = df.select(key, F.posexplode(F.split(seq, "")).alias("_p", "symbol")).where("symbol <> ''")
-    before = letters.select(key, (F.col("_p") + 1).cast("bigint").alias("pos0"), "symbol")
-    return (
-        array.union(last)
-        .join(before, [key, "pos0"], "left")
-        .select(key, "rank", "pos0", "symbol")
-    )
+    size = F.length(seq).cast("bigint")
+    last = df.where(size >= 0).select(key, F.lit(0).cast("bigint").alias("rank"), size.alias("pos0"), F.when(size > 0, F.right(seq, F.lit(1))).alias("symbol"))
+    return array.unionByName(last)
 
 
 def bwt_string(table: DataFrame, key: str) -> DataFrame:

@@ -117,9 +117,10 @@ def _indexed(windows: DataFrame, key: str) -> SuffixIndex:
     return SuffixIndex(key, done, windows, levels)
 
 
-def build_suffix_index(df: DataFrame, key: str, seq: str) -> SuffixIndex:
-    """Index the texts of `df`, one row per text with a unique `key`."""
-    return _indexed(checkpointed(text_windows(df, key, seq, WINDOW)), key)
+def build_suffix_index(df: DataFrame, key: str, seq: str, before: bool = False) -> SuffixIndex:
+    """Index the texts of `df`, one row per text with a unique `key`; with `before`, `ordered` has the
+    character in front of each suffix, too."""
+    return _indexed(checkpointed(text_windows(df, key, seq, WINDOW, before)), key)
 
 
 def build_group_index(df: DataFrame, group: str, text: str, seq: str) -> SuffixIndex:

@@ -1,6 +1,8 @@
-"""Dictionary trie of many strings, as a table of its distinct prefixes.
+"""Dictionary trie of many strings, from the sorted strings.
 
-Made for dictionaries: a string of n characters has n prefixes.
+A string has only those nodes of its own that lie beyond what it shares with the string before, as in front
+coding; all tables are linear in these. The node that a string hangs on belongs to the nearest string before
+it that shares less with the one before that.
 """
 
 from __future__ import annotations
@@ -8,56 +10,62 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.functions.strings import lcp_length
+from strandloom.operators.nearest import BLOCK, nearest_smaller
 from strandloom.plans.ordering import dense_index
+from strandloom.plans.session import checkpointed, dropped
 
 
-def _prefixes(df: DataFrame, s: str) -> DataFrame:
-    text = F.col(s)
-    # Copies are combined first, then prefixes shared by different strings.
-    every = F.transform(F.sequence(F.lit(1), F.length(text)), lambda n: F.left(text, n))
-    return df.where(F.length(text) > 0).select(s).distinct().select(F.explode(every).alias("prefix")).distinct()
+def _front_coded(df: DataFrame, s: str) -> DataFrame:
+    """`(i, s, size, lcp)` of the distinct strings that are not empty, in order: `lcp` characters are those of
+    the string before."""
+    strings = df.where(F.length(s) > 0).select(F.col(s).alias("s")).distinct()
+    numbered = dense_index(strings, ["s"], "i")
+    before = numbered.select((F.col("i") + 1).alias("i"), F.col("s").alias("_before"))
+    shared = F.coalesce(lcp_length(F.col("s"), F.col("_before")), F.lit(0)).cast("bigint")
+    rows = numbered.join(before, "i", "left").select("i", "s", F.length("s").cast("bigint").alias("size"), shared.alias("lcp"))
+    rows = checkpointed(rows)
+    dropped(numbered)
+    return rows
 
 
-def trie_edges(df: DataFrame, s: str) -> DataFrame:
+def trie_edges(df: DataFrame, s: str, block: int = BLOCK) -> DataFrame:
     """Edges `(parent, child, symbol)` of the trie, the root being 1.
 
     Nodes are numbered level by level, in alphabetical order within a level.
     """
-    nodes = _prefixes(df, s).withColumn("depth", F.length("prefix"))
-    numbered = dense_index(nodes, ["depth", "prefix"], "_i").select("prefix", (F.col("_i") + 2).alias("child"))
-    parents = numbered.select(F.col("prefix").alias("_up"), F.col("child").alias("parent"))
-    return (
-        numbered.withColumn("_up", F.left("prefix", F.length("prefix") - 1))
-        .join(parents, "_up", "left")
-        .select(F.coalesce("parent", F.lit(1).cast("bigint")).alias("parent"), "child", F.right("prefix", F.lit(1)).alias("symbol"))
-    )
+    rows = _front_coded(df, s)
+    near = nearest_smaller(rows, "i", "lcp", rows.count(), block).select(F.col("r").alias("i"), F.col("prev").alias("_from"))
+    own = F.substring("s", (F.col("lcp") + 1).cast("int"), F.col("size").cast("int"))
+    nodes = rows.select("i", "lcp", F.posexplode(F.split(own, "")).alias("_p", "symbol")).where("symbol <> ''")
+    nodes = nodes.select("i", "lcp", (F.col("lcp") + F.col("_p") + 1).alias("depth"), "symbol")
+    numbered = checkpointed(dense_index(nodes, ["depth", "i"], "_n").withColumn("child", F.col("_n") + 2).drop("_n"))
+    first = F.col("depth") == F.col("lcp") + 1
+    hung = numbered.join(near, "i").select("child", "symbol", F.when(first, F.col("_from")).otherwise(F.col("i")).alias("_i"), (F.col("depth") - 1).alias("_depth"))
+    parents = numbered.select(F.col("i").alias("_i"), F.col("depth").alias("_depth"), F.col("child").alias("parent"))
+    return hung.join(parents, ["_i", "_depth"], "left").select(F.coalesce("parent", F.lit(1).cast("bigint")).alias("parent"), "child", "symbol")
 
 
-def compact_trie(df: DataFrame, index: str, s: str) -> DataFrame:
+def compact_trie(df: DataFrame, index: str, s: str, block: int = BLOCK) -> DataFrame:
     """Nodes of the compact trie `(string, parent, label, str_index)`, without the root.
 
     Nodes are the strings themselves and the prefixes after which they part; a string given
     more than once keeps its last index.
     """
-    ends = df.where(F.length(s) > 0).groupBy(F.col(s).alias("string")).agg(F.max(index).alias("str_index"))
-    # A node parts if two different prefixes are one character longer.
-    longer = _prefixes(df, s).where(F.length("prefix") > 1)
-    forks = longer.groupBy(F.left("prefix", F.length("prefix") - 1).alias("string")).agg(F.count("*").alias("_n")).where("_n > 1")
-    nodes = ends.join(forks.select("string"), "string", "full")
-    shorter = F.explode(F.sequence(F.lit(1), F.length("string") - 1))
-    up = (
-        nodes.where(F.length("string") > 1)
-        .select("string", shorter.alias("_n"))
-        .select("string", F.left("string", F.col("_n")).alias("_up"))
-        .join(nodes.select(F.col("string").alias("_up")), "_up")
-        .groupBy("string")
-        .agg(F.max_by("_up", F.length("_up")).alias("parent"))
-    )
-    return nodes.join(up, "string", "left").select(
-        "string",
-        F.coalesce("parent", F.lit("")).alias("parent"),
-        F.substring(F.col("string"), F.length(F.coalesce("parent", F.lit(""))) + 1, F.length("string")).alias("label"),
-        "str_index",
+    rows = _front_coded(df, s)
+    near = nearest_smaller(rows, "i", "lcp", rows.count(), block)
+    least = F.lit(0).cast("bigint")
+    forks = near.where("v > 0").select(F.col("prev").alias("i"), F.col("v").alias("depth"), F.greatest("prev_v", F.coalesce("next_v", least)).alias("up"))
+    after = rows.select((F.col("i") - 1).alias("i"), F.col("lcp").alias("_after"))
+    shorter = F.when(F.col("_after") < F.col("size"), F.col("_after")).otherwise(least)
+    ends = rows.join(after, "i", "left").select("i", F.col("size").alias("depth"), F.greatest("lcp", F.coalesce(shorter, least)).alias("up"))
+    nodes = forks.unionByName(ends).groupBy("i", "depth").agg(F.max("up").alias("up"))
+    last = df.where(F.length(s) > 0).groupBy(F.col(s).alias("s")).agg(F.max(index).alias("str_index"))
+    texts = rows.select("i", "s", "size").join(last, "s")
+    depth, up = F.col("depth").cast("int"), F.col("up").cast("int")
+    return nodes.join(texts, "i").select(
+        F.left("s", depth).alias("string"), F.left("s", up).alias("parent"), F.substring("s", up + 1, depth - up).alias("label"),
+        F.when(F.col("depth") == F.col("size"), F.col("str_index")).alias("str_index"),
     )
 
 

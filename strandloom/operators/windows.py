@@ -10,8 +10,9 @@ from strandloom.functions.strings import windows
 BLOCK = 1 << 16  # characters cut into windows at a time
 
 
-def text_windows(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """Up to `width` characters at every position: `(key, pos0, window)`.
+def text_windows(df: DataFrame, key: str, text: str, width: int, before: bool = False) -> DataFrame:
+    """Up to `width` characters at every position: `(key, pos0, window)`, and with `before` also the
+    character in front, null at the start.
 
     A text is cut into blocks first, so that only one block's windows are held as an array.
     """
@@ -22,6 +23,13 @@ def text_windows(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
     start = (F.col("_b") * BLOCK + 1).cast("int")
     chunk = F.substring(F.col("_text"), start, F.lit(BLOCK + width - 1))
     cut = F.slice(windows(chunk, width), F.lit(1), F.lit(BLOCK))
+    if before:
+        # The first of a block takes it from the text, the others from the window before.
+        first = F.when(F.col("_b") > 0, F.substring(F.col("_text"), start - 1, F.lit(1)))
+        heads = F.concat(F.array(first), F.transform(cut, lambda w: F.left(w, F.lit(1))))
+        each = F.posexplode(F.arrays_zip(cut.alias("window"), F.slice(heads, F.lit(1), F.size(cut)).alias("before"))).alias("_p", "_w")
+        at = (F.col("_b") * BLOCK + F.col("_p")).alias("pos0")
+        return blocks.select(key, "_b", each).select(key, at, F.col("_w.window").alias("window"), F.col("_w.before").alias("before"))
     return (
         blocks.select(key, "_b", F.posexplode(cut).alias("_p", "window"))
         .select(key, (F.col("_b") * BLOCK + F.col("_p")).alias("pos0"), "window")

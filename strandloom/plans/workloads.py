@@ -909,15 +909,13 @@ def trie_descendants(spark, sf_dir):
 @query(
     "trie_ancestors",
     f"""SELECT CAST(t.id AS BIGINT) AS origin, CAST(coalesce(u.id, 1) AS BIGINT) AS node, CAST(length(t.prefix) - n AS INTEGER) AS steps FROM (
-    SELECT prefix, id, unnest(range(0, length(prefix))) AS n FROM {_TRIE_SQL} WHERE length(prefix) = 8) t LEFT JOIN {_TRIE_SQL} u ON u.prefix = left(t.prefix, n)
-    WHERE length(t.prefix) - n <= 5""",
+    SELECT prefix, id, unnest(range(0, length(prefix))) AS n FROM {_TRIE_SQL}) t LEFT JOIN {_TRIE_SQL} u ON u.prefix = left(t.prefix, n)""",
 )
 def trie_ancestors(spark, sf_dir):
+    """From every node up to the root."""
     edges = checkpointed(trie.trie_edges(parts(spark, sf_dir), "seq"))
-    root = spark.createDataFrame([(1, 0)], "node bigint, context int")
-    deeper = traversal.descendants(edges, root, "parent", "child", lambda c: F.when(c < 8, c + 1))
-    start = deeper.where("context = 8").select("node", F.lit(0).alias("context"))
-    up = traversal.ancestors(edges, start, "parent", "child", lambda c: F.when(c < 5, c + 1))
+    start = edges.select(F.col("child").alias("node"), F.lit(0).alias("context"))
+    up = traversal.ancestors(edges, start, "parent", "child", lambda c: c + 1)
     return up.select("origin", "node", F.col("context").alias("steps"))
 
 
@@ -1138,44 +1136,39 @@ def permutations(spark, sf_dir):
     return out.select("p_partkey", F.array_join(F.col("permutation").cast("array<string>"), " ").alias("permutation"))
 
 
-def _genotype(name: str, i: int):
-    """Locus i of a part: one of the three genotypes."""
-    draw = F.substring(F.col(name), F.lit(i), F.lit(1))
-    return F.translate(draw, "ACGT", "DRHH")
+#: Genotypes are whole numbers in base three, a locus per digit.
+_GENOTYPES_SQL = "(SELECT p_partkey AS seq_id, translate(to_base({}, 3), '012', 'DHR') AS geno FROM part)"
 
 
-def _genotype_sql(name: str, i: int) -> str:
-    return f"translate(substr({name}, {i}, 1), 'ACGT', 'DRHH')"
+def _gametes_sql(number: str) -> str:
+    """One locus after the other; the last one varies fastest."""
+    return f"""(WITH RECURSIVE g(seq_id, i, geno, gamete, n) AS (SELECT seq_id, 0, geno, '', CAST(0 AS BIGINT) FROM {_GENOTYPES_SQL.format(number)} UNION ALL
+    SELECT seq_id, i + 1, geno, gamete || a, n * len(l) + o FROM (SELECT *, unnest(l) AS a, unnest(range(0, len(l))) AS o FROM (
+      SELECT *, CASE WHEN geno[i + 1] = 'H' THEN ['D', 'R'] ELSE [geno[i + 1]] END AS l FROM g WHERE i < length(geno))))
+    SELECT seq_id, n, gamete FROM g WHERE i = length(geno))"""
 
 
-_GAMETES_SQL = "(SELECT seq_id, {2} AS who, x1 || x2 || x3 AS gamete, row_number() OVER (PARTITION BY seq_id ORDER BY o1, o2, o3) - 1 AS n FROM (SELECT seq_id, {0} FROM {1}) JOIN " + " JOIN ".join(
-    f"(SELECT col0 AS g{i}, col1 AS x{i}, col2 AS o{i} FROM (VALUES ('D', 'D', 1), ('R', 'R', 1), ('H', 'D', 1), ('H', 'R', 2))) v{i} ON v{i}.g{i} = l{i}" for i in (1, 2, 3)
-) + ")"
+def _gametes(number: str):
+    loci = F.translate(F.conv(F.col(number).cast("string"), 10, 3), "012", "DHR")
+    return genetics.gametes(F.split(loci, ""))
 
 
-def _gametes_of(side: str) -> str:
-    loci = ", ".join(f"{_genotype_sql(side, i)} AS l{i}" for i in (1, 2, 3))
-    return _GAMETES_SQL.format(loci, _PAIRS, f"'{side}'")
-
-
-def _gametes(side: str):
-    return genetics.gametes(F.array(*[_genotype(side, i) for i in (1, 2, 3)]))
-
-
-@query("gametes", f"SELECT seq_id, CAST(n AS INTEGER) AS n, gamete FROM {_gametes_of('a')}")
+@query("gametes", f"SELECT seq_id, CAST(n AS INTEGER) AS n, gamete FROM {_gametes_sql('p_partkey')}")
 def gametes(spark, sf_dir):
-    rows = _pairs(spark, sf_dir).select("seq_id", F.posexplode(_gametes("a")).alias("n", "g"))
+    rows = part_keys(spark, sf_dir).select(F.col("p_partkey").alias("seq_id"), F.posexplode(_gametes("p_partkey")).alias("n", "g"))
     return rows.select("seq_id", "n", F.array_join("g", "").alias("gamete"))
 
 
 @query(
     "cross",
-    f"""SELECT x.seq_id, CAST(x.n * (SELECT count(*) FROM {_gametes_of('b')} z WHERE z.seq_id = x.seq_id) + y.n AS INTEGER) AS n, """
-    + " || ".join(f"CASE WHEN x.gamete[{i}] = y.gamete[{i}] THEN x.gamete[{i}] ELSE 'H' END" for i in (1, 2, 3))
-    + f" AS offspring FROM {_gametes_of('a')} x JOIN {_gametes_of('b')} y ON x.seq_id = y.seq_id",
+    f"""SELECT x.seq_id, CAST(x.n * c + y.n AS INTEGER) AS n, array_to_string(list_transform(range(1, least(length(x.gamete), length(y.gamete)) + 1),
+      lambda i: CASE WHEN x.gamete[i] = y.gamete[i] THEN x.gamete[i] ELSE 'H' END), '') AS offspring
+    FROM {_gametes_sql('p_partkey')} x JOIN (SELECT *, count(*) OVER (PARTITION BY seq_id) AS c FROM {_gametes_sql('p_size')}) y ON x.seq_id = y.seq_id""",
 )
 def cross(spark, sf_dir):
-    rows = _pairs(spark, sf_dir).select("seq_id", F.posexplode(genetics.cross(_gametes("a"), _gametes("b"))).alias("n", "g"))
+    """Over the loci that both genotypes have."""
+    both = genetics.cross(_gametes("p_partkey"), _gametes("p_size"))
+    rows = part_keys(spark, sf_dir, "p_size").select(F.col("p_partkey").alias("seq_id"), F.posexplode(both).alias("n", "g"))
     return rows.select("seq_id", "n", F.array_join("g", "").alias("offspring"))
 
 

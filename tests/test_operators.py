@@ -181,6 +181,26 @@ def test_tries(spark):
     assert {(r.node, r.context) for r in up.collect()} == {(6, "A"), (4, "AA"), (2, "BAA"), (1, "ABAA")}
 
 
+def test_tries_of_long_strings(spark):
+    """Many copies of a long string and one that leaves it late: a node per letter, not per copy and prefix."""
+    rng = random.Random(13)
+    long = "".join(rng.choice("ab") for _ in range(100_000))
+    strings = [long] * 5 + [long[:99_990] + "c" * 5, long[:7], "b", "ba", "", None]
+    df = spark.createDataFrame(list(enumerate(strings)), "i int, s string")
+    edges = trie.trie_edges(df, "s", block=1 << 12).collect()
+    assert len(edges) == len({r.child for r in edges}) == 100_000 + 5 + (1 if long[0] == "a" else 0) + (0 if long[:2] == "ba" else 1)
+    into = {r.child: r for r in edges}
+    deepest = max(edges, key=lambda r: r.child)  # levels are numbered one after the other
+    spelled, at = [], deepest.child
+    while at != 1:
+        spelled.append(into[at].symbol)
+        at = into[at].parent
+    assert "".join(reversed(spelled)) == long
+    compact = {r.string: r for r in trie.compact_trie(df, "i", "s", block=4).collect()}
+    assert compact[long].parent == long[:99_990] and compact[long].str_index == 4 and compact[long[:99_990]].str_index is None
+    assert compact[long[:99_990]].parent == long[:7] and compact[long[:7]].str_index == 6 and compact["ba"].label in ("a", "ba")
+
+
 def test_coverage(spark):
     rng = random.Random(3)
     reads = [(c, rng.randrange(300), rng.randrange(0, 40)) for c in (1, 2) for _ in range(30)] + [(1, 64, 64), (1, 127, 1), (2, 0, 500)]
