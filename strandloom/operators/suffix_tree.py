@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.operators.diagnostics import summary_columns
+from strandloom.operators.diagnostics import distribution
 from strandloom.operators.nearest import BLOCK, nearest_smaller
 from strandloom.operators.suffix import build_suffix_index
 from strandloom.plans.session import checkpointed, dropped
@@ -96,10 +96,7 @@ def edge_labels(tree: DataFrame, df: DataFrame, key: str, seq: str) -> DataFrame
 def tree_stats(tree: DataFrame, key: str) -> DataFrame:
     """Per text: number of nodes without the root, which is that of edges, and the
     distributions of edge lengths and branch depths."""
-    measured = tree.withColumn("edge_length", F.col("depth") - F.col("parent_depth"))
-    return measured.groupBy(key).agg(
-        F.count("*").alias("nodes"),
-        F.count("*").alias("edges"),
-        *summary_columns("edge_length", "edge_"),
-        *summary_columns("branch_depth", "branch_"),
-    )
+    measured = checkpointed(tree.withColumn("edge_length", F.col("depth") - F.col("parent_depth")).select(key, "edge_length", "branch_depth"))
+    counts = measured.groupBy(key).agg(F.count("*").alias("nodes"), F.count("*").alias("edges"))
+    both = [distribution(measured, c, [key], p) for c, p in (("edge_length", "edge_"), ("branch_depth", "branch_"))]
+    return counts.join(both[0], key).join(both[1], key)

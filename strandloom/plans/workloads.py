@@ -1260,7 +1260,7 @@ _REACH_SQL = f"""WITH RECURSIVE e AS MATERIALIZED (SELECT src AS u, dst AS v FRO
 
 def _overlap_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     df = parts(spark, sf_dir)
-    return df.select(F.col("seq_id").alias("node")), overlap.overlap_edges(df, "seq_id", "seq", 6)
+    return df.select(F.col("seq_id").alias("node")), overlap.overlap_stars(df, "seq_id", "seq", 6)
 
 
 @query("connected_components", _REACH_SQL + " SELECT node, component FROM c")

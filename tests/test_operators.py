@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandloom.operators import (
-    assembly, components, consensus, coverage, fm_index, overlap, repeats, search, spectrum, suffix, suffix_tree, traversal, trie,
+    assembly, components, consensus, coverage, diagnostics, fm_index, overlap, repeats, search, spectrum, suffix, suffix_tree, traversal, trie,
 )
 from strandloom.plans.ordering import blocked_running_sum, dense_index, ordered_concat
 from strandloom.constants import RESIDUE_MASS_E5
@@ -242,6 +242,35 @@ def test_overlap_graph(spark):
         assert r.out_degree == sum(a == r.i for a, _ in want) and r.in_degree == sum(b == r.i for _, b in want)
 
 
+def test_components_over_hubs(spark):
+    """A third of the records meet at one k-mer; edges stay linear and components are those of all pairs."""
+    rng = random.Random(14)
+    word = lambda n: "".join(rng.choice("ABCD") for _ in range(n))
+    rows = [(i, "HUB" + word(4)) for i in range(80)] + [(i, word(4) + "HUB") for i in range(80, 160)] + [(i, word(rng.randint(2, 5))) for i in range(160, 400)]
+    rows += [(400, "XYZXYZ"), (401, "QQQxYYY"), (402, "ZZZxYYY")]  # a loop, and two ends without a beginning
+    df = spark.createDataFrame(rows, "i int, s string")
+    stars = overlap.overlap_stars(df, "i", "s", 3)
+    assert stars.count() <= 2 * len(rows)
+    nodes = df.select("i")
+    want = components.connected_components(nodes, overlap.overlap_edges(df, "i", "s", 3), "i", "src", "dst")
+    got = components.connected_components(nodes, stars, "i", "src", "dst")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_distributions(spark):
+    rng = random.Random(15)
+    rows = [(rng.choice(["a", "b", None]), rng.randint(0, 300)) for _ in range(1000)] + [("one", 7), ("none", None)] + [("same", 3)] * 50
+    df = spark.createDataFrame(rows, "g string, v int")
+    for keys in (["g"], []):
+        got = {r.g if keys else 0: r for r in diagnostics.histogram(df, "v", keys).collect()}
+        for key in {g if keys else 0 for g, _ in rows}:
+            values = sorted(v for g, v in rows if v is not None and (not keys or g == key))
+            want = [values[-(-round(q * 100) * len(values) // 100) - 1] if values else None for q in diagnostics.QUANTILES]
+            assert [got[key][f"q{round(q * 100):02d}"] for q in diagnostics.QUANTILES] == want
+            assert got[key]["max"] == max(values, default=None) and (not values or abs(got[key]["mean"] - sum(values) / len(values)) < 1e-9)
+    assert diagnostics.histogram(df.limit(0), "v", ["g"]).collect() == []
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(150), rng.randrange(150)) for _ in range(90)] + [(i, i + 1) for i in range(200, 260)] + [(300, i) for i in range(301, 340)]
