@@ -1,7 +1,7 @@
 """Near-duplicate documents by HyperMinHash.
 
 A document is the set of its distinct 5-word shingles (64-bit hashes of lower-cased words).
-Documents with the same set form a class; only class representatives are compared.
+Documents with the same set form a class, known by its size and 128 bits; classes are numbered and compared.
 
 A sketch has `REGISTERS` buckets. Every bucket hashes all shingles with its own salt, so short
 documents fill it too, and keeps the smallest hash compressed to 16 bits: the number of leading
@@ -19,8 +19,10 @@ similar of the leaders, two of each of its buckets, then components are formed,
 components are compared in full, block by block, on the full sets. No candidate is capped or left out, as a pair inside
 a component adds no link that could change the result.
 
-Nulls, texts without words: empty sets, linked with nothing. A null key: not linked, kept.
-Repeated rows share their key and so their result. Other columns are not read.
+Nulls, texts without words: empty sets, linked with nothing. A null key: not linked, kept. Rows of one key are
+one document: what any of its texts is linked with, all are. Of a group the smallest key is kept, so there
+are no ties. Very long texts are rows like others, hashed whole. An empty table gives an empty result. Only key
+and text are read, so names of other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -85,20 +87,25 @@ def registers(shingles: np.ndarray, size: np.ndarray) -> np.ndarray:
     return out
 
 
+def _digests(sets: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """128 bits that name every set; zeros for empty ones."""
+    sums = np.zeros((2, len(size)), np.uint64)
+    full = np.flatnonzero(size)
+    if len(full):
+        heads = (np.cumsum(size) - size)[full]
+        for i in range(2):
+            sums[i, full] = np.add.reduceat(mixed(sets ^ _SALTS[i, 0]), heads)
+    return sums.view(np.int64)
+
+
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches, "_text"):
         sets, size = shingle_sets(words(part["_text"], fold=True))
         found = registers(sets, size)
-        full = np.flatnonzero(size)
-        heads = (np.cumsum(size) - size)[full]
-        sums = np.zeros((2, len(size)), np.uint64)
-        if len(full):
-            for i in range(2):
-                sums[i, full] = np.add.reduceat(mixed(sets ^ _SALTS[i, 0]), heads)
         bits = np.packbits((found & 1).astype(np.uint8), axis=1, bitorder="little")
         bits = np.pad(bits, ((0, 0), (0, 16 - bits.shape[1]))).copy().view(np.int64)
         yield pa.RecordBatch.from_arrays(
-            [part["_key"], pa.array(size.astype(np.int64)), *(pa.array(s.view(np.int64)) for s in sums),
+            [part["_key"], pa.array(size.astype(np.int64)), *map(pa.array, _digests(sets, size)),
              *(pa.array(bits[:, i]) for i in range(2)),
              pa.array([r.tobytes() for r in found], pa.binary())],
             ["_key", "_n", "_h1", "_h2", "_s1", "_s2", "_sketch"],
@@ -153,10 +160,11 @@ def _estimates(pairs: DataFrame, sketches: DataFrame, threshold: float, kind: st
     return both.mapInArrow(_estimated(threshold), f"a {kind}, b {kind}, estimate double")
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame, kind: str, width: type = np.uint64) -> DataFrame:
-    """Shingle sets of the wanted documents, as numbers of this width. A bitmap of fixed size keeps other texts from
-    being hashed and shuffled; where it is full, the join alone decides."""
-    place = F.pmod(F.xxhash64(F.col("_key").cast("string")), F.lit(_BITS))
+def _sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, width: type = np.uint64) -> DataFrame:
+    """Shingle sets of the wanted classes, as numbers of this width. A bitmap of fixed size keeps texts of other
+    keys from being hashed and shuffled; the name of the set decides, as a key may have several texts."""
+    wanted = classes.join(wanted.select("_key").distinct(), "_key", "left_semi")
+    place = F.pmod(F.xxhash64(F.col("_of").cast("string")), F.lit(_BITS))
     marks = wanted.select(place.alias("_p")).groupBy(F.expr("bitmap_bucket_number(_p)").alias("_b")).agg(
         F.expr("bitmap_construct_agg(bitmap_bit_position(_p))").alias("_map")
     )
@@ -174,14 +182,17 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, kind: str, width: type = np.uin
                 sets, size = shingle_sets(words(part["_text"], fold=True))
                 ends = np.cumsum(size)
                 cells = [sets[e - s : e].astype(width).tobytes() for e, s in zip(ends, size, strict=True)]
-                yield pa.RecordBatch.from_arrays([part["_key"], pa.array(cells, pa.binary())], ["_key", "_set"])
+                names = [part["_of"], pa.array(size.astype(np.int64)), *map(pa.array, _digests(sets, size))]
+                yield pa.RecordBatch.from_arrays([*names, pa.array(cells, pa.binary())], ["_of", "_n", "_h1", "_h2", "_set"])
 
-    placed = docs.withColumn("_p", place).withColumns(
+    placed = docs.withColumnRenamed("_key", "_of").withColumn("_p", place).withColumns(
         {"_bucket": F.expr("bitmap_bucket_number(_p)"), "_bit": F.expr("bitmap_bit_position(_p)")}
     )
-    found = placed.mapInArrow(run, f"_key {kind}, _set binary")
+    kind = docs.schema["_key"].dataType.simpleString()
+    found = placed.mapInArrow(run, f"_of {kind}, _n bigint, _h1 bigint, _h2 bigint, _set binary")
     with batches_of(docs.sparkSession, 1000):
-        return checkpointed(found.join(wanted.select("_key").distinct(), "_key", "left_semi").dropDuplicates(["_key"]))
+        named = found.join(wanted.select("_of", "_n", "_h1", "_h2", "_key"), ["_of", "_n", "_h1", "_h2"])
+        return checkpointed(named.select("_key", "_set").dropDuplicates(["_key"]))
 
 
 def _verified(threshold: float):
@@ -261,23 +272,24 @@ def _across(placed: DataFrame, sets: DataFrame, threshold: float, kind: str, wid
         return checkpointed(groups.select("_rows").mapInArrow(_block_links(threshold, width), f"a {kind}, b {kind}")).distinct()
 
 
-def _confirmed(rows: DataFrame, pairs: DataFrame, threshold: float, kind: str) -> DataFrame:
+def _confirmed(rows: DataFrame, classes: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     ends = pairs.select(F.explode(F.array("a", "b")).alias("_key")).distinct()
-    return _links(pairs, _sets_of(rows, ends, kind), threshold, kind)
+    return _links(pairs, _sets_of(rows, classes, ends), threshold, "bigint")
 
 
 def components(docs: DataFrame, key: str, text: str, threshold: float = 0.75) -> DataFrame:
     """`(key, n_shingles, component_id, kept)` for every row."""
-    kind = docs.schema[key].dataType.simpleString()
+    kind = "bigint"  # of the number of a class, which is the `_key` of all that follows the classes
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    shape = f"_key {kind}, _n bigint, _h1 bigint, _h2 bigint, _s1 bigint, _s2 bigint, _sketch binary"
+    shape = f"_key {docs.schema[key].dataType.simpleString()}, _n bigint, _h1 bigint, _h2 bigint, _s1 bigint, _s2 bigint, _sketch binary"
     with batches_of(docs.sparkSession, 1000):
         sketches = checkpointed(rows.mapInArrow(_sketches, shape))
     full = sketches.where((F.col("_n") > 0) & F.col("_key").isNotNull())
-    classes = checkpointed(full.groupBy("_n", "_h1", "_h2").agg(F.min("_key").alias("_rep")))
-    reps = checkpointed(
-        full.join(classes.select(F.col("_rep").alias("_key")), "_key", "left_semi").dropDuplicates(["_key"])
-    )
+    name = ["_n", "_h1", "_h2"]
+    classes = full.groupBy(*name).agg(F.min("_key").alias("_of"))
+    classes = checkpointed(classes.withColumn("_key", F.monotonically_increasing_id()))
+    first = full.withColumnRenamed("_key", "_of").join(classes, ["_of", *name])
+    reps = checkpointed(first.select("_key", "_n", "_s1", "_s2", "_sketch").dropDuplicates(["_key"]))
     banded = reps.mapInArrow(_bands, f"_key {kind}, _n bigint, _s1 bigint, _s2 bigint, _bands array<bigint>").select(
         "_key", "_n", "_s1", "_s2", F.explode("_bands").alias("_band")
     )
@@ -303,7 +315,12 @@ def components(docs: DataFrame, key: str, text: str, threshold: float = 0.75) ->
     best = ends.groupBy("_end").agg(F.max(F.struct("estimate", "a", "b")).alias("_best")).select("_best.a", "_best.b").distinct()
     best = checkpointed(best)
     members = best.select(F.explode(F.array("a", "b")).alias("_key")).distinct()
-    links = _links(best, _sets_of(rows, members, kind), threshold, kind)
+    links = _links(best, _sets_of(rows, classes, members), threshold, kind)
+    # Several texts of one key are one document.
+    ids = full.select("_key", *name).distinct().groupBy("_key").agg(F.count("*").alias("_texts")).where("_texts > 1").select("_key")
+    texts = full.join(ids, "_key", "left_semi").withColumnRenamed("_key", "_same").join(classes, name).select("_same", "_key").distinct()
+    least = texts.groupBy("_same").agg(F.min("_key").alias("a"))
+    links = links.unionByName(checkpointed(texts.join(least, "_same").where("a <> _key").select("a", F.col("_key").alias("b"))))
     parts = joined_up(links)
 
     # Then everything else that shares a bucket across components.
@@ -313,10 +330,10 @@ def components(docs: DataFrame, key: str, text: str, threshold: float = 0.75) ->
     mixed_bands = mixed_bands.where("_x <> _y").select("_band", "_blocks")
     placed = checkpointed(placed.join(mixed_bands, "_band"))
     if not placed.isEmpty():
-        few = _sets_of(rows, placed.select("_key").distinct(), kind, np.uint32)
+        few = _sets_of(rows, classes, placed.select("_key"), np.uint32)
         more = checkpointed(_across(placed, few, threshold, kind, np.uint32))
         if not more.isEmpty():
-            found = _confirmed(rows, more, threshold, kind)
+            found = _confirmed(rows, classes, more, threshold)
             links = links.union(found)
             parts = joined_up(links)
             # Where the most similar pair on cut shingles failed, another of the same components may
@@ -326,12 +343,19 @@ def components(docs: DataFrame, key: str, text: str, threshold: float = 0.75) ->
             if not again.isEmpty():
                 placed = placed.drop("component").join(parts.withColumnRenamed("node", "_key"), "_key")
                 placed = checkpointed(placed.join(again, "component", "left_semi"))
-                more = checkpointed(_across(placed, _sets_of(rows, placed.select("_key").distinct(), kind), threshold, kind))
-                links = links.union(_confirmed(rows, more, threshold, kind))
+                more = checkpointed(_across(placed, _sets_of(rows, classes, placed.select("_key")), threshold, kind))
+                links = links.union(_confirmed(rows, classes, more, threshold))
                 parts = joined_up(links)
-    found = classes.join(parts.withColumnRenamed("node", "_rep"), "_rep").select("_n", "_h1", "_h2", F.col("component").alias("_c"))
-    out = sketches.select("_key", "_n", "_h1", "_h2").join(found, ["_n", "_h1", "_h2"], "left")
-    component = F.when(F.col("_key").isNotNull(), F.coalesce("_c", "_key"))
+    found = classes.join(parts.withColumnRenamed("node", "_key"), "_key")
+    least = found.groupBy("component").agg(F.min("_of").alias("_c"))
+    found = found.join(least, "component").select(*name, "_c")
+    out = sketches.select("_key", *name).join(found, name, "left")
+    # A text without words may be one of several of its key.
+    several = checkpointed(out.where("_n = 0 AND _key IS NOT NULL").select("_key").distinct().join(
+        full.select("_key", *name).join(found, name).select("_key", F.col("_c").alias("_other")).distinct(), "_key"
+    ))
+    out = out.join(several.groupBy("_key").agg(F.min("_other").alias("_other")), "_key", "left")
+    component = F.when(F.col("_key").isNotNull(), F.coalesce("_c", "_other", "_key"))
     return out.select(
         F.col("_key").alias(key), F.col("_n").alias("n_shingles"), component.alias("component_id"),
         F.coalesce(F.col("_key") == component, F.lit(True)).alias("kept"),

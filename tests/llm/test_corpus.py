@@ -167,6 +167,19 @@ def test_near_duplicates_of_made_texts(spark, monkeypatch):
     assert {r.component_id for r in neardup.components(docs.where("doc_id is null"), "doc_id", "text").collect()} == {None}
 
 
+def test_several_texts_of_one_key(spark):
+    """Rows of one key are one document: the links of each of its texts are its own."""
+    base = {c: " ".join(f"{c}{i}" for i in range(40)) for c in "ABCD"}
+    near = {c: t + f" more {c}" for c, t in base.items()}
+    rows = [(1, base["A"]), (1, base["B"]), (1, base["C"]), (1, None), (2, near["A"]), (3, near["B"]), (4, near["C"]), (5, base["D"]), (5, base["D"]), (6, near["D"]), (7, None), (7, "x y")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    for dealt in (docs, docs.repartition(7), docs.orderBy(F.desc("text"))):
+        got = neardup.components(dealt, "doc_id", "text").collect()
+        assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [
+            *[(1, 1, True)] * 4, (2, 1, False), (3, 1, False), (4, 1, False), (5, 5, True), (5, 5, True), (6, 5, False), (7, 7, True), (7, 7, True)
+        ]
+
+
 @tables
 def test_near_duplicates_of_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
@@ -185,7 +198,7 @@ def test_cut_shingles_lose_no_pair():
 def test_failed_candidates_leave_no_link_out(spark, monkeypatch):
     """With shingles cut to 8 bits, most of the best pairs fail on the full sets."""
     sets_of, block_links, widths = neardup._sets_of, neardup._block_links, []
-    monkeypatch.setattr(neardup, "_sets_of", lambda d, w, k, width=np.uint64: sets_of(d, w, k, np.uint8 if width is np.uint32 else width))
+    monkeypatch.setattr(neardup, "_sets_of", lambda d, c, w, width=np.uint64: sets_of(d, c, w, np.uint8 if width is np.uint32 else width))
     monkeypatch.setattr(neardup, "_block_links", lambda t, width: widths.append(width) or block_links(t, np.uint8 if width is np.uint32 else width))
     rng = random.Random(5)
     base = " ".join(f"w{i}" for i in range(200))
