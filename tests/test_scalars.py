@@ -1,4 +1,7 @@
-"""Example vectors and random checks of the column functions."""
+"""Example vectors and random checks of the column functions.
+
+The example strings and their published answers are fixed values.
+"""
 
 from __future__ import annotations
 
