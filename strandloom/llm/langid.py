@@ -10,7 +10,9 @@ sample is set aside for the temperature that makes the highest probability a cal
 
 Texts that are null or have no letter get the language `und` with score 0; so do all texts if
 there is nothing to learn from. A text with letters always gets a learned language. Repeated rows are
-scored one by one. The language column is read of the rows to learn from only.
+scored one by one, very long texts as a whole; of equally likely languages the first in order is given. An empty
+table gives an empty result. At most `LABELS` languages can be learned, more are an error. The language column is read of
+the rows to learn from only; names of other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from strandloom.llm.batches import slices
 from strandloom.plans.session import checkpointed
 
 BUCKETS, ORDERS, SHARDS = 1 << 15, (1, 2, 3), 4
+LABELS = 200  # each has a weight per bucket, so the model has 50 MB at most
 #: Brings a typical text's vector to about length 1.
 SCALE = 16.0
 _FACTORS = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35], np.uint32)
@@ -144,7 +147,9 @@ def train(docs: DataFrame, key: str, text: str, lang: str, per_language: int = 3
     """Learn from all rows of `docs` whose language is not null."""
     rows = docs.select(F.col(key).cast("string").alias("_key"), F.col(text).alias("_text"), F.col(lang).cast("string").alias("_lang"))
     rows = rows.where("_lang is not null and _text is not null")
-    sizes = {r["_lang"]: r["n"] for r in rows.groupBy("_lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["_lang"]: r["n"] for r in rows.groupBy("_lang").agg(F.count("*").alias("n")).limit(LABELS + 1).collect()}
+    if len(sizes) > LABELS:
+        raise ValueError(f"more than {LABELS} languages")
     if not sizes:
         return None
     languages = sorted(sizes)

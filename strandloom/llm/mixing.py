@@ -12,8 +12,11 @@ documents of a length are taken is the order of a seeded hash.
 
 Only counts per source and length reach a Python task: its rows are as many as a source has
 different lengths. Within a hot length, documents are ranked by stretches of the hash.
-Documents without words take part with size 0; a null text has none. Repeated rows count as
-documents of their own. Other columns are not read.
+Documents without words take part with size 0; a null text has none. Very long texts are documents of their
+length, taken whole or not at all. Rows without a key, and repeated rows, count as documents of their own; of rows
+that are equal in key and size, any may be taken. An empty table gives an empty result. Only the three columns are read,
+so names of others cannot clash. Rows of one key share a stretch of the hash, so a key should not hold a large share of
+the rows of one length.
 """
 
 from __future__ import annotations

@@ -17,7 +17,9 @@ keep it, the others go on to the next level. An entry's number is the rank of it
 
 Files are written under a name of their own and renamed when complete, and their content
 depends on the input only, so repeated or lost tasks do no harm. A key in several rows is written
-with each of them and found at its first place. Null is a key like others; a null text is empty.
+with each of them and found at its first place; rows of equal keys are in the order of their texts. Null is a key like
+others; a null text is empty, a very long one is encoded whole. An empty table has an index without keys. Only key
+and text are read, so names of other columns cannot clash.
 """
 
 from __future__ import annotations

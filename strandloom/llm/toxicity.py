@@ -14,8 +14,9 @@ dictionaries from the other half of the sample give, so no text is measured with
 
 The sample has at most `most_toxic` and `most_ordinary` labelled rows, the first by a hash of the
 key. All texts are scored as a whole; a null text is empty. Without toxic or ordinary labels to learn
-from, all scores are 0. Repeated rows are scored one by one; of repeated labels the
-highest counts. Other columns are not read.
+from, all scores are 0; an empty table has no scores. Very long texts are cut into windows like others. Repeated rows
+are scored one by one; of repeated labels the highest counts; equal hashes of the sample are ordered by the key. Only
+the columns named are read, so names of others cannot clash.
 """
 
 from __future__ import annotations

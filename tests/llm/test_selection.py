@@ -153,3 +153,12 @@ def test_toxic_words_shorten_windows():
     distance = toxicity.Distance(plain, b" zugwumpfer")
     assert distance(b"every text of the day has zugwumpfer in it somewhere").max() >= 3
     assert distance(b"every text of the day has nothing in it").max() <= 1
+
+
+def test_more_languages_than_a_model_may_have(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LABELS", 2)
+    rows = [(i, f"some text {i}", f"l{i % 3}") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, lang string")
+    with pytest.raises(ValueError, match="more than 2"):
+        langid.train(docs, "doc_id", "text", "lang")
+    assert langid.train(docs.where("lang <> 'l2'"), "doc_id", "text", "lang") is not None
