@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from strandloom.constants import CODON_BASES, CODON_RESIDUES
+from strandloom.constants import CODON_BASES, CODON_RESIDUES, RESIDUE_MASS_E5
 from strandloom.functions.strings import border_array
 
 # Bodies are SQL expressions, so Catalyst inlines them like any other expression.
@@ -35,6 +35,41 @@ _FUNCTIONS = {
         "THEN CAST(raise_error(concat('not whole codons: ', s)) AS STRING) ELSE substring_index(r, '*', 1) END)[0]",
     ),
     "inner_nodes(leaves BIGINT)": ("BIGINT", "leaves - 2"),
+    # By bisection: prefixes are equal up to some length and not beyond.
+    "common_prefix_length(a STRING, b STRING)": (
+        "INT",
+        "aggregate(sequence(1, length(bin(least(length(a), length(b))))), named_struct('lo', 0, 'hi', least(length(a), length(b))), (s, i) -> "
+        "CASE WHEN s.lo >= s.hi THEN s WHEN left(a, shiftright(s.lo + s.hi + 1, 1)) = left(b, shiftright(s.lo + s.hi + 1, 1)) "
+        "THEN named_struct('lo', shiftright(s.lo + s.hi + 1, 1), 'hi', s.hi) ELSE named_struct('lo', s.lo, 'hi', shiftright(s.lo + s.hi + 1, 1) - 1) END).lo",
+    ),
+    "kmers(s STRING, k INT)": ("ARRAY<STRING>", "regexp_extract_all(s, concat('(?s)(?=(.{', k, '}))'), 1)"),
+    "splice(dna STRING, introns ARRAY<STRING>)": ("STRING", "aggregate(introns, dna, (s, i) -> replace(s, i, ''))"),
+    "protein_mass_e5(protein STRING)": (
+        "BIGINT", " + ".join(f"{m}L * (length(protein) - length(replace(protein, '{r}', '')))" for r, m in RESIDUE_MASS_E5.items())
+    ),
+    "dominant_probability(dominant BIGINT, het BIGINT, recessive BIGINT)": (
+        "DOUBLE",
+        "1 - try_divide(CAST(recessive * (recessive - 1) + recessive * het + het * (het - 1) / 4 AS DOUBLE), "
+        "CAST((dominant + het + recessive) * (dominant + het + recessive - 1) AS DOUBLE))",
+    ),
+    "expected_dominant(dom_dom BIGINT, dom_het BIGINT, dom_rec BIGINT, het_het BIGINT, het_rec BIGINT)": (
+        "DOUBLE", "2 * (dom_dom + dom_het + dom_rec + het_het * 0.75D + het_rec * 0.5D)"
+    ),
+    "rabbit_pairs(n BIGINT, k BIGINT)": (
+        "BIGINT",
+        "CASE WHEN n <= 2 THEN 1L ELSE aggregate(sequence(3L, greatest(n, 3L)), named_struct('last', 1L, 'now', 1L), "
+        "(s, i) -> named_struct('last', s.now, 'now', s.now + k * s.last)).now END",
+    ),
+    "n_choose_k(n BIGINT, k BIGINT)": (
+        "DOUBLE",
+        "CASE WHEN k < 0 OR k > n THEN 0D WHEN least(k, n - k) = 0 THEN 1D ELSE aggregate(sequence(1L, greatest(least(k, n - k), 1L)), 1D, "
+        "(acc, i) -> acc * (n - least(k, n - k) + i) / i) END",
+    ),
+    "binomial_pmf(n BIGINT, k BIGINT, p DOUBLE)": (
+        "DOUBLE",
+        "CASE WHEN k < 0 OR k > n THEN 0D WHEN least(k, n - k) = 0 THEN pow(p, k) * pow(1 - p, n - k) ELSE "
+        "aggregate(sequence(1L, greatest(least(k, n - k), 1L)), 1D, (acc, i) -> acc * (n - least(k, n - k) + i) / i) * pow(p, k) * pow(1 - p, n - k) END",
+    ),
 }
 
 

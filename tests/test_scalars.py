@@ -273,3 +273,29 @@ def test_sql_functions(spark):
         "border_array('aab'), gc_content('GGCA'), find0('abc', 'c'), find0('', '')"
     ).first()
     assert tuple(row) == ("MA", "GTT", 1, 2, [0, 1, 0], 0.75, 2, None)
+
+
+def test_sql_functions_equal_the_columns(spark):
+    register(spark)
+    rng = random.Random(16)
+    texts = [("".join(rng.choice("AB") for _ in range(rng.randint(0, 30))), "".join(rng.choice("AB") for _ in range(rng.randint(0, 30)))) for _ in range(40)]
+    rows = [(*pair, i % 7, i % 13 + 3) for i, pair in enumerate([*texts, ("", ""), ("abc", ""), ("same", "same"), ("x\ny", "x\nz")])]
+    df = spark.createDataFrame(rows, "a string, b string, k bigint, n bigint")
+    a, b, k, n = (F.col(c) for c in "abkn")
+    pairs = {
+        "common_prefix_length(a, b)": S.lcp_length(a, b),
+        "kmers(a, 3)": S.kmers(a, 3),
+        "splice(a, array('AB', 'B'))": P.splice(a, F.lit(["AB", "B"])),
+        "protein_mass_e5(a)": M.protein_mass_e5(a),
+        "dominant_probability(k, n, k + 1)": G.dominant_phenotype_probability(k, n, k + 1),
+        "expected_dominant(k, n, k, n, k)": G.expected_dominant(k, n, k, n, k),
+        "rabbit_pairs(n, k)": G.rabbits(n, k),
+        "n_choose_k(n, k)": G.choose(k=k, n=n),
+        "binomial_pmf(n, k, 0.3D)": G.binomial(p=F.lit(0.3), k=k, n=n),
+        "hamming_distance(a, b)": S.hamming(a, b),
+    }
+    got = df.select(*(F.expr(x).alias(f"x{i}") for i, x in enumerate(pairs)), *(y.alias(f"y{i}") for i, y in enumerate(pairs.values()))).collect()
+    for row in got:
+        for i, name in enumerate(pairs):
+            x, y = row[f"x{i}"], row[f"y{i}"]
+            assert x == y or (isinstance(x, float) and math.isclose(x, y, rel_tol=1e-12)), (name, row)
