@@ -21,6 +21,9 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that the base rules or their language's perplexity band reject."""
+    # Whole rows go to Python and back when the result is written, after this function: some MB at a time.
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(batch, str(min(1000, int(spark.conf.get(batch)))))
     judged = quality.judge(docs.select(*COLUMNS), "text", "lang")
     return judged.where("kept").select("row.*")
 
