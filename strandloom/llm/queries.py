@@ -148,7 +148,7 @@ WITH numbered AS (
   FROM lines
 ), sets AS (
   SELECT words, len(words) AS n, min(ROW(doc_id, no)) AS first, row_number() OVER () AS id
-  FROM worded WHERE len(words) >= 5 GROUP BY words
+  FROM worded WHERE len(words) >= 1 GROUP BY words
 ), tokens AS (
   SELECT id, n, unnest(words) AS word FROM sets
 ), rare AS (
