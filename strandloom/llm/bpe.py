@@ -168,7 +168,7 @@ class ByteMemo(Memo):
     """Texts are always split before a blank that follows something else, so the parts between
     such places are encoded for themselves. Texts with odd blanks are encoded whole."""
 
-    def __init__(self, definition: str, most: int = 200_000):
+    def __init__(self, definition: str, most: int = 120_000):
         super().__init__(definition, most)
         self.sizes, self.fast = _sizes(definition), ranked(definition)
 
@@ -285,7 +285,7 @@ def _leaves(definition, text: str, names: list[str]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _memo(definition.value)
-        for part in slices(batches, text, 2 << 20):
+        for part in slices(batches, text):
             ids = lists(*memo(part[text]), pa.int32())
             yield pa.RecordBatch.from_arrays([*(part[n] for n in names), ids], [*names, "ids"])
 
@@ -392,6 +392,9 @@ def flat_lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False), length
 
 
+_PORTION = 1 << 18  # ids decoded together
+
+
 def decode(encoded: DataFrame, key: str, ids: str, definition) -> DataFrame:
     """Add `decoded`, the text of the ids, special tokens included; null ids give an empty text."""
     kind = encoded.schema[key].dataType.simpleString()
@@ -399,8 +402,11 @@ def decode(encoded: DataFrame, key: str, ids: str, definition) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = vocabulary(definition.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            ends, at = np.cumsum(flat_lists(batch["_ids"])[1]), 0
+            while at < batch.num_rows:  # about a MB of text at a time, or one row
+                base = ends[at - 1] if at else 0
+                part = batch.slice(at, max(1, int(np.searchsorted(ends, base + _PORTION, "right")) - at))
+                at += part.num_rows
                 texts = table.texts(*flat_lists(part["_ids"])).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([part["_key"], part["_ids"], texts], ["_key", "_ids", "decoded"])
 
