@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.plans.ordering import ordered_concat
+from strandloom.plans.session import shuffled
 
 
 def drawn(seed: int, *of: Column) -> Column:
@@ -70,7 +71,7 @@ def simulate_reads(
     offset = F.col("block") * width
     lo = F.greatest(F.col("start0"), offset) - offset
     hi = F.least(F.col("start0") + read_len, offset + width) - offset
-    pieces = spans.join(genome_blocks(genomes, key, seq, width), [key, "block"]).withColumn(
+    pieces = spans.join(shuffled(genome_blocks(genomes, key, seq, width)), [key, "block"]).withColumn(
         "_cut", F.substring(F.col("piece"), (lo + 1).cast("int"), (hi - lo).cast("int"))
     )
     cut = F.array_join(
