@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -207,11 +209,16 @@ def maximal_prefix_matches(s: Column, t: Column) -> Column:
     return let(maximal_prefix_length(s, t), located)
 
 
+#: Values of border arrays that go back to Spark at a time, a longer text's being alone.
+_BORDERS = 1 << 20
+
+
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
-def border_array(s: pd.Series) -> pd.Series:
+def border_array(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Per position, the length of the longest proper border of the prefix ending there.
 
-    Each value depends on the one before, which no built-in expresses in linear time.
+    Each value depends on the one before, which no built-in expresses in linear time. Arrays are larger
+    than their texts, so they are sent back as they come, not a whole batch of texts at once.
     """
 
     def borders(text: str | None):
@@ -227,7 +234,16 @@ def border_array(s: pd.Series) -> pd.Series:
             out[i] = b
         return out
 
-    return s.map(borders)
+    for batch in texts:
+        held, values = [], 0
+        for text in batch:
+            held.append(borders(text))
+            values += len(text or "")
+            if values >= _BORDERS:
+                yield pd.Series(held, dtype=object)
+                held, values = [], 0
+        if held or not len(batch):
+            yield pd.Series(held, dtype=object)
 
 
 def border_array_simple(s: Column) -> Column:
