@@ -19,11 +19,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.operators.windows import text_windows
+from strandloom.operators.windows import text_pieces, text_windows
 from strandloom.plans.ordering import blocked_running_max, dense_index
-from strandloom.plans.session import checkpointed, dropped
+from strandloom.plans.session import checkpointed, dropped, shuffled
 
 SEED = 16
+_PIECE = 4096  # characters of a text that meet the prefixes which end there
 _WIDE = 24  # bits for a length; the rest of a 63-bit number is for a pattern
 _NONE = -1
 
@@ -157,17 +158,21 @@ def occurrences(texts: DataFrame, key: str, text: str, known: Patterns) -> DataF
         levels = [level]
         for j, table in enumerate(known.windows[1:]):
             right = levels[-1].select(key, (F.col("pos0") - (seed << j)).alias("pos0"), F.col("wid").alias("right"))
-            pairs = levels[-1].withColumnRenamed("wid", "left").join(right, [key, "pos0"]).join(table, ["left", "right"])
+            pairs = levels[-1].withColumnRenamed("wid", "left").join(shuffled(right), [key, "pos0"]).join(table, ["left", "right"])
             levels.append(checkpointed(pairs.select(key, "pos0", "wid")))
         state = level.select(key, "pos0", *start)
         for j in reversed(range(len(levels))):
             ahead = levels[j].select(key, F.col("pos0").alias("_there"), "wid")
-            seen = state.withColumn("_there", F.col("pos0") + F.col("at")).join(ahead, [key, "_there"], "left").drop("_there")
+            seen = state.withColumn("_there", F.col("pos0") + F.col("at")).join(shuffled(ahead), [key, "_there"], "left").drop("_there")
             state = _down(seen, known.steps[j], "wid", seed << j).drop("_went")
         state = checkpointed(state.where("at > 0"))
-        rest = at.select(key, F.col("pos0").alias("_there"), F.left("window", F.lit(seed - 1)).alias("rest"))
-        seen = state.withColumn("_there", F.col("pos0") + F.col("at")).join(rest, [key, "_there"], "left").drop("_there")
-        found.append(_found(known, _tail(known, seen.withColumn("rest", F.coalesce("rest", F.lit("")))), key, seed, None))
+        # The letters that follow are cut from pieces of the texts, each of which is sent once.
+        pieces = shuffled(text_pieces(texts, key, text, _PIECE, seed - 2))
+        there = F.col("pos0") + F.col("at")
+        met = state.withColumn("piece", F.floor(there / _PIECE)).join(pieces, [key, "piece"], "left")
+        rest = F.substring("chars", (there % _PIECE + 1).cast("int"), F.lit(seed - 1))
+        seen = met.withColumn("rest", F.coalesce(rest, F.lit(""))).drop("piece", "chars")
+        found.append(_found(known, _tail(known, seen), key, seed, None))
     if not found:
         return at.where(F.lit(False)).select(key, F.lit(0).cast("bigint").alias("pid"), "pos0")
     return found[0] if len(found) == 1 else found[0].unionByName(found[1])

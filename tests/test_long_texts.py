@@ -207,3 +207,67 @@ def test_intervals_lead_to_places(spark):
     assert sorted(map(tuple, together.collect())) == by_letter
     places = sorted(map(tuple, fm_index.locate(index, together).collect()))
     assert places == [(1, "ana", 1), (1, "ana", 3), (1, "banana", 0), (1, "na", 2), (1, "na", 4), (2, "ana", 0), (2, "ana", 2), (2, "na", 1), (2, "na", 3), (2, "s", 5)]
+
+
+def test_rows_made_by_explode_are_not_broadcast(spark):
+    """What grows with the input has to be shuffled, however small the optimizer takes it to be."""
+    from strandloom.operators import spectrum
+    from strandloom.sources import simulate
+
+    masses = spark.createDataFrame([(1, 0, 0), (1, 1, 7103711), (2, 0, 5)], "k int, i bigint, m bigint")
+    genomes = spark.createDataFrame([(1, "ACGT" * 20)], "k int, g string")
+    for found in (
+        spectrum.spectrum_edges(masses, "k", "m"),
+        spectrum.spectrum_residues(masses, "k", "i", "m"),
+        simulate.simulate_reads(genomes, "k", "g", 30, 2.0, width=32),
+    ):
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in spectrum.spectrum_edges(masses, "k", "m").collect()] == [(1, 0, 7103711, "A")]
+
+
+def test_masses_at_the_borders_of_bins(spark):
+    from strandloom.operators import spectrum
+
+    width, alanine = spectrum._BIN, 7103711
+    starts = [n * width - alanine + off for n in (230, 231) for off in (-1001, -1000, -999, -1, 0, 1, 999, 1000, 1001)]
+    rows = [(i, m) for i, s in enumerate(starts) for m in (s, s + alanine - 1000, s + alanine + 1000, s + alanine + 1001)]
+    got = spectrum.spectrum_edges(spark.createDataFrame(rows, "k int, m bigint"), "k", "m").where("m2 - m1 > 7000000")
+    want = [(i, s, s + alanine + off, "A") for i, s in enumerate(starts) for off in (-1000, 1000)]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_letters_after_a_long_prefix_come_from_pieces(spark, monkeypatch):
+    """A match may go on in the next piece of its text, end with the text, or begin in a later block."""
+    from strandloom.operators import search
+
+    monkeypatch.setattr(search, "_PIECE", 16)
+    rng = random.Random(5)
+    text = "".join(rng.choice("abé") for _ in range(300))
+    patterns = sorted({text[i : i + n] for i, n in ((0, 17), (3, 29), (14, 18), (15, 31), (269, 31), (283, 17), (40, 64), (40, 70))})
+    texts = spark.createDataFrame([(1, text), (2, text[5:40]), (3, ""), (4, None)], "k int, t string")
+    found = search.find_patterns(texts, "k", "t", spark.createDataFrame([(p,) for p in patterns], "p string"), "p")
+    want = [(k, p, i) for k, t in ((1, text), (2, text[5:40])) for p in patterns for i in range(len(t)) if t.startswith(p, i)]
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+
+
+def test_pieces_are_sent_once_and_windows_are_not(spark):
+    """The rest of a match was looked up among the windows of all positions, by a broadcast of them."""
+    from strandloom.operators import search
+
+    known = search.build_patterns(spark.createDataFrame([("a" * 20,)], "p string"), "p")
+    texts = spark.createDataFrame([(1, "a" * 100)], "k int, t string")
+    plan = search.occurrences(texts, "k", "t", known)._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan
+
+
+def test_border_arrays_go_back_in_small_batches(monkeypatch):
+    import pandas as pd
+
+    from strandloom.functions import strings
+
+    monkeypatch.setattr(strings, "_BORDERS", 8)
+    texts = ["aabaa", None, "", "abab", "aaaaaaaaaaaa", "b"]
+    got = list(strings.border_array.func(iter([pd.Series(texts, dtype=object), pd.Series([], dtype=object)])))
+    assert max(sum(len(x) for x in part if x is not None) for part in got) <= 12
+    flat = [None if x is None else list(x) for part in got for x in part]
+    assert flat == [[0, 1, 0, 1, 2], None, [], [0, 0, 1, 2], list(range(12)), [0]]
