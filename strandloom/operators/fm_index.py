@@ -16,7 +16,7 @@ from strandloom.constants import SENTINEL_FIRST
 from strandloom.operators.nearest import BLOCK, nearest_below
 from strandloom.operators.suffix import build_group_index, build_suffix_index
 from strandloom.plans.ordering import blocked_running_max, blocked_running_sum, dense_index, ordered_concat
-from strandloom.plans.session import checkpointed, dropped
+from strandloom.plans.session import checkpointed, dropped, shuffled
 
 
 def bwt(df: DataFrame, key: str, seq: str) -> DataFrame:
@@ -24,8 +24,7 @@ def bwt(df: DataFrame, key: str, seq: str) -> DataFrame:
     character before each. The sentinel sorts before every character and is none itself: before
     the whole text, `symbol` is null."""
     index = build_suffix_index(df, key, seq, before=True)
-    first = index.ordered.groupBy(key).agg(F.min("r").alias("_first"))
-    array = index.ordered.join(first, key).select(key, (F.col("r") - F.col("_first") + 1).alias("rank"), "pos0", F.col("before").alias("symbol"))
+    array = index.symbols().select(key, (F.col("rank") + 1).alias("rank"), "pos0", F.col("before").alias("symbol"))
     # The suffix of the sentinel alone sorts first.
     size = F.length(seq).cast("bigint")
     last = df.where(size >= 0).select(key, F.lit(0).cast("bigint").alias("rank"), size.alias("pos0"), F.when(size > 0, F.right(seq, F.lit(1))).alias("symbol"))
@@ -182,7 +181,7 @@ def pattern_intervals(df: DataFrame, key: str, seq: str, queries: DataFrame, pat
 
 def locate(index: FmIndex, found: DataFrame) -> DataFrame:
     """Positions of the intervals `(key, pattern, pos0)`; the sentinel's own is left out."""
-    ranks = found.withColumn("rank", F.explode(F.sequence(F.col("lo"), F.col("hi") - 1)))
+    ranks = shuffled(found.withColumn("rank", F.explode(F.sequence(F.col("lo"), F.col("hi") - 1))))
     hits = ranks.join(index.suffixes, [index.key, "rank"]).join(index.sizes, index.key)
     return hits.where("pos0 < size - 1").select(index.key, "pattern", "pos0")
 
@@ -191,7 +190,7 @@ def suffix_offsets(index: FmIndex, found: DataFrame, factor: int = 10) -> DataFr
     """For every hit, the steps back to the nearest sampled rank, a multiple of `factor`, if
     only those positions were stored: `(key, pattern, rank, offset)`."""
     key = index.key
-    ranks = found.withColumn("rank", F.explode(F.sequence(F.col("lo"), F.col("hi") - 1)))
+    ranks = shuffled(found.withColumn("rank", F.explode(F.sequence(F.col("lo"), F.col("hi") - 1))))
     # The nearest sampled position to the left is a running maximum along the text; before the
     # first one, steps go on from the end of the text.
     sampled = F.when(F.col("rank") % factor == 0, F.col("pos0"))

@@ -9,12 +9,19 @@ single task's work.
 
 The texts of a group are laid out behind one another, a place apart. A suffix ends where its own text
 does; of equal suffixes the one of the earlier text comes first.
+
+Single texts of up to 65 536 characters, one row per key, are ranked where they are, many at a time in the same
+way with numpy, and only the sorted suffixes are shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +31,8 @@ from strandloom.plans.ordering import blocked_running_sum, dense_index
 from strandloom.plans.session import checkpointed, dropped
 
 WINDOW = 16
+LOCAL = 1 << 16  # longer texts are ranked by joins
+_SLICE = 1 << 20  # characters ranked at a time
 
 
 @dataclass
@@ -43,6 +52,11 @@ class SuffixIndex:
         first = self.ordered.groupBy(self.key).agg(F.min("r").alias("_first"))
         return self.ordered.join(first, self.key).select(self.key, (F.col("r") - F.col("_first")).alias("rank"), "pos0")
 
+    def symbols(self) -> DataFrame:
+        """`(key, rank, pos0, before)` of an index with the characters in front."""
+        first = self.ordered.groupBy(self.key).agg(F.min("r").alias("_first"))
+        return self.ordered.join(first, self.key).select(self.key, (F.col("r") - F.col("_first")).alias("rank"), "pos0", "before")
+
     def at(self, df: DataFrame, pos: Column, level: int, name: str) -> DataFrame:
         """Add the rank of the window at `pos`, NULL beyond the end of the text."""
         table = self.levels[level].select(self.key, F.col("pos0").alias("_at"), F.col("r").alias(name))
@@ -117,10 +131,118 @@ def _indexed(windows: DataFrame, key: str) -> SuffixIndex:
     return SuffixIndex(key, done, windows, levels)
 
 
-def build_suffix_index(df: DataFrame, key: str, seq: str, before: bool = False) -> SuffixIndex:
+def sorted_suffixes(texts: list[str]) -> tuple[np.ndarray, ...]:
+    """Of all suffixes in order, text by text: the text's number, the position, that of the suffix before in
+    order (-1 for a text's first) and the common prefix with it; also the code points of all texts."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64)
+    row = np.repeat(np.arange(len(texts)), sizes)
+    ends = np.cumsum(sizes)
+    start, end, place = (ends - sizes)[row], ends[row], np.arange(len(codes))
+    different, rank = np.unique(row << 21 | codes, return_inverse=True)
+    levels, width = [rank.astype(np.int32)], 1
+    while len(different) < len(codes):
+        follows = np.zeros(len(codes), np.int64)  # nothing after the end, which sorts first
+        inside = np.flatnonzero(place + width < end)
+        follows[inside] = levels[-1][inside + width] + 1
+        different, rank = np.unique(levels[-1].astype(np.int64) << 32 | follows, return_inverse=True)
+        levels.append(rank.astype(np.int32))
+        width *= 2
+    order = np.empty(len(codes), np.int64)
+    order[rank] = place
+    before = np.concatenate([order[:1], order[:-1]])
+    first = start[order] == place  # the texts keep their order, so a text's ranks begin where it does
+    shared = np.zeros(len(codes), np.int64)
+    for level in reversed(range(len(levels))):
+        a, b = order + shared, before + shared
+        fits = np.flatnonzero(~first & (np.maximum(a, b) < end[order]))
+        same = fits[levels[level][a[fits]] == levels[level][b[fits]]]
+        shared[same] += 1 << level
+    return row[order], order - start[order], np.where(first, -1, before - start[order]), shared, codes
+
+
+def _sorted_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        parts = np.cumsum(pc.utf8_length(batch["_seq"]).to_numpy(), dtype=np.int64) // _SLICE
+        cuts = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(parts)]
+        for low, high in zip(cuts, cuts[1:], strict=False):
+            if low == high:
+                continue
+            row, pos0, prev0, shared, codes = sorted_suffixes(batch["_seq"].slice(low, high - low).to_pylist())
+            sizes = np.bincount(row)
+            rank = np.arange(len(row)) - (np.cumsum(sizes) - sizes)[row]
+            at = (np.cumsum(sizes) - sizes)[row] + pos0
+            for some in np.split(np.arange(len(row)), range(1 << 16, len(row), 1 << 16)):
+                head = codes[at[some] - 1].tolist()
+                symbols = [chr(c) if p else None for c, p in zip(head, pos0[some].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch["_key"].take(pa.array(row[some] + low)), pa.array(rank[some]), pa.array(pos0[some]),
+                        pa.array(prev0[some], mask=prev0[some] < 0), pa.array(shared[some]), pa.array(symbols, pa.string()),
+                    ],
+                    ["_key", "rank", "pos0", "prev0", "lcp", "before"],
+                )
+
+
+@dataclass
+class LocalIndex:
+    """The same for texts of which each was ranked in one task: `suffixes` has `(key, rank, pos0, prev0, lcp)` and,
+    if asked for, `before`; `others`, if any, is the index of the remaining texts."""
+
+    key: str
+    suffixes: DataFrame
+    more: list[str]
+    others: SuffixIndex | None = None
+    _numbered: DataFrame | None = None
+
+    def _rows(self) -> DataFrame:
+        """`suffixes` with `r`, after the ranks of the other texts."""
+        if self._numbered is None:
+            offset = self.others.ordered.count() if self.others else 0
+            numbered = dense_index(self.suffixes, [self.key, "rank"], "_i")
+            self._numbered = numbered.withColumn("r", F.col("_i") + offset).drop("_i")
+        return self._numbered
+
+    def _and(self, own: DataFrame, of) -> DataFrame:
+        return own.unionByName(of(self.others)) if self.others else own
+
+    @property
+    def ordered(self) -> DataFrame:
+        return self._and(self._rows().select(self.key, "pos0", "r", *self.more), lambda x: x.ordered)
+
+    @property
+    def array(self) -> DataFrame:
+        return self._and(self.suffixes.select(self.key, "rank", "pos0"), lambda x: x.array)
+
+    def symbols(self) -> DataFrame:
+        return self._and(self.suffixes.select(self.key, "rank", "pos0", "before"), lambda x: x.symbols())
+
+    def common_prefixes(self) -> DataFrame:
+        own = self._rows().where("prev0 IS NOT NULL").select(self.key, "r", "pos0", *self.more, "prev0", "lcp")
+        return self._and(own, lambda x: x.common_prefixes())
+
+    def neighbours(self) -> DataFrame:
+        own = self.suffixes.where("prev0 IS NOT NULL").select(self.key, "rank", "pos0", "prev0", "lcp")
+        return self._and(own, lambda x: x.neighbours())
+
+
+def build_suffix_index(df: DataFrame, key: str, seq: str, before: bool = False) -> SuffixIndex | LocalIndex:
     """Index the texts of `df`, one row per text with a unique `key`; with `before`, `ordered` has the
     character in front of each suffix, too."""
-    return _indexed(checkpointed(text_windows(df, key, seq, WINDOW, before)), key)
+    sizes = df.where(F.length(seq) > 0).select(F.col(key).alias("_of"), F.length(seq).alias("_size"))
+    odd = checkpointed(sizes.groupBy("_of").agg(F.count("*").alias("_n"), F.max("_size").alias("_size")).where((F.col("_n") > 1) | (F.col("_size") > LOCAL)))
+    short, others = df.where(F.col(key).isNotNull() & (F.length(seq) > 0)), None
+    if not odd.isEmpty():
+        rest = df.join(odd, F.col(key) == F.col("_of"), "left_semi")
+        others = _indexed(checkpointed(text_windows(rest, key, seq, WINDOW, before)), key)
+        short = short.join(odd, F.col(key) == F.col("_of"), "left_anti")
+    # Dealt out, as sorting is heavy and files may have few row groups.
+    dealt = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = short.select(F.col(key).alias("_key"), F.col(seq).alias("_seq")).repartition(dealt, "_key")
+    kind = texts.schema["_key"].dataType.simpleString()
+    found = texts.mapInArrow(_sorted_here, f"_key {kind}, rank bigint, pos0 bigint, prev0 bigint, lcp bigint, before string")
+    more = ["before"] if before else []
+    return LocalIndex(key, checkpointed(found.select(F.col("_key").alias(key), "rank", "pos0", "prev0", "lcp", *more)), more, others)
 
 
 def build_group_index(df: DataFrame, group: str, text: str, seq: str) -> SuffixIndex:

@@ -271,3 +271,30 @@ def test_border_arrays_go_back_in_small_batches(monkeypatch):
     assert max(sum(len(x) for x in part if x is not None) for part in got) <= 12
     flat = [None if x is None else list(x) for part in got for x in part]
     assert flat == [[0, 1, 0, 1, 2], None, [], [0, 0, 1, 2], list(range(12)), [0]]
+
+
+@pytest.mark.parametrize("local", [0, 20, 1 << 16], ids=["joins", "both", "tasks"])
+def test_suffixes_of_short_and_long_texts(spark, monkeypatch, local):
+    """Texts are ranked by joins, in tasks, or some in each way, with the same result; ranks have no gaps."""
+    monkeypatch.setattr(suffix, "LOCAL", local)
+    monkeypatch.setattr(suffix, "_SLICE", 50)
+    rng = random.Random(11)
+    texts = {i: "".join(rng.choice(("ab", "aé😀", "a")[i % 3]) for _ in range(1 + 7 * i % 45)) for i in range(12)}
+    rows = [((k, "x"), t) for k, t in texts.items()] + [((50, "x"), ""), ((51, "x"), None)]
+    df = spark.createDataFrame(rows, "k struct<a:int, b:string>, s string")
+    index = suffix.build_suffix_index(df, "k", "s", before=True)
+    array, near = defaultdict(dict), {}
+    for r in index.symbols().collect():
+        array[r.k.a][r["rank"]] = (r.pos0, r.before)
+    for r in index.neighbours().collect():
+        near[r.k.a, r["rank"]] = (r.pos0, r.prev0, r.lcp)
+    assert set(array) == set(texts)
+    for k, t in texts.items():
+        order = sorted(range(len(t)), key=lambda p: t[p:])
+        assert array[k] == {i: (p, t[p - 1] if p else None) for i, p in enumerate(order)}
+        pairs = [(p, q, len(os.path.commonprefix([t[p:], t[q:]]))) for q, p in zip(order, order[1:], strict=False)]
+        assert [near[k, i + 1] for i in range(len(pairs))] == pairs
+    places = sorted((r.r, r.k.a) for r in index.ordered.collect())
+    assert [r for r, _ in places] == list(range(sum(map(len, texts.values()))))
+    assert sum(a[1] != b[1] for a, b in zip(places, places[1:], strict=False)) == len(texts) - 1
+    assert index.common_prefixes().count() == len(near) == len(places) - len(texts)
