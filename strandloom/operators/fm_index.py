@@ -7,14 +7,19 @@ all patterns is one equi-join per bound with that table.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.constants import SENTINEL_FIRST
 from strandloom.operators.nearest import BLOCK, nearest_below
-from strandloom.operators.suffix import build_group_index, build_suffix_index
+from strandloom.operators.suffix import LOCAL, build_group_index, build_suffix_index, cut_by_size, sorted_suffixes, split_local
 from strandloom.plans.ordering import blocked_running_max, blocked_running_sum, dense_index, ordered_concat
 from strandloom.plans.session import checkpointed, dropped, shuffled
 
@@ -144,12 +149,58 @@ def backward_search(index: FmIndex, queries: DataFrame, pattern: str) -> DataFra
     return done
 
 
-def pattern_intervals(df: DataFrame, key: str, seq: str, queries: DataFrame, pattern: str, block: int = BLOCK) -> DataFrame:
+def _found_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Two bisections of the text's sorted suffixes per pattern."""
+    for batch in batches:
+        for low, high in cut_by_size(pc.utf8_length(batch["_seq"]).to_numpy()):
+            part = batch.slice(low, high - low)
+            texts = part["_seq"].to_pylist()
+            row, pos0, *_ = sorted_suffixes(texts)
+            ends = np.cumsum(np.bincount(row, minlength=len(texts)))
+            out = []
+            for i, (text, patterns, end) in enumerate(zip(texts, part["_patterns"].to_pylist(), ends.tolist(), strict=True)):
+                places = pos0[end - len(text) : end].tolist()
+                for pattern in patterns:
+                    head = lambda at, t=text, n=len(pattern): t[at : at + n]
+                    first = bisect_left(places, pattern, key=head)
+                    last = bisect_right(places, pattern, first, key=head)
+                    if first < last:
+                        out.append((i, pattern, first + 1, last + 1))  # rank 0 is the sentinel's
+            which, found, lo, hi = zip(*out, strict=True) if out else ([], [], [], [])
+            columns = [part["_key"].take(pa.array(which, pa.int64())), pa.array(found, pa.string()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["_key", "pattern", "lo", "hi"])
+
+
+def pattern_intervals(
+    df: DataFrame, key: str, seq: str, queries: DataFrame, pattern: str, block: int = BLOCK, local: int = LOCAL
+) -> DataFrame:
     """The same intervals `(key, pattern, lo, hi)` for patterns of any length, any number per text, without a
-    round per character: patterns are ranked together with the text's suffixes, in a number of rounds that
-    grows with the logarithm of the longest repeat. A pattern stands right before the suffixes that begin
-    with it, which end where neighbours share less than its length."""
-    asked = queries.select(F.col(key).alias("_key"), F.col(pattern).alias("pattern")).where("pattern IS NOT NULL").distinct()
+    round per character. Texts of up to `local` characters meet their patterns in a task, some thousands of
+    characters of patterns at a time; longer ones are ranked together with theirs."""
+    asked = queries.select(key, F.col(pattern).alias("pattern")).where("pattern IS NOT NULL")
+    known = df.select(F.col(key).alias("_key"), F.col(seq).alias("_seq"))
+    short, rest = split_local(known, "_key", F.length("_seq"), local)
+    asked = asked.withColumnRenamed(key, "_key").distinct()
+    short, filled = short.where("_seq IS NOT NULL"), asked.where("pattern <> ''")
+    size = F.sum(F.length("pattern")).alias("_sum")
+    shares = filled.groupBy("_key").agg(size).select("_key", (1 + F.shiftright("_sum", 16)).alias("_shares"))
+    share = F.pmod(F.xxhash64("pattern"), F.col("_shares")).alias("_share")
+    grouped = filled.join(shares, "_key").groupBy("_key", share).agg(F.collect_list("pattern").alias("_patterns"))
+    dealt = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = short.where("_seq <> ''").join(grouped, "_key").repartition(dealt, "_key", "_share").select("_key", "_seq", "_patterns")
+    found = both.mapInArrow(_found_here, f"_key {both.schema['_key'].dataType.simpleString()}, pattern string, lo bigint, hi bigint")
+    every = asked.where("pattern = ''").join(short, "_key").select(
+        "_key", "pattern", F.lit(0).cast("bigint").alias("lo"), (F.length("_seq") + 1).cast("bigint").alias("hi")
+    )
+    out = found.unionByName(every).withColumnRenamed("_key", key)
+    return out if rest is None else out.unionByName(_ranked_together(rest, "_key", "_seq", asked, block).withColumnRenamed("_key", key))
+
+
+def _ranked_together(df: DataFrame, key: str, seq: str, queries: DataFrame, block: int) -> DataFrame:
+    """Patterns are ranked together with the text's suffixes, in a number of rounds that grows with the logarithm
+    of the longest repeat. A pattern stands right before the suffixes that begin with it, which end where
+    neighbours share less than its length."""
+    asked = queries.select(F.col(key).alias("_key"), "pattern").where("pattern IS NOT NULL").distinct()
     known = df.select(F.col(key).alias("_key"), F.col(seq).alias("_seq"))
     asked = asked.join(known.select("_key"), "_key", "left_semi")
     numbered = dense_index(asked.where("pattern <> ''"), ["_key", "pattern"], "_n")

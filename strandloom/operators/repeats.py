@@ -3,18 +3,25 @@
 A substring common to all texts of a group is a common prefix of a run of neighbouring suffixes that has
 one of every text. The shortest runs up to each suffix are found by sweeps over blocks of ranks, which
 start from the last suffix of every text before the block and what it shares with the block's first.
+
+Texts that fit a task take a shorter way: the substring lies in a shortest text of the group, so every text is
+compared with that one in a task, and of each of its suffixes the least length that is found is kept.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions.alphabet import let
 from strandloom.functions.strings import longest_common_substring
-from strandloom.operators.suffix import build_group_index, build_suffix_index
+from strandloom.operators.suffix import LOCAL, build_group_index, build_suffix_index, cut_by_size, shared_lengths, split_local
 from strandloom.plans.ordering import blocked_running_sum
 from strandloom.plans.session import checkpointed
 
@@ -167,31 +174,105 @@ def longest_repeat(df: DataFrame, key: str, seq: str, k: int) -> DataFrame:
     return df.select(key, seq).join(best, key, "left").select(key, F.coalesce(found, F.lit("")).alias("substring"))
 
 
-def common_substring(df: DataFrame, group: str, seq: str, text: str | None = None, block: int = BLOCK) -> DataFrame:
+def _kept_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per group and suffix of its shortest text: the least length found in the texts at hand."""
+    for batch in batches:
+        sizes = pc.add(pc.utf8_length(batch["_seed"]), pc.utf8_length(batch["_s"])).to_numpy()
+        for low, high in cut_by_size(sizes):
+            part = batch.slice(low, high - low)
+            row, rank, pos0, found = shared_lengths(part["_seed"].to_pylist(), part["_s"].to_pylist())
+            ids, group = np.unique(part["_id"].to_numpy(), return_inverse=True)
+            order = np.lexsort((rank, group[row]))
+            of, rank, pos0, found = group[row][order], rank[order], pos0[order], found[order]
+            heads = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (rank[1:] != rank[:-1])]))
+            columns = [ids[of[heads]], rank[heads], pos0[heads], np.minimum.reduceat(found, heads)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["_id", "rank", "pos0", "shared"])
+
+
+def _in_shortest(rows: DataFrame, short: DataFrame) -> DataFrame:
+    """`(_g, _found)` of the groups `short` `(_g, _n, _least, _most)`, from rows `(_g, _t, _s)`."""
+    mine = rows.join(short, "_g")
+    seeds = mine.where(F.length("_s") == F.col("_least")).groupBy("_g").agg(F.min("_s").alias("_seed"))
+    seeds = checkpointed(seeds.withColumn("_id", F.monotonically_increasing_id()))
+    # Small groups come to one task, large ones in shares of about a million characters.
+    share = F.pmod(F.xxhash64("_t"), 1 + F.floor(F.col("_n") * F.col("_most") / (1 << 20)))
+    dealt = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = mine.select("_g", "_s", share.alias("_share")).join(seeds, "_g").repartition(dealt, "_g", "_share")
+    kept = pairs.select("_id", "_seed", "_s").mapInArrow(_kept_here, "_id bigint, rank bigint, pos0 bigint, shared bigint")
+    least = kept.groupBy("_id", "rank").agg(F.min("shared").alias("shared"), F.min("pos0").alias("pos0")).where("shared > 0")
+    best = least.groupBy("_id").agg(F.max(F.struct("shared", (-F.col("rank")).alias("_r"), "pos0")).alias("_b")).select("_id", "_b.shared", "_b.pos0")
+    cut = F.substring("_seed", (F.col("pos0") + 1).cast("int"), F.col("shared").cast("int"))
+    return best.join(seeds, "_id").select("_g", cut.alias("_found"))
+
+
+def _by_index(df: DataFrame, group: str, seq: str, text: str, block: int) -> DataFrame:
+    """The same, for texts of any length."""
+    ranked = _ranked(build_group_index(df, group, text, seq), df, group)
+    best = _best_runs(ranked, df, group, block).select(
+        F.col(group).alias("_group"), F.col("text").alias("_text"), "pos0", "shared"
+    )
+    rows = df.select(F.col(group).alias("_g"), F.col(text).alias("_t"), F.col(seq).alias("_s"))
+    cut = F.substring("_s", (F.col("pos0") + 1).cast("int"), F.col("shared").cast("int"))
+    return rows.join(best, (F.col("_g") == F.col("_group")) & (F.col("_t") == F.col("_text"))).select("_g", cut.alias("_found"))
+
+
+def common_substring(df: DataFrame, group: str, seq: str, text: str | None = None, block: int = BLOCK, local: int = LOCAL) -> DataFrame:
     """Longest substring common to all texts of each group, the first in alphabetical order: `(group, substring)`.
 
     `text` tells the texts of a group apart; without it they are numbered, which writes them once. A group
-    with an empty or null text has nothing in common.
+    with an empty or null text has nothing in common. Two texts of a group that have more than `local`
+    characters together, and texts of one name, take the way over the index.
     """
     if text is None:
         text = "_number"
         df = checkpointed(df.select(group, seq, F.monotonically_increasing_id().alias(text)))
-    ranked = _ranked(build_group_index(df, group, text, seq), df, group)
-    best = _best_runs(ranked, df, group, block).select(
-        F.col(group).alias("_group"), F.col("text").alias("_text"), "pos0", "shared"
-    )
     rows = df.select(F.col(group).alias("_g"), F.col(text).alias("_t"), F.col(seq).alias("_s"))
-    cut = F.substring("_s", (F.col("pos0") + 1).cast("int"), F.col("shared").cast("int"))
-    found = rows.join(best, (F.col("_g") == F.col("_group")) & (F.col("_t") == F.col("_text"))).select("_g", cut.alias("_found"))
+    size = F.coalesce(F.when(F.col("_t").isNotNull(), F.length("_s")), F.lit(0))
+    named = rows.groupBy("_g", "_t").agg(F.count("*").alias("_n"), F.min(size).alias("_least"), F.max(size).alias("_most"))
+    sizes = named.groupBy("_g").agg(
+        F.sum("_n").alias("_n"), F.max("_n").alias("_same"), F.min("_least").alias("_least"), F.max("_most").alias("_most")
+    )
+    sizes = checkpointed(sizes.where("_n > 1 AND _g IS NOT NULL"))
+    fits = (F.col("_same") == 1) & (F.col("_least") + F.col("_most") <= local)
+    found = _in_shortest(rows, sizes.where(fits & (F.col("_least") > 0)).drop("_same"))
+    odd = sizes.where(~fits)
+    if not odd.isEmpty():
+        rest = df.join(odd.select("_g"), F.col(group) == F.col("_g"), "left_semi")
+        found = found.unionByName(_by_index(rest, group, seq, text, block))
     single = rows.groupBy("_g").agg(F.count("*").alias("_n"), F.max("_s").alias("_one"))
     both = single.select(F.col("_g").alias(group), "_n", F.when(F.col("_n") == 1, F.col("_one")).alias("_one"))
     out = both.join(found, F.col(group) == F.col("_g"), "left")
     return out.select(group, F.coalesce("_found", "_one", F.lit("")).alias("substring"))
 
 
-def common_substring_pair(df: DataFrame, key: str, a: str, b: str, block: int = BLOCK) -> DataFrame:
+def _pairs_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sizes = pc.add(pc.utf8_length(batch["_a"]), pc.utf8_length(batch["_b"])).to_numpy()
+        for low, high in cut_by_size(sizes):
+            part = batch.slice(low, high - low)
+            texts = part["_a"].to_pylist()
+            row, _, pos0, found = shared_lengths(texts, part["_b"].to_pylist())
+            order = np.lexsort((pos0, -found, row))
+            first = order[np.flatnonzero(np.diff(row[order], prepend=-1))]
+            at, size = np.zeros((2, len(texts)), np.int64)
+            at[row[first]], size[row[first]] = pos0[first], found[first]
+            cut = [t[i : i + n] for t, i, n in zip(texts, at.tolist(), size.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([part["_key"], pa.array(cut, pa.string()), pa.array(at, mask=size == 0)], ["_key", "substring", "pos0"])
+
+
+def common_substring_pair(df: DataFrame, key: str, a: str, b: str, block: int = BLOCK, local: int = LOCAL) -> DataFrame:
     """Longest substring that the texts `a` and `b` of each row share, the one starting first in `a`:
-    `(key, substring, pos0)`, empty without a position if they share nothing. `key` is unique. For texts of any length."""
+    `(key, substring, pos0)`, empty without a position if they share nothing. `key` is unique. For texts of any
+    length; rows of up to `local` characters are compared inside a task."""
+    a_size, b_size = F.coalesce(F.length(a), F.lit(0)), F.coalesce(F.length(b), F.lit(0))
+    short, rest = split_local(df.select(key, a, b), key, a_size + b_size, local)
+    texts = short.select(F.col(key).alias("_key"), F.coalesce(a, F.lit("")).alias("_a"), F.coalesce(b, F.lit("")).alias("_b"))
+    found = texts.mapInArrow(_pairs_here, f"_key {texts.schema['_key'].dataType.simpleString()}, substring string, pos0 bigint")
+    found = found.withColumnRenamed("_key", key)
+    return found if rest is None else found.unionByName(_pair_by_index(rest, key, a, b, block))
+
+
+def _pair_by_index(df: DataFrame, key: str, a: str, b: str, block: int) -> DataFrame:
     pair = F.array(F.struct(F.lit(0).alias("n"), F.col(a).alias("s")), F.struct(F.lit(1).alias("n"), F.col(b).alias("s")))
     texts = df.select(F.col(key).alias("_key"), F.explode(pair).alias("_p")).select("_key", F.col("_p.n").alias("_n"), F.col("_p.s").alias("_s"))
     ranked = _ranked(build_group_index(texts, "_key", "_n", "_s"), texts, "_key")

@@ -11,7 +11,8 @@ The texts of a group are laid out behind one another, a place apart. A suffix en
 does; of equal suffixes the one of the earlier text comes first.
 
 Single texts of up to 65 536 characters, one row per key, are ranked where they are, many at a time in the same
-way with numpy, and only the sorted suffixes are shuffled.
+way with numpy, and only the sorted suffixes are shuffled. What two texts share is found in the same way, with
+the two behind one another.
 """
 
 from __future__ import annotations
@@ -135,8 +136,16 @@ def sorted_suffixes(texts: list[str]) -> tuple[np.ndarray, ...]:
     """Of all suffixes in order, text by text: the text's number, the position, that of the suffix before in
     order (-1 for a text's first) and the common prefix with it; also the code points of all texts."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64)
-    row = np.repeat(np.arange(len(texts)), sizes)
+    return sorted_codes(sizes, code_points(texts))
+
+
+def code_points(texts: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64)
+
+
+def sorted_codes(sizes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The same for texts given as the code points of all and the size of each."""
+    row = np.repeat(np.arange(len(sizes)), sizes)
     ends = np.cumsum(sizes)
     start, end, place = (ends - sizes)[row], ends[row], np.arange(len(codes))
     different, rank = np.unique(row << 21 | codes, return_inverse=True)
@@ -161,13 +170,40 @@ def sorted_suffixes(texts: list[str]) -> tuple[np.ndarray, ...]:
     return row[order], order - start[order], np.where(first, -1, before - start[order]), shared, codes
 
 
+def _least_since(values: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    """The least value after the last mark, up to and with each place; a mark's own is beyond all."""
+    group = np.cumsum(mark)
+    return np.minimum.accumulate(np.where(mark, 1 << 22, values) - (group << 23)) + (group << 23)
+
+
+def shared_lengths(a: list[str], b: list[str]) -> tuple[np.ndarray, ...]:
+    """For every suffix of each `a`, in order and text by text: the text's number, the suffix's rank and position,
+    and how many of its characters occur somewhere in the `b` of the same number."""
+    parts = [x for pair in zip(a, b, strict=True) for x in (pair[0], "\0", pair[1])]
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts)).reshape(-1, 3)
+    codes, heads = code_points(parts) + 1, sizes[:, 0]
+    whole = sizes.sum(axis=1)
+    codes[np.cumsum(whole) - whole + heads] = 0  # between the two, before all characters
+    row, pos0, _, shared, _ = sorted_codes(whole, codes)
+    in_b = pos0 > heads[row]
+    # The nearest suffixes of `b`, before and after in order, share the most. A text's first shares 0 with none.
+    up = _least_since(shared, in_b)
+    down = _least_since(np.append(shared[1:], 0)[::-1], in_b[::-1])[::-1]
+    mine = np.flatnonzero(pos0 < heads[row])
+    rank = np.arange(len(mine)) - (np.cumsum(heads) - heads)[row[mine]]
+    return row[mine], rank, pos0[mine], np.maximum(up, down)[mine]
+
+
+def cut_by_size(sizes: np.ndarray, most: int = _SLICE) -> Iterator[tuple[int, int]]:
+    """Stretches of rows whose sizes add up to about `most`."""
+    parts = np.cumsum(sizes, dtype=np.int64) // most
+    cuts = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(parts)]
+    return ((low, high) for low, high in zip(cuts, cuts[1:], strict=False) if low < high)
+
+
 def _sorted_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        parts = np.cumsum(pc.utf8_length(batch["_seq"]).to_numpy(), dtype=np.int64) // _SLICE
-        cuts = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(parts)]
-        for low, high in zip(cuts, cuts[1:], strict=False):
-            if low == high:
-                continue
+        for low, high in cut_by_size(pc.utf8_length(batch["_seq"]).to_numpy()):
             row, pos0, prev0, shared, codes = sorted_suffixes(batch["_seq"].slice(low, high - low).to_pylist())
             sizes = np.bincount(row)
             rank = np.arange(len(row)) - (np.cumsum(sizes) - sizes)[row]
@@ -226,6 +262,19 @@ class LocalIndex:
         return self._and(own, lambda x: x.neighbours())
 
 
+def split_local(df: DataFrame, key: str, size: Column, most: int = LOCAL) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of a key of their own whose `size` is at most `most`, dealt out by key, as they are to be worked on
+    inside tasks; and the others, if any: larger ones, and those of a null or repeated key."""
+    sizes = df.select(F.col(key).alias("_of"), size.alias("_size"))
+    odd = sizes.groupBy("_of").agg(F.count("*").alias("_n"), F.max("_size").alias("_size"))
+    odd = checkpointed(odd.where(F.col("_of").isNull() | (F.col("_n") > 1) | (F.col("_size") > most)).select("_of"))
+    short, rest = df, None
+    if not odd.isEmpty():
+        same = F.col(key).eqNullSafe(F.col("_of"))
+        short, rest = df.join(odd, same, "left_anti"), df.join(odd, same, "left_semi")
+    return short.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key), rest
+
+
 def build_suffix_index(df: DataFrame, key: str, seq: str, before: bool = False) -> SuffixIndex | LocalIndex:
     """Index the texts of `df`, one row per text with a unique `key`; with `before`, `ordered` has the
     character in front of each suffix, too."""
