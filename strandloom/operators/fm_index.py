@@ -1,8 +1,9 @@
 """Burrows-Wheeler transform and FM index as tables.
 
 The index has one row per block of the transform: its characters and, per character, the
-number of suffixes that sort before those the block's occurrences lead to. A search step for
-all patterns is one equi-join per bound with that table.
+number of suffixes that sort before those the block's occurrences lead to, and the positions of the block's
+suffixes. A search step for all patterns is one equi-join per bound with that table. Texts that fit a task are
+transformed, cut into blocks and restored there, so no row of theirs is a single character.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from strandloom.constants import SENTINEL_FIRST
 from strandloom.operators.nearest import BLOCK, nearest_below
-from strandloom.operators.suffix import LOCAL, build_group_index, build_suffix_index, cut_by_size, sorted_suffixes, split_local
+from strandloom.operators.suffix import LOCAL, build_group_index, build_suffix_index, code_points, cut_by_size, sorted_suffixes, split_local
 from strandloom.plans.ordering import blocked_running_max, blocked_running_sum, dense_index, ordered_concat
 from strandloom.plans.session import checkpointed, dropped, shuffled
 
@@ -42,6 +43,86 @@ def bwt_string(table: DataFrame, key: str) -> DataFrame:
     return ordered_concat(shown, [key], "rank", "symbol", "bwt")
 
 
+def _shown(texts: list[str]) -> tuple[np.ndarray, ...]:
+    """Of the terminated texts, one behind the other: the code points of the transforms, with `$` for the
+    sentinel, the positions of the sorted suffixes, the rows of each text and the sentinel's place in it."""
+    row, pos0, _, _, codes = sorted_suffixes(texts)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    starts, rows = np.cumsum(sizes) - sizes, sizes + 1
+    heads = np.cumsum(rows) - rows
+    places = np.empty(len(codes) + len(texts), np.int64)
+    places[heads] = sizes  # the suffix of the sentinel alone sorts first
+    places[np.arange(len(row)) + row + 1] = pos0
+    first = places == 0
+    which = np.repeat(starts, rows) + places - 1
+    letters = np.where(first, ord(SENTINEL_FIRST), codes[np.where(first, 0, which)] if len(codes) else 0)
+    return letters, places, rows, np.flatnonzero(first) - heads
+
+
+def _spelled(codes: np.ndarray, sizes: np.ndarray) -> list[str]:
+    text, ends = codes.astype(np.uint32).tobytes().decode("utf-32-le"), np.cumsum(sizes).tolist()
+    return [text[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+
+def _transformed_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for low, high in cut_by_size(pc.add(pc.utf8_length(batch["_seq"]), 1).to_numpy()):
+            part = batch.slice(low, high - low)
+            letters, _, rows, holes = _shown(part["_seq"].to_pylist())
+            yield pa.RecordBatch.from_arrays([part["_key"], pa.array(_spelled(letters, rows), pa.string()), pa.array(holes)], ["_key", "bwt", "hole"])
+
+
+def _restored_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for low, high in cut_by_size(pc.utf8_length(batch["bwt"]).to_numpy()):
+            part = batch.slice(low, high - low)
+            texts = part["bwt"].to_pylist()
+            rows = np.fromiter(map(len, texts), np.int64, len(texts))
+            heads, codes = np.cumsum(rows) - rows, code_points(texts)
+            keys = codes + 1
+            keys[heads + part["hole"].to_numpy()] = 0  # the sentinel sorts first
+            lf = np.empty(len(codes), np.int64)
+            lf[np.argsort(np.repeat(np.arange(len(texts)), rows) << 21 | keys, kind="stable")] = np.arange(len(codes))
+            step, out = lf.tolist(), []
+            for head, text, n in zip(heads.tolist(), texts, rows.tolist(), strict=True):
+                at, letters = head, []
+                for _ in range(n - 1):
+                    letters.append(text[at - head])
+                    at = step[at]
+                out.append("".join(reversed(letters)))
+            yield pa.RecordBatch.from_arrays([part["_key"], pa.array(out, pa.string())], ["_key", "seq"])
+
+
+@dataclass
+class Transform:
+    """The transforms of many texts: `strings` has `(key, bwt, hole)` of those that were transformed in one task,
+    `hole` being the place of the sentinel in `bwt`; `table`, if any, has the rows of the others."""
+
+    key: str
+    strings: DataFrame
+    table: DataFrame | None = None
+
+    def shown(self) -> DataFrame:
+        own = self.strings.select(self.key, "bwt")
+        return own if self.table is None else own.unionByName(bwt_string(self.table, self.key))
+
+    def inverse(self) -> DataFrame:
+        """The texts back: `(key, seq)`."""
+        given = self.strings.select(F.col(self.key).alias("_key"), "bwt", "hole")
+        kind = given.schema["_key"].dataType.simpleString()
+        own = given.mapInArrow(_restored_here, f"_key {kind}, seq string").withColumnRenamed("_key", self.key)
+        return own if self.table is None else own.unionByName(bwt_inverse(self.table, self.key))
+
+
+def transform(df: DataFrame, key: str, seq: str, local: int = LOCAL) -> Transform:
+    """The transforms of the texts, one row per key; those of up to `local` characters stay whole."""
+    short, rest = split_local(df.select(key, seq), key, F.length(seq), local)
+    texts = short.where(F.col(seq).isNotNull()).select(F.col(key).alias("_key"), F.col(seq).alias("_seq"))
+    kind = texts.schema["_key"].dataType.simpleString()
+    strings = checkpointed(texts.mapInArrow(_transformed_here, f"_key {kind}, bwt string, hole bigint").withColumnRenamed("_key", key))
+    return Transform(key, strings, None if rest is None else checkpointed(bwt(rest, key, seq)))
+
+
 def lf_map(table: DataFrame, key: str) -> DataFrame:
     """`(key, rank, lf)`: the rank of the suffix one character longer.
 
@@ -86,16 +167,88 @@ def bwt_inverse(table: DataFrame, key: str) -> DataFrame:
 class FmIndex:
     key: str
     width: int
-    blocks: DataFrame  # key, block, text, hole (the sentinel's place in it), before: map<string, bigint>
-    suffixes: DataFrame  # key, rank, pos0
+    # key, block, text, hole (the sentinel's place in it), before: map<string, bigint>, places: array<bigint>
+    blocks: DataFrame
     sizes: DataFrame  # key, size: rows of the transform
 
-
-def build_fm_index(df: DataFrame, key: str, seq: str, width: int = 1024) -> FmIndex:
-    table = checkpointed(bwt(df, key, seq))
+    @property
+    def suffixes(self) -> DataFrame:
+        """`(key, rank, pos0)`."""
+        rows = self.blocks.select(self.key, "block", F.posexplode("places").alias("_p", "pos0"))
+        return rows.select(self.key, (F.col("block") * self.width + F.col("_p")).alias("rank"), "pos0")
+
+
+def _blocks_here(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, high in cut_by_size(pc.add(pc.utf8_length(batch["_seq"]), 1).to_numpy()):
+                part = batch.slice(low, high - low)
+                letters, places, rows, holes = _shown(part["_seq"].to_pylist())
+                count, heads = len(rows), np.cumsum(rows) - rows
+                row = np.repeat(np.arange(count), rows)
+                # Also the block right after the last row, which the upper bound may fall into.
+                blocks = rows // width + 1
+                base = np.cumsum(blocks) - blocks
+                owner = np.repeat(np.arange(count), blocks)
+                block = np.arange(len(owner)) - base[owner]
+                sizes = np.minimum(rows[owner] - block * width, width)
+                hole = np.full(len(owner), -1, np.int64)
+                hole[base + holes // width] = holes % width
+                real = np.ones(len(letters), bool)
+                real[heads + holes] = False
+                # A cell for every character of a text at each of its blocks, by text, character and block.
+                symbols, which = np.unique(row[real] << 21 | letters[real], return_inverse=True)
+                of = symbols >> 21
+                cells = np.cumsum(blocks[of]) - blocks[of]
+                inside = ((np.arange(len(letters)) - heads[row]) // width)[real]
+                total = int(blocks[of].sum())
+                seen = np.bincount(cells[which] + inside, minlength=total)
+                # Characters are counted in order, so the count so far is the rank that they lead to.
+                upto = np.cumsum(seen) - seen
+                kinds = np.bincount(of, minlength=count)
+                first = np.cumsum(kinds) - kinds
+                start = np.cumsum(rows - 1) - (rows - 1)
+                # The same cells by text, block and character.
+                entries = kinds[owner]
+                at = np.arange(int(entries.sum())) - np.repeat(np.cumsum(entries) - entries, entries)
+                symbol = np.repeat(first[owner], entries) + at
+                value = upto[cells[symbol] + np.repeat(block, entries)] - np.repeat(start[owner], entries) + 1
+                names = _spelled(symbols & ((1 << 21) - 1), np.ones(len(symbols), np.int64))
+                before = pa.MapArray.from_arrays(
+                    pa.array(np.concatenate([[0], np.cumsum(entries)]), pa.int32()), pa.array(names, pa.string()).take(pa.array(symbol)), pa.array(value)
+                )
+                ranks = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(places))
+                columns = [
+                    part["_key"].take(pa.array(owner)), pa.array(block), pa.array(_spelled(letters, sizes), pa.string()),
+                    pa.array(hole, mask=hole < 0), before, ranks,
+                ]
+                for cut in range(0, len(owner), 1 << 12):
+                    yield pa.RecordBatch.from_arrays([c.slice(cut, 1 << 12) for c in columns], ["_key", "block", "text", "hole", "before", "places"])
+
+    return run
+
+
+def build_fm_index(df: DataFrame, key: str, seq: str, width: int = 1024, local: int = LOCAL) -> FmIndex:
+    """Index the texts of `df`, one row per key; blocks of texts of up to `local` characters are made in one task."""
+    short, rest = split_local(df.select(key, seq), key, F.length(seq), local)
+    texts = short.where(F.col(seq).isNotNull()).select(F.col(key).alias("_key"), F.col(seq).alias("_seq"))
+    kind = texts.schema["_key"].dataType.simpleString()
+    shape = f"_key {kind}, block bigint, text string, hole bigint, before map<string, bigint>, places array<bigint>"
+    blocks = checkpointed(texts.mapInArrow(_blocks_here(width), shape).withColumnRenamed("_key", key))
+    rows = F.sum(F.size("places")).alias("size")
+    if rest is None:
+        return FmIndex(key, width, blocks, blocks.groupBy(key).agg(rows))
+    blocks = blocks.unionByName(_blocks_of(checkpointed(bwt(rest, key, seq)), key, width))
+    return FmIndex(key, width, blocks, blocks.groupBy(key).agg(rows))
+
+
+def _blocks_of(table: DataFrame, key: str, width: int) -> DataFrame:
+    """The blocks of an index from the rows of the transforms."""
     placed = table.withColumn("block", F.floor(F.col("rank") / width))
     shown = placed.withColumn("symbol", F.coalesce("symbol", F.lit(SENTINEL_FIRST)))
     text = ordered_concat(shown, [key, "block"], "rank", "symbol", "text", width)
+    ranks = F.transform(F.array_sort(F.collect_list(F.struct("rank", "pos0"))), lambda x: x.pos0).alias("places")
+    places = placed.groupBy(key, "block").agg(ranks)
     holes = placed.where("symbol IS NULL").select(key, "block", (F.col("rank") % width).alias("hole"))
     sizes = table.groupBy(key).agg(F.count("*").alias("size"))
     ends = sizes.select(key, F.floor(F.col("size") / width).alias("block"))
@@ -116,13 +269,13 @@ def build_fm_index(df: DataFrame, key: str, seq: str, width: int = 1024) -> FmIn
         ).alias("before")
     )
     whole = grid.join(before, [key, "block"], "left").join(text, [key, "block"], "left").join(holes, [key, "block"], "left")
-    blocks = checkpointed(whole.na.fill("", ["text"]))
-    return FmIndex(key, width, blocks, table.select(key, "rank", "pos0"), sizes)
+    whole = whole.join(places, [key, "block"], "left").withColumn("places", F.coalesce("places", F.array().cast("array<bigint>")))
+    return checkpointed(whole.na.fill("", ["text"]).select(key, "block", "text", "hole", "before", "places"))
 
 
 def _step(index: FmIndex, state: DataFrame, bound: str) -> DataFrame:
     """Move one bound of every row over its next character, to the left."""
-    blocks = index.blocks.withColumnRenamed("block", "_b")
+    blocks = index.blocks.withColumnRenamed("block", "_b").drop("places")
     joined = state.withColumn("_b", F.floor(F.col(bound) / index.width)).join(blocks, [index.key, "_b"])
     part = F.left("text", (F.col(bound) - F.col("_b") * index.width).cast("int"))
     seen = F.length(part) - F.length(F.replace(part, F.col("_c"), F.lit("")))
@@ -231,10 +384,15 @@ def _ranked_together(df: DataFrame, key: str, seq: str, queries: DataFrame, bloc
 
 
 def locate(index: FmIndex, found: DataFrame) -> DataFrame:
-    """Positions of the intervals `(key, pattern, pos0)`; the sentinel's own is left out."""
-    ranks = shuffled(found.withColumn("rank", F.explode(F.sequence(F.col("lo"), F.col("hi") - 1))))
-    hits = ranks.join(index.suffixes, [index.key, "rank"]).join(index.sizes, index.key)
-    return hits.where("pos0 < size - 1").select(index.key, "pattern", "pos0")
+    """Positions of the intervals `(key, pattern, pos0)`; the sentinel's own, of rank 0, is left out."""
+    width, lo = index.width, F.greatest("lo", F.lit(1))
+    each = F.explode(F.sequence(F.floor(lo / width), F.floor((F.col("hi") - 1) / width))).alias("block")
+    spans = shuffled(found.where(lo < F.col("hi")).select(index.key, "pattern", lo.alias("lo"), "hi", each))
+    hits = spans.join(index.blocks.select(index.key, "block", "places"), [index.key, "block"])
+    begin = F.greatest(F.col("lo") - F.col("block") * width, F.lit(0))
+    end = F.least(F.col("hi") - F.col("block") * width, F.lit(width))
+    inside = F.slice("places", (begin + 1).cast("int"), (end - begin).cast("int"))
+    return hits.select(index.key, "pattern", F.explode(inside).alias("pos0"))
 
 
 def suffix_offsets(index: FmIndex, found: DataFrame, factor: int = 10) -> DataFrame:
