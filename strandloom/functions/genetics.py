@@ -45,6 +45,52 @@ def cross(gametes_a: Column, gametes_b: Column) -> Column:
     return F.flatten(F.transform(gametes_a, lambda a: F.transform(gametes_b, lambda b: mix_gametes(a, b))))
 
 
+#: Loci whose alleles fit a number, a decimal digit each.
+DIGITS = 18
+
+
+def _digits(genotype: Column) -> Column:
+    """All gametes in order as ascending numbers, a digit per locus: 0 for D and 1 for R."""
+    loci = F.split(F.reverse(genotype), "")
+    places = F.zip_with(loci, F.sequence(F.lit(0), F.length(genotype) - 1), lambda x, i: F.struct(x.alias("x"), F.pow(F.lit(10), i).cast("bigint").alias("v")))
+    places = F.when(F.length(genotype) > 0, places).otherwise(F.array().cast("array<struct<x:string,v:bigint>>"))
+    raised = lambda acc, v: F.transform(acc, lambda g: g + v)
+    step = lambda acc, p: F.when(p.x == "H", F.concat(acc, raised(acc, p.v))).when(p.x == "R", raised(acc, p.v)).otherwise(acc)
+    return F.aggregate(places, F.array(F.lit(0).cast("bigint")), step)
+
+
+def _spelled(number: Column, size: Column, codes: str) -> Column:
+    """The code of each digit, 0 and up."""
+    return F.translate(F.lpad(number.cast("string"), size, F.lit("0")), "012"[: len(codes)], codes)
+
+
+def gamete_rows(df: DataFrame, genotype: str) -> DataFrame:
+    """The gametes of strings of D, H and R, a row each, with `n` and `gamete`. Up to 18 loci are numbers until
+    they are spelled, so that a gamete is no list of letters."""
+    size = F.length(genotype)
+    short = df.where((size > 0) & (size <= DIGITS)).select("*", F.posexplode(_digits(F.col(genotype))).alias("n", "_g"))
+    short = short.select(*df.columns, "n", _spelled(F.col("_g"), size, "DR").alias("gamete"))
+    rest = df.where((size == 0) | (size > DIGITS)).select("*", F.posexplode(gametes(F.split(genotype, ""))).alias("n", "_g"))
+    return short.unionByName(rest.select(*df.columns, "n", F.array_join("_g", "").alias("gamete")))
+
+
+def offspring_rows(df: DataFrame, a: str, b: str) -> DataFrame:
+    """The offspring of two genotypes in the same way, with `n` and `offspring`, row-major, over the loci that both
+    have: the sum of two gametes has 0 for D, 1 for H and 2 for R at every locus."""
+    a_size, b_size = F.length(a), F.length(b)
+    fits = (a_size > 0) & (b_size > 0) & (a_size <= DIGITS) & (b_size <= DIGITS)
+    size = F.least(a_size, b_size)
+    cut = lambda x, n: F.transform(_digits(F.col(x)), lambda g: F.call_function("div", g, F.pow(F.lit(10), n - size).cast("bigint")))
+    whole = lambda x, n: F.when(n == size, _digits(F.col(x))).otherwise(cut(x, n))
+    lists = df.where(fits).select("*", whole(a, a_size).alias("_x"), whole(b, b_size).alias("_y"), size.alias("_size"))
+    rows = lists.select(*df.columns, "_y", "_size", F.posexplode("_x").alias("_i", "_a"))
+    rows = rows.select(*df.columns, "_size", "_i", "_a", F.size("_y").alias("_of"), F.posexplode("_y").alias("_j", "_b"))
+    short = rows.select(*df.columns, (F.col("_i") * F.col("_of") + F.col("_j")).alias("n"), _spelled(F.col("_a") + F.col("_b"), F.col("_size"), "DHR").alias("offspring"))
+    both = cross(gametes(F.split(a, "")), gametes(F.split(b, "")))
+    rest = df.where(~fits).select("*", F.posexplode(both).alias("n", "_g"))
+    return short.unionByName(rest.select(*df.columns, "n", F.array_join("_g", "").alias("offspring")))
+
+
 def dominant_phenotype_probability(hom_dominant: Column, het: Column, hom_recessive: Column) -> Column:
     """Chance that two random members of the population have a dominant child.
 

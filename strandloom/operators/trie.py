@@ -7,12 +7,14 @@ it that shares less with the one before that.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions.strings import lcp_length
 from strandloom.operators.nearest import BLOCK, nearest_smaller
-from strandloom.plans.ordering import dense_index
+from strandloom.plans.ordering import blocked_running_sum, dense_index
 from strandloom.plans.session import checkpointed, dropped
 
 
@@ -46,6 +48,57 @@ def trie_edges(df: DataFrame, s: str, block: int = BLOCK) -> DataFrame:
     return hung.join(parents, ["_i", "_depth"], "left").select(F.coalesce("parent", F.lit(1).cast("bigint")).alias("parent"), "child", "symbol")
 
 
+def _paths(rows: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
+    """Numbers of the nodes along every string of a block: the last of each depth up to the string."""
+    rows = rows.sort_values("i", ignore_index=True)
+    last = np.zeros(int(rows["size"].max()) + 1 if len(rows) else 1, np.int64)
+    last[starts["_depth"].to_numpy()] = starts["_before"].to_numpy()
+    sizes, own = rows["size"].to_numpy(), rows["lcp"].to_numpy()
+    out, low = [], 0
+    while low < len(rows):  # about a million nodes at a time
+        high = max(low + 1, int(np.searchsorted(np.cumsum(sizes[low:]), 1 << 20, "right")) + low)
+        size, ends = sizes[low:high], np.cumsum(sizes[low:high])
+        depth = np.arange(ends[-1]) - np.repeat(ends - size, size) + 1
+        new = depth > np.repeat(own[low:high], size)
+        order = np.argsort(depth, kind="stable")
+        upto = np.cumsum(new[order])
+        head = np.flatnonzero(np.diff(depth[order], prepend=0))
+        earlier = np.repeat((upto - new[order])[head], np.diff(np.append(head, len(order))))
+        path = np.empty(len(depth), np.int64)
+        path[order] = last[depth[order]] + upto - earlier
+        last[: int(size.max()) + 1] += np.bincount(depth[new], minlength=int(size.max()) + 1)
+        out += np.split(path, ends[:-1])
+        low = high
+    return pd.DataFrame({"lcp": own, "path": out})
+
+
+def trie_ancestors(df: DataFrame, s: str, block: int = 4096) -> DataFrame:
+    """`(origin, node, steps)`: from every node of `trie_edges` to each one above it, up to the root.
+
+    The nodes of a depth are numbered in the strings' order, so the node of a string's prefix is the last one of
+    its depth so far: counts per block of strings and depth tell all, and nothing is walked edge by edge.
+    """
+    rows = _front_coded(df, s).select("i", "size", "lcp", F.floor(F.col("i") / block).alias("_block"))
+    each = rows.where("lcp < size").select("_block", F.explode(F.sequence(F.col("lcp") + 1, F.col("size"))).alias("_depth"))
+    counts = checkpointed(each.groupBy("_block", "_depth").agg(F.count("*").alias("_n")))
+    depths = counts.groupBy("_depth").agg(F.sum("_n").alias("_all")).withColumn("_one", F.lit(1))
+    shallower = blocked_running_sum(depths, ["_one"], "_depth", "_all", "_upto")
+    shallower = shallower.select("_depth", (F.col("_upto") - F.col("_all") + 1).alias("_first"))  # the root is 1
+    # Every depth that a block's strings reach, also those whose nodes all came before it.
+    deepest = rows.groupBy("_block").agg(F.max("size").alias("_deep"))
+    grid = deepest.select("_block", F.explode(F.sequence(F.lit(1).cast("bigint"), "_deep")).alias("_depth"))
+    filled = grid.join(counts, ["_block", "_depth"], "left").na.fill(0, ["_n"])
+    along = Window.partitionBy("_depth").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = filled.withColumn("_sum", F.coalesce(F.sum("_n").over(along), F.lit(0))).join(shallower, "_depth")
+    starts = starts.select(F.col("_block").alias("_of"), "_depth", (F.col("_first") + F.col("_sum")).alias("_before"))
+    paths = rows.groupBy("_block").cogroup(starts.groupBy("_of")).applyInPandas(_paths, "lcp bigint, path array<bigint>")
+    own = paths.where("lcp < size(path)").select("path", F.explode(F.sequence(F.col("lcp") + 1, F.size("path").cast("bigint"))).alias("_d"))
+    origin = F.element_at("path", F.col("_d").cast("int")).alias("origin")
+    above = F.concat(F.array(F.lit(1).cast("bigint")), F.slice("path", F.lit(1), (F.col("_d") - 1).cast("int")))
+    up = own.select(origin, "_d", F.posexplode(above).alias("_at", "node"))
+    return up.select("origin", "node", (F.col("_d") - F.col("_at")).cast("int").alias("steps"))
+
+
 def compact_trie(df: DataFrame, index: str, s: str, block: int = BLOCK) -> DataFrame:
     """Nodes of the compact trie `(string, parent, label, str_index)`, without the root.
 
