@@ -107,6 +107,68 @@ def test_bands_keep_ordinary_texts(spark):
     assert quality.judge(docs.limit(0), "text", "lang").collect() == []
 
 
+def test_models_of_both_halves(spark, monkeypatch):
+    """The tables that Spark makes are the model of each half, for the n-grams of both, also if a task counts few at a time."""
+    monkeypatch.setattr(quality, "SHARD", 300)
+    monkeypatch.setattr(quality, "ROOM", 600)
+    texts = [*random_texts(60, 40, 7), "1234 \x00\x01", "ABC abc", "你好吗" * 5, "", None]
+    docs = spark.createDataFrame([(t,) for t in [*texts, *texts[:3]]], "text string").repartition(3)
+    halves = docs.select("text", quality.half_of("text").alias("half")).collect()
+    models = []
+    for half in (0, 1):
+        mine = batches.strings(pa.array([r.text for r in halves if r.half == half]))
+        models.append(quality.Model(*np.unique(quality.ngrams(*mine, quality.ORDER), return_counts=True), quality.ORDER))
+    keys = np.unique(quality.ngrams(*batches.strings(pa.array(texts)), quality.ORDER))
+    folder, number = quality.written(docs, "text")
+    shards = quality.Shards(folder, number)
+    got = shards.log2(keys)
+    assert number > 2 and 0 < len(shards.held) < number
+    assert got[0] == pytest.approx(models[1].log2(keys), abs=1e-4) and got[1] == pytest.approx(models[0].log2(keys), abs=1e-4)
+    with pytest.raises(ValueError, match="not those that were counted"):
+        shards.log2(np.array([5]))
+
+
+def test_tasks_that_count_little_at_a_time(monkeypatch):
+    texts = random_texts(300, 50, 8)
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([i % 2 for i in range(300)])], ["_text", "_half"])
+    monkeypatch.setattr(quality, "MOST", 100)
+    monkeypatch.setattr(quality, "BLOCK", 256)
+    got, rows = defaultdict(lambda: [0, 0]), 0
+    for part in quality._counted(5)(iter([batch.slice(0, 150), batch.slice(150)])):
+        for r in part.to_pylist():
+            rows += 1
+            got[r["key"]][0] += r["a"]
+            got[r["key"]][1] += r["b"]
+    want = defaultdict(lambda: [0, 0])
+    for i, text in enumerate(texts):
+        for key in quality.ngrams(*batches.strings(pa.array([text])), 5).tolist():
+            want[key][i % 2] += 1
+    assert got == want and rows > 1.5 * len(want)
+
+
+def test_symbols_are_told_apart(spark):
+    """Random capitals, random numbers, characters of three bytes at random are not ordinary text."""
+    rng = random.Random(9)
+    words = ["lorem", "ipsum", "dolor", "Amet", "elit", "sed", "magna", "1945", "nulla", "2001", "的时候", "我们", "没有什么"]
+    rows = [(i, " ".join(rng.choices(words, k=rng.randint(60, 90))), "la") for i in range(200)]
+
+    def changed(function):
+        return " ".join(function(w) for w in rng.choices(words, k=80))
+
+    odd = {
+        900: lambda w: "".join(rng.choice([c.upper(), c.lower()]) for c in w),
+        901: lambda w: "".join(str(rng.randint(0, 9)) if c.isdigit() else c for c in w),
+        902: lambda w: "".join(chr(rng.randint(0x4E00, 0x9FA5)) if ord(c) > 127 else c for c in w),
+    }
+    rows += [(i, changed(f), "la") for i, f in odd.items()]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = {r.doc_id: r for r in quality.judge(docs, "text", "lang", carried=["doc_id"]).select("row.doc_id", "kept", "base_failed", "bits").collect()}
+    assert len(got) == len(rows) and not any(r.base_failed for r in got.values())
+    assert {i for i in odd if got[i].kept} == set() and sum(r.kept for r in got.values()) > 190
+    whole = {r.doc_id: (r.kept, r.bits) for r in quality.judge(docs, "text", "lang").select("row.*", "kept", "bits").collect()}
+    assert whole == {i: (r.kept, r.bits) for i, r in got.items()}
+
+
 # ---- near-duplicates
 
 
