@@ -11,7 +11,7 @@ halves by their hash (equal texts to the same one), each half has a model, and a
 half. Probabilities are made for all n-grams of both halves, so that none is missing when texts are scored.
 
 The probabilities lie in shards, files of the shared folder. A task reads each shard once and keeps `ROOM` n-grams (128 MB); of a
-larger model, it reads the other shards again for each MB of texts. They are searched by bisection for what differs in some MB.
+larger model, it reads the other shards again for every 512 kB of texts. They are searched by bisection for what differs in those.
 
 A document is rejected outside its language's band of log2-perplexity. The band lies around the
 median of the language's documents that pass the base rules. Its half width is `spread` times the
@@ -43,7 +43,7 @@ from strandloom.plans.session import checkpointed, dropped, shared_folder
 
 ORDER, CLASSES = 5, 257
 MOST, SHARD, ROOM = 3 << 19, 1 << 20, 8 << 20  # n-grams that a task counts at once, of a shard, that a task keeps
-BLOCK = 1 << 20  # bytes worked on together
+BLOCK = 1 << 19  # bytes worked on together
 _SYMBOL = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 _LETTER = np.arange(256) > 127
 _LETTER[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
