@@ -336,6 +336,31 @@ def test_documents_of_short_lines_stay(spark):
 
 
 
+def test_buckets_of_words_are_sorted_once(spark):
+    rows = spark.range(500).selectExpr("cast(id * 7919 % 97 as int) AS word", "id")
+    table, drop = linededup._bucketed(rows, "word")
+    name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(name)
+    with linededup._in_bucket_order(spark):
+        pairs = table.select("word", F.col("id").alias("a")).hint("merge").join(table.select("word", F.col("id").alias("b")), "word")
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+        assert pairs.count() == sum(n * n for n in Counter(i * 7919 % 97 for i in range(500)).values())
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+    assert spark.conf.get(name) == before
+    drop()
+
+
+def test_words_are_cut_at_every_blank(spark):
+    words = [f"w{i}" for i in range(12)]
+    rows = [(1, " ".join(words)), (2, "\t" + "\x0b".join(words) + "\r"), (3, "\x0c\x0c".join(reversed(words)) + "\n\t\n"), (4, "\xa0".join(words))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: list(r.removed) for r in linededup.removed_by_document(docs, "doc_id", "text").collect()}
+    assert got == {1: [], 2: [0], 3: [0], 4: []}
+    ranks = linededup._ranks(docs, "text")
+    kind = linededup._words_of(linededup._lines(docs, "doc_id", "text"), ranks).schema["_words"].dataType
+    assert not kind.containsNull  # so they are sorted as plain numbers
+
+
 def test_short_lines_against_all_pairs(spark):
     rows = [*made_lines(1), (600, "Les.\nno no no"), (601, "x\n Les.\nno\n\n"), (602, "a b c d " * 20 + "\nd c b a\n\n \t")]
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
