@@ -20,8 +20,8 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from functools import lru_cache, reduce
 from itertools import chain
 
 import numpy as np
@@ -321,23 +321,21 @@ def _joins(definition):
     return run
 
 
-def encode(docs: DataFrame, key: str, text: str, definition, leaf: int = 1 << 15) -> DataFrame:
-    """`(key, ids)` of every row; `definition` comes from `shipped`.
-
-    Only texts longer than `leaf` characters are shuffled. Their leaves are written once, so that
-    a repeated task cannot number them differently.
+def _encodings(docs: DataFrame, key: str, text: str, definition, leaf: int) -> list[tuple[DataFrame, Callable, str]]:
+    """Rows of short texts, and those of the last joins of long ones if there are any, each with the function from
+    their batches to batches with `_key` and `ids`, and the type of the result. What comes after the ids can so run
+    in the same Python worker: a second one for each task would hold the vocabulary again.
     """
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    short = rows.where(F.coalesce(F.length("_text"), F.lit(0)) <= leaf).mapInArrow(
-        _leaves(definition, "_text", ["_key"]), f"_key {kind}, ids array<int>"
-    )
+    short = rows.where(F.coalesce(F.length("_text"), F.lit(0)) <= leaf)
+    steps = [(short, _leaves(definition, "_text", ["_key"]), f"_key {kind}, ids array<int>")]
     shape = f"_row bigint, _key {kind}, _node bigint, _text string"
     long = rows.where(F.length("_text") > leaf).withColumn("_row", F.monotonically_increasing_id())
     nodes = checkpointed(long.mapInArrow(_cut("_text", leaf), shape))
     most = nodes.agg(F.max("_node")).first()[0]
     if most is None:
-        return short.withColumnRenamed("_key", key)
+        return steps
     nodes = nodes.repartition("_row", "_node").mapInArrow(
         _leaves(definition, "_text", ["_row", "_key", "_node", "_text"]), f"{shape}, ids array<int>"
     )
@@ -345,9 +343,20 @@ def encode(docs: DataFrame, key: str, text: str, definition, leaf: int = 1 << 15
         pairs = nodes.groupBy("_row", F.shiftright("_node", 1).alias("_half")).agg(
             F.first("_key", ignorenulls=True).alias("_key"), F.sort_array(F.collect_list(F.struct("_node", "_text", "ids"))).alias("_pair")
         )
-        nodes = pairs.withColumnRenamed("_half", "_node").mapInArrow(_joins(definition), f"{shape}, ids array<int>")
-        most >>= 1
-    return short.unionByName(nodes.select("_key", "ids")).withColumnRenamed("_key", key)
+        pairs, most = pairs.withColumnRenamed("_half", "_node"), most >> 1
+        if most > 0:
+            nodes = pairs.mapInArrow(_joins(definition), f"{shape}, ids array<int>")
+    return [*steps, (pairs, _joins(definition), f"{shape}, ids array<int>")]
+
+
+def encode(docs: DataFrame, key: str, text: str, definition, leaf: int = 1 << 15) -> DataFrame:
+    """`(key, ids)` of every row; `definition` comes from `shipped`.
+
+    Only texts longer than `leaf` characters are shuffled. Their leaves are written once, so that
+    a repeated task cannot number them differently.
+    """
+    found = [rows.mapInArrow(run, kind).select("_key", "ids") for rows, run, kind in _encodings(docs, key, text, definition, leaf)]
+    return reduce(DataFrame.unionByName, found).withColumnRenamed("_key", key)
 
 
 class Vocabulary:
@@ -395,31 +404,49 @@ def flat_lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 _PORTION = 1 << 18  # ids decoded together
 
 
-def decode(encoded: DataFrame, key: str, ids: str, definition) -> DataFrame:
-    """Add `decoded`, the text of the ids, special tokens included; null ids give an empty text."""
-    kind = encoded.schema[key].dataType.simpleString()
+def _decoded(definition, ids: str):
+    """Batches of `_key`, ids and the text of the ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = vocabulary(definition.value)
         for batch in batches:
-            ends, at = np.cumsum(flat_lists(batch["_ids"])[1]), 0
+            ends, at = np.cumsum(flat_lists(batch[ids])[1]), 0
             while at < batch.num_rows:  # about a MB of text at a time, or one row
                 base = ends[at - 1] if at else 0
                 part = batch.slice(at, max(1, int(np.searchsorted(ends, base + _PORTION, "right")) - at))
                 at += part.num_rows
-                texts = table.texts(*flat_lists(part["_ids"])).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([part["_key"], part["_ids"], texts], ["_key", "_ids", "decoded"])
+                texts = table.texts(*flat_lists(part[ids])).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([part["_key"], part[ids], texts], ["_key", ids, "decoded"])
 
+    return run
+
+
+def decode(encoded: DataFrame, key: str, ids: str, definition) -> DataFrame:
+    """Add `decoded`, the text of the ids, special tokens included; null ids give an empty text."""
+    kind = encoded.schema[key].dataType.simpleString()
     rows = encoded.select(F.col(key).alias("_key"), F.col(ids).alias("_ids"))
-    out = rows.mapInArrow(run, f"_key {kind}, _ids array<int>, decoded string")
+    out = rows.mapInArrow(_decoded(definition, "_ids"), f"_key {kind}, _ids array<int>, decoded string")
     return out.withColumnsRenamed({"_key": key, "_ids": ids})
 
 
+def encoded_and_decoded(docs: DataFrame, key: str, text: str, definition, leaf: int = 1 << 15) -> DataFrame:
+    """`(key, ids, decoded)` of every row: `decode` of `encode`, in one Python worker a task."""
+    kind = docs.schema[key].dataType.simpleString()
+
+    def both(run):
+        then = _decoded(definition, "ids")
+        return lambda batches: then(run(batches))
+
+    shape = f"_key {kind}, ids array<int>, decoded string"
+    found = [rows.mapInArrow(both(run), shape) for rows, run, _ in _encodings(docs, key, text, definition, leaf)]
+    return reduce(DataFrame.unionByName, found).withColumnRenamed("_key", key)
+
+
 def digests(docs: DataFrame, key: str, text: str, path: str) -> DataFrame:
     """Encode and decode every text: number of ids, digest of the ids, digest of the decoded text.
     The small result is written, so that the texts can go to Python a thousand at a time."""
     definition = shipped(docs.sparkSession, path)
-    both = decode(encode(docs, key, text, definition), key, "ids", definition)
+    both = encoded_and_decoded(docs, key, text, definition)
     with batches_of(docs.sparkSession, 1000):
         return checkpointed(
             both.select(

@@ -74,6 +74,17 @@ def test_round_trip_of_documents(spark, byte):
     assert bpe.digests(docs.limit(0), "doc_id", "text", BYTE).collect() == []
 
 
+def test_round_trip_takes_one_worker_a_task(spark, byte):
+    texts = [None, "", "short text", "é你 <|endoftext|>" * 40, *texts_of(12, 200, 5)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    definition = bpe.shipped(spark, BYTE)
+    both = bpe.encoded_and_decoded(docs, "doc_id", "text", definition, leaf=64)
+    parts = bpe.decode(bpe.encode(docs, "doc_id", "text", definition, leaf=64), "doc_id", "ids", definition)
+    assert sorted(map(tuple, both.collect())) == sorted(map(tuple, parts.collect()))
+    shorts = bpe.encoded_and_decoded(docs, "doc_id", "text", definition)
+    assert shorts._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
 def test_decoding_of_broken_characters(byte):
     made = bpe.tokenizer(byte)
     ids = [made.encode(t, add_special_tokens=False).ids for t in ("你好", "é", "ab")]
