@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from strandloom.constants import SENTINEL_FIRST
 from strandloom.operators.nearest import BLOCK, nearest_below
-from strandloom.operators.suffix import LOCAL, build_group_index, build_suffix_index, code_points, cut_by_size, sorted_suffixes, split_local
+from strandloom.operators.suffix import SHORT, build_group_index, build_suffix_index, code_points, cut_by_size, sorted_suffixes, split_local
 from strandloom.plans.ordering import blocked_running_max, blocked_running_sum, dense_index, ordered_concat
 from strandloom.plans.session import checkpointed, dropped, shuffled
 
@@ -114,7 +114,7 @@ class Transform:
         return own if self.table is None else own.unionByName(bwt_inverse(self.table, self.key))
 
 
-def transform(df: DataFrame, key: str, seq: str, local: int = LOCAL) -> Transform:
+def transform(df: DataFrame, key: str, seq: str, local: int = SHORT) -> Transform:
     """The transforms of the texts, one row per key; those of up to `local` characters stay whole."""
     short, rest = split_local(df.select(key, seq), key, F.length(seq), local)
     texts = short.where(F.col(seq).isNotNull()).select(F.col(key).alias("_key"), F.col(seq).alias("_seq"))
@@ -228,7 +228,7 @@ def _blocks_here(width: int):
     return run
 
 
-def build_fm_index(df: DataFrame, key: str, seq: str, width: int = 1024, local: int = LOCAL) -> FmIndex:
+def build_fm_index(df: DataFrame, key: str, seq: str, width: int = 1024, local: int = SHORT) -> FmIndex:
     """Index the texts of `df`, one row per key; blocks of texts of up to `local` characters are made in one task."""
     short, rest = split_local(df.select(key, seq), key, F.length(seq), local)
     texts = short.where(F.col(seq).isNotNull()).select(F.col(key).alias("_key"), F.col(seq).alias("_seq"))
@@ -325,7 +325,7 @@ def _found_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def pattern_intervals(
-    df: DataFrame, key: str, seq: str, queries: DataFrame, pattern: str, block: int = BLOCK, local: int = LOCAL
+    df: DataFrame, key: str, seq: str, queries: DataFrame, pattern: str, block: int = BLOCK, local: int = SHORT
 ) -> DataFrame:
     """The same intervals `(key, pattern, lo, hi)` for patterns of any length, any number per text, without a
     round per character. Texts of up to `local` characters meet their patterns in a task, some thousands of

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions.alphabet import let
 from strandloom.functions.strings import longest_common_substring
-from strandloom.operators.suffix import LOCAL, build_group_index, build_suffix_index, cut_by_size, shared_lengths, split_local
+from strandloom.operators.suffix import SHORT, build_group_index, build_suffix_index, cut_by_size, shared_lengths, split_local
 from strandloom.plans.ordering import blocked_running_sum
 from strandloom.plans.session import checkpointed
 
@@ -216,7 +216,7 @@ def _by_index(df: DataFrame, group: str, seq: str, text: str, block: int) -> Dat
     return rows.join(best, (F.col("_g") == F.col("_group")) & (F.col("_t") == F.col("_text"))).select("_g", cut.alias("_found"))
 
 
-def common_substring(df: DataFrame, group: str, seq: str, text: str | None = None, block: int = BLOCK, local: int = LOCAL) -> DataFrame:
+def common_substring(df: DataFrame, group: str, seq: str, text: str | None = None, block: int = BLOCK, local: int = SHORT) -> DataFrame:
     """Longest substring common to all texts of each group, the first in alphabetical order: `(group, substring)`.
 
     `text` tells the texts of a group apart; without it they are numbered, which writes them once. A group
@@ -260,7 +260,7 @@ def _pairs_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part["_key"], pa.array(cut, pa.string()), pa.array(at, mask=size == 0)], ["_key", "substring", "pos0"])
 
 
-def common_substring_pair(df: DataFrame, key: str, a: str, b: str, block: int = BLOCK, local: int = LOCAL) -> DataFrame:
+def common_substring_pair(df: DataFrame, key: str, a: str, b: str, block: int = BLOCK, local: int = SHORT) -> DataFrame:
     """Longest substring that the texts `a` and `b` of each row share, the one starting first in `a`:
     `(key, substring, pos0)`, empty without a position if they share nothing. `key` is unique. For texts of any
     length; rows of up to `local` characters are compared inside a task."""

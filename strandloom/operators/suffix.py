@@ -10,7 +10,7 @@ single task's work.
 The texts of a group are laid out behind one another, a place apart. A suffix ends where its own text
 does; of equal suffixes the one of the earlier text comes first.
 
-Single texts of up to 65 536 characters, one row per key, are ranked where they are, many at a time in the same
+Single texts of up to 262 144 characters, one row per key, are ranked where they are, many at a time in the same
 way with numpy, and only the sorted suffixes are shuffled. What two texts share is found in the same way, with
 the two behind one another.
 """
@@ -32,7 +32,8 @@ from strandloom.plans.ordering import blocked_running_sum, dense_index
 from strandloom.plans.session import checkpointed, dropped
 
 WINDOW = 16
-LOCAL = 1 << 16  # longer texts are ranked by joins
+LOCAL = 1 << 18  # longer texts are ranked by joins
+SHORT = 1 << 16  # the same where a task holds more than the order of a text's suffixes
 _SLICE = 1 << 20  # characters ranked at a time
 
 
@@ -143,31 +144,90 @@ def code_points(texts: list[str]) -> np.ndarray:
     return np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64)
 
 
+def _windows(sizes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, int, int]:
+    """As a number per position, as many characters from there on as fit beside the text's number, with zeros beyond
+    the text's end; how many these are, and the bits of one."""
+    used = np.zeros(int(codes.max()) + 1, bool)
+    used[codes] = True
+    letters = np.cumsum(used)  # characters by their order among those that occur, from 1
+    bits = int(letters[-1]).bit_length()
+    width = (62 - len(sizes).bit_length()) // bits
+    # A gap of zeros after each text.
+    at = np.arange(len(codes)) + np.repeat(np.arange(len(sizes)) * width, sizes)
+    laid = np.zeros(len(codes) + len(sizes) * width, np.int64)
+    laid[at] = letters[codes]
+    windows = laid.copy()
+    for ahead in range(1, width):
+        windows <<= bits
+        windows[:-ahead] |= laid[ahead:]
+    return windows[at], width, bits
+
+
+def _ordered(sizes: np.ndarray, codes: np.ndarray, neighbours: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    """The places of all suffixes in order, text by text, and with `neighbours` how many characters each shares with
+    the one before of its text.
+
+    Windows of some characters are ranked first, then windows of twice the length by the ranks of their halves, only
+    where there are equal ones. A rank is the place in order of the first equal window.
+    """
+    row, end = np.repeat(np.arange(len(sizes)), sizes), np.repeat(np.cumsum(sizes), sizes)
+    windows, width, bits = _windows(sizes, codes)
+    keys = row << width * bits | windows
+    order = np.argsort(keys)
+    keys = keys[order]
+    apart = np.append(True, keys[1:] != keys[:-1])
+    rank = np.empty(len(codes), np.int32)
+    rank[order] = np.flatnonzero(apart)[np.cumsum(apart) - 1]
+    since = np.where(apart, 0, 127).astype(np.int8)  # the round that told a suffix from the one before
+    levels, reach = [rank.copy()] if neighbours else [], width
+    tied = np.flatnonzero(~(apart & np.append(apart[1:], True)))
+    turn = 0
+    while len(tied):
+        place, turn = order[tied], turn + 1
+        follows = np.zeros(len(tied), np.int64)  # nothing after the end, which sorts first
+        inside = np.flatnonzero(place + reach < end[place])
+        follows[inside] = rank[place[inside] + reach] + 1
+        keys = rank[place].astype(np.int64) << 32 | follows
+        moved = np.argsort(keys)
+        place, keys = place[moved], keys[moved]
+        order[tied] = place
+        apart = np.append(True, keys[1:] != keys[:-1])
+        old = np.append(True, keys[1:] >> 32 != keys[:-1] >> 32)
+        since[tied[apart & ~old]] = turn
+        rank[place] = tied[np.flatnonzero(apart)[np.cumsum(apart) - 1]]
+        tied = tied[~(apart & np.append(apart[1:], True))]
+        if neighbours:
+            levels.append(rank.copy())
+        reach *= 2
+    if not neighbours:
+        return order, None
+    shared = np.zeros(len(codes), np.int64)
+    for level in reversed(range(len(levels))):
+        pairs = np.flatnonzero(since > level)
+        a, b = order[pairs] + shared[pairs], order[pairs - 1] + shared[pairs]
+        fits = np.flatnonzero(np.maximum(a, b) < end[order[pairs]])
+        same = fits[levels[level][a[fits]] == levels[level][b[fits]]]
+        shared[pairs[same]] += width << level
+    # What is left is shorter than a window.
+    pairs = np.flatnonzero(np.append(False, row[order[1:]] == row[order[:-1]]))
+    a, b = order[pairs] + shared[pairs], order[pairs - 1] + shared[pairs]
+    fits = np.flatnonzero(np.maximum(a, b) < end[order[pairs]])
+    differ, pairs = windows[a[fits]] ^ windows[b[fits]], pairs[fits]
+    for letter in range(1, width):
+        shared[pairs] += differ < 1 << (width - letter) * bits
+    return order, shared
+
+
 def sorted_codes(sizes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, ...]:
     """The same for texts given as the code points of all and the size of each."""
+    if not len(codes):
+        return codes, codes, codes, codes, codes
+    order, shared = _ordered(sizes, codes, True)
     row = np.repeat(np.arange(len(sizes)), sizes)
-    ends = np.cumsum(sizes)
-    start, end, place = (ends - sizes)[row], ends[row], np.arange(len(codes))
-    different, rank = np.unique(row << 21 | codes, return_inverse=True)
-    levels, width = [rank.astype(np.int32)], 1
-    while len(different) < len(codes):
-        follows = np.zeros(len(codes), np.int64)  # nothing after the end, which sorts first
-        inside = np.flatnonzero(place + width < end)
-        follows[inside] = levels[-1][inside + width] + 1
-        different, rank = np.unique(levels[-1].astype(np.int64) << 32 | follows, return_inverse=True)
-        levels.append(rank.astype(np.int32))
-        width *= 2
-    order = np.empty(len(codes), np.int64)
-    order[rank] = place
+    start = (np.cumsum(sizes) - sizes)[row]  # the texts keep their order, so a text's ranks begin where it does
+    first = start == np.arange(len(codes))
     before = np.concatenate([order[:1], order[:-1]])
-    first = start[order] == place  # the texts keep their order, so a text's ranks begin where it does
-    shared = np.zeros(len(codes), np.int64)
-    for level in reversed(range(len(levels))):
-        a, b = order + shared, before + shared
-        fits = np.flatnonzero(~first & (np.maximum(a, b) < end[order]))
-        same = fits[levels[level][a[fits]] == levels[level][b[fits]]]
-        shared[same] += 1 << level
-    return row[order], order - start[order], np.where(first, -1, before - start[order]), shared, codes
+    return row, order - start, np.where(first, -1, before - start), shared, codes
 
 
 def _least_since(values: np.ndarray, mark: np.ndarray) -> np.ndarray:
@@ -262,7 +322,7 @@ class LocalIndex:
         return self._and(own, lambda x: x.neighbours())
 
 
-def split_local(df: DataFrame, key: str, size: Column, most: int = LOCAL) -> tuple[DataFrame, DataFrame | None]:
+def split_local(df: DataFrame, key: str, size: Column, most: int = SHORT) -> tuple[DataFrame, DataFrame | None]:
     """Rows of a key of their own whose `size` is at most `most`, dealt out by key, as they are to be worked on
     inside tasks; and the others, if any: larger ones, and those of a null or repeated key."""
     sizes = df.select(F.col(key).alias("_of"), size.alias("_size"))
@@ -275,19 +335,25 @@ def split_local(df: DataFrame, key: str, size: Column, most: int = LOCAL) -> tup
     return short.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key), rest
 
 
-def build_suffix_index(df: DataFrame, key: str, seq: str, before: bool = False) -> SuffixIndex | LocalIndex:
-    """Index the texts of `df`, one row per text with a unique `key`; with `before`, `ordered` has the
-    character in front of each suffix, too."""
+def local_texts(df: DataFrame, key: str, seq: str) -> tuple[DataFrame, DataFrame | None]:
+    """Texts `(_key, _seq)` that are not empty, of a key of their own and of at most `LOCAL` characters, dealt out by key, as
+    they are to be worked on inside tasks; and the rows of the other texts, if any, but those of a null key."""
     sizes = df.where(F.length(seq) > 0).select(F.col(key).alias("_of"), F.length(seq).alias("_size"))
     odd = checkpointed(sizes.groupBy("_of").agg(F.count("*").alias("_n"), F.max("_size").alias("_size")).where((F.col("_n") > 1) | (F.col("_size") > LOCAL)))
-    short, others = df.where(F.col(key).isNotNull() & (F.length(seq) > 0)), None
+    short, rest = df.where(F.col(key).isNotNull() & (F.length(seq) > 0)), None
     if not odd.isEmpty():
         rest = df.join(odd, F.col(key) == F.col("_of"), "left_semi")
-        others = _indexed(checkpointed(text_windows(rest, key, seq, WINDOW, before)), key)
         short = short.join(odd, F.col(key) == F.col("_of"), "left_anti")
     # Dealt out, as sorting is heavy and files may have few row groups.
     dealt = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    texts = short.select(F.col(key).alias("_key"), F.col(seq).alias("_seq")).repartition(dealt, "_key")
+    return short.select(F.col(key).alias("_key"), F.col(seq).alias("_seq")).repartition(dealt, "_key"), rest
+
+
+def build_suffix_index(df: DataFrame, key: str, seq: str, before: bool = False) -> SuffixIndex | LocalIndex:
+    """Index the texts of `df`, one row per text with a unique `key`; with `before`, `ordered` has the
+    character in front of each suffix, too."""
+    texts, rest = local_texts(df, key, seq)
+    others = None if rest is None else _indexed(checkpointed(text_windows(rest, key, seq, WINDOW, before)), key)
     kind = texts.schema["_key"].dataType.simpleString()
     found = texts.mapInArrow(_sorted_here, f"_key {kind}, rank bigint, pos0 bigint, prev0 bigint, lcp bigint, before string")
     more = ["before"] if before else []
