@@ -210,40 +210,84 @@ def maximal_prefix_matches(s: Column, t: Column) -> Column:
 
 
 #: Values of border arrays that go back to Spark at a time, a longer text's being alone.
-_BORDERS = 1 << 20
+_BORDERS = 1 << 18
+#: Windows that a position is compared with its text's beginning for, before the text is gone through one by one.
+_ROUNDS = 64
+
+
+def _borders_one_by_one(text: str) -> np.ndarray:
+    out = np.zeros(len(text), dtype=np.int32)
+    b = 0
+    for i in range(1, len(text)):
+        c = text[i]
+        while b and text[b] != c:
+            b = int(out[b - 1])
+        b += text[b] == c
+        out[i] = b
+    return out
+
+
+def _borders_together(texts: list[str]) -> list[np.ndarray]:
+    """Border arrays of some texts that are not empty.
+
+    How much each position shares with the beginning of its text is found by windows of as many characters as fit
+    a number. A border that ends at a position begins where one that reaches so far begins first.
+    """
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    row, ends, place = np.repeat(np.arange(len(texts)), sizes), np.cumsum(sizes), np.arange(len(codes))
+    starts = ends - sizes
+    used = np.zeros(int(codes.max()) + 1, bool)
+    used[codes] = True
+    letters = np.cumsum(used)[codes]
+    bits, width = int(letters.max()).bit_length(), 1
+    windows = np.append(letters, np.zeros(64, np.int64))
+    while 2 * width * bits <= 52:  # so that lengths are exact as floating point numbers
+        windows[:-width] = windows[:-width] << width * bits | windows[width:]
+        width *= 2
+    shared = np.zeros(len(codes), np.int64)
+    going = np.setdiff1d(np.flatnonzero(letters == letters[starts][row]), starts, assume_unique=True)
+    for ahead in range(0, _ROUNDS * width, width):
+        if not len(going):
+            break
+        differ = windows[going + ahead] ^ windows[starts[row[going]] + ahead]
+        shared[going] = ahead + width - -(-np.frexp(differ.astype(np.float64))[1] // bits)
+        going = going[(differ == 0) & (going + ahead + width < ends[row[going]])]
+    # Windows go on into the text behind.
+    shared = np.minimum(shared, ends[row] - place)
+    found = np.flatnonzero(shared)
+    first = np.full(len(codes), len(codes))
+    np.minimum.at(first, found + shared[found] - 1, found)
+    first = np.minimum.accumulate(first[::-1])[::-1]
+    out = np.split(np.maximum(place + 1 - first, 0).astype(np.int32), ends[:-1])
+    for long in np.unique(row[going]).tolist():  # texts that share very much with their beginning
+        out[long] = _borders_one_by_one(texts[long])
+    return out
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
 def border_array(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Per position, the length of the longest proper border of the prefix ending there.
 
-    Each value depends on the one before, which no built-in expresses in linear time. Arrays are larger
-    than their texts, so they are sent back as they come, not a whole batch of texts at once.
+    No built-in expresses this in linear time. Arrays are larger than their texts, so they are made and sent back
+    for some texts at a time, not for a whole batch at once.
     """
 
-    def borders(text: str | None):
-        if text is None:
-            return None
-        out = np.zeros(len(text), dtype=np.int32)
-        b = 0
-        for i in range(1, len(text)):
-            c = text[i]
-            while b and text[b] != c:
-                b = int(out[b - 1])
-            b += text[b] == c
-            out[i] = b
-        return out
+    def borders(held: list[str | None]) -> pd.Series:
+        some = [i for i, text in enumerate(held) if text and len(text) <= _BORDERS]
+        found = dict(zip(some, _borders_together([held[i] for i in some]) if some else [], strict=True))
+        return pd.Series([found[i] if i in found else None if text is None else _borders_one_by_one(text) for i, text in enumerate(held)], dtype=object)
 
     for batch in texts:
         held, values = [], 0
         for text in batch:
-            held.append(borders(text))
+            held.append(text)
             values += len(text or "")
             if values >= _BORDERS:
-                yield pd.Series(held, dtype=object)
+                yield borders(held)
                 held, values = [], 0
         if held or not len(batch):
-            yield pd.Series(held, dtype=object)
+            yield borders(held)
 
 
 def border_array_simple(s: Column) -> Column:
