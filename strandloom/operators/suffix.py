@@ -280,6 +280,23 @@ def _sorted_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
+def _arrays_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Only the order."""
+    for batch in batches:
+        for low, high in cut_by_size(pc.utf8_length(batch["_seq"]).to_numpy()):
+            texts = batch["_seq"].slice(low, high - low).to_pylist()
+            sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+            order, _ = _ordered(sizes, code_points(texts), False)
+            row, starts = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes) - sizes
+            start = starts[row]
+            rank, pos0 = np.arange(len(row)) - start, order - start
+            for at in range(0, len(row), 1 << 16):
+                some = slice(at, at + (1 << 16))
+                yield pa.RecordBatch.from_arrays(
+                    [batch["_key"].take(pa.array(row[some] + low)), pa.array(rank[some]), pa.array(pos0[some])], ["_key", "rank", "pos0"]
+                )
+
+
 @dataclass
 class LocalIndex:
     """The same for texts of which each was ranked in one task: `suffixes` has `(key, rank, pos0, prev0, lcp)` and,
@@ -379,4 +396,9 @@ def build_group_index(df: DataFrame, group: str, text: str, seq: str) -> SuffixI
 
 def suffix_array(df: DataFrame, key: str, seq: str) -> DataFrame:
     """Sorted suffixes of every text: `(key, rank, pos0)`."""
-    return build_suffix_index(df, key, seq).array
+    texts, rest = local_texts(df, key, seq)
+    kind = texts.schema["_key"].dataType.simpleString()
+    own = texts.mapInArrow(_arrays_here, f"_key {kind}, rank bigint, pos0 bigint").select(F.col("_key").alias(key), "rank", "pos0")
+    if rest is None:
+        return own
+    return own.unionByName(_indexed(checkpointed(text_windows(rest, key, seq, WINDOW)), key).array)

@@ -68,3 +68,30 @@ def test_nearest_smaller_beyond_the_hops():
     for values in ([*range(300), 0, 5, 3], [5] * 90, [*range(90, 0, -1)], [RNG.randint(0, 9) for _ in range(500)], [1]):
         values = np.array(values)
         assert suffix_tree._left_smaller(values).tolist() == last_smaller(values, np.arange(len(values)), values).tolist()
+
+
+@WAYS
+def test_arrays(spark, rows):
+    found = defaultdict(dict)
+    for r in suffix.suffix_array(rows, "k", "t").collect():
+        found[r.k.a][r["rank"]] = r.pos0
+    assert found == {k: dict(enumerate(sorted(range(len(t)), key=lambda p: t[p:]))) for k, t in TEXTS.items()}
+
+
+@pytest.mark.parametrize("local", [1 << 18])
+def test_arrays_are_not_written(spark, rows):
+    before = tables(spark)
+    suffix.suffix_array(rows, "k", "t")
+    assert len(tables(spark) - before) <= 1
+
+
+def test_arrays_of_texts_longer_than_a_block(spark):
+    """A text of more than 65 536 characters takes no rounds of joins."""
+    text = "".join(RNG.choice("abc ") for _ in range(9000)) * 9
+    before = tables(spark)
+    array = suffix.suffix_array(spark.createDataFrame([(1, text)], "k int, t string"), "k", "t")
+    assert len(tables(spark) - before) <= 1
+    found = {r["rank"]: r.pos0 for r in array.collect()}
+    order = [found[i] for i in range(len(text))]
+    assert sorted(order) == list(range(len(text)))
+    assert all(text[a:] < text[b:] for a, b in zip(order[::700], order[1::700], strict=False))
