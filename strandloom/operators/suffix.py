@@ -230,7 +230,7 @@ def sorted_codes(sizes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, ...]
     return row, order - start, np.where(first, -1, before - start), shared, codes
 
 
-def _least_since(values: np.ndarray, mark: np.ndarray) -> np.ndarray:
+def least_since(values: np.ndarray, mark: np.ndarray) -> np.ndarray:
     """The least value after the last mark, up to and with each place; a mark's own is beyond all."""
     group = np.cumsum(mark)
     return np.minimum.accumulate(np.where(mark, 1 << 22, values) - (group << 23)) + (group << 23)
@@ -247,8 +247,8 @@ def shared_lengths(a: list[str], b: list[str]) -> tuple[np.ndarray, ...]:
     row, pos0, _, shared, _ = sorted_codes(whole, codes)
     in_b = pos0 > heads[row]
     # The nearest suffixes of `b`, before and after in order, share the most. A text's first shares 0 with none.
-    up = _least_since(shared, in_b)
-    down = _least_since(np.append(shared[1:], 0)[::-1], in_b[::-1])[::-1]
+    up = least_since(shared, in_b)
+    down = least_since(np.append(shared[1:], 0)[::-1], in_b[::-1])[::-1]
     mine = np.flatnonzero(pos0 < heads[row])
     rank = np.arange(len(mine)) - (np.cumsum(heads) - heads)[row[mine]]
     return row[mine], rank, pos0[mine], np.maximum(up, down)[mine]

@@ -1,4 +1,4 @@
-"""What is made of texts inside tasks, against definitions and the way by joins."""
+"""Suffix trees, suffix arrays and border arrays that are made inside tasks, against definitions and the way by joins."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from collections import defaultdict
 
 import pytest
 
-from strandloom.operators import suffix, suffix_tree
+from strandloom.operators import borders, suffix, suffix_tree
 
 RNG = random.Random(4)
 TEXTS = {i: "".join(RNG.choice(("ab", "aé😀", "a", "acgt")[i % 4]) for _ in range(1 + 11 * i % 47)) for i in range(16)}
@@ -95,3 +95,24 @@ def test_arrays_of_texts_longer_than_a_block(spark):
     order = [found[i] for i in range(len(text))]
     assert sorted(order) == list(range(len(text)))
     assert all(text[a:] < text[b:] for a, b in zip(order[::700], order[1::700], strict=False))
+
+
+def borders_by_hand(text):
+    return [max((b for b in range(1, n) if text[:b] == text[n - b : n]), default=0) for n in range(1, len(text) + 1)]
+
+
+@WAYS
+def test_borders(spark, rows):
+    found = defaultdict(dict)
+    for r in borders.border_arrays(rows, "k", "t", 16).collect():
+        found[r.k.a][r.pos0] = r.border
+    assert found == {k: dict(enumerate(borders_by_hand(t))) for k, t in TEXTS.items()}
+
+
+@pytest.mark.parametrize("local", [1 << 18])
+def test_borders_leave_only_their_values(spark, rows):
+    """Texts are shuffled once; no row per position is written or shuffled."""
+    before = tables(spark)
+    plan = steps(borders.border_arrays(rows, "k", "t"))
+    assert len(tables(spark) - before) <= 1  # the keys of other texts
+    assert plan.count("Exchange") == 2 and "Join" not in plan  # one of them made by the fixture
