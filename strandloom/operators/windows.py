@@ -11,14 +11,16 @@ BLOCK = 1 << 16  # characters cut into windows at a time
 
 
 def text_pieces(df: DataFrame, key: str, text: str, width: int, beyond: int) -> DataFrame:
-    """Texts cut into pieces of `width` characters (a divisor of `BLOCK`), each with up to `beyond` more of the
-    next: `(key, piece, chars)`, pieces numbered from 0."""
-    last, many = F.floor((F.length(text) - 1) / BLOCK), BLOCK // width
+    """Texts cut into pieces of `width` characters, each with up to `beyond` more of the next: `(key, piece, chars)`,
+    pieces numbered from 0."""
+    many = -(-BLOCK // width)
+    block = many * width
+    last = F.floor((F.length(text) - 1) / block)
     blocks = df.where(F.length(text) > 0).select(
         key, F.col(text).alias("_text"), F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("_b")
     )
-    chunk = F.substring("_text", (F.col("_b") * BLOCK + 1).cast("int"), F.lit(BLOCK + beyond)).alias("_chunk")
-    within = F.least(F.floor((F.length("_text") - 1 - F.col("_b") * BLOCK) / width), F.lit(many - 1).cast("bigint"))
+    chunk = F.substring("_text", (F.col("_b") * block + 1).cast("int"), F.lit(block + beyond)).alias("_chunk")
+    within = F.least(F.floor((F.length("_text") - 1 - F.col("_b") * block) / width), F.lit(many - 1).cast("bigint"))
     pieces = blocks.select(key, "_b", chunk, F.explode(F.sequence(F.lit(0).cast("bigint"), within)).alias("_p"))
     chars = F.substring("_chunk", (F.col("_p") * width + 1).cast("int"), F.lit(width + beyond))
     return pieces.select(key, (F.col("_b") * many + F.col("_p")).alias("piece"), chars.alias("chars"))
