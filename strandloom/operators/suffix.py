@@ -34,7 +34,7 @@ from strandloom.plans.session import checkpointed, dropped
 WINDOW = 16
 LOCAL = 1 << 18  # longer texts are ranked by joins
 SHORT = 1 << 16  # the same where a task holds more than the order of a text's suffixes
-_SLICE = 1 << 20  # characters ranked at a time
+_SLICE = 1 << 18  # characters ranked at a time
 
 
 @dataclass
@@ -254,9 +254,9 @@ def shared_lengths(a: list[str], b: list[str]) -> tuple[np.ndarray, ...]:
     return row[mine], rank, pos0[mine], np.maximum(up, down)[mine]
 
 
-def cut_by_size(sizes: np.ndarray, most: int = _SLICE) -> Iterator[tuple[int, int]]:
-    """Stretches of rows whose sizes add up to about `most`."""
-    parts = np.cumsum(sizes, dtype=np.int64) // most
+def cut_by_size(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Stretches of rows whose sizes add up to about `_SLICE`."""
+    parts = np.cumsum(sizes, dtype=np.int64) // _SLICE
     cuts = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(parts)]
     return ((low, high) for low, high in zip(cuts, cuts[1:], strict=False) if low < high)
 
